@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, langid, packing, quality, topk, toxicity
+from . import htmltext, langid, lmscore, mixing, outliers, packing, quality, topk, toxicity
 from .common import table
 
 
@@ -18,10 +18,22 @@ def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op2(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.op3(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.op4(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op5(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op6(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +48,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_threshold_topk, op5_harmonic_packing, op8_quality_classifier, op9_html_extraction, op10_language_id)
+    for f in (
+        op1_toxicity,
+        op2_threshold_topk,
+        op3_robust_outliers,
+        op4_cross_entropy,
+        op5_harmonic_packing,
+        op6_pfair_mixing,
+        op8_quality_classifier,
+        op9_html_extraction,
+        op10_language_id,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
