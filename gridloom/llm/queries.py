@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, langid, lmscore, mixing, outliers, packing, quality, topk, toxicity
+from . import htmltext, langid, lmscore, mixing, neardup, outliers, packing, quality, topk, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op6(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op7(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_cross_entropy,
         op5_harmonic_packing,
         op6_pfair_mixing,
+        op7_dart_minhash,
         op8_quality_classifier,
         op9_html_extraction,
         op10_language_id,
