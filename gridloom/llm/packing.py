@@ -13,8 +13,8 @@ each; extra columns are ignored; an empty table gives an empty result."""
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,55 +24,113 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Most words and bytes of ids that a worker remembers before it starts anew.
-CACHE_WORDS, CACHE_BYTES = 300_000, 16 << 20
+#: Most words that one generation of a worker's memory holds; there are two.
+CACHE_WORDS = 200_000
 CHUNK = 1 << 20
 MARK = "\x01"
 PIECES = "doc_id long, b string, o long, start long, length long, ids_crc32 long, doc_tokens long"
+_encoders: dict[str, Encoder] = {}
+
+
+class Memory:
+    """Two generations of a dictionary: once the young one is full it becomes the old one, so what is used stays."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def lacks(self, keys: set) -> list:
+        """The keys that neither holds; those of the old one move to the young one."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = keys - self.young.keys()
+        if not self.old:
+            return list(new)
+        out = []
+        for k in new:
+            v = self.old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self.young[k] = v
+        return out
 
 
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
-    The vocabulary's tokenizer drops white space and never merges over it, so a text's ids are
-    those of its blank-separated words in a row, and a word's ids are remembered."""
+    The vocabulary's tokenizer drops white space, never merges over it, and puts letters and other
+    signs into tokens of their own after lower-casing. So a text's ids are those of its
+    blank-separated words in a row, those of a word of Latin letters with signs at its end are the
+    lower-cased letters' and then the signs', and both are remembered. Letters alone need neither
+    normalising nor splitting and take a tokenizer without those steps."""
+
+    SPLIT = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.size = 0
-        mark = self.tok.encode(MARK, add_special_tokens=False).ids
+        self.lean = Tokenizer.from_file(path)
+        self.lean.encode_special_tokens = True
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words, self.stems = Memory(CACHE_WORDS), Memory(CACHE_WORDS)
+        mark = self.lean.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w]
-        if self.mark is not None and plain:
-            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """The worker's own encoder: what it remembers outlives a task."""
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        return _encoders[path]
+
+    def _stems(self, stems: list[str]) -> None:
+        """Learns lower-cased Latin words."""
+        known = self.stems.young
+        if self.mark is not None and stems:
+            ids = np.array(self.lean.encode_batch_fast([f" {MARK} ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == self.mark)
-            if len(at) == len(plain) - 1:
-                raw, a = ids.astype("<u4").tobytes(), 0
-                for w, b in zip(plain, [*at.tolist(), len(ids)], strict=True):
-                    self.known[w] = raw[4 * a : 4 * b]
+            if len(at) == len(stems) - 1:
+                raw, a = ids.tobytes(), 0
+                for w, b in zip(stems, [*at.tolist(), len(ids)], strict=True):
+                    known[w] = raw[4 * a : 4 * b]
                     a = b + 1
-                self.size += len(raw)
-                words = [w for w in words if MARK in w]
+                return
+        self._whole(stems, known)
+
+    def _whole(self, words: list[str], known: dict) -> None:
         for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False) if words else [], strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
-            self.size += len(self.known[w])
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        parts, odd, match = [], [], self.SPLIT.fullmatch
+        for w in words:
+            m = match(w)
+            if m and (w.isascii() or max(w) < "\u0100") and m[1].isalpha():
+                parts.append((w, m[1].lower(), m[2]))
+            else:
+                odd.append(w)
+        known, stems = self.words.young, self.stems
+        new = stems.lacks({x[1] for x in parts})
+        self._stems(new)
+        signs = {x[2] for x in parts}
+        self._whole([x for x in signs if x and x not in known], known)
+        known[""] = b""
+        of = stems.young
+        for w, stem, sign in parts:
+            known[w] = of[stem] + known[sign] if sign else of[stem]
+        self._whole(odd, known)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS or self.size > CACHE_BYTES:
-            self.known, self.size = {}, 0
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known}
+        new = self.words.lacks(set().union(*split))
         if new:
-            self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+            self._learn(new)
+        get = self.words.young.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -85,7 +143,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int, bucket: Column, order: C
     """One row a piece: doc_id, b (its worker), o (order in b), start, length, ids_crc32, doc_tokens."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, tail = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, tail = Encoder.of(path), np.array([end_id], "<u4").tobytes()
         for part in parts:
             texts, meta = part["text"].tolist(), list(zip(part["doc_id"], part["b"], part["o"], strict=True))
             first = 0
