@@ -162,7 +162,7 @@ def cues(texts: list[str], y: list[int], least: float = 40.0) -> set[str]:
     First every feature whose log-likelihood ratio over all documents reaches least. Then, while
     toxic documents without a cue remain, the one that tells most of these apart from the clean
     ones, if its ratio is beyond what the best of so many features reaches by chance: rare
-    languages have few documents each. A cue has ten times as many toxic documents as clean ones."""
+    languages have few documents each. A cue has thirty times as many toxic documents as clean ones."""
     sets = [{f for w in set(TOKEN.findall(t)) for f in features(w)} for t in texts]
     keep = distinct_rows(sets)
     bad = [sets[i] for i in keep if y[i]]
@@ -178,7 +178,7 @@ def cues(texts: list[str], y: list[int], least: float = 40.0) -> set[str]:
         n1, d1 = len(docs), Counter(f for s in docs for f in s)
         for f, a in d1.items():
             b = d0[f]
-            if a >= 3 and 10 * b <= a:
+            if a >= 3 and 30 * b <= a:
                 t = (a + b) / (n0 + n1)
                 yield 2 * (part(a, t * n1) + part(b, t * n0) + part(n1 - a, (1 - t) * n1) + part(n0 - b, (1 - t) * n0)), f
 
@@ -267,7 +267,7 @@ def fit_field(texts: list[str], y: list[int], window: int = 8, most: int = 4_000
     return Field(float(theta[m]), float(theta[m + 1]), ((0.0, float(theta[m + 2])), (float(theta[m + 3]), float(theta[m + 4]))), keep)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 3_000) -> Field:
+def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 1_500) -> Field:
     """Fits the field to labels.toxic of at most max_rows toxic and max_rows other documents (a documented bound)."""
     ok = F.lit(True) if usable is None else usable
     parts = [labelled(docs, labels, "toxic", ok & (F.col("_y") == v), max_rows, F.max) for v in (1, 0)]
