@@ -1,7 +1,834 @@
-"""Registered queries of the core library and their SQL."""
+"""Registered queries of the core library and the SQL each is held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import fixed as fx
+from ..operators import catalog as ct
+from ..operators import geometry as geo
+from ..operators import interp, raster, slicing, spectral
+from ..sources import frames
+from ..streaming.watch import windowed_counts
+from . import sql as s
+
 FLAGSHIP = "form_image_l1bfp"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _iq(spark, d):
+    return frames.iq_rows(frames.read(spark, d, "embeddings"))
+
+
+def _long(spark, d):
+    return frames.to_long(_iq(spark, d))
+
+
+def _image(spark, d):
+    return spectral.detect_rows(_iq(spark, d))
+
+
+def _square(spark, d):
+    return _iq(spark, d).where("row < 64")
+
+
+def r6(c, name):
+    return F.round(c, 6).alias(name)
+
+
+# ---- scans, projections, filters -------------------------------------------------------------
+
+
+@query(f"WITH {s.LONG} SELECT row // 2 AS row, CAST(col // 4 AS INTEGER) AS col, re, im FROM iql WHERE row % 2 = 0 AND col % 4 = 0")
+def decimate_crop(spark, d):
+    return slicing.decimate(_long(spark, d), 2, 4).select("row", F.col("col").cast("int"), "re", "im")
+
+
+@query(f"WITH {s.LONG} SELECT row, CAST(col - 12 AS INTEGER) AS col, col AS raw_col, re FROM iql WHERE col >= 12 AND col < 52")
+def centre_crop(spark, d):
+    return slicing.centre_crop(_long(spark, d), 64, 40).select("row", "col", "raw_col", "re")
+
+
+@query(f"WITH {s.LONG} SELECT row - 8 AS row, CAST(col - 5 AS INTEGER) AS col, re, im FROM iql WHERE row >= 8 AND row < 40 AND col >= 5 AND col < 37")
+def roi_crop(spark, d):
+    return slicing.roi(_long(spark, d), 8, 40, 5, 37).select("row", F.col("col").cast("int"), "re", "im")
+
+
+@query(f"WITH {s.LONG} SELECT max(row) + 1 AS n_rows, CAST(max(col) + 1 AS BIGINT) AS n_cols FROM iql")
+def frame_dims(spark, d):
+    return frames.dims(_long(spark, d))
+
+
+PULSES = """pulses AS (
+    SELECT vec_id AS row, CAST(embedding[1] AS DOUBLE) + 3.0 AS ax, CAST(embedding[2] AS DOUBLE) + 1.0 AS ay,
+           1 + vec_id / 1024.0 AS f0, 1 / 64.0 AS df FROM embeddings)"""
+
+
+def _pulses(spark, d):
+    e = frames.read(spark, d, "embeddings")
+    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return e.select(
+        F.col("vec_id").alias("row"), (x(0) + 3.0).alias("ax"), (x(1) + 1.0).alias("ay"), (1 + F.col("vec_id") / 1024.0).alias("f0"), F.lit(1 / 64.0).alias("df")
+    )
+
+
+@query(f"WITH {PULSES} SELECT row // 2 AS row, f0 FROM pulses WHERE row % 2 = 0")
+def pvp_projection(spark, d):
+    return _pulses(spark, d).where("row % 2 = 0").select(F.floor(F.col("row") / 2).cast("long").alias("row"), "f0")
+
+
+@query(f"WITH {PULSES} SELECT row, CAST(k AS BIGINT) AS k, f0 + k * (df * 2) AS freq FROM pulses, range(0, 16) t(k)")
+def frequency_ramp(spark, d):
+    p = _pulses(spark, d).select("row", "f0", "df", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("k"))
+    return p.select("row", "k", geo.ramp(F.col("f0"), F.col("df"), F.col("k"), 2).alias("freq"))
+
+
+WAVE = (
+    PULSES
+    + """, mean AS (SELECT avg(ax) AS mx, avg(ay) AS my FROM pulses), wave AS (
+    SELECT row, f0, df, (ax * mx + ay * my) / sqrt(mx * mx + my * my) AS pr, (ay * mx - ax * my) / sqrt(mx * mx + my * my) AS pc FROM pulses, mean)"""
+)
+
+
+@query(f"WITH {WAVE} SELECT row, round(pr, 6) AS pr, round(pc, 6) AS pc, round(pc / pr, 6) AS tan_phi FROM wave")
+def wavenumber_projection(spark, d):
+    w = geo.wavenumbers(_pulses(spark, d))
+    return w.select("row", r6(F.col("pr"), "pr"), r6(F.col("pc"), "pc"), r6(F.col("tan_phi"), "tan_phi"))
+
+
+LOOK = """look AS (SELECT vec_id AS row, [CAST(embedding[1] AS DOUBLE) + 9, CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE) + 5] AS p FROM embeddings)"""
+
+
+@query(
+    f"WITH {LOOK} SELECT row, round(-(p[1] * 0.6 + p[2] * 0.8) / sqrt(p[1] * p[1] + p[2] * p[2] + p[3] * p[3]), 6) AS ax, "
+    "round(-p[3] / sqrt(p[1] * p[1] + p[2] * p[2] + p[3] * p[3]), 6) AS ay FROM look"
+)
+def look_projection(spark, d):
+    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    p = F.array(x(0) + 9, x(1), x(2) + 5)
+    const = lambda *v: F.array(*[F.lit(float(i)) for i in v])
+    pulses = frames.read(spark, d, "embeddings").select(
+        F.col("vec_id").alias("row"), p.alias("tx"), p.alias("rcv"), const(0, 0, 0).alias("srp"), const(0.6, 0.8, 0).alias("uiax"), const(0, 0, 1).alias("uiay")
+    )
+    got = geo.look_direction(pulses)
+    return got.select("row", r6(F.col("ax"), "ax"), r6(F.col("ay"), "ay"))
+
+
+EXTENT = "ext AS (SELECT min(lo) AS a, max(hi) AS b FROM (SELECT vec_id, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings))"
+
+
+@query(f"WITH {EXTENT} SELECT CAST(i AS INTEGER) AS i, round(a + i * ((b - a) / 63), 6) AS q FROM ext, range(0, 64) t(i)")
+def linspace_grid_union(spark, d):
+    e = frames.read(spark, d, "embeddings")
+    ends = e.select(F.array_min("embedding").cast("double").alias("lo"), F.array_max("embedding").cast("double").alias("hi"))
+    return geo.grid_union(ends, 64).select("i", r6(F.col("q"), "q"))
+
+
+@query(f"WITH {EXTENT}, g AS (SELECT i, a + i * ((b - a) / 39) AS q FROM ext, range(0, 40) t(i)) SELECT CAST(r.i AS INTEGER) AS i, round(coalesce(g.q, 2 * (SELECT max(q) FROM g) - (SELECT min(q) FROM g) + 1), 6) AS q FROM range(0, 64) r(i) LEFT JOIN g USING (i)")
+def padded_grid(spark, d):
+    e = frames.read(spark, d, "embeddings")
+    ends = e.select(F.array_min("embedding").cast("double").alias("lo"), F.array_max("embedding").cast("double").alias("hi"))
+    return slicing.pad_grid(geo.grid_union(ends, 40), 64).select("i", r6(F.col("q"), "q"))
+
+
+@query(f"WITH {s.IQ} SELECT row, CAST(k AS INTEGER) AS col, coalesce(re[k + 1], 0) AS re, coalesce(im[k + 1], 0) AS im FROM iq, range(0, 80) t(k)")
+def zero_pad(spark, d):
+    return frames.to_long(slicing.zero_pad(_iq(spark, d), 80)).select("row", "col", "re", "im")
+
+
+@query(
+    f"SELECT o_orderkey, CAST(1 << CASE WHEN (o_orderkey - 1) > 0 THEN length(bin(o_orderkey - 1)) ELSE 0 END AS BIGINT) AS p2, "
+    "CAST(CASE WHEN o_orderkey <= 8192 THEN 8192 ELSE 16384 END AS INTEGER) AS fft FROM orders WHERE o_orderkey BETWEEN 1 AND 16384"
+)
+def pow2_plan(spark, d):
+    o = frames.read(spark, d, "orders").where("o_orderkey between 1 and 16384")
+    return o.select("o_orderkey", fx.pow2_ceil(F.col("o_orderkey")).alias("p2"), slicing.plan_axis(F.col("o_orderkey")).alias("fft"))
+
+
+@query(f"WITH {s.IMAGE} SELECT (row + 32) % 64 AS row, CAST((col + 32) % 64 AS INTEGER) AS col, mag FROM img WHERE row < 64")
+def fftshift(spark, d):
+    return slicing.shift(_image(spark, d).where("row < 64"), 64, 64).select("row", "col", "mag")
+
+
+_VIEWS = {"id": ("row", "col"), "flip_rows": ("63 - row", "col"), "flip_cols": ("row", "63 - col"), "rot180": ("63 - row", "63 - col")}
+_DIHEDRAL = " UNION ALL ".join(
+    f"SELECT '{p}{k}' AS orient, CAST({y} AS BIGINT) AS row, CAST({x} AS BIGINT) AS col, mag FROM img WHERE row < 64"
+    for p, flip in (("", False), ("t_", True))
+    for k, (a, b) in _VIEWS.items()
+    for y, x in [(b, a) if flip else (a, b)]
+)
+
+
+@query(f"WITH {s.IMAGE} {_DIHEDRAL}")
+def dihedral(spark, d):
+    return slicing.oriented(_image(spark, d).where("row < 64"), 64, 64)
+
+
+@query("SELECT CAST(k AS INTEGER) AS i, CAST(list_reduce(list_transform(range(0, 6), lambda b: ((k >> b) & 1) << (5 - b)), lambda x, y: x + y) AS INTEGER) AS r FROM range(0, 64) t(k)")
+def bit_reverse(spark, d):
+    return spark.range(64).select(F.col("id").cast("int").alias("i"), fx.bit_reverse(F.col("id"), 6).alias("r"))
+
+
+@query(f"WITH {s.LONG} SELECT row, col, lpad(lower(hex(((re & 65535) << 16) | (im & 65535))), 8, '0') AS value FROM iql")
+def hex_vectors(spark, d):
+    return frames.format_hex(_long(spark, d))
+
+
+@query(f"WITH {s.LONG} SELECT re, im, count(*) AS n FROM iql GROUP BY ALL")
+def hex_round_trip(spark, d):
+    return frames.parse_hex(frames.format_hex(_long(spark, d)).select("value")).groupBy("re", "im").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT j, CAST(CASE WHEN j % 13 = 0 THEN 32767 WHEN j % 17 = 5 THEN -32768 ELSE " + s.wrap16("(j * 7919 + 2 * 4523 + 13) * 37") + " END AS BIGINT) AS re, "
+    "CAST(CASE WHEN j % 13 = 0 THEN -32768 WHEN j % 17 = 5 THEN 32767 ELSE " + s.wrap16("(j * 6271 - 2 * 2749 - 5) * 53") + " END AS BIGINT) AS im FROM range(0, 1024) t(j)"
+)
+def source_line(spark, d):
+    return frames.source_line(spark, 1024, 2)
+
+
+@query(
+    "SELECT c AS \"case\", CAST(k AS BIGINT) AS k, round(CASE c WHEN 'impulse' THEN CASE WHEN k = 0 THEN 2000.0 ELSE 0 END WHEN 'dc' THEN 2000.0 "
+    "WHEN 'tone' THEN 2000 * cos(2 * pi() * 8 * k / 64) ELSE CASE WHEN k = 37 THEN 2000.0 ELSE 0 END END, 6) + 0.0 AS re, "
+    "round(CASE c WHEN 'tone' THEN 2000 * sin(2 * pi() * 8 * k / 64) ELSE 0 END, 6) + 0.0 AS im FROM range(0, 64) t(k), (VALUES ('impulse'), ('dc'), ('tone'), ('impulse_k')) v(c)"
+)
+def stimuli(spark, d):
+    got = frames.stimuli(spark, 64)
+    return got.select("case", "k", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+
+
+# ---- fixed point, tapers, quantisers ---------------------------------------------------------
+
+
+@query(
+    "WITH v AS (SELECT l_orderkey * 7919 - l_partkey * 6271 AS x FROM lineitem) SELECT x, count(*) AS n, "
+    f"CAST(any_value({s.wrap16('x')}) AS BIGINT) AS wrapped, CAST(any_value({s.sat16('x')}) AS BIGINT) AS saturated, any_value(x >> 3) AS shifted FROM v GROUP BY x"
+)
+def fixed_scalars(spark, d):
+    v = frames.read(spark, d, "lineitem").select((F.col("l_orderkey") * 7919 - F.col("l_partkey") * 6271).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    x = F.col("x")
+    return v.select("x", "n", fx.wrap16(x).alias("wrapped"), fx.sat16(x).alias("saturated"), fx.shr(x, 3).alias("shifted"))
+
+
+QUANT = """px AS (SELECT vec_id AS row, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS col, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    e AS (SELECT CAST(min(k) AS INTEGER) AS exp FROM range(-40, 41) t(k) WHERE (SELECT max(abs(x)) FROM px) <= 32767 * pow(2.0, k))"""
+
+
+@query(f"WITH {QUANT} SELECT row, col, CAST(greatest(-32768, least(32767, floor(x / pow(2.0, exp)))) AS BIGINT) AS code, exp FROM px, e")
+def quantize_iq16(spark, d):
+    f = frames.real_frame(frames.read(spark, d, "embeddings"))
+    top = f.agg(F.max(F.abs("x")).alias("m"))
+    fits = F.filter(F.sequence(F.lit(-40), F.lit(40)), lambda k: F.col("m") <= 32767 * F.pow(F.lit(2.0), k))
+    e = top.select(F.array_min(fits).alias("exp"))
+    return f.crossJoin(F.broadcast(e)).select("row", "col", fx.quantise(F.col("x"), F.pow(F.lit(2.0), F.col("exp"))).alias("code"), "exp")
+
+
+_SWEEP = "SELECT b AS bits, round(avg(pow(x - greatest(-pow(2, b - 1), least(pow(2, b - 1) - 1, floor(x * pow(2, b - 2)))) / pow(2, b - 2), 2)), 9) AS mse FROM px, (VALUES (8), (10), (12), (16)) t(b) GROUP BY b"
+
+
+@query(f"WITH px AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) {_SWEEP}")
+def quant_sweep(spark, d):
+    f = frames.real_frame(frames.read(spark, d, "embeddings")).select("x", F.explode(F.array(*[F.lit(b) for b in (8, 10, 12, 16)])).alias("bits"))
+    step, top = F.pow(F.lit(2.0), F.col("bits") - 2), F.pow(F.lit(2.0), F.col("bits") - 1)
+    code = F.greatest(-top, F.least(top - 1, F.floor(F.col("x") * step)))
+    return f.groupBy("bits").agg(F.round(F.avg(F.pow(F.col("x") - code / step, 2)), 9).alias("mse"))
+
+
+@query(f"WITH {s.SQUARE}, {s.taper('sq', 'wn', 64, 64)[0]} SELECT row, CAST(unnest(range(0, 64)) AS INTEGER) AS col, CAST(unnest(re) AS BIGINT) AS re, CAST(unnest(im) AS BIGINT) AS im FROM wn")
+def window_q15(spark, d):
+    return frames.to_long(spectral.window_q15(_square(spark, d), fx.taper_q15(64), fx.taper_q15(64)))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, round(0.54 - 0.46 * cos(2 * pi() * i / 99), 6) AS w FROM range(0, 100) t(i)")
+def window_float(spark, d):
+    return spark.range(100).select(F.col("id").cast("int").alias("i"), r6(0.54 - 0.46 * F.cos(2 * F.pi() * F.col("id") / 99), "w"))
+
+
+@query(f"WITH {s.LONG} SELECT row, col, CAST(floor(sqrt(CAST(re * re + im * im AS DOUBLE))) AS BIGINT) AS root, CAST(least(65535, floor(sqrt(CAST(re * re + im * im AS DOUBLE)))) AS INTEGER) AS mag, round(sqrt(CAST(re * re + im * im AS DOUBLE)), 6) AS amp FROM iql")
+def detect(spark, d):
+    re, im = F.col("re"), F.col("im")
+    return _long(spark, d).select("row", "col", fx.isqrt(re * re + im * im).alias("root"), fx.detect(re, im).alias("mag"), r6(F.hypot(re, im), "amp"))
+
+
+# ---- transforms ------------------------------------------------------------------------------
+
+
+def _rows_out(rows, *more):
+    return frames.to_long(rows, *more).select("row", "col", F.col("re").cast("long"), F.col("im").cast("long"), *[F.col(m).cast("int") for m in more])
+
+
+def _rows_sql(ctes: str, src: str, more: str = "") -> str:
+    return f"WITH {s.SQUARE}, {ctes} SELECT row, CAST(unnest(range(0, 64)) AS INTEGER) AS col, CAST(unnest(re) AS BIGINT) AS re, CAST(unnest(im) AS BIGINT) AS im{more} FROM {src}"
+
+
+@query(_rows_sql(*s.fft("sq", "f")))
+def fft_row_full(spark, d):
+    return _rows_out(spectral.fft_full(_square(spark, d), 64))
+
+
+@query(_rows_sql(*s.fft("sq", "f")))
+def fft_row_arrow(spark, d):
+    return _rows_out(spectral.fft_full_arrow(_square(spark, d)))
+
+
+@query(_rows_sql(*s.pass_l1("sq", "f"), more=", CAST(exp AS INTEGER) AS exp"))
+def dft_row_l1bfp(spark, d):
+    return _rows_out(spectral.pass_l1(_square(spark, d), 64), "exp")
+
+
+@query(_rows_sql(*s.pass_global("sq", "f"), more=", CAST(exp AS INTEGER) AS exp"))
+def fft_row_global(spark, d):
+    return _rows_out(spectral.pass_global(_square(spark, d), 64), "exp")
+
+
+@query(_rows_sql(*s.pass_perrow("sq", "f"), more=", CAST(exp AS INTEGER) AS exp"))
+def dft_row_bfp_perrow(spark, d):
+    return _rows_out(spectral.pass_perrow(_square(spark, d), 64), "exp")
+
+
+@query(_rows_sql(*s.fft("sq", "f", halve=True, clip=True)))
+def fft_row_uncond(spark, d):
+    return _rows_out(spectral.pass_uncond(_square(spark, d), 64))
+
+
+_RN = s.pass_perrow("sq", "f")
+_RN2 = s.renormalise(_RN[1], "rn")
+
+
+@query(_rows_sql(f"{_RN[0]}, {_RN2[0]}", _RN2[1], ", CAST(exp AS INTEGER) AS exp, CAST(emax AS INTEGER) AS emax"))
+def renorm_global(spark, d):
+    return _rows_out(spectral.renormalise(spectral.pass_perrow(_square(spark, d), 64)), "exp", "emax")
+
+
+_PR_A = f"SELECT row, col, CAST(mag AS INTEGER) AS mag FROM ({s.detect('rn')})"
+
+
+@query(f"WITH {s.SQUARE}, {_RN[0]}, {_RN2[0]} {_PR_A}")
+def detect_order_a(spark, d):
+    return spectral.detect_rows(spectral.renormalise(spectral.pass_perrow(_square(spark, d), 64)))
+
+
+_PR_B = f"SELECT m.row, m.col, CAST(CASE WHEN emax - exp > 12 THEN 0 ELSE mag >> (emax - exp) END AS INTEGER) AS mag FROM ({s.detect(_RN[1])}) m JOIN {_RN[1]} USING (row), (SELECT max(exp) AS emax FROM {_RN[1]})"
+
+
+def _order_b(spark, d):
+    rows = spectral.pass_perrow(_square(spark, d), 64)
+    top = rows.agg(F.max("exp").alias("emax"))
+    f = frames.to_long(rows, "exp").crossJoin(F.broadcast(top))
+    down = F.col("emax") - F.col("exp")
+    mag = fx.detect(F.col("re"), F.col("im"))
+    return f.select("row", "col", F.when(down > 12, 0).otherwise(fx.shr(mag, down)).cast("int").alias("mag"))
+
+
+@query(f"WITH {s.SQUARE}, {_RN[0]} {_PR_B}")
+def detect_order_b(spark, d):
+    return _order_b(spark, d)
+
+
+@query(f"WITH {s.SQUARE}, {_RN[0]}, {_RN2[0]}, a AS ({_PR_A}), b AS ({_PR_B}) SELECT CAST(max(abs(a.mag - b.mag)) AS INTEGER) AS worst, count(*) FILTER (a.mag <> b.mag) AS n FROM a JOIN b USING (row, col)")
+def detect_order_diff(spark, d):
+    a, b = detect_order_a(spark, d), _order_b(spark, d).withColumnRenamed("mag", "mag_b")
+    off = F.abs(F.col("mag") - F.col("mag_b"))
+    return a.join(b, ["row", "col"]).agg(F.max(off).cast("int").alias("worst"), F.count(F.when(off > 0, 1)).alias("n"))
+
+
+@query(s.image("l1"))
+def form_image_l1bfp(spark, d):
+    return spectral.form_image(_square(spark, d), 64, 64, "l1")
+
+
+@query(s.image("global"))
+def form_image_global(spark, d):
+    return spectral.form_image(_square(spark, d), 64, 64, "global")
+
+
+@query(s.image("perrow"))
+def form_image_perrow(spark, d):
+    return spectral.form_image(_square(spark, d), 64, 64, "perrow")
+
+
+@query(s.image("uncond", tapered=False))
+def form_image_uncond(spark, d):
+    return spectral.form_image(_square(spark, d), 64, 64, "uncond", taper=False)
+
+
+@query(f"WITH {s.LONG} SELECT CAST(col AS BIGINT) AS row, CAST(row AS INTEGER) AS col, re, im FROM iql")
+def transpose(spark, d):
+    return slicing.transpose(_long(spark, d))
+
+
+@query(f"WITH {s.LONG} SELECT CAST(col AS BIGINT) AS row, CAST(row AS INTEGER) AS col, re, im FROM iql WHERE col >= 10 AND col < 30")
+def transpose_strip(spark, d):
+    return slicing.transpose_strip(_long(spark, d), 10, 20)
+
+
+@query(f"WITH {s.LONG} SELECT CAST(col AS BIGINT) AS row, CAST(row AS INTEGER) AS col, re, im FROM iql")
+def corner_turn(spark, d):
+    got = spectral.turn(_iq(spark, d))
+    return frames.to_long(got).select("row", F.col("col").cast("int"), "re", "im")
+
+
+_DIRECT = [(c, k) for c in range(64) for k in range(64)]
+
+
+@query(
+    f"WITH {s.LONG}, tw AS (SELECT unnest(range(0, 64)) AS j, unnest({fx.twiddles(64)[0] + [-v for v in fx.twiddles(64)[0]]}) AS c, unnest({fx.twiddles(64)[1] + [-v for v in fx.twiddles(64)[1]]}) AS s) "
+    "SELECT row, CAST(k AS INTEGER) AS k, CAST(sum((re * c - im * s) >> 15) AS BIGINT) AS re, CAST(sum((im * c + re * s) >> 15) AS BIGINT) AS im "
+    "FROM iql, range(0, 64) t(k) JOIN tw ON tw.j = (iql.col * k) % 64 GROUP BY row, k"
+)
+def dft_direct(spark, d):
+    return spectral.dft_direct(_long(spark, d), 64)
+
+
+_SPLIT = "px AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 32)"
+
+
+@query(f"WITH {_SPLIT} SELECT row, CAST(k AS INTEGER) AS k, round(sum(x * cos(2 * pi() * k * col / 64)), 4) + 0.0 AS re, round(-sum(x * sin(2 * pi() * k * col / 64)), 4) + 0.0 AS im FROM px, range(0, 64) t(k) GROUP BY row, k")
+def fft_even_odd_identity(spark, d):
+    """A 64-point transform from two of 32 points over even and odd samples."""
+    f = frames.real_frame(frames.read(spark, d, "embeddings")).where("row < 32").withColumn("odd", F.col("col") % 2)
+    half = f.select("row", "odd", F.floor(F.col("col") / 2).alias("j"), "x", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("h"))
+    a = 2 * F.pi() * F.col("h") * F.col("j") / 32
+    two = half.groupBy("row", "odd", "h").agg(F.sum(F.col("x") * F.cos(a)).alias("re"), (-F.sum(F.col("x") * F.sin(a))).alias("im"))
+    e = two.where("odd = 0").select("row", "h", F.col("re").alias("er"), F.col("im").alias("ei"))
+    both = e.join(two.where("odd = 1").select("row", "h", "re", "im"), ["row", "h"]).select("*", F.explode(F.array(F.lit(0), F.lit(32))).alias("up"))
+    k = F.col("h") + F.col("up")
+    c, n = F.cos(2 * F.pi() * k / 64), F.sin(2 * F.pi() * k / 64)
+    re = F.col("er") + F.col("re") * c + F.col("im") * n
+    im = F.col("ei") + F.col("im") * c - F.col("re") * n
+    return both.select("row", k.alias("k"), (F.round(re, 4) + 0.0).alias("re"), (F.round(im, 4) + 0.0).alias("im"))
+
+
+@query()
+def fft2_float(spark, d):
+    x = _square(spark, d).select("row", *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("re", "im")])
+    return frames.to_long(spectral.fft2_arrow(x)).select("row", "col", F.round("re", 3).alias("re"), F.round("im", 3).alias("im"))
+
+
+@query("SELECT CAST(5 AS BIGINT) AS dy, CAST(9 AS INTEGER) AS dx, CAST(1.0 AS DOUBLE) AS peak")
+def phase_correlation(spark, d):
+    f = frames.to_long(_square(spark, d)).select("row", "col", F.col("re").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    moved = f.withColumns({"row": (F.col("row") + 59) % 64, "col": (F.col("col") + 55) % 64})
+    got = spectral.phase_correlation(frames.to_rows(f), frames.to_rows(moved), 64, 64)
+    return got.select(F.col("dy").cast("long").alias("dy"), F.col("dx").cast("int").alias("dx"), F.round("peak", 3).alias("peak"))
+
+
+# ---- gathers ---------------------------------------------------------------------------------
+
+AXIS = """smp AS (SELECT user_id, epoch_us(ts) AS x, CAST(floor(value * 100) AS BIGINT) AS v FROM events WHERE event_id % 4 <> 0),
+    qry AS (SELECT user_id, event_id, epoch_us(ts) + (event_id % 3) * 1000 AS q FROM events WHERE event_id % 4 = 0)"""
+
+
+def _axis(spark, d):
+    e = frames.read(spark, d, "events")
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    e = e.withColumn("us", us)
+    smp = e.where("event_id % 4 <> 0").select("user_id", F.col("us").alias("x"), F.floor(F.col("value") * 100).cast("long").alias("v"))
+    qry = e.where("event_id % 4 = 0").select("user_id", "event_id", (F.col("us") + (F.col("event_id") % 3) * 1000).alias("q"))
+    return qry, smp
+
+
+def _asof_sql(lo: str, hi: str) -> str:
+    return f"""WITH {AXIS}, a AS (SELECT q.user_id, q.event_id, q.q, s.x AS x0, s.v AS v0 FROM qry q ASOF LEFT JOIN smp s ON q.user_id = s.user_id AND q.q {lo} s.x),
+        b AS (SELECT a.*, s.x AS x1, s.v AS v1 FROM a ASOF LEFT JOIN smp s ON a.user_id = s.user_id AND a.q {hi} s.x)
+        SELECT user_id, event_id, CAST(coalesce(v0 + (((v1 - v0) * least(32767, (q - x0) * 32768 // (x1 - x0))) >> 15), 0) AS BIGINT) AS y FROM b"""
+
+
+def _lerp_events(spark, d, closed):
+    got = interp.bracket(*_axis(spark, d), "user_id", closed)
+    wq = interp.weight_q15(F.col("q") - F.col("x0"), F.col("x1") - F.col("x0"))
+    return got.select("user_id", "event_id", F.when(F.col("x0").isNotNull(), interp.lerp(F.col("v0"), F.col("v1"), wq)).otherwise(0).cast("long").alias("y"))
+
+
+@query(_asof_sql(">=", "<"))
+def lerp_asof_left(spark, d):
+    return _lerp_events(spark, d, "left")
+
+
+@query(_asof_sql(">", "<="))
+def lerp_asof_right(spark, d):
+    return _lerp_events(spark, d, "right")
+
+
+@query(
+    f"""WITH {AXIS}, a AS (SELECT q.user_id, q.event_id, q.q, s.x AS x0, s.v AS v0 FROM qry q ASOF LEFT JOIN smp s ON q.user_id = s.user_id AND q.q >= s.x),
+        b AS (SELECT a.*, s.x AS x1, s.v AS v1 FROM a ASOF LEFT JOIN smp s ON a.user_id = s.user_id AND a.q <= s.x)
+        SELECT user_id, event_id, round(CASE WHEN x0 IS NULL OR x1 IS NULL THEN 0.0 WHEN x1 = x0 THEN CAST(v0 AS DOUBLE) ELSE v0 + (v1 - v0) * ((q - x0) / CAST(x1 - x0 AS DOUBLE)) END, 6) AS y FROM b"""
+)
+def interp_float(spark, d):
+    got = interp.bracket(*_axis(spark, d), "user_id", "both")
+    return got.select("user_id", "event_id", F.round(interp.interp_float(got).cast("double"), 6).alias("y"))
+
+
+def _uniform_sql(x0: str, dx: str) -> str:
+    return f"""WITH {s.IQ}, t AS (SELECT row, i, re, ((i * 0.75 - 3) - ({x0})) / ({dx}) AS t FROM iq, range(0, 96) g(i)),
+        k AS (SELECT row, i, re, CASE WHEN t >= 0 AND t < 63 THEN CAST(floor(t) AS INTEGER) ELSE -1 END AS idx, t FROM t),
+        w AS (SELECT row, i, re, idx, CASE WHEN idx < 0 THEN 0 ELSE least(32767, CAST(floor((t - idx) * 32768 + 0.5) AS INTEGER)) END AS wq FROM k)
+        SELECT row, CAST(i AS INTEGER) AS i, idx, wq, CAST(CASE WHEN idx < 0 THEN 0 ELSE {s.wrap16('re[idx + 1] + (((re[idx + 2] - re[idx + 1]) * wq) >> 15)')} END AS BIGINT) AS y FROM w"""
+
+
+def _uniform(spark, d, x0, dx):
+    rows = _iq(spark, d).select("row", "re", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("i"))
+    idx, wq = interp.uniform_bracket(F.col("i") * 0.75 - 3, F.lit(x0) + F.col("row") * 0.0, F.lit(dx), 64)
+    got = rows.withColumns({"idx": idx, "wq": wq})
+    return got.select("row", "i", "idx", "wq", interp.gather_lerp(F.col("re"), F.col("idx"), F.col("wq")).cast("long").alias("y"))
+
+
+@query(_uniform_sql("-1.5", "1.0"))
+def lerp_uniform(spark, d):
+    return _uniform(spark, d, -1.5, 1.0)
+
+
+@query(_uniform_sql("64.25", "-1.0"))
+def lerp_uniform_desc(spark, d):
+    return _uniform(spark, d, 64.25, -1.0)
+
+
+_TABLE = fx.sinc_table(64, 16)
+_COEFF = "c AS (SELECT row, re, i, (i * 5) % 70 - 3 AS idx, (i * 7919 + row * 13) % 32768 AS wq FROM iq, range(0, 70) g(i))"
+_EDGE = s.sat16("re[idx + 1] + (((re[idx + 2] - re[idx + 1]) * wq) >> 15)")
+
+
+def _coeffs(spark, d):
+    rows = _iq(spark, d).select("row", "re", F.explode(F.sequence(F.lit(0), F.lit(69))).alias("i"))
+    return rows.withColumns({"idx": ((F.col("i") * 5) % 70 - 3).cast("int"), "wq": ((F.col("i") * 7919 + F.col("row") * 13) % 32768).cast("int")})
+
+
+@query(
+    f"WITH {s.IQ}, {_COEFF}, tab AS (SELECT unnest(range(0, 64)) AS phase, unnest({_TABLE}) AS k) SELECT row, CAST(i AS INTEGER) AS i, CAST(CASE "
+    f"WHEN idx >= 7 AND idx <= 55 THEN {s.sat16('(CAST(list_sum(list_transform(range(0, 16), lambda j: k[j + 1] * re[idx - 7 + j + 1])) AS BIGINT) + 16384) >> 15')} "
+    f"WHEN idx < 0 OR idx > 62 THEN 0 ELSE {_EDGE} END AS BIGINT) AS y FROM c JOIN tab ON phase = (wq * 64) >> 15"
+)
+def sinc_gather(spark, d):
+    c = _coeffs(spark, d)
+    y = F.coalesce(interp.gather_sinc(F.col("re"), F.col("idx"), F.col("wq"), 64, _TABLE), F.lit(0))
+    return c.select("row", "i", y.cast("long").alias("y"))
+
+
+@query(
+    f"""WITH {s.IQ}, {_COEFF}, t AS (SELECT *, wq / 32768.0 AS t FROM c) SELECT row, CAST(i AS INTEGER) AS i, CAST(CASE WHEN idx >= 1 AND idx <= 61 THEN
+        {s.sat16('CAST(floor(0.0 + (-t * (t - 1) * (t - 2) / 6) * re[idx] + ((t + 1) * (t - 1) * (t - 2) / 2) * re[idx + 1] + (-(t + 1) * t * (t - 2) / 2) * re[idx + 2] + ((t + 1) * t * (t - 1) / 6) * re[idx + 3] + 0.5) AS BIGINT)')}
+        WHEN idx < 0 OR idx > 62 THEN 0 ELSE {_EDGE} END AS BIGINT) AS y FROM t"""
+)
+def cubic_gather(spark, d):
+    c = _coeffs(spark, d)
+    return c.select("row", "i", F.coalesce(interp.gather_cubic(F.col("re"), F.col("idx"), F.col("wq"), 64), F.lit(0)).cast("long").alias("y"))
+
+
+@query(f"WITH {WAVE} SELECT row, CAST(row_number() OVER (ORDER BY pc / pr, row) - 1 AS INTEGER) AS rank FROM wave")
+def pulse_order(spark, d):
+    return geo.pulse_order(geo.wavenumbers(_pulses(spark, d))).select("row", "rank")
+
+
+@query(f"WITH {WAVE}, r AS (SELECT row, CAST(row_number() OVER (ORDER BY pc / pr, row) - 1 AS INTEGER) AS rank FROM wave), {s.LONG} SELECT r.rank AS row, col, re, im FROM iql JOIN r USING (row)")
+def scatter_rows(spark, d):
+    order = geo.pulse_order(geo.wavenumbers(_pulses(spark, d)))
+    return frames.to_long(geo.scatter_rows(_iq(spark, d), order)).select("row", "col", "re", "im")
+
+
+@query(f"WITH {s.LONG} SELECT row, col, ((re * 12345) >> 7) + 77 AS key FROM iql")
+def affine_keys(spark, d):
+    return _long(spark, d).select("row", "col", interp.affine_key(F.col("re"), F.lit(12345), 7, F.lit(77)).alias("key"))
+
+
+@query()
+def resample_2pass(spark, d):
+    """Range pass on a uniform grid, pulses in angle order, corner turn, cross pass on each bin's scaled axis."""
+    rows = _square(spark, d).withColumns({"x0": F.lit(0.0) + F.col("row") / 256.0, "dx": F.lit(1.0)})
+    grid = spark.range(64).select(F.col("id").cast("int").alias("i"), (F.col("id") * 0.96875).alias("q"))
+    first = geo.resample_rows(rows, grid, 64).select("row", "re", "im")
+    turned = spectral.turn(first)
+    axis = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: p * (1 + F.col("row") / 1024.0))
+    return frames.to_long(geo.resample_cross(turned.withColumn("axis", axis), grid).select("row", "re", "im"))
+
+
+@query(
+    "WITH g AS (SELECT CAST(i AS INTEGER) AS i, i * i / 64.0 AS t FROM range(0, 40) r(i)) SELECT i, round(1.0 / (lead(t) OVER (ORDER BY i) - t), 6) AS inv FROM g"
+)
+def reciprocal_steps(spark, d):
+    g = spark.range(40).select(F.col("id").cast("int").alias("i"), (F.col("id") * F.col("id") / 64.0).alias("t"))
+    return geo.reciprocals(g).select("i", r6(F.col("inv"), "inv"))
+
+
+@query()
+def kernel_study(spark, d):
+    taps = [(n, mu, k, c) for n in ("sinc", "lanczos", "hamming", "kaiser", "lagrange") for mu in (0.25, 0.5) for k, c in zip(range(-3, 5), interp.kernel(n, 4, mu), strict=True)]
+    freqs = spark.range(1, 32).select((F.col("id") * F.pi() / 32).alias("w"))
+    got = interp.kernel_response(spark.createDataFrame(taps, "name string, mu double, k int, c double"), freqs)
+    return got.select("name", "mu", r6(F.col("w"), "w"), r6(F.col("gain"), "gain"), r6(F.col("error_db"), "error_db"))
+
+
+# ---- raster queries and metrics --------------------------------------------------------------
+
+
+@query(f"WITH {s.IMAGE}, d AS (SELECT max(row) + 1 AS h FROM img) SELECT row // 4 AS row, CAST(col // 4 AS BIGINT) AS col, round(avg(mag), 6) AS mag FROM img, d WHERE row < h - h % 4 GROUP BY row // 4, col // 4")
+def multilook(spark, d):
+    img = _image(spark, d)
+    h = frames.read(spark, d, "embeddings").count() // 2
+    return raster.multilook(img, 4, h, 64).select("row", "col", r6(F.col("mag"), "mag"))
+
+
+@query(f"WITH {s.IMAGE} SELECT row // 32 AS band, CAST(sum(mag) AS BIGINT) AS energy FROM img GROUP BY 1")
+def band_energy(spark, d):
+    return raster.band_energy(_image(spark, d), 32)
+
+
+@query(f"WITH {s.IMAGE}, b AS (SELECT row // 32 AS band, CAST(sum(mag) AS BIGINT) AS energy FROM img GROUP BY 1) SELECT band, energy FROM b ORDER BY energy DESC, band LIMIT 1")
+def brightest_band(spark, d):
+    return raster.band_energy(_image(spark, d), 32).orderBy(F.desc("energy"), "band").limit(1)
+
+
+@query(f"WITH {s.IMAGE}, c AS (SELECT *, row % 7 = 0 OR col > 60 AS dim FROM img), w AS (SELECT row, col, CASE WHEN dim THEN 0 ELSE mag END AS mag FROM c), r AS (SELECT row, avg(mag) AS m FROM w GROUP BY row), k AS (SELECT col, avg(mag) AS m FROM w GROUP BY col) "
+       "SELECT * FROM (SELECT min(row) AS r0, max(row) AS r1 FROM r WHERE m > 0.25 * (SELECT median(m) FROM r)), (SELECT min(col) AS c0, max(col) AS c1 FROM k WHERE m > 0.25 * (SELECT median(m) FROM k))")
+def valid_extent(spark, d):
+    img = _image(spark, d).withColumn("mag", F.when((F.col("row") % 7 == 0) | (F.col("col") > 60), 0).otherwise(F.col("mag")))
+    return raster.valid_extent(img)
+
+
+@query(f"WITH {s.IMAGE} SELECT mag, count(*) AS n FROM img GROUP BY mag")
+def histogram(spark, d):
+    return raster.histogram(_image(spark, d))
+
+
+_CDF = "h AS (SELECT mag, count(*) AS n FROM img GROUP BY mag)"
+
+
+@query(f"WITH {s.IMAGE}, {_CDF} SELECT mag, n, round(greatest(1e-6, least(1 - 1e-6, (sum(n) OVER (ORDER BY mag) - 0.5 * n) / sum(n) OVER ())), 9) AS cdf FROM h")
+def normal_score_cdf(spark, d):
+    return raster.midpoint_cdf(raster.histogram(_image(spark, d))).select("mag", "n", F.round("cdf", 9).alias("cdf"))
+
+
+@query()
+def normal_score_lut(spark, d):
+    img = _image(spark, d)
+    return raster.apply_lut(img, raster.normal_scores(raster.histogram(img)), "z").select("row", "col", "mag", r6(F.col("z"), "z"))
+
+
+@query(f"WITH {s.IMAGE} SELECT round(quantile_cont(mag, 0.997), 6) AS p997, round(quantile_cont(mag, 0.05), 6) AS p5, CAST(median(mag) AS DOUBLE) AS p50 FROM img")
+def percentiles(spark, d):
+    q = lambda p, n: r6(F.percentile("mag", F.lit(p)), n)
+    return _image(spark, d).agg(q(0.997, "p997"), q(0.05, "p5"), F.median("mag").cast("double").alias("p50"))
+
+
+@query(f"WITH {s.IMAGE}, p AS (SELECT quantile_cont(mag, 0.997) AS p FROM img) SELECT row, col, CAST(floor(greatest(0.0, least(255.0, mag / (p + 1e-12) * 255))) AS INTEGER) AS u8 FROM img, p")
+def stretch_u8(spark, d):
+    return raster.stretch_u8(_image(spark, d))
+
+
+@query(f"WITH {s.IMAGE}, p AS (SELECT 20 * log10(quantile_cont(mag, 0.997) + 1e-6) AS t FROM img) SELECT row, col, round(pow(greatest(0.0, least(1.0, (20 * log10(mag + 1e-6) - t + 28.0) / 28.0)), 0.85), 6) AS v FROM img, p")
+def stretch_db(spark, d):
+    return raster.stretch_db(_image(spark, d)).select("row", "col", r6(F.col("v"), "v"))
+
+
+@query(f"WITH {s.IMAGE}, x AS (SELECT row, col, ln(1 + CAST(mag AS DOUBLE)) AS x FROM img), p AS (SELECT quantile_cont(x, 0.3) AS a, quantile_cont(x, 0.995) AS b FROM x) SELECT row, col, round(greatest(0.0, least(1.0, (x - a) / greatest(b - a, 1e-12))), 6) AS v FROM x, p")
+def stretch_log(spark, d):
+    return raster.stretch_log(_image(spark, d)).select("row", "col", r6(F.col("v"), "v"))
+
+
+_REF = s.IMAGE + ", q AS (SELECT row, col, (mag // 64) * 64 AS mag FROM img), m AS (SELECT max(mag) AS rm FROM img), n AS (SELECT max(mag) AS tm FROM q), p AS (SELECT img.mag / (CAST(rm AS DOUBLE) + 1e-30) AS r, q.mag / (CAST(tm AS DOUBLE) + 1e-30) AS t FROM img JOIN q USING (row, col), m, n), a AS (SELECT sqrt(avg(r * r)) AS rr, sqrt(avg((t - r) * (t - r))) + 1e-30 AS re, corr(r, t) AS corr, max(abs(t - r)) AS max_err, avg(t - r) AS bias FROM p)"
+
+
+@query(f"WITH {_REF} SELECT round(re / rr, 6) AS nrmse, round(20 * log10(rr / re), 6) AS snr_db, round((20 * log10(rr / re) - 1.76) / 6.02, 6) AS enob, round(corr, 6) AS corr, round(max_err, 6) AS max_err, round(bias, 6) AS bias FROM a")
+def compare_metrics(spark, d):
+    img = _image(spark, d)
+    got = raster.compare(img, img.withColumn("mag", F.floor(F.col("mag") / 64).cast("int") * 64))
+    return got.select(*[r6(F.col(c), c) for c in got.columns])
+
+
+@query(f"WITH {s.IMAGE} SELECT round(20 * log10(quantile_cont(mag, 0.9999) / (quantile_cont(mag, 0.05) FILTER (mag > 0) + 1e-12)), 6) AS dr_db FROM img")
+def dynamic_range(spark, d):
+    return raster.dynamic_range(_image(spark, d)).select(r6(F.col("dr_db"), "dr_db"))
+
+
+_CC = "p AS (SELECT CAST(re AS DOUBLE) AS re, CAST(im AS DOUBLE) AS im, CAST(im + (col % 3) AS DOUBLE) AS br, CAST(-re AS DOUBLE) AS bi FROM iql), t AS (SELECT sum(re * br + im * bi) AS dr, sum(im * br - re * bi) AS di, sum(re * re + im * im) AS aa, sum(br * br + bi * bi) AS bb, max(greatest(abs(re - br), abs(im - bi))) AS max_lsb, count(*) FILTER (greatest(abs(re - br), abs(im - bi)) > 0) AS n_bad FROM p)"
+
+
+@query(f"WITH {s.LONG}, {_CC} SELECT round(sqrt((dr * dr + di * di) / (aa * bb)), 6) AS corr, round(dr / bb, 6) AS gain_re, round(di / bb, 6) AS gain_im, round(sqrt(greatest(0.0, aa - (dr * dr + di * di) / bb) / aa), 6) AS nrmse, max_lsb, n_bad FROM t")
+def complex_corr(spark, d):
+    f = _long(spark, d)
+    turned = f.select("row", "col", (F.col("im") + F.col("col") % 3).alias("re"), (-F.col("re")).alias("im"))
+    got = raster.complex_match(f, turned)
+    return got.select(*[r6(F.col(c), c) for c in ("corr", "gain_re", "gain_im", "nrmse")], "max_lsb", "n_bad")
+
+
+@query(f"WITH {s.IMAGE}, v AS ({_DIHEDRAL}), b AS (SELECT orient, round(corr(CAST(a.mag AS DOUBLE), CAST(v.mag AS DOUBLE)), 6) AS corr FROM img a JOIN v ON v.row = a.col AND v.col = 63 - a.row WHERE a.row < 64 GROUP BY orient) SELECT orient, corr FROM b")
+def orientation_search(spark, d):
+    img = _image(spark, d).where("row < 64")
+    turned = img.select(F.col("col").cast("long").alias("row"), (63 - F.col("row")).alias("col"), "mag")
+    got = raster.orientation_correlations(turned, img, 64, 64)
+    return got.select("orient", r6(F.col("corr"), "corr"))
+
+
+@query(f"WITH {s.IMAGE} SELECT row, col, mag FROM img ORDER BY mag DESC, row, col LIMIT 1")
+def brightest_pixel(spark, d):
+    return raster.brightest(_image(spark, d))
+
+
+@query(f"WITH {s.IMAGE}, b AS (SELECT row AS pr, col AS pc, mag AS peak FROM img ORDER BY mag DESC, row, col LIMIT 1) SELECT peak, max(mag) AS side, round(20 * log10((max(mag) + 1e-12) / peak), 6) AS pslr_db FROM img, b WHERE abs(row - pr) <= 16 AND abs(col - pc) <= 16 AND (abs(row - pr) > 2 OR abs(col - pc) > 2) GROUP BY peak")
+def pslr(spark, d):
+    got = raster.pslr(_image(spark, d))
+    return got.select("peak", "side", r6(F.col("pslr_db"), "pslr_db"))
+
+
+@query()
+def psf_1d(spark, d):
+    line = spark.range(-64, 65).select(F.col("id").cast("int").alias("k"), F.abs(F.when(F.col("id") == 0, 1.0).otherwise(F.sin(F.pi() * F.col("id") / 8) / (F.pi() * F.col("id") / 8))).alias("p"))
+    return raster.psf_metrics(line)
+
+
+@query(f"WITH {s.IMAGE} SELECT max(mag) AS peak, round(avg(mag), 6) AS mean, CAST(median(mag) AS DOUBLE) AS median, round(100.0 * avg(CAST(mag >= 65535 AS DOUBLE)), 6) AS saturated_pct, round(100.0 * avg(CAST(mag > 0 AS DOUBLE)), 6) AS nonzero_pct FROM img")
+def saturation_stats(spark, d):
+    got = raster.health(_image(spark, d))
+    return got.select("peak", r6(F.col("mean"), "mean"), "median", r6(F.col("saturated_pct"), "saturated_pct"), r6(F.col("nonzero_pct"), "nonzero_pct"))
+
+
+@query("WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events), g AS (SELECT user_id, us, lead(us) OVER (PARTITION BY user_id ORDER BY us) - us AS d FROM e), f AS (SELECT user_id, us, d FROM g WHERE d IS NOT NULL), w AS (SELECT user_id, count(d) OVER k AS n, max(d) OVER k AS hi, min(d) OVER k AS lo FROM f WINDOW k AS (PARTITION BY user_id ORDER BY us ROWS BETWEEN CURRENT ROW AND 30 FOLLOWING)) SELECT user_id, round(max(hi / greatest(CAST(lo AS DOUBLE), 1e-12)), 6) AS worst, round(median(hi / greatest(CAST(lo AS DOUBLE), 1e-12)), 6) AS middle FROM w WHERE n = 31 GROUP BY user_id")
+def spacing_uniformity(spark, d):
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    e = frames.read(spark, d, "events").select("user_id", us.alias("us"))
+    got = raster.spacing_uniformity(e, "user_id", "us")
+    return got.select("user_id", r6(F.col("worst"), "worst"), r6(F.col("middle"), "middle"))
+
+
+@query("WITH p AS (SELECT c_custkey, (c_custkey * 37 % 1600) / 10.0 - 80 AS lat, (c_custkey * 91 % 3590) / 10.0 - 179.5 AS lon FROM customer) SELECT c_custkey, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(60, CAST(floor((lon + 180) / 6) AS INTEGER) + 1) AS INTEGER) AS epsg FROM p")
+def geo_utm_zone(spark, d):
+    k = F.col("c_custkey")
+    lat, lon = (k * 37 % 1600) / 10.0 - 80, (k * 91 % 3590) / 10.0 - 179.5
+    return frames.read(spark, d, "customer").select("c_custkey", raster.utm_epsg(lat, lon).alias("epsg"))
+
+
+@query()
+def geo_affine(spark, d):
+    k = F.col("c_custkey")
+    c = frames.read(spark, d, "customer").select("c_custkey", ((k * 37 % 1600) / 10.0 - 80).alias("lat"), ((k * 91 % 3590) / 10.0 - 179.5).alias("lon"))
+    e, n = raster.utm(F.col("lat"), F.col("lon"))
+    return c.select("c_custkey", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
+
+
+@query(f"WITH {EXTENT} SELECT round(1.0 / (b - a), 6) AS dr, CAST(NULL AS DOUBLE) AS dc FROM ext")
+def pixel_spacing(spark, d):
+    e = frames.read(spark, d, "embeddings")
+    ends = e.agg(F.min(F.array_min("embedding").cast("double")).alias("a"), F.max(F.array_max("embedding").cast("double")).alias("b"))
+    dr, dc = geo.pixel_spacing(F.col("b") - F.col("a"), F.col("a") - F.col("a"))
+    return ends.select(r6(dr, "dr"), dc.alias("dc"))
+
+
+# ---- catalog, ledgers, telemetry, streams ----------------------------------------------------
+
+SEGS = "segs AS (SELECT doc_id // 10 AS scene_id, CAST(doc_id % 10 AS INTEGER) AS role, CAST(strlen(text) AS BIGINT) AS byte_len FROM documents)"
+
+
+def _segments(spark, d):
+    return frames.read(spark, d, "documents").select(
+        F.floor(F.col("doc_id") / 10).cast("long").alias("scene_id"), (F.col("doc_id") % 10).cast("int").alias("role"), F.octet_length("text").cast("long").alias("byte_len"), F.col("text").alias("payload")
+    )
+
+
+_OFF = f"WITH {SEGS}, o AS (SELECT *, CAST(coalesce(sum(CAST(ceil(byte_len / 512.0) AS BIGINT) * 512) OVER (PARTITION BY scene_id ORDER BY role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS blob_off FROM segs)"
+
+
+@query(f"{_OFF} SELECT scene_id, role, byte_len, blob_off FROM o")
+def catalog_offsets(spark, d):
+    return ct.offsets(_segments(spark, d)).select("scene_id", "role", "byte_len", "blob_off")
+
+
+@query(f"{_OFF} SELECT scene_id, role, blob_off FROM o WHERE scene_id = 7")
+def job_rebuild(spark, d):
+    segs = ct.offsets(_segments(spark, d))
+    cat = segs.select("scene_id").distinct()
+    return ct.job(cat, segs, 7).select("scene_id", F.explode("at").alias("role", "blob_off"))
+
+
+@query()
+def segment_crc(spark, d):
+    segs = _segments(spark, d).withColumn("crc", F.crc32(F.col("payload").cast("binary")))
+    return ct.crc_report(segs).select("scene_id", "role", "got_crc", "ok")
+
+
+@query()
+def frame_digest(spark, d):
+    return ct.frame_digest(_long(spark, d))
+
+
+@query("WITH b AS (SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS beats FROM lineitem) SELECT l_suppkey, CASE WHEN beats = 1 THEN 'h1' WHEN beats <= 4 THEN 'h2_4' WHEN beats <= 16 THEN 'h5_16' ELSE 'h17_64' END AS bucket, count(*) AS n FROM b WHERE beats BETWEEN 1 AND 64 GROUP BY 1, 2")
+def burst_histogram(spark, d):
+    li = frames.read(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").cast("long").alias("beats"))
+    return ct.burst_histogram(li, "l_suppkey", "beats").select("l_suppkey", "bucket", F.col("n").cast("long"))
+
+
+_BUS = "b AS (SELECT l_suppkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS beats, count(*) AS aw_count, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) + 5 * count(*) AS busy, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) + 9 * count(*) AS elapsed, count(*) AS r_datawait FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {_BUS} SELECT l_suppkey, round(100.0 * busy / elapsed, 6) AS util_pct, round(beats / CAST(aw_count AS DOUBLE), 6) AS avg_burst, round(100.0 * (elapsed - busy) / elapsed, 6) AS idle_pct, round(100.0 * r_datawait / elapsed, 6) AS wait_pct FROM b")
+def bus_ratios(spark, d):
+    g = frames.read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("beats"), F.count("*").alias("aw_count"))
+    g = g.withColumns({"busy": F.col("beats") + 5 * F.col("aw_count"), "elapsed": F.col("beats") + 9 * F.col("aw_count"), "r_datawait": F.col("aw_count")})
+    got = ct.bus_ratios(g)
+    return got.select("l_suppkey", *[r6(F.col(c), c) for c in ("util_pct", "avg_burst", "idle_pct", "wait_pct")])
+
+
+@query("SELECT l_orderkey, l_linenumber, round((CAST(l_quantity AS BIGINT) * 10) / CAST(l_partkey AS DOUBLE), 4) AS ii FROM lineitem WHERE l_partkey > 0")
+def initiation_interval(spark, d):
+    li = frames.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 10).alias("busy"), F.col("l_partkey").alias("elements"), F.lit(1.0).alias("scheduled"))
+    return ct.initiation_interval(li).select("l_orderkey", "l_linenumber", "ii")
+
+
+@query("SELECT event_type AS phenomenon, count(*) AS n, min(epoch_us(ts)) AS first_ts, max(epoch_us(ts)) AS last_ts, arg_max(value, ts) AS last_value, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
+def ledger_rollup(spark, d):
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    led = frames.read(spark, d, "events").select(F.col("event_type").alias("phenomenon"), us.alias("ts"), "value")
+    got = ct.ledger_rollup(led)
+    return got.select("phenomenon", "n", "first_ts", "last_ts", "last_value", r6(F.col("mean_value"), "mean_value"))
+
+
+@query("WITH e AS (SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS elapsed FROM events), k AS (SELECT * FROM e WHERE elapsed IS NOT NULL) SELECT user_id, event_id, elapsed, round(elapsed / CAST(sum(elapsed) OVER (PARTITION BY user_id) AS DOUBLE), 6) AS share FROM k")
+def stage_shares(spark, d):
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    e = frames.read(spark, d, "events").select("user_id", "event_id", us.alias("us")).withColumn("o", F.struct("us", "event_id"))
+    return ct.stage_shares(e, "user_id", "o", "us").select("user_id", "event_id", "elapsed", r6(F.col("share"), "share"))
+
+
+@query("WITH c AS (SELECT o_orderkey, o_custkey % 9000 + 100 AS m, o_orderkey % 7000 + 100 AS n FROM orders) SELECT o_orderkey, round(6.4 * (CAST(m AS DOUBLE) * n / 24333246.0) * log2(CAST(m AS DOUBLE) * n) / log2(24333246.0), 6) AS est_seconds, round(2.0 * (CAST(m AS DOUBLE) * n) / 24333246.0, 6) AS est_gb FROM c")
+def resource_estimate(spark, d):
+    c = frames.read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 9000 + 100).alias("m"), (F.col("o_orderkey") % 7000 + 100).alias("n"))
+    got = ct.estimate(c, 24333246.0, 6.4, 2.0)
+    return got.select("o_orderkey", r6(F.col("est_seconds"), "est_seconds"), r6(F.col("est_gb"), "est_gb"))
+
+
+@query("SELECT CAST(w AS INTEGER) AS w, CAST(least(1000, ((w * 32) // 6) * 32) AS BIGINT) AS a, CAST(least(1000, (((w + 1) * 32) // 6) * 32) AS BIGINT) AS b FROM range(0, 6) t(w)")
+def worker_bounds(spark, d):
+    rows = [(w, a, b) for w, (a, b) in enumerate(slicing.worker_bounds(1000, 6, 32))]
+    return spark.createDataFrame(rows, "w int, a long, b long")
+
+
+@query("SELECT event_id, CAST((event_id // 16) % 3 AS INTEGER) AS chain, CAST((event_id // 16) // 3 * 16 + event_id % 16 AS BIGINT) AS place FROM events")
+def block_cyclic(spark, d):
+    chain, place = slicing.block_cyclic(F.col("event_id"), 16, 3)
+    return frames.read(spark, d, "events").select("event_id", chain.alias("chain"), place.alias("place"))
+
+
+@query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS upto FROM events")
+def cumulative_axis(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return frames.read(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(w), 4).alias("upto"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01')) AS w_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    got = windowed_counts(frames.read(spark, d, "events"))
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("w_start").cast("timestamp_ntz"))
+    return got.select(us.alias("w_us"), "event_type", "n", F.round("total", 4).alias("total"))
