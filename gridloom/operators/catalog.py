@@ -15,6 +15,47 @@ def offsets(segments: DataFrame, scene: str = "scene_id", order: str = "role", l
     return segments.withColumn("blob_off", F.coalesce(F.sum(F.ceil(F.col(length) / align) * align).over(w), F.lit(0)).cast("long"))
 
 
+def image_layout(scenes: DataFrame, first: int = 0, block: int = ALIGN) -> DataFrame:
+    """scenes (scene_id, byte_len) with lba, the first block of each in one image: an exclusive running sum over the catalog."""
+    w = Window.orderBy("scene_id").rowsBetween(Window.unboundedPreceding, -1)
+    return scenes.withColumn("lba", F.lit(first) + F.coalesce(F.sum(F.ceil(F.col("byte_len") / block)).over(w), F.lit(0)).cast("long"))
+
+
+def write_stage(frame: DataFrame, path: str, scene: str) -> None:
+    """A scene's frame as a partition of a dataset, and beside it a manifest with its digest and dimensions."""
+    frame.write.mode("overwrite").parquet(f"{path}/frames/scene={scene}")
+    d = frame_digest(frame).crossJoin(frame.agg((F.max("row") + 1).alias("m"), (F.max("col") + 1).alias("n_cols")))
+    d.select(F.lit(scene).alias("scene"), "n", "digest", "m", "n_cols").write.mode("append").json(f"{path}/manifest")
+
+
+def read_stage(spark, path: str, scene: str) -> DataFrame:
+    """The scene's frame, or an error if it is not what its newest manifest says."""
+    frame = spark.read.parquet(f"{path}/frames/scene={scene}")
+    told = {(r["n"], r["digest"]) for r in spark.read.schema("scene string, n long, digest long").json(f"{path}/manifest").where(F.col("scene") == scene).collect()}
+    got = frame_digest(frame).first()
+    if (got["n"], got["digest"]) not in told:
+        raise RuntimeError(f"scene {scene}: the frame differs from its manifest")
+    return frame
+
+
+def verify(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two frames hold the same rows, by digest."""
+    return frame_digest(a.select(*sorted(a.columns))).first() == frame_digest(b.select(*sorted(a.columns))).first()
+
+
+def fractional_delays(weights: DataFrame, wq: str = "wq") -> DataFrame:
+    """n and the share of Q15 weights whose delay lies in [0.3, 0.7], where two taps err most."""
+    t = F.col(wq) / 32768.0
+    return weights.agg(F.count("*").alias("n"), F.avg(((t >= 0.3) & (t <= 0.7)).cast("double")).alias("mid_share"))
+
+
+def occupied_bandwidth(spectrum: DataFrame, floor_db: float = -20.0) -> DataFrame:
+    """share: the part of bins (amp) within floor_db of the largest."""
+    top = spectrum.agg(F.max("amp").alias("top"))
+    on = 20 * F.log10(F.greatest(F.col("amp"), F.lit(1e-300)) / F.col("top")) >= floor_db
+    return spectrum.crossJoin(F.broadcast(top)).agg(F.avg(on.cast("double")).alias("share"))
+
+
 def job(catalog: DataFrame, segments: DataFrame, scene_id: int) -> DataFrame:
     """The scene's catalog row with a map of its segments' offsets by role: a point look-up that prunes both scans."""
     s = segments.where(F.col("scene_id") == scene_id).groupBy("scene_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "blob_off")))).alias("at"))

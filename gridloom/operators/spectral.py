@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..sources.frames import to_long, to_rows
+from ..sources.shared import cut
 from .slicing import transpose
 
 ROWS = "row long, re array<long>, im array<long>"
@@ -32,8 +33,8 @@ def bit_reversed(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumns({"re": F.transform(order, lambda i: F.get("re", i)), "im": F.transform(order, lambda i: F.get("im", i))})
 
 
-def butterfly(rows: DataFrame, n: int, stage: int, halve: bool = False, clip: bool = False) -> DataFrame:
-    """One radix-2 stage over bit-reversed lines; products are floored after their Q15 shift."""
+def butterfly(rows: DataFrame, n: int, stage: int, halve: bool = False, clip: bool = False, wide: bool = False) -> DataFrame:
+    """One radix-2 stage over bit-reversed lines; products are floored after their Q15 shift, or kept with all bits (wide)."""
     m = 1 << stage
     mh = m // 2
     wr, wi = map(_ints, fx.twiddles(n))
@@ -47,8 +48,9 @@ def butterfly(rows: DataFrame, n: int, stage: int, halve: bool = False, clip: bo
             tw = (k * (n // m)).cast("int")
             br, bi = down(F.get("re", up + mh)), down(F.get("im", up + mh))
             c, d = F.get(wr, tw), F.get(wi, tw)
-            t = keep(fx.shr(c * br - d * bi if part == "re" else c * bi + d * br, 15))
-            a = down(F.get(part, up))
+            prod = c * br - d * bi if part == "re" else c * bi + d * br
+            t = prod if wide else keep(fx.shr(prod, 15))
+            a = fx.shr(F.get(part, up), -15) if wide else down(F.get(part, up))
             return F.when(i % m < mh, a + t).otherwise(a - t)
 
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
@@ -106,6 +108,38 @@ def pass_perrow(rows: DataFrame, n: int) -> DataFrame:
     return out
 
 
+def scale_exponent(m: Column, full: int = fx.I16_MAX) -> Column:
+    """The least e, of either sign, with m <= full * 2**e; 0 for m = 0."""
+    up = fx.bit_length(F.floor((m + full - 1) / full).cast("long") - 1)
+    return F.when(m == 0, 0).when(m > full, up).otherwise(1 - fx.bit_length(F.floor(F.lit(full) / F.greatest(m, F.lit(1))).cast("long")))
+
+
+def _apply_shift(rows: DataFrame, e: DataFrame) -> DataFrame:
+    out = rows.crossJoin(F.broadcast(e))  # one row
+    out = out.withColumns({c: F.transform(c, lambda v: fx.sat16(fx.shr(v, F.col("_sh")))) for c in ("re", "im")})
+    return cut(out.withColumn("exp", F.col("exp") + F.col("_sh")).drop("_sh"))
+
+
+def pass_block(rows: DataFrame, n: int, rescale: bool = False) -> DataFrame:
+    """One pass with a single exponent for the whole block, found anew after every stage.
+
+    Without rescale the block is shifted down only when it overflows; with it, mantissas are scaled
+    both ways so that the largest always fills the word, and products keep all bits until then. The
+    exponent is an aggregate of everything, so each stage is cut to the shared folder."""
+    top = lambda x: F.coalesce(F.max(_peak("re", "im")), F.lit(0).cast("long"))
+    out = bit_reversed(rows.select("row", "re", "im"), n).withColumn("exp", F.lit(0))
+    if rescale:
+        out = cut(out)
+        out = _apply_shift(out, out.agg(scale_exponent(top(out)).alias("_sh")))
+    for s in range(1, n.bit_length()):
+        out = cut(butterfly(out, n, s, clip=not rescale, wide=rescale))
+        if rescale:
+            out = _apply_shift(out.withColumn("exp", F.col("exp") - 15), out.agg(scale_exponent(top(out)).alias("_sh")))
+        else:
+            out = _apply_shift(out, out.agg(fx.shift_to_fit(top(out)).alias("_sh")))
+    return out
+
+
 def pass_uncond(rows: DataFrame, n: int) -> DataFrame:
     """One pass that halves both operands of every butterfly: the result is the transform over n."""
     out = bit_reversed(rows, n)
@@ -191,7 +225,7 @@ def dft_direct(frame: DataFrame, n: int) -> DataFrame:
 
 
 def fft2_arrow(rows: DataFrame, centred: bool = True, inverse: bool = False) -> DataFrame:
-    """Float two-dimensional transform: NumPy per row, corner turn, NumPy per row. Keys: row (range), then cross-range.
+    """Float two-dimensional transform in the orientation given: NumPy per row, corner turn, NumPy per row, corner turn back.
 
     centred moves the origin from and to the middle along both axes; inverse scales by 1 / (h w)."""
 
@@ -209,6 +243,30 @@ def fft2_arrow(rows: DataFrame, centred: bool = True, inverse: bool = False) ->
     return turn(turn(rows.select("row", "re", "im").mapInPandas(one, kind)).mapInPandas(one, kind))
 
 
+def taper_float(rows: DataFrame, h: int, w: int) -> DataFrame:
+    """Array form times the outer product of two Hamming windows."""
+    a, b = (F.array(*[F.lit(v) for v in fx.hamming(k)]) for k in (h, w))
+    k = F.get(a, F.col("row").cast("int"))
+    one = lambda c: F.transform(F.col(c), lambda v, i: v * (k * F.get(b, i)))
+    return rows.withColumns({"re": one("re"), "im": one("im")})
+
+
+def quicklook(rows: DataFrame, h: int, w: int) -> DataFrame:
+    """row, col, amp of the windowed float transform without resampling."""
+    x = rows.select("row", *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("re", "im")])
+    return to_long(fft2_arrow(taper_float(x, h, w))).select("row", "col", F.hypot("re", "im").alias("amp"))
+
+
+def focus(rows: DataFrame, h: int, w: int, spacing: tuple[float, float], negative: bool = True) -> tuple[DataFrame, tuple[float, float]]:
+    """Pads to powers of two, transforms (the inverse for a positive phase sign) and rescales the pixel spacing."""
+    h2, w2 = (1 << (k - 1).bit_length() for k in (h, w))
+    fill = lambda c: F.concat(F.transform(c, lambda v: v.cast("double")), F.array_repeat(F.lit(0.0), F.lit(w2) - F.size(c)))
+    zeros = F.array_repeat(F.lit(0.0), w2)
+    pad = rows.sparkSession.range(h, h2).select(F.col("id").alias("row"), zeros.alias("re"), zeros.alias("im"))
+    x = rows.select("row", fill("re").alias("re"), fill("im").alias("im")).unionByName(pad)
+    return fft2_arrow(x, inverse=not negative), (spacing[0] * w / w2, spacing[1] * h / h2)
+
+
 def phase_correlation(a: DataFrame, b: DataFrame, h: int, w: int) -> DataFrame:
     """dy, dx, peak: the cyclic shift that best aligns frame b with frame a (array form, float)."""
     fa, fb = to_long(fft2_arrow(a, False)), to_long(fft2_arrow(b, False)).select("row", "col", F.col("re").alias("br"), F.col("im").alias("bi"))

@@ -832,3 +832,99 @@ def event_windows(spark, d):
     got = windowed_counts(frames.read(spark, d, "events"))
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("w_start").cast("timestamp_ntz"))
     return got.select(us.alias("w_us"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---- whole-block exponents, float paths, tables, layout --------------------------------------
+
+
+@query(_rows_sql(*s.pass_block("sq", "f"), more=", CAST(exp AS INTEGER) AS exp"))
+def fft_row_block(spark, d):
+    return _rows_out(spectral.pass_block(_square(spark, d), 64), "exp")
+
+
+@query(_rows_sql(*s.pass_rescaled("sq", "f"), more=", CAST(exp AS INTEGER) AS exp"))
+def fft_row_rescaled(spark, d):
+    return _rows_out(spectral.pass_block(_square(spark, d), 64, rescale=True), "exp")
+
+
+@query()
+def quicklook(spark, d):
+    return spectral.quicklook(_square(spark, d), 64, 64).select("row", "col", F.round("amp", 3).alias("amp"))
+
+
+@query()
+def focus_padded(spark, d):
+    img, _ = spectral.focus(_iq(spark, d).where("row < 48"), 48, 64, (1.0, 1.0))
+    return frames.to_long(img).select("row", "col", F.round(F.hypot("re", "im"), 3).alias("amp"))
+
+
+@query()
+def polar_format(spark, d):
+    p = geo.wavenumbers(_pulses(spark, d).where("row < 64")).select("row", (F.lit(1.0) + F.col("pr") / 64).alias("x0"), (F.lit(1.0) / 64).alias("dx"), "tan_phi")
+    return frames.to_long(geo.polar_format(_square(spark, d), p, 64, 64)).select("row", "col", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+
+
+@query()
+def form_image_device(spark, d):
+    """Resampling on a uniform grid, pulses in angle order, tapers, per-row exponents with global renormalisation, detection."""
+    rows = _square(spark, d).withColumns({"x0": F.lit(0.0) + F.col("row") / 256.0, "dx": F.lit(1.0)})
+    grid = spark.range(64).select(F.col("id").cast("int").alias("i"), (F.col("id") * 0.96875).alias("q"))
+    return spectral.form_image(geo.resample_rows(rows, grid, 64).select("row", "re", "im"), 64, 64, "perrow")
+
+
+@query(f"SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS k, CAST(unnest({fx.twiddles(64)[0]}) AS INTEGER) AS c, CAST(unnest({fx.twiddles(64)[1]}) AS INTEGER) AS s")
+def twiddle_table(spark, d):
+    return spark.createDataFrame(list(zip(range(32), *fx.twiddles(64), strict=True)), "k int, c int, s int")
+
+
+@query("SELECT CAST(p AS INTEGER) AS phase, CAST(32768 AS BIGINT) AS total FROM range(0, 64) t(p)")
+def sinc_unity(spark, d):
+    rows = [(p, k, c) for p, r in enumerate(_TABLE) for k, c in enumerate(r)]
+    return spark.createDataFrame(rows, "phase int, tap int, c long").groupBy("phase").agg(F.sum("c").alias("total"))
+
+
+@query(f"WITH {s.IMAGE}, lut AS (SELECT mag, mag * 2 + 1 AS y FROM img GROUP BY mag HAVING mag % 3 = 0) SELECT row, col, CAST(coalesce(y, 0) AS DOUBLE) AS y FROM img LEFT JOIN lut USING (mag)")
+def lut_apply(spark, d):
+    img = _image(spark, d)
+    lut = img.where("mag % 3 = 0").select("mag", (F.col("mag") * 2 + 1).cast("double").alias("y")).distinct()
+    return raster.apply_lut(img, lut, "y").select("row", "col", "y")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST((i * 511 * j * 257) >> 15 AS BIGINT) AS w FROM range(0, 64) a(i), range(0, 64) b(j)")
+def outer_taper(spark, d):
+    i, j = (spark.range(64).select(F.col("id").cast("int").alias(k), (F.col("id") * f).alias("w" + k)) for k, f in (("i", 511), ("j", 257)))
+    return i.crossJoin(F.broadcast(j)).select("i", "j", fx.shr(F.col("wi") * F.col("wj"), 15).alias("w"))  # 64 x 64
+
+
+@query("SELECT vec_id, round(floor((CAST(embedding[1] AS DOUBLE) + 4) / 8 / pow(2.0, -7)) * pow(2.0, -7), 9) AS t FROM embeddings")
+def truncated_weights(spark, d):
+    t = (F.get("embedding", F.lit(0)).cast("double") + 4) / 8
+    return frames.read(spark, d, "embeddings").select("vec_id", F.round(interp.truncated_weight(t, 8), 9).alias("t"))
+
+
+@query(f"WITH {s.IQ}, {_COEFF} SELECT count(*) AS n, round(avg(CAST(wq / 32768.0 BETWEEN 0.3 AND 0.7 AS DOUBLE)), 6) AS mid_share FROM c")
+def fractional_delays(spark, d):
+    got = ct.fractional_delays(_coeffs(spark, d))
+    return got.select("n", r6(F.col("mid_share"), "mid_share"))
+
+
+@query(f"WITH {s.IMAGE} SELECT round(avg(CAST(20 * log10(greatest(CAST(mag AS DOUBLE), 1e-300) / (SELECT max(mag) FROM img)) >= -20 AS DOUBLE)), 6) AS share FROM img")
+def occupied_bandwidth(spark, d):
+    got = ct.occupied_bandwidth(_image(spark, d).select(F.col("mag").cast("double").alias("amp")))
+    return got.select(r6(F.col("share"), "share"))
+
+
+@query("WITH s AS (SELECT doc_id // 10 AS scene_id, CAST(sum(strlen(text)) AS BIGINT) AS byte_len FROM documents GROUP BY 1) SELECT scene_id, byte_len, CAST(8 + coalesce(sum(CAST(ceil(byte_len / 512.0) AS BIGINT)) OVER (ORDER BY scene_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lba FROM s")
+def image_layout(spark, d):
+    scenes = _segments(spark, d).groupBy("scene_id").agg(F.sum("byte_len").alias("byte_len"))
+    return ct.image_layout(scenes, 8).select("scene_id", "byte_len", "lba")
+
+
+@query(f"WITH {s.LONG} SELECT row, CAST(col - 16 AS INTEGER) AS col, re FROM iql WHERE row < 32 AND col >= 16 AND col < 48")
+def centre_pow2_crop(spark, d):
+    return slicing.centre_crop(_long(spark, d).where("row < 32"), 64, 32).select("row", "col", "re")
+
+
+@query("SELECT event_type AS phenomenon, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+def ledger_filter(spark, d):
+    return frames.read(spark, d, "events").where("event_type = 'click'").groupBy(F.col("event_type").alias("phenomenon")).agg(F.count("*").alias("n"))

@@ -150,3 +150,38 @@ def image(scaling: str, n: int = 64, tapered: bool = True) -> str:
             more, src = turn(src, "ct", n)
             ctes.append(more)
     return f"WITH {', '.join(ctes)} {detect(src, n)}"
+
+
+def pass_block(src: str, name: str) -> tuple[str, str]:
+    """One exponent for the whole block, found after every stage, down only."""
+
+    def after(s, last):
+        b = f"{name}b{s}"
+        return f"{b}e AS (SELECT {fit('max(m)')} AS sh FROM (SELECT {PEAK} AS m FROM {last})), {b} AS (SELECT row, {shifted(last, 'sh')}, exp + sh AS exp FROM {last}, {b}e)", b
+
+    return fft(src, name, clip=True, after=after)
+
+
+def scale_exponent(m: str) -> str:
+    return f"(CASE WHEN {m} = 0 THEN 0 WHEN {m} > 32767 THEN {bits(f'(({m} + 32766) // 32767 - 1)')} ELSE 1 - {bits(f'(32767 // greatest({m}, 1))')} END)"
+
+
+def pass_rescaled(src: str, name: str, n: int = 64) -> tuple[str, str]:
+    """Mantissas scaled both ways after every stage; products keep all bits."""
+    order = str(fx.reversed_order(n))
+    wr, wi = fx.twiddles(n)
+    out = [f"{name}i AS (SELECT row, list_transform({order}, lambda i: re[i + 1]) AS re, list_transform({order}, lambda i: im[i + 1]) AS im, 0 AS exp FROM {src})"]
+
+    def scaled(last, new, off):
+        move = lambda c: f"list_transform({c}, lambda v: {sat16('CASE WHEN sh >= 0 THEN v >> greatest(sh, 0) ELSE v * CAST(pow(2, greatest(-sh, 0)) AS BIGINT) END')}) AS {c}"
+        return f"{new}e AS (SELECT CAST({scale_exponent('max(m)')} AS INTEGER) AS sh FROM (SELECT {PEAK} AS m FROM {last})), {new} AS (SELECT row, {move('re')}, {move('im')}, exp + sh - {off} AS exp FROM {last}, {new}e)"
+
+    out.append(scaled(f"{name}i", f"{name}s0", 0))
+    for s in range(1, n.bit_length()):
+        m, mh = 1 << s, 1 << (s - 1)
+        up, tw = f"(i - i % {m} + i % {mh} + 1)", f"((i % {mh}) * {n // m} + 1)"
+        br, bi, c, d = f"re[{up} + {mh}]", f"im[{up} + {mh}]", f"{wr}[{tw}]", f"{wi}[{tw}]"
+        v = lambda part, prod: f"list_transform(range(0, {n}), lambda i: {part}[{up}] * 32768 + (CASE WHEN i % {m} < {mh} THEN 1 ELSE -1 END) * ({prod})) AS {part}"
+        out.append(f"{name}x{s} AS (SELECT row, {v('re', f'{c} * {br} - {d} * {bi}')}, {v('im', f'{c} * {bi} + {d} * {br}')}, exp FROM {name}s{s - 1})")
+        out.append(scaled(f"{name}x{s}", f"{name}s{s}", 15))
+    return ", ".join(out), f"{name}s{n.bit_length() - 1}"
