@@ -41,6 +41,8 @@ K, ROWS, SHINGLE, SIMILAR = 120, 5, 5, 0.8
 #: Share of equal coordinates below which no exact comparison is made: four deviations below SIMILAR.
 LIKELY = SIMILAR - 4 * math.sqrt(SIMILAR * (1 - SIMILAR) / K)
 BLOCK = 512
+#: Ids that may be broadcast, 8 bytes each.
+BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,8 +156,13 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def cell_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and cells (binary, sorted uint64) of the documents whose id is in ids."""
+def only(rows: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """The rows whose id is among n_ids ids; these are broadcast if they were counted to be few, else both sides are shuffled."""
+    return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def cell_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """id and cells (binary, sorted uint64) of the documents whose id is in ids, a row a text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -169,8 +176,7 @@ def cell_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 big = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(off), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([part.column("id").slice(a, b - a), big.cast(pa.binary())], ["id", "cells"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return some.mapInArrow(run, "id long, cells binary").groupBy("id").agg(F.min("cells").alias("cells"))
+    return only(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, n_ids).mapInArrow(run, "id long, cells binary")
 
 
 def likely_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -223,29 +229,51 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def buckets(sigs: DataFrame) -> DataFrame:
-    """key and id of every member of every bucket with two members or more; of buckets with equal members one is kept."""
-    rows = sigs.select("id", F.explode("bands").alias("key"))
-    seen = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.bit_xor(F.xxhash64("id")).alias("x"))
+def buckets(bands: DataFrame) -> DataFrame:
+    """key, id, m (members) and a (the first one) of every bucket with two members or more; of buckets with equal members one is kept.
+
+    bands has id and bands. Keys are counted first, so that only rows of shared keys go further."""
+    rows = bands.select("id", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").count().where("count > 1").select("key")
+    some = cut(rows.join(shared, "key").distinct())
+    seen = some.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.bit_xor(F.xxhash64("id")).alias("x"))
     once = seen.where("m > 1").groupBy("m", "a", "x").agg(F.min("key").alias("key"))
-    return rows.join(once.select("key", "m", "a"), "key")
+    return some.join(once.select("key", "m", "a"), "key")
 
 
 def leftovers(members: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links a, b between different components within buckets of three or more whose members lie in several.
 
-    Every pair of blocks of a bucket is a group of bounded size; in it a pair is compared if its
-    components differ, by signature and then exactly, and joins them for the pairs to come."""
+    Every pair of blocks of a bucket is a group of bounded size. First the members that have a likely
+    partner in another component are found by signature; then, among these alone, pairs are compared
+    exactly while their components differ, and a link joins these for the pairs to come."""
     named = members.where("m > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     named = named.join(mixed, "key").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     dealt = named.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "a", "m", "nb")
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("key", "i", "j", "id", "root", "own")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop_duplicates("id").sort_values("id")
+    def likely(sig, block, k):
+        on = (sig[:k] == sig[k]).mean(1)
+        if block[0] != block[-1] or (block != block[0]).any():
+            on = np.where(block[:k] == block[k], 0.0, on)  # pairs within a block meet in that block's own group
+        return on
+
+    def flag(p: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(p["sig"]), "<u4").reshape(-1, K)
+        block, root = p["own"].to_numpy(), p["root"].to_numpy()
+        keep = np.zeros(len(p), bool)
+        for k in range(1, len(p)):
+            hit = (likely(sig, block, k) >= LIKELY) & (root[:k] != root[k])
+            if hit.any():
+                keep[k] = True
+                keep[:k] |= hit
+        return p[keep]
+
+    def join(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("id", kind="stable")
         sig = np.frombuffer(b"".join(p["sig"]), "<u4").reshape(-1, K)
         ids, block, root = p["id"].to_numpy(), p["own"].to_numpy(), p["root"].tolist()
         cs = [np.frombuffer(c, "<u8") for c in p["cells"]]
@@ -257,41 +285,41 @@ def leftovers(members: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataF
                 x = up[x]
             return x
 
-        across, out = len(set(block)) > 1, []
+        out = []
         for k in range(1, len(ids)):
-            share = (sig[:k] == sig[k]).mean(1)
-            for q in np.flatnonzero(share >= LIKELY)[np.argsort(-share[share >= LIKELY], kind="stable")]:
-                if across and block[q] == block[k]:
-                    continue
+            share = likely(sig, block, k)
+            near = np.flatnonzero(share >= LIKELY)
+            for q in near[np.argsort(-share[near], kind="stable")]:
                 x, y = find(root[q]), find(root[k])
                 if x != y and alike(cs[q], cs[k]) >= SIMILAR:
                     up[max(x, y)] = min(x, y)
                     out.append((ids[q], ids[k]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    full = dealt.join(sigs.select("id", "sig"), "id").join(sets, "id")
-    return full.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    kind = "key long, i int, j int, id long, root long, own int, sig binary"
+    flagged = dealt.join(sigs.select("id", "sig"), "id").select("key", "i", "j", "id", "root", "own", "sig").groupBy("key", "i", "j").applyInPandas(flag, kind)
+    return flagged.join(sets, "id").groupBy("key", "i", "j").applyInPandas(join, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest id of its class) of every document with an id."""
     sigs = cut(signatures(docs))
-    equal = sigs.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
+    narrow = sigs.select("id", "h1", "h2", "n")
+    equal = narrow.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     null = F.xxhash64(F.lit(None).cast("string"), F.lit(1)), F.xxhash64(F.lit(None).cast("string"), F.lit(2), F.lit(None).cast("int"))
     alone = (F.col("h1") == null[0]) & (F.col("h2") == null[1])
-    reps = cut(sigs.join(equal, ["h1", "h2", "n"]).select("id", F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("rep")).distinct())
-    first = sigs.join(reps.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    first = cut(first.where("n > 0").select("id", "sig", "bands"))
-    members = cut(buckets(first))
+    reps = cut(narrow.join(equal, ["h1", "h2", "n"]).select("id", F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("rep"), "n").distinct())
+    first = reps.where("id = rep and n > 0").select("id").distinct()
+    members = cut(buckets(sigs.where("n > 0").select("id", "bands").join(first, "id", "left_semi")))
+    ids = cut(members.select("id").distinct())
+    n_ids = ids.count()
+    some = cut(only(sigs.select("id", "sig", "n").where("n > 0"), ids, n_ids))
     pairs = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    likely = cut(likely_pairs(pairs, first))
-    mixed_ids = members.where("m > 2").select("id")
-    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(mixed_ids).distinct()
-    sets = cut(cell_sets(docs, wanted))
+    likely = cut(likely_pairs(pairs, some).distinct())
+    sets = cut(cell_sets(docs, ids, n_ids))
     links = cut(true_links(likely, sets))
-    roots = components(links)
-    more = cut(leftovers(members, roots, first, sets))
-    repeated = reps.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # a repeated id ties its texts
+    more = cut(leftovers(members, components(links), some, sets))
+    repeated = reps.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # equal texts, and the texts of a repeated id
     root = components(links.unionByName(more).unionByName(repeated))
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"))
     return ids.join(root, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"))
