@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, ordered by their place in the mixture."""
-    return mixing.mix(docs).orderBy("position").select(docs.columns)
+    return mixing.mix(docs, out="_mix").orderBy("_mix.position").drop("_mix")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,8 +82,8 @@ def phases(blocks: list[int], parts: list[int]) -> list[tuple[int, int, int, int
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = 16, seed: int = 11, per_bucket: int = 8_192) -> DataFrame:
-    """docs with block, slot, phase and position, its place in the mixed order.
+def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = 16, seed: int = 11, per_bucket: int = 8_192, out: str = "mix") -> DataFrame:
+    """docs with the column out: struct of block, slot, phase and position, the place in the mixed order.
 
     weights maps sources to target weights; without it a source weighs its count to the given power."""
     spark = docs.sparkSession
@@ -97,24 +97,26 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block:
     rows = [(sizes[s][0], *rest) for s, *rest in phases([-(-n // block) for _, n in sizes], parts)]
     plan = spark.createDataFrame(rows, PHASES)  # at most MAX_SOURCES**2 / 2 rows and MAX_SOURCES frames of places
     h = F.xxhash64("doc_id", F.lit(seed))
-    dealt = docs.withColumns({"m_h": h, "m_b": F.pmod(h, F.lit(n_buckets))})
-    counts = dealt.groupBy(F.col("source").alias("c_source"), F.col("m_b").alias("c_b")).agg(F.count("*").alias("c_n"))
+    dealt = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("m_row"), docs["doc_id"].alias("m_id"), docs["source"].alias("m_src"))
+    h = F.xxhash64("m_id", F.lit(seed))
+    dealt = dealt.withColumns({"m_h": h, "m_b": F.pmod(h, F.lit(n_buckets))})
+    counts = dealt.groupBy(F.col("m_src").alias("c_source"), F.col("m_b").alias("c_b")).agg(F.count("*").alias("c_n"))
     before = counts.withColumn("c_before", F.sum("c_n").over(Window.partitionBy("c_source").orderBy("c_b")) - F.col("c_n")).drop("c_n")
-    local = F.row_number().over(Window.partitionBy("source", "m_b").orderBy("m_h", "doc_id"))
+    local = F.row_number().over(Window.partitionBy("m_src", "m_b").orderBy("m_h", "m_id"))
     ranked = (
         dealt.withColumn("m_local", local)
-        .join(before, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("m_b") == F.col("c_b")))
+        .join(before, F.col("m_src").eqNullSafe(F.col("c_source")) & (F.col("m_b") == F.col("c_b")))
         .withColumn("m_rank", F.col("c_before") + F.col("m_local") - 1)
         .withColumn("block", F.floor(F.col("m_rank") / block).cast("long"))
     )
     got = ranked.join(
-        F.broadcast(plan), F.col("source").eqNullSafe(F.col("m_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("past"))
+        F.broadcast(plan), F.col("m_src").eqNullSafe(F.col("m_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("past"))
     )
     k = F.col("block") - F.col("first")
     slot = F.col("slot0") + F.floor(k / F.col("parts")).cast("long") * F.col("frame") + F.get("places", (k % F.col("parts")).cast("int"))
     got = got.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("m_rank") % block)
-    return got.select(*[docs[c] for c in docs.columns], "block", "slot", "phase", "position")
+    return got.select("m_row.*", F.struct("block", "slot", "phase", "position").alias(out))
 
 
 def op6(spark, docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "source"))
+    return mix(docs.select("doc_id", "source")).select("doc_id", "source", "mix.*")
