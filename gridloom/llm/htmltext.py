@@ -66,13 +66,14 @@ class Lines(HTMLParser):
     def _close(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                self._flush()
+                if any(x[0] in BLOCK for x in self.open[i:]):
+                    self._flush()
                 del self.open[i:]
                 return
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        if tag in BLOCK or tag in SILENT:
+        if tag in BLOCK:
             self._flush()
         if tag in ENDS_P and any(x[0] == "p" for x in self.open):
             for i in range(len(self.open) - 1, -1, -1):
