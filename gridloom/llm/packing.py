@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Most words that one generation of a worker's memory holds; there are two.
-CACHE_WORDS = 200_000
+#: Most parts of texts that one generation of a worker's memory holds; there are two.
+CACHE_PARTS = 400_000
 CHUNK = 1 << 20
 MARK = "\x01"
 PIECES = "doc_id long, b string, o long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -58,13 +58,14 @@ class Memory:
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
-    The vocabulary's tokenizer drops white space, never merges over it, and puts letters and other
-    signs into tokens of their own after lower-casing. So a text's ids are those of its
-    blank-separated words in a row, those of a word of Latin letters with signs at its end are the
-    lower-cased letters' and then the signs', and both are remembered. Letters alone need neither
-    normalising nor splitting and take a tokenizer without those steps."""
+    The vocabulary's tokenizer normalises and lower-cases a text, drops white space and cuts the
+    rest into parts that it encodes one by one. Texts of ASCII and Latin-1 letters need no
+    normalising beyond lower case, and are cut here by the tokenizer's own pattern, restricted to
+    their characters; the ids of a part are remembered. Other texts are cut at blanks only, over
+    which the tokenizer never merges, and the ids of a word are remembered."""
 
-    SPLIT = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+    PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,7 +77,7 @@ class Encoder:
         self.lean.encode_special_tokens = True
         self.lean.normalizer = normalizers.Sequence([])
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words, self.stems = Memory(CACHE_WORDS), Memory(CACHE_WORDS)
+        self.parts, self.words = Memory(CACHE_PARTS), Memory(CACHE_PARTS // 4)
         mark = self.lean.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -87,50 +88,38 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _stems(self, stems: list[str]) -> None:
-        """Learns lower-cased Latin words."""
-        known = self.stems.young
-        if self.mark is not None and stems:
-            ids = np.array(self.lean.encode_batch_fast([f" {MARK} ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn_parts(self, parts: list[str], known: dict) -> None:
+        if self.mark is not None:
+            ids = np.array(self.lean.encode_batch_fast([f" {MARK} ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == self.mark)
-            if len(at) == len(stems) - 1:
+            if len(at) == len(parts) - 1:
                 raw, a = ids.tobytes(), 0
-                for w, b in zip(stems, [*at.tolist(), len(ids)], strict=True):
+                for w, b in zip(parts, [*at.tolist(), len(ids)], strict=True):
                     known[w] = raw[4 * a : 4 * b]
                     a = b + 1
                 return
-        self._whole(stems, known)
+        self._learn_words(parts, known)
 
-    def _whole(self, words: list[str], known: dict) -> None:
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False) if words else [], strict=True):
+    def _learn_words(self, words: list[str], known: dict) -> None:
+        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        parts, odd, match = [], [], self.SPLIT.fullmatch
-        for w in words:
-            m = match(w)
-            if m and (w.isascii() or max(w) < "\u0100") and m[1].isalpha():
-                parts.append((w, m[1].lower(), m[2]))
-            else:
-                odd.append(w)
-        known, stems = self.words.young, self.stems
-        new = stems.lacks({x[1] for x in parts})
-        self._stems(new)
-        signs = {x[2] for x in parts}
-        self._whole([x for x in signs if x and x not in known], known)
-        known[""] = b""
-        of = stems.young
-        for w, stem, sign in parts:
-            known[w] = of[stem] + known[sign] if sign else of[stem]
-        self._whole(odd, known)
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = self.words.lacks(set().union(*split))
-        if new:
-            self._learn(new)
-        get = self.words.young.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        plain, cuts = [], []
+        for t in texts:
+            t = t or ""
+            plain.append(bool(self.PLAIN.fullmatch(t)))
+            cuts.append(self.PARTS.findall(t.lower()) if plain[-1] else t.replace("\n", " ").split(" "))
+        out: list[bytes] = [b""] * len(texts)
+        for kind, memory, learn in ((True, self.parts, self._learn_parts), (False, self.words, self._learn_words)):
+            mine = [i for i, p in enumerate(plain) if p == kind]
+            new = memory.lacks(set().union(*[cuts[i] for i in mine]))
+            if new:
+                learn(new, memory.young)
+            get = memory.young.__getitem__
+            for i in mine:
+                out[i] = b"".join(map(get, cuts[i]))
+        return out
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
