@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -137,16 +138,25 @@ class Tagger:
         return 1 - miss, spans
 
 
-def distinct_rows(words: list[set[str]]) -> list[int]:
-    """Rows that are no near copy of an earlier one: fewer than 3 of 6 minimal word hashes in common."""
-    import zlib
+class Corpus:
+    """Texts as arrays of word numbers; words are kept once."""
 
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in TOKEN.findall(t)), np.int32) for t in texts]
+        self.words = list(number)
+        self.sets = [np.unique(d) for d in self.docs]
+
+
+def distinct_rows(corpus: Corpus) -> list[int]:
+    """Rows that are no near copy of an earlier one: fewer than 3 of 6 minimal hashes of their long words in common."""
+    h = np.array([zlib.crc32(w.lower().encode()) for w in corpus.words], np.uint64)
+    long = np.array([len(w) > 8 for w in corpus.words], bool)  # short words are common to all texts
     seen: dict = {}
     out = []
-    for i, ws in enumerate(words):
-        ws = {w for w in ws if len(w) > 8} or ws  # short words are common to all texts
-        h = np.fromiter((zlib.crc32(w.encode()) for w in ws), np.uint64, len(ws))
-        keys = [(k, int(((h * np.uint64(0x9E3779B1 + 2 * k * 7919) + np.uint64(k * 104729)) & np.uint64(0xFFFFFFFF)).min())) for k in range(6)] if ws else []
+    for i, ws in enumerate(corpus.sets):
+        x = h[ws[long[ws]]] if long[ws].any() else h[ws]
+        keys = [(k, int(((x * np.uint64(0x9E3779B1 + 2 * k * 7919) + np.uint64(k * 104729)) & np.uint64(0xFFFFFFFF)).min())) for k in range(6)] if len(x) else []
         hits = Counter(seen[k] for k in keys if k in seen)
         if hits and hits.most_common(1)[0][1] >= 3:
             continue
@@ -156,72 +166,81 @@ def distinct_rows(words: list[set[str]]) -> list[int]:
     return out
 
 
-def cues(texts: list[str], y: list[int], least: float = 40.0) -> set[str]:
+def cues(corpus: Corpus, y: list[int], least: float = 40.0) -> set[str]:
     """Features that toxic documents bear far more often than chance lets them and clean ones all but lack.
 
     First every feature whose log-likelihood ratio over all documents reaches least. Then, while
     toxic documents without a cue remain, the one that tells most of these apart from the clean
     ones, if its ratio is beyond what the best of so many features reaches by chance: rare
     languages have few documents each. A cue has thirty times as many toxic documents as clean ones."""
-    sets = [{f for w in set(TOKEN.findall(t)) for f in features(w)} for t in texts]
-    keep = distinct_rows(sets)
-    bad = [sets[i] for i in keep if y[i]]
-    d0 = Counter(f for i in keep if not y[i] for f in sets[i])
-    n0 = len(keep) - len(bad)
-    if not n0 or not bad:
+    keep = distinct_rows(corpus)
+    bad, good = [corpus.sets[i] for i in keep if y[i]], [corpus.sets[i] for i in keep if not y[i]]
+    if not bad or not good:
         return set()
-
-    def part(k, e):
-        return k * math.log(k / e) if k else 0.0
+    # numbers only for features that may stand in three toxic documents: a hashed count first, then names
+    mask, often = (1 << 22) - 1, np.zeros(1 << 22, np.int32)
+    for s in bad:
+        often[np.unique([zlib.crc32(f.encode()) & mask for w in s for f in features(corpus.words[w])])] += 1
+    n_seen = int((often > 0).sum())
+    number: dict[str, int] = {}
+    wanted = np.unique(np.concatenate(bad))
+    of = {int(w): [number.setdefault(f, len(number)) for f in features(corpus.words[w]) if often[zlib.crc32(f.encode()) & mask] >= 3] for w in wanted}
+    names = list(number)
+    for w in set(np.unique(np.concatenate(good)).tolist()) - of.keys():
+        if found := [number[f] for f in features(corpus.words[w]) if f in number]:
+            of[w] = found
+    borne = lambda s: np.unique([f for w in s.tolist() for f in of.get(w, ())]).astype(np.int64)
+    count = lambda docs: np.bincount(np.concatenate([np.zeros(0, np.int64), *docs]), minlength=len(names))
+    d0, n0 = count([borne(s) for s in good]), len(good)
+    rows = [borne(s) for s in bad]
 
     def rated(docs):
-        n1, d1 = len(docs), Counter(f for s in docs for f in s)
-        for f, a in d1.items():
-            b = d0[f]
-            if a >= 3 and 30 * b <= a:
-                t = (a + b) / (n0 + n1)
-                yield 2 * (part(a, t * n1) + part(b, t * n0) + part(n1 - a, (1 - t) * n1) + part(n0 - b, (1 - t) * n0)), f
-
-    out = {f for g, f in rated(bad) if g >= least}
-    rest = 2 * math.log(10 * max(2, len({f for s in bad for f in s})))
-    while left := [s for s in bad if not s & out]:
-        g, f = max(rated(left), default=(0.0, ""))
-        if g < rest:
+        n1, a = len(docs), count(docs).astype(float)
+        t = (a + d0) / (n0 + n1)
+        part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+        g = 2 * (part(a, t * n1) + part(d0, t * n0) + part(n1 - a, (1 - t) * n1) + part(n0 - d0, (1 - t) * n0))
+        return np.where((a >= 3) & (30 * d0 <= a), g, 0.0)
+
+    on = rated(rows) >= least
+    rest = 2 * math.log(10 * max(2, n_seen))
+    while left := [r for r in rows if not on[r].any()]:
+        g = rated(left)
+        if g.max(initial=0.0) < rest:
             break
-        out.add(f)
-    return out
+        on[min(np.flatnonzero(g == g.max()), key=lambda i: names[i])] = True
+    return {names[i] for i in np.flatnonzero(on)}
 
 
 def fit_field(texts: list[str], y: list[int], window: int = 8, most: int = 4_000, rounds: int = 120, seed: int = 5) -> Field:
     """Maximum likelihood on windows of 2 * window + 1 tokens: around labelled tokens, around unlabelled
     ones that bear a candidate feature, and at even steps through the rest; at most this many of each kind."""
-    found = cues(texts, y)
+    corpus = Corpus(texts)
+    found = cues(corpus, y)
     if not found:
         return Field()
     rng = np.random.default_rng(seed)
-    words = [TOKEN.findall(t) for t in texts]
-    feats: dict[str, list[str]] = {w: features(w) for ws in words for w in set(ws)}
-    bears = {w: any(f in found for f in fs) for w, fs in feats.items()}
-    names = sorted({f for ws, v in zip(words, y, strict=True) if v for w in ws if bears[w] for f in feats[w]})
+    bears = np.array([not found.isdisjoint(features(w)) for w in corpus.words], bool)
+    toxic_words = np.unique(np.concatenate([s for s, v in zip(corpus.sets, y, strict=True) if v]))
+    names = sorted({f for w in toxic_words[bears[toxic_words]] for f in features(corpus.words[w])})
     number = {f: i + 1 for i, f in enumerate(names)}
-    of = {w: [number[f] for f in fs if f in number] for w, fs in feats.items()}
+    of = {i: fs for i, w in enumerate(corpus.words) if (fs := [number[f] for f in features(w) if f in number])}
+    live_word = np.zeros(len(corpus.words), bool)
+    live_word[list(of)] = True
     kinds: tuple[list, list, list] = ([], [], [])
-    for d, ws in enumerate(words):
-        for t, w in enumerate(ws):
-            if y[d] and bears[w]:
-                kinds[0].append((d, t))
-            elif of[w]:
-                kinds[1].append((d, t))
-            elif t % 40 == 0:
-                kinds[2].append((d, t))
+    for d, ws in enumerate(corpus.docs):
+        mine = bears[ws] & bool(y[d])
+        near = live_word[ws] & ~mine
+        kinds[0].extend((d, int(t)) for t in np.flatnonzero(mine))
+        kinds[1].extend((d, int(t)) for t in np.flatnonzero(near))
+        kinds[2].extend((d, t) for t in range(0, len(ws), 40) if not mine[t] and not near[t])
     spots = [k[i] for k in kinds for i in (rng.permutation(len(k))[:most] if len(k) > most else range(len(k)))]
     span = 2 * window + 1
     width = 6
     x, lab, live = np.zeros((len(spots), span, width), np.int32), np.zeros((len(spots), span), np.int8), np.zeros((len(spots), span), bool)
     for r, (d, t) in enumerate(spots):
-        ws = words[d]
+        ws = corpus.docs[d]
         for c, p in enumerate(range(max(0, t - window), min(len(ws), t + window + 1))):
-            fs = of[ws[p]]
+            fs = of.get(int(ws[p]), ())
             x[r, c, : len(fs)] = fs
             lab[r, c], live[r, c] = y[d] and bears[ws[p]], True
     m = len(names) + 1
