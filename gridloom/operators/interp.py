@@ -24,22 +24,35 @@ def weight_q15(num: Column, den: Column, rounding: str = "floor") -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(32767), w.cast("int")))
 
 
-def bracket(queries: DataFrame, samples: DataFrame, key: str, closed: str = "left") -> DataFrame:
+def bracket(queries: DataFrame, samples: DataFrame, key: str, closed: str = "left", width: float | None = None) -> DataFrame:
     """queries (key, q, ...) with x0, v0, x1, v1, the samples (key, x, v) around q; null where there is no bracket.
 
-    One union and one sort a key: the last sample at or before and the first after, both by window,
-    so the cost is linear in rows and no range join is planned."""
+    One union and one sort: the last sample at or before and the first after, both by window, so the
+    cost is linear in rows and no range join is planned. Samples of equal abscissa are ordered by value.
+
+    With a width, a key's axis is cut into stretches of that width, each a window of its own, so a key
+    may hold any share of the rows; the samples next to a stretch come from a table of one row a
+    stretch."""
     rest = [c for c in queries.columns if c not in (key, "q")]
     order = 1 if closed == "right" else 0  # of a sample against a query of equal abscissa
     s = samples.select(F.col(key), F.col("x").alias("_x"), F.lit(order).alias("_o"), F.struct("x", "v").alias("_s"), F.lit(None).alias("_q"))
     q = queries.select(F.col(key), F.col("q").alias("_x"), F.lit(1 - order).alias("_o"), F.lit(None).alias("_s"), F.struct("q", *rest).alias("_q"))
-    w = Window.partitionBy(key).orderBy("_x", "_o")
-    both = s.unionByName(q).withColumns(
-        {
-            "_lo": F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_hi": F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
+    both = s.unionByName(q).withColumn("_b", F.lit(0).cast("long") if width is None else F.floor(F.col("_x") / width).cast("long"))
+    w = Window.partitionBy(key, "_b").orderBy("_x", "_o", "_s")
+    lo = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    if width is None:
+        both = both.withColumns({"_lo": lo, "_hi": hi})
+    else:
+        along = Window.partitionBy("_k").orderBy("_kb")
+        ends = both.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.max("_s").alias("_max"), F.min("_s").alias("_min"))
+        ends = ends.select(
+            "_k", "_kb",
+            F.last("_max", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.first("_min", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        )
+        both = both.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+        both = both.withColumns({"_lo": F.coalesce(lo, F.col("_before")), "_hi": F.coalesce(hi, F.col("_after"))})
     lo, hi, x = F.col("_lo"), F.col("_hi"), F.col("_q.q")
     if closed == "both":
         hi = F.when(hi.isNull() & (lo["x"] == x), lo).otherwise(hi)

@@ -429,6 +429,7 @@ def phase_correlation(spark, d):
 
 # ---- gathers ---------------------------------------------------------------------------------
 
+HOUR_US = 3.6e9
 AXIS = """smp AS (SELECT user_id, epoch_us(ts) AS x, CAST(floor(value * 100) AS BIGINT) AS v FROM events WHERE event_id % 4 <> 0),
     qry AS (SELECT user_id, event_id, epoch_us(ts) + (event_id % 3) * 1000 AS q FROM events WHERE event_id % 4 = 0)"""
 
@@ -449,7 +450,7 @@ def _asof_sql(lo: str, hi: str) -> str:
 
 
 def _lerp_events(spark, d, closed):
-    got = interp.bracket(*_axis(spark, d), "user_id", closed)
+    got = interp.bracket(*_axis(spark, d), "user_id", closed, HOUR_US)
     wq = interp.weight_q15(F.col("q") - F.col("x0"), F.col("x1") - F.col("x0"))
     return got.select("user_id", "event_id", F.when(F.col("x0").isNotNull(), interp.lerp(F.col("v0"), F.col("v1"), wq)).otherwise(0).cast("long").alias("y"))
 
@@ -470,7 +471,7 @@ def lerp_asof_right(spark, d):
         SELECT user_id, event_id, round(CASE WHEN x0 IS NULL OR x1 IS NULL THEN 0.0 WHEN x1 = x0 THEN CAST(v0 AS DOUBLE) ELSE v0 + (v1 - v0) * ((q - x0) / CAST(x1 - x0 AS DOUBLE)) END, 6) AS y FROM b"""
 )
 def interp_float(spark, d):
-    got = interp.bracket(*_axis(spark, d), "user_id", "both")
+    got = interp.bracket(*_axis(spark, d), "user_id", "both", HOUR_US)
     return got.select("user_id", "event_id", F.round(interp.interp_float(got).cast("double"), 6).alias("y"))
 
 

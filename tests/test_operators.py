@@ -87,6 +87,15 @@ def test_endpoint_rules(spark):
     assert (valid("left"), valid("right"), valid("both")) == ({0, 5}, {5, 10}, {0, 5, 10})
 
 
+@pytest.mark.parametrize("closed", ["left", "right", "both"])
+def test_stretches_do_not_change_brackets(spark, closed):
+    r = np.random.default_rng(1)
+    s = spark.createDataFrame([(int(k), int(x), int(v)) for k, x, v in zip(r.integers(0, 3, 200), r.integers(0, 400, 200), r.integers(0, 9, 200), strict=True)], "k int, x long, v long")
+    q = spark.createDataFrame([(int(k), int(x), i) for i, (k, x) in enumerate(zip(r.integers(0, 4, 150), r.integers(-20, 420, 150), strict=True))], "k int, q long, n int")
+    got = [sorted(map(str, interp.bracket(q, s, "k", closed, w).collect())) for w in (None, 7.0, 90.0, 1e9)]
+    assert len(got[0]) == 150 and all(g == got[0] for g in got)
+
+
 def test_cross_pass_matches_numpy(spark):
     x = codes(3, 8, top=1000)
     axis = np.array([0.0, 1.0, 2.5, 3.0, 5.0, 6.0, 8.0, 9.0])
