@@ -328,7 +328,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without all but the first row of every class; rows with a null id stay."""
     keep = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left").where(F.col("_keep").isNotNull() | F.col("doc_id").isNull())
+    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left").where(keep["_keep"].isNotNull() | docs["doc_id"].isNull())
     return kept.select(*[docs[c] for c in docs.columns])
 
 
