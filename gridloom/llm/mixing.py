@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME, MAX_SOURCES = 1024, 1024
@@ -82,7 +82,12 @@ def phases(blocks: list[int], parts: list[int]) -> list[tuple[int, int, int, int
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = 16, seed: int = 11, per_bucket: int = 8_192, out: str = "mix") -> DataFrame:
+def source_key(source: Column) -> Column:
+    """A source as a key that is never null, so that windows and joins on it share one shuffle."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = 16, seed: int = 11, per_bucket: int = 1_024, out: str = "mix") -> DataFrame:
     """docs with the column out: struct of block, slot, phase and position, the place in the mixed order.
 
     weights maps sources to target weights; without it a source weighs its count to the given power."""
@@ -91,26 +96,27 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block:
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = sorted(((r["source"], r["count"]) for r in sizes), key=lambda x: (x[0] is not None, x[0] or ""))
-    n_buckets = max(1, -(-sum(n for _, n in sizes) // per_bucket))
+    deal = spark.createDataFrame([(s, -(-n // per_bucket)) for s, n in sizes], "b_source string, b_n long").select(source_key(F.col("b_source")).alias("b_source"), "b_n")  # a row a source
     goal = [float((weights or {}).get(s, 0.0)) if weights is not None else n**power for s, n in sizes]
     parts = whole_parts(goal, max(FRAME, 4 * len(sizes)))
     rows = [(sizes[s][0], *rest) for s, *rest in phases([-(-n // block) for _, n in sizes], parts)]
-    plan = spark.createDataFrame(rows, PHASES)  # at most MAX_SOURCES**2 / 2 rows and MAX_SOURCES frames of places
+    plan = spark.createDataFrame(rows, PHASES).withColumn("m_source", source_key(F.col("m_source")))  # at most MAX_SOURCES**2 / 2 rows and MAX_SOURCES frames of places
     h = F.xxhash64("doc_id", F.lit(seed))
-    dealt = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("m_row"), docs["doc_id"].alias("m_id"), docs["source"].alias("m_src"))
+    dealt = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("m_row"), docs["doc_id"].alias("m_id"), source_key(docs["source"]).alias("m_src"))
     h = F.xxhash64("m_id", F.lit(seed))
-    dealt = dealt.withColumns({"m_h": h, "m_b": F.pmod(h, F.lit(n_buckets))})
+    dealt = dealt.join(F.broadcast(deal), F.col("m_src") == F.col("b_source"))
+    dealt = dealt.withColumns({"m_h": h, "m_b": F.pmod(h, F.col("b_n"))}).drop("b_source", "b_n")
     counts = dealt.groupBy(F.col("m_src").alias("c_source"), F.col("m_b").alias("c_b")).agg(F.count("*").alias("c_n"))
     before = counts.withColumn("c_before", F.sum("c_n").over(Window.partitionBy("c_source").orderBy("c_b")) - F.col("c_n")).drop("c_n")
     local = F.row_number().over(Window.partitionBy("m_src", "m_b").orderBy("m_h", "m_id"))
     ranked = (
         dealt.withColumn("m_local", local)
-        .join(before, F.col("m_src").eqNullSafe(F.col("c_source")) & (F.col("m_b") == F.col("c_b")))
+        .join(before, (F.col("m_src") == F.col("c_source")) & (F.col("m_b") == F.col("c_b")))
         .withColumn("m_rank", F.col("c_before") + F.col("m_local") - 1)
         .withColumn("block", F.floor(F.col("m_rank") / block).cast("long"))
     )
     got = ranked.join(
-        F.broadcast(plan), F.col("m_src").eqNullSafe(F.col("m_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("past"))
+        F.broadcast(plan), (F.col("m_src") == F.col("m_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("past"))
     )
     k = F.col("block") - F.col("first")
     slot = F.col("slot0") + F.floor(k / F.col("parts")).cast("long") * F.col("frame") + F.get("places", (k % F.col("parts")).cast("int"))
