@@ -305,7 +305,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest id of its class) of every document with an id."""
     sigs = cut(signatures(docs))
     narrow = sigs.select("id", "h1", "h2", "n")
-    equal = narrow.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
+    equal = cut(narrow.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))  # as a table, so that the join may split a hot text
     null = F.xxhash64(F.lit(None).cast("string"), F.lit(1)), F.xxhash64(F.lit(None).cast("string"), F.lit(2), F.lit(None).cast("int"))
     alone = (F.col("h1") == null[0]) & (F.col("h2") == null[1])
     reps = cut(narrow.join(equal, ["h1", "h2", "n"]).select("id", F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("rep"), "n").distinct())
