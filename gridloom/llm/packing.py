@@ -174,7 +174,7 @@ def fill(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     local = F.row_number().over(Window.partitionBy("length", "b").orderBy("o", "doc_id", "start", "ids_crc32", "doc_tokens"))
     got = (
         pieces.withColumn("_local", local)
-        .join(before.drop("_n"), (F.col("length") == F.col("_l")) & F.col("b").eqNullSafe(F.col("_b")))
+        .join(before.drop("_n"), (F.col("length") == F.col("_l")) & (F.col("b") == F.col("_b")))
         .join(F.broadcast(classes), F.col("length") == F.col("_k"))
         .withColumn("_r", F.col("_before") + F.col("_local") - 1)
     )
@@ -192,7 +192,8 @@ def fill(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, bucket: Column | None = None, order: Column | None = None, per_worker: int = 20_000) -> DataFrame:
-    """All documents in sequences. bucket and order give the order of pieces within a class; by default a hash of doc_id deals documents to workers."""
+    """All documents in sequences. bucket and order give the order of pieces within a class; by default a hash of doc_id deals documents to workers.
+    bucket is never null."""
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
     if bucket is None:
