@@ -8,13 +8,31 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["crc_mod", "cut", "mix", "shared_dir", "table", "text_chunks", "word_hashes"]
+__all__ = ["crc_mod", "cut", "hold", "mix", "shared_dir", "small_batches", "table", "text_chunks", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lowers the session's limit of rows in a batch for Python workers: whole texts may be long, and memory is bounded by a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+_held: dict = {}
+
+
+def hold(name, make=dict):
+    """What a worker process remembers for one operator over its tasks; another operator's call drops it."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, text_chunks, word_hashes
+from .common import cut, hold, mix, small_batches, text_chunks, word_hashes
 
 #: Coordinates, rows a band, words a shingle, least similarity.
 K, ROWS, SHINGLE, SIMILAR = 120, 5, 5, 0.8
@@ -128,6 +128,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """id, h1, h2 (hash of the text), n (cells), sig (binary), bands (array<long>, empty without words)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup")
         for part in parts:
             text = part.column("text")
             for a, b in text_chunks(text):
@@ -165,6 +166,7 @@ def cell_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     """id and cells (binary, sorted uint64) of the documents whose id is in ids, a row a text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup")
         for part in parts:
             text = part.column("text")
             for a, b in text_chunks(text):
@@ -303,6 +305,7 @@ def leftovers(members: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataF
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest id of its class) of every document with an id."""
+    small_batches(docs.sparkSession)
     sigs = cut(signatures(docs))
     narrow = sigs.select("id", "h1", "h2", "n")
     equal = cut(narrow.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))  # as a table, so that the join may split a hot text

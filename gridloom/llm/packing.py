@@ -22,14 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hold
 
 #: Most parts of texts that one generation of a worker's memory holds; there are two.
 CACHE_PARTS = 400_000
 CHUNK = 1 << 20
 MARK = "\x01"
 PIECES = "doc_id long, b string, o long, start long, length long, ids_crc32 long, doc_tokens long"
-_encoders: dict[str, Encoder] = {}
 
 
 class Memory:
@@ -84,9 +83,7 @@ class Encoder:
     @staticmethod
     def of(path: str) -> Encoder:
         """The worker's own encoder: what it remembers outlives a task."""
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        return _encoders[path]
+        return hold(("encoder", path), lambda: Encoder(path))
 
     def _learn_parts(self, parts: list[str], known: dict) -> None:
         if self.mark is not None:

@@ -29,12 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hold, small_batches
 from .quality import held_out, labelled
 
 TOKEN = re.compile(r"[^\W\d_]+")
 FLOOR = 0.05
 #: Words a worker remembers before it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 SPANS = "array<struct<start:int,stop:int,p:double>>"
 
 
@@ -108,21 +109,25 @@ class Field:
         return out[::-1]
 
 
-class Tagger:
-    """Scores texts with a field; remembers the emissions of words."""
+class Emissions(dict):
+    """Emissions of the words met so far; starts anew when full."""
 
     def __init__(self, model: Field):
+        super().__init__()
         self.model = model
-        outer = self
 
-        class Memory(dict):
-            def __missing__(self, word):
-                if len(self) > CACHE:
-                    self.clear()
-                e = self[word] = outer.model.emission(word)
-                return e
+    def __missing__(self, word: str) -> float:
+        if len(self) > CACHE:
+            self.clear()
+        e = self[word] = self.model.emission(word)
+        return e
+
 
-        self.memory = Memory()
+class Tagger:
+    """Scores texts with a field."""
+
+    def __init__(self, model: Field):
+        self.model, self.memory = model, Emissions(model)
 
     def tag(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         if not text or not self.model.weights:
@@ -298,11 +303,13 @@ def tag_toxicity(docs: DataFrame, model: Field, out: str = "toxicity") -> DataFr
     """docs with the column out: struct<score: double, spans: array<start, stop, p>>; offsets count code points."""
     @F.pandas_udf(f"score double, spans {SPANS}")
     def tag(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold("toxicity")
         tagger = Tagger(model)
         for texts in parts:
             got = [tagger.tag(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in got], "spans": [[{"start": a, "stop": b, "p": p} for a, b, p in x] for _, x in got]})
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, tag(docs["text"]))
 
 
