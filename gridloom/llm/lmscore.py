@@ -2,10 +2,12 @@
 
 Both are interpolated bigram models over one vocabulary of hashed words with one table of hashed
 bigrams; the background's counts are scaled to the target's number of words, so the two are
-smoothed alike. Counts come from every document: each task adds up dense tables, which meet as
-compressed blocks. The number of bigram buckets follows the corpus up to a documented
-bound, which bounds what is broadcast. A document is scored without its own counts in either model
-(leave one out), so that members of the target have no advantage.
+smoothed alike. Counts come from every document, and the numbers of word and bigram buckets follow
+the corpus without a bound. Up to 2**MOST bigram buckets each task adds up dense tables, which meet
+as compressed blocks and are broadcast. Beyond, the same counts stay distributed: chunks of texts
+send their counts, added up by key, to key ranges, whose totals come back to the chunks. A document
+is scored without its own counts in either model (leave one out), so that members of the target have
+no advantage.
 
 Defined cases: null texts and texts without words have no loss (null) and n_tokens 0; labels that
 are null or repeated count once, by their worst; without target documents the target model is the
@@ -14,6 +16,7 @@ gives an empty result."""
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_chunks, word_hashes
+from .common import cut, mix, text_chunks, word_hashes
 
+#: Least word buckets.
 WORDS = 1 << 18
+#: Least bigram buckets, and the most that are broadcast, as powers of two.
 LEAST, MOST = 14, 23
+#: Keys in a range of words and of bigrams, as powers of two, and bytes of text in a chunk.
+WORD_RANGE, RANGE, CHUNK = 14, 20, 1 << 22
 #: Counters in a block.
 BLOCK = 1 << 17
 #: Ids of target documents that may be broadcast: 8 bytes each.
@@ -34,16 +41,25 @@ BROADCAST_IDS = 2_000_000
 OUT = "doc_id long, n_tokens long, loss_target double, loss_background double"
 
 
-def buckets(array, n_bi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word its row, its bucket, the bucket of the word before (WORDS where it opens a text) and the bigram's."""
+PIECES = "chunk string, range int, keys binary, data binary, n0 long, n1 long, ids array<long>, t array<boolean>, text array<string>"
+
+
+def table_sizes(n_bytes: int) -> tuple[int, int]:
+    """Bigram and word buckets for a corpus: about a bigram bucket for every 32 words, a word bucket for every 32 of these."""
+    n_bi = 1 << max(LEAST, int(n_bytes / 192).bit_length())
+    return n_bi, max(WORDS, n_bi >> 5)
+
+
+def buckets(array, n_bi: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word its row, its bucket, the bucket of the word before (words where it opens a text) and the bigram's."""
     h, row = word_hashes(array)
     opens = np.ones(len(h), bool)
     opens[1:] = row[1:] != row[:-1]
     last = np.zeros_like(h)
     last[1:] = h[:-1]
     last[opens] = 0
-    uni = (h & np.uint64(WORDS - 1)).astype(np.int64)
-    ctx = np.where(opens, WORDS, (last & np.uint64(WORDS - 1)).astype(np.int64))
+    uni = (h & np.uint64(words - 1)).astype(np.int64)
+    ctx = np.where(opens, words, (last & np.uint64(words - 1)).astype(np.int64))
     bi = (mix(last * np.uint64(0x9FB21C651E98DF25) + h) & np.uint64(n_bi - 1)).astype(np.int64)
     return row, uni, ctx, bi
 
@@ -105,7 +121,7 @@ def own_counts(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each word how often its row holds its key."""
     if not len(row):
         return np.zeros(0, np.int64)
-    both = row * np.int64(1 << 24) + key
+    both = row * (key.max() + 1) + key
     order = np.argsort(both, kind="stable")
     s = both[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -117,24 +133,30 @@ def own_counts(row: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def losses(array, in_target: np.ndarray, counts: np.ndarray, n_bi: int, mixing: float = 0.7, alpha: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, and mean loss per word (nats) under the target and the background, of each row; NaN without words."""
-    row, uni, ctx, bi = buckets(array, n_bi)
-    n_rows = len(array)
+    tokens = buckets(array, n_bi)
+    _, uni, ctx, bi = tokens
+    met = counts[:, uni], counts[:, ctx], counts[:, WORDS + 1 + bi]
+    return mean_losses(len(array), tokens, in_target, met, counts[:, :WORDS].sum(1).astype(float), WORDS, mixing, alpha)
+
+
+def mean_losses(n_rows: int, tokens, in_target: np.ndarray, met, totals: np.ndarray, words: int, mixing: float = 0.7, alpha: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """losses() from the counts (2 models x words) of each word, the word before and the bigram, and the words of both models."""
+    row, uni, ctx, bi = tokens
     n = np.bincount(row, minlength=n_rows)
-    totals = counts[:, :WORDS].sum(1).astype(float)
     c_uni, c_bi = own_counts(row, uni), own_counts(row, bi)
     c_ctx = np.zeros(len(row), np.int64)  # how often the text has the word before, as a word
     if len(row):
         c_ctx[1:] = c_uni[:-1]
-        c_ctx[ctx == WORDS] = 1
+        c_ctx[ctx == words] = 1
     loss = []
     for m in (1, 0):
         own = in_target[row] if m else np.ones(len(row), bool)
         size = np.maximum(totals[m] - own * n[row], 0)
         scale = np.ones(len(row)) if m else np.minimum(totals[1] / np.maximum(totals[0], 1), 1.0) if totals[1] else np.ones(len(row))
-        a = np.maximum(counts[m, uni] - own * c_uni, 0) * scale
-        c = np.maximum(counts[m, ctx] - own * c_ctx, 0) * scale
-        b = np.minimum(np.maximum(counts[m, WORDS + 1 + bi] - own * c_bi, 0) * scale, c)
-        flat = (a + alpha) / (size * scale + alpha * WORDS)
+        a = np.maximum(met[0][m] - own * c_uni, 0) * scale
+        c = np.maximum(met[1][m] - own * c_ctx, 0) * scale
+        b = np.minimum(np.maximum(met[2][m] - own * c_bi, 0) * scale, c)
+        flat = (a + alpha) / (size * scale + alpha * words)
         lam = mixing * c / (c + 1.0)
         p = lam * b / np.maximum(c, 1e-12) + (1 - lam) * flat
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -142,6 +164,69 @@ def losses(array, in_target: np.ndarray, counts: np.ndarray, n_bi: int, mixing:
     return n, loss[0], loss[1]
 
 
+def chunk_keys(tokens, words: int) -> np.ndarray:
+    """Keys of a chunk's counts: words from 0, openings at words, bigrams beyond."""
+    _, uni, ctx, bi = tokens
+    return np.concatenate([uni, ctx[ctx == words], words + 1 + bi])
+
+
+def ranges(keys: np.ndarray, words: int) -> np.ndarray:
+    """The range of each of these ascending keys, ascending too."""
+    return np.where(keys <= words, keys >> WORD_RANGE, (words >> WORD_RANGE) + 1 + ((keys - words - 1) >> RANGE))
+
+
+def shuffled_scores(flagged: DataFrame, n_bi: int, words: int) -> DataFrame:
+    """Scores with distributed counts. A chunk is written once with its texts and its counts by range; a
+    range adds up its pieces and answers each with the totals of that piece's keys."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("chunk", pa.string()), ("range", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("n0", pa.int64()), ("n1", pa.int64()),
+                            ("ids", pa.list_(pa.int64())), ("t", pa.list_(pa.bool_())), ("text", pa.list_(pa.string()))])
+        for part in parts:
+            text, t = part.column("text"), part.column("t").to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in text_chunks(text, CHUNK):
+                name, tokens = uuid.uuid4().hex, buckets(text.slice(a, b - a), n_bi, words)
+                row, _, ctx, _ = tokens
+                on = t[a:b][row]
+                u, inv = np.unique(chunk_keys(tokens, words), return_inverse=True)
+                sums = np.stack([np.bincount(inv, minlength=len(u)), np.bincount(inv[np.concatenate([on, on[ctx == words], on])], minlength=len(u))])
+                of = ranges(u, words)
+                rows = [{"chunk": name, "range": -1, "n0": len(row), "n1": int(on.sum()), "ids": part.column("doc_id").slice(a, b - a).to_pylist(), "t": t[a:b].tolist(), "text": text.slice(a, b - a).to_pylist()}]
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                for i, j in zip(first, [*first[1:], len(u)][: len(first)], strict=True):
+                    steps = np.diff(u[i:j], prepend=0).astype("<i8")
+                    rows.append({"chunk": name, "range": int(of[i]), "keys": zlib.compress(steps.tobytes(), 1), "data": squeeze(sums[:, i:j])})
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def answer(p: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.cumsum(np.frombuffer(zlib.decompress(k), "<i8")) for k in p["keys"]]
+        low = min(int(k[0]) for k in keys)
+        total = np.zeros((2, max(int(k[-1]) for k in keys) - low + 1), np.int64)
+        for k, raw in zip(keys, p["data"], strict=True):
+            total[:, k - low] += spread(raw)
+        return pd.DataFrame({"chunk": p["chunk"], "range": p["range"], "data": [squeeze(total[:, k - low]) for k in keys]})
+
+    pieces = cut(flagged.select("doc_id", "text", "t").mapInArrow(run, PIECES))
+    sums = pieces.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
+    totals = np.array([sums["n0"], sums["n1"]], float)
+
+    def finish(p: pa.Table) -> pa.Table:
+        p = p.sort_by("range")
+        ids, t, text = (p.column(c)[0].values for c in ("ids", "t", "text"))
+        tokens = buckets(text, n_bi, words)
+        row, uni, ctx, bi = tokens
+        u = np.unique(chunk_keys(tokens, words))
+        got = np.concatenate([np.zeros((2, 0), np.int64), *[spread(raw) for raw in p.column("data").to_pylist()[1:]]], axis=1)
+        met = [got[:, np.searchsorted(u, k)] for k in (uni, ctx, words + 1 + bi)]
+        n, lt, lb = mean_losses(len(text), tokens, t.to_numpy(zero_copy_only=False).astype(bool), met, totals, words)
+        none = n == 0
+        return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(lt, mask=none), pa.array(lb, mask=none)], ["doc_id", "n_tokens", "loss_target", "loss_background"])
+
+    answers = pieces.where("range >= 0").select("chunk", "range", "keys", "data").groupBy("range").applyInPandas(answer, "chunk string, range int, data binary")
+    heads = pieces.where("range < 0").select("chunk", "range", "data", "ids", "t", "text")
+    return heads.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(finish, OUT)
+
+
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and ce_diff (target less background: the lower, the more like the target).
 
@@ -151,7 +236,10 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     side = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
     flagged = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_t"), "left").select("doc_id", "text", F.col("_t").isNotNull().cast("int").alias("t"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_bi = 1 << min(MOST, max(LEAST, int(size / 192).bit_length()))  # about a bucket for every 32 words
+    n_bi, words = table_sizes(size)
+    if n_bi > 1 << MOST:
+        got = shuffled_scores(flagged, n_bi, words)
+        return got.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
     counts = count(flagged.select("text", "t"), n_bi, size)
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts)
 

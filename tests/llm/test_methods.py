@@ -166,6 +166,18 @@ def test_counts_do_not_depend_on_partitions(spark, documents):
     assert (lmscore.count(d.repartition(7), 1 << 14, 1 << 30) == lmscore.count(d.coalesce(1), 1 << 14, 1)).all()
 
 
+def test_counts_beyond_the_broadcast_bound_are_the_same(spark, documents, monkeypatch):
+    docs, target = documents.unionByName(documents.limit(3).withColumn("text", F.lit(None).cast("string"))), documents.where("doc_id % 3 = 0").select("doc_id").distinct()
+    read = lambda: lmscore.score(docs, target).toPandas().sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
+    want = read()
+    monkeypatch.setattr(lmscore, "MOST", 10)
+    monkeypatch.setattr(lmscore, "CHUNK", 50_000, raising=False)
+    got = read()
+    assert (got[["doc_id", "n_tokens"]] == want[["doc_id", "n_tokens"]]).all().all()
+    assert np.allclose(got[["loss_target", "loss_background", "ce_diff"]], want[["loss_target", "loss_background", "ce_diff"]], equal_nan=True)
+    assert lmscore.table_sizes(30 * 10**9) == (1 << 28, 1 << 23)
+
+
 def test_packing_round_trip(spark, documents):
     from tokenizers import Tokenizer
 
