@@ -4,8 +4,10 @@ Standard-library parser events cut a page into lines at block elements. Each lin
 (the innermost sectioning container), its text and its text-to-tag ratio: code points of text over
 tags met. Ratios are smoothed along the page with a Gaussian, and a two-cluster threshold on the
 smoothed ratios marks content lines. A region whose text lies mostly on content lines is content,
-and content regions are taken whole, so short paragraphs of an article stay. Where a page marks
-its article (article, main or a main role), the regions inside compete alone. Menus, headers,
+and content regions are taken whole, so short paragraphs of an article stay. All lines compete. Where
+a page marks its article (article, main or a main role), the mark is a later check: nothing outside
+it is taken, its own lines and its sections are one region and always are, and other containers
+inside (div, table, td) stay only as their ratios say. Menus, headers,
 footers, sidebars, notices, adverts, forms and comments, known by element, role, class or id, and
 scripts and styles never count.
 
@@ -32,6 +34,8 @@ BLOCK = {
 } | ASIDE
 REGION = {"article", "body", "div", "main", "section", "table", "td", "html"}
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "html", "body"}
+#: Inside a marked article these are parts of it.
+PARTS = {"article", "main", "section"}
 OWN_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|signup|sidebar|side-bar|widget|"
@@ -43,17 +47,17 @@ MAIN_ROLES = {"main", "article"}
 
 
 class Lines(HTMLParser):
-    """Collects lines: [region, inside a marked article, text, tags]."""
+    """Collects lines: [region, the region of the marked article around or 0, text, tags]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, silent, region, marked
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, silent, region, marked
         self.lines: list[list] = []
         self.text: list[str] = []
         self.tags, self.regions = 0, 0
 
     def _top(self):
-        return self.open[-1] if self.open else ("", False, 0, False)
+        return self.open[-1] if self.open else ("", False, 0, 0)
 
     def _flush(self):
         text = " ".join("".join(self.text).split())
@@ -94,11 +98,11 @@ class Lines(HTMLParser):
         _, silent, region, marked = self._top()
         a = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
         role = a.get("role", "").lower()
-        if tag in REGION:
+        if tag in REGION and not (marked and tag in PARTS):
             self.regions += 1
             region = self.regions
         if tag in ("article", "main") or role in MAIN_ROLES:
-            marked = True
+            marked = marked or region or -1
         noisy = tag not in ("html", "body", "article", "main") and (NOISE.search(a.get("class", "")) or NOISE.search(a.get("id", "")))
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
         silent = bool(silent or tag in SILENT or tag in ASIDE or role in NOISE_ROLES or noisy or hidden)
@@ -153,24 +157,22 @@ def main_text(html: str | None) -> str:
     p.feed(html)
     p.close()
     p._flush()
-    lines = [x for x in p.lines if x[1]] or p.lines
+    lines = p.lines
     if not lines:
         return ""
-    if lines[0][1]:  # the page itself marks its article: all of it is one region
-        groups = {0: lines}
-    else:
-        groups: dict = {}
-        for x in lines:
-            groups.setdefault(x[0], []).append(x)
-    if len(groups) > 1:
-        ratio = smooth([len(x[2]) / max(1, x[3]) for x in lines])
-        at = threshold(ratio)
-        size, on = {}, {}
-        for x, r in zip(lines, ratio, strict=True):
-            size[x[0]] = size.get(x[0], 0) + len(x[2])
-            on[x[0]] = on.get(x[0], 0) + len(x[2]) * (r > at)
-        chosen = {g for g in size if 2 * on[g] >= size[g]} or {max(size, key=size.get)}
-        lines = [x for x in lines if x[0] in chosen]
+    ratio = smooth([len(x[2]) / max(1, x[3]) for x in lines])
+    at = threshold(ratio)
+    size, on = {}, {}
+    for x, r in zip(lines, ratio, strict=True):
+        size[x[0]] = size.get(x[0], 0) + len(x[2])
+        on[x[0]] = on.get(x[0], 0) + len(x[2]) * (r > at)
+    chosen = {g for g in size if 2 * on[g] >= size[g]}
+    if inside := [x for x in lines if x[1]]:  # the page itself marks its article
+        lines = inside
+        chosen |= {x[1] for x in inside}
+    here = {x[0] for x in lines}
+    chosen = chosen & here or {max(here, key=lambda g: (size[g], -g))}
+    lines = [x for x in lines if x[0] in chosen]
     return " ".join(x[2] for x in lines)
 
 

@@ -316,6 +316,23 @@ def test_main_text(body, want):
     assert htmltext.main_text(PAGE % body) == want
 
 
+LONG = "A sentence of the article that goes on for a while. " * 4
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article><p>{LONG}</p><p>{LONG}</p><div>%s</div><p>{LONG}</p></article>", LONG * 3),
+        (f"<main><div><p>{LONG}</p><p>{LONG}</p></div><div>%s</div></main>", LONG * 2),
+        (f"<article><section><p>Short.</p></section><section><p>{LONG}</p></section></article><div><p>{LONG}</p></div>", "Short. " + LONG),
+        (f"<div><p>{LONG}</p></div><article><p>Short.</p></article>", "Short."),
+    ],
+)
+def test_ratios_decide_inside_marked_articles(body, want):
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(12)) + "</ul>"
+    assert htmltext.main_text(PAGE % body.replace("%s", links)) == want.strip()
+
+
 def test_article_text_of_the_pages(spark):
     import html
     import re
