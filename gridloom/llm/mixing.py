@@ -1,85 +1,94 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in the order of a hash, form blocks. Weights are whole parts (a real
-weight is first rounded to parts of FRAME). In a frame of as many slots as there are parts, the ith
-of a source's a blocks is released at floor((i-1) * frame / a) and due at ceil(i * frame / a);
-earliest deadline first fills every slot, and at any slot a source is less than one block off its
-weight. Frames repeat until a source has no block left; the others go on in their proportions (the
-next phase), so every document is scheduled exactly once.
-
-Only a phase's frame is simulated, on the driver: phases and frames are bounded by the number of
-sources (MAX_SOURCES), never by the number of documents. A document's place in its source is its
-place in a bucket of bounded size plus the counts of the buckets before, so a source may hold any
-share of the rows.
+Each source's documents, in the order of a hash, form blocks. Weights are exact: a real weight is the
+fraction its double stands for. With w a source's share of the weights, its ith block is released at
+floor((i-1) / w) and due at ceil(i / w); earliest deadline first fills every slot, and at any slot a
+source is less than one block off its weight. When a source has no block left, the others go on in
+their proportions (the next phase), so every document is scheduled exactly once.
+
+The schedule of blocks is one stream, made by one task on an executor; what it remembers is a block and
+at most PIECE slots a source. It leaves as pieces of PIECE blocks of a source, which are broadcast up
+to BROADCAST_BLOCKS blocks and shuffled beyond. A document's place in its source is its place in a
+bucket of bounded size plus the counts of the buckets before, so a source may hold any share of the rows.
 
 Defined cases: a null source is a source of its own; documents with one id and source, repeated
 rows included, keep an arbitrary order among themselves; a last block may be short, which leaves a
 gap in position; weights of absent sources are ignored, sources without a weight, or with one of 0,
-get one part; extra columns are kept; an empty table gives an empty result."""
+get a 1,024th of the sum of the weights; extra columns are kept; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME, MAX_SOURCES = 1024, 1024
-PHASES = "m_source string, first long, past long, slot0 long, parts long, frame long, places array<int>, phase int"
+#: Blocks in a piece of the schedule, and blocks whose pieces may be broadcast: 12 bytes each.
+PIECE, BROADCAST_BLOCKS = 1024, 4_000_000
+PLAN = "m_source string, m_piece long, slots array<long>, phases array<int>"
 
 
 def whole_parts(weights: list[float], frame: int) -> list[int]:
-    """At least one part each, by largest remainder over the rest; ties to the earlier source."""
-    total = sum(weights) or 1.0
-    rest = frame - len(weights)
-    exact = [rest * w / total for w in weights]
-    parts = [1 + int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (-(exact[i] - int(exact[i])), i))[: frame - sum(parts)]:
-        parts[i] += 1
-    return parts
+    """Integers in exactly these proportions; a source without a weight gets a frame-th of all the weights."""
+    exact = [max(Fraction(w), Fraction(0)) for w in weights]
+    least = sum(exact) / frame or Fraction(1)
+    exact = [w or least for w in exact]
+    scale = math.lcm(*(w.denominator for w in exact))
+    return [int(w * scale) for w in exact]
+
+
+def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """Source, block, slot and phase of every slot."""
+    done, slot, number = [0] * len(blocks), 0, 0
+    while active := [s for s, n in enumerate(blocks) if done[s] < n]:
+        total = sum(weights[s] for s in active)
+        waiting = [(0, -(-total // weights[s]), s, 1) for s in active]  # release, deadline, source, which block
+        ready: list[tuple[int, int, int]] = []
+        start, before, ended = slot, done.copy(), False
+        heapq.heapify(waiting)
+        while not ended:
+            t = slot - start
+            while waiting and waiting[0][0] <= t:
+                _, due, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, s, i))
+            due, s, i = heapq.heappop(ready)
+            if due <= t:
+                raise AssertionError("a block missed its deadline")
+            yield s, done[s], slot, number
+            slot, done[s] = slot + 1, before[s] + i
+            ended = done[s] == blocks[s]
+            heapq.heappush(waiting, (i * total // weights[s], -(-(i + 1) * total // weights[s]), s, i + 1))
+        number += 1
 
 
 def edf_frame(parts: list[int]) -> list[int]:
-    """The source of every slot of a frame."""
-    frame = sum(parts)
-    waiting = [(0, -(-frame // a), s, 1) for s, a in enumerate(parts)]  # release, deadline, source, which block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(frame):
-        while waiting and waiting[0][0] <= t:
-            _, due, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, i))
-        due, s, i = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("a block missed its deadline")
-        out.append(s)
-        if i < parts[s]:
-            heapq.heappush(waiting, (i * frame // parts[s], -(-(i + 1) * frame // parts[s]), s, i + 1))
-    return out
-
-
-def phases(blocks: list[int], parts: list[int]) -> list[tuple[int, int, int, int, int, int, list[int], int]]:
-    """Rows (source, first block, past the last, first slot, parts, frame, places in the frame, phase)."""
-    done, slot, out = [0] * len(blocks), 0, []
-    active = [s for s, n in enumerate(blocks) if n]
-    number = 0
-    while active:
-        a = [parts[s] for s in active]
-        frame, order = sum(a), edf_frame(a)
-        places: list[list[int]] = [[] for _ in active]
-        for t, s in enumerate(order):
-            places[s].append(t)
-        ends = [(r - 1) // x * frame + p[(r - 1) % x] + 1 for r, x, p in zip((blocks[s] - done[s] for s in active), a, places, strict=True)]
-        length = min(ends)
-        for s, x, p in zip(active, a, places, strict=True):
-            took = length // frame * x + sum(t < length % frame for t in p)
-            if took:
-                out.append((s, done[s], done[s] + took, slot, x, frame, p, number))
-            done[s] += took
-        slot, number = slot + length, number + 1
-        active = [s for s in active if done[s] < blocks[s]]
-    return out
+    """The source of every slot of a frame of as many slots as there are parts."""
+    return [s for s, *_ in islice(schedule([a + 1 for a in parts], parts), sum(parts))]
+
+
+def pieces(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """Rows (source, piece, slots, phases), a row for every PIECE blocks of a source in their order."""
+    slots: list[list[int]] = [[] for _ in blocks]
+    numbers: list[list[int]] = [[] for _ in blocks]
+    for s, k, slot, number in schedule(blocks, weights):
+        slots[s].append(slot)
+        numbers[s].append(number)
+        if (k + 1) % PIECE == 0 or k + 1 == blocks[s]:
+            yield s, k // PIECE, slots[s], numbers[s]
+            slots[s], numbers[s] = [], []
+
+
+def phases(blocks: list[int], parts: list[int]) -> Iterator[tuple[int, int, int, int, int, int, list[int], list[int]]]:
+    """pieces() as rows (source, first block, past the last, first slot, blocks, slots spanned, places from the first slot, phases)."""
+    for s, piece, slots, numbers in pieces(blocks, parts):
+        first = piece * PIECE
+        yield s, first, first + len(slots), slots[0], len(slots), slots[-1] - slots[0] + 1, [x - slots[0] for x in slots], numbers
 
 
 def source_key(source: Column) -> Column:
@@ -98,9 +107,16 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block:
     sizes = sorted(((r["source"], r["count"]) for r in sizes), key=lambda x: (x[0] is not None, x[0] or ""))
     deal = spark.createDataFrame([(s, -(-n // per_bucket)) for s, n in sizes], "b_source string, b_n long").select(source_key(F.col("b_source")).alias("b_source"), "b_n")  # a row a source
     goal = [float((weights or {}).get(s, 0.0)) if weights is not None else n**power for s, n in sizes]
-    parts = whole_parts(goal, max(FRAME, 4 * len(sizes)))
-    rows = [(sizes[s][0], *rest) for s, *rest in phases([-(-n // block) for _, n in sizes], parts)]
-    plan = spark.createDataFrame(rows, PHASES).withColumn("m_source", source_key(F.col("m_source")))  # at most MAX_SOURCES**2 / 2 rows and MAX_SOURCES frames of places
+    shares, blocks, names = whole_parts(goal, FRAME), [-(-n // block) for _, n in sizes], ["" if s is None else f"={s}" for s, _ in sizes]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = ((names[s], *rest) for _ in range(len(part)) for s, *rest in pieces(blocks, shares))
+            while some := list(islice(rows, 64)):
+                yield pd.DataFrame(some, columns=["m_source", "m_piece", "slots", "phases"])
+
+    plan = spark.range(0, 1, 1, 1).mapInPandas(run, PLAN)
+    plan = F.broadcast(plan) if sum(blocks) <= BROADCAST_BLOCKS else plan
     h = F.xxhash64("doc_id", F.lit(seed))
     dealt = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("m_row"), docs["doc_id"].alias("m_id"), source_key(docs["source"]).alias("m_src"))
     h = F.xxhash64("m_id", F.lit(seed))
@@ -115,12 +131,9 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block:
         .withColumn("m_rank", F.col("c_before") + F.col("m_local") - 1)
         .withColumn("block", F.floor(F.col("m_rank") / block).cast("long"))
     )
-    got = ranked.join(
-        F.broadcast(plan), (F.col("m_src") == F.col("m_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("past"))
-    )
-    k = F.col("block") - F.col("first")
-    slot = F.col("slot0") + F.floor(k / F.col("parts")).cast("long") * F.col("frame") + F.get("places", (k % F.col("parts")).cast("int"))
-    got = got.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("m_rank") % block)
+    got = ranked.join(plan, (F.col("m_src") == F.col("m_source")) & (F.floor(F.col("block") / PIECE) == F.col("m_piece")))
+    k = (F.col("block") % PIECE).cast("int")
+    got = got.withColumns({"slot": F.get("slots", k), "phase": F.get("phases", k)}).withColumn("position", F.col("slot") * block + F.col("m_rank") % block)
     return got.select("m_row.*", F.struct("block", "slot", "phase", "position").alias(out))
 
 

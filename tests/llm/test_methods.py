@@ -231,6 +231,18 @@ def test_mixture_follows_the_weights(spark, documents):
     assert sorted(small["position"]) == got["position"].tolist()
 
 
+@pytest.mark.parametrize("weights", [{f"s{i:02}": float(i + 1) for i in range(20)}, None])
+def test_mixture_deviates_by_less_than_a_block_from_the_true_weights(spark, weights):
+    n = [500] * 20 if weights else [6000, *range(300, 319)]
+    docs = spark.createDataFrame([(i * 10_000 + k, f"s{i:02}") for i, x in enumerate(n) for k in range(x)], "doc_id long, source string")
+    got = mixing.mix(docs, weights, block=1).select("source", "mix.*").where("phase = 0").orderBy("slot").toPandas()
+    true = [Fraction(weights[f"s{i:02}"] if weights else x**0.5) for i, x in enumerate(n)]
+    true = np.array([float(x / sum(true)) for x in true])
+    assert got["slot"].tolist() == list(range(len(got))) and len(got) > 2048
+    seen = np.cumsum(np.eye(20)[got["source"].str[1:].astype(int)], axis=0)
+    assert (abs(seen - np.arange(1, len(got) + 1)[:, None] * true) < 1 + 1e-6).all()
+
+
 def brute_classes(rows):
     ids, texts = [r["doc_id"] for r in rows], [r["text"] for r in rows]
     cell, own = neardup.cells(pa.array(texts))
