@@ -177,7 +177,7 @@ def cues(corpus: Corpus, y: list[int], least: float = 40.0) -> set[str]:
     First every feature whose log-likelihood ratio over all documents reaches least. Then, while
     toxic documents without a cue remain, the one that tells most of these apart from the clean
     ones, if its ratio is beyond what the best of so many features reaches by chance: rare
-    languages have few documents each. A cue has thirty times as many toxic documents as clean ones."""
+    languages have few documents each. A cue has ten times as many toxic documents as clean ones."""
     keep = distinct_rows(corpus)
     bad, good = [corpus.sets[i] for i in keep if y[i]], [corpus.sets[i] for i in keep if not y[i]]
     if not bad or not good:
@@ -204,7 +204,7 @@ def cues(corpus: Corpus, y: list[int], least: float = 40.0) -> set[str]:
         t = (a + d0) / (n0 + n1)
         part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
         g = 2 * (part(a, t * n1) + part(d0, t * n0) + part(n1 - a, (1 - t) * n1) + part(n0 - d0, (1 - t) * n0))
-        return np.where((a >= 3) & (30 * d0 <= a), g, 0.0)
+        return np.where((a >= 3) & (10 * d0 <= a), g, 0.0)
 
     on = rated(rows) >= least
     rest = 2 * math.log(10 * max(2, n_seen))
@@ -291,7 +291,7 @@ def fit_field(texts: list[str], y: list[int], window: int = 8, most: int = 4_000
     return Field(float(theta[m]), float(theta[m + 1]), ((0.0, float(theta[m + 2])), (float(theta[m + 3]), float(theta[m + 4]))), keep)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 1_500) -> Field:
+def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 3_000) -> Field:
     """Fits the field to labels.toxic of at most max_rows toxic and max_rows other documents (a documented bound)."""
     ok = F.lit(True) if usable is None else usable
     parts = [labelled(docs, labels, "toxic", ok & (F.col("_y") == v), max_rows, F.max) for v in (1, 0)]

@@ -75,6 +75,14 @@ def test_toxicity_held_out(spark, documents, labelled):
     assert both.loc[both["toxic"] == 0, "predicted"].mean() < 0.02 and both.loc[both["toxic"] == 1, "predicted"].mean() > 0.7
 
 
+def test_a_cue_of_few_documents_survives_one_clean_document():
+    r = np.random.default_rng(0)
+    texts = [" ".join("".join(r.choice(list("abcdefghijklmnop"), 10)) for _ in range(12)) for _ in range(220)]
+    y = [1] * 12 + [0] * 208
+    texts = [f"{t} zzyzzx" if i < 13 else t for i, t in enumerate(texts)]
+    assert "=zzyzzx" in toxicity.cues(toxicity.Corpus(texts), y)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_threshold_search_equals_sorting(seed):
     r = np.random.default_rng(seed)
