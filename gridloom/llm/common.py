@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Lowers the session's limit of rows in a batch for Python workers: whole texts may be long, and memory is bounded by a batch."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Within it at most so many rows make a batch for Python workers: whole texts may be long, and memory is bounded by a batch.
+
+    The session's own setting comes back after it, so what is to run in such batches is written within."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    was = spark.conf.get(key)
+    if not 0 < int(was) <= rows:
         spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 _held: dict = {}

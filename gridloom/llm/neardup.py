@@ -305,8 +305,9 @@ def leftovers(members: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataF
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest id of its class) of every document with an id."""
-    small_batches(docs.sparkSession)
-    sigs = cut(signatures(docs))
+    spark = docs.sparkSession
+    with small_batches(spark):
+        sigs = cut(signatures(docs))
     narrow = sigs.select("id", "h1", "h2", "n")
     equal = cut(narrow.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))  # as a table, so that the join may split a hot text
     null = F.xxhash64(F.lit(None).cast("string"), F.lit(1)), F.xxhash64(F.lit(None).cast("string"), F.lit(2), F.lit(None).cast("int"))
@@ -319,7 +320,8 @@ def classes(docs: DataFrame) -> DataFrame:
     some = cut(only(sigs.select("id", "sig", "n").where("n > 0"), ids, n_ids))
     pairs = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     likely = cut(likely_pairs(pairs, some).distinct())
-    sets = cut(cell_sets(docs, ids, n_ids))
+    with small_batches(spark):
+        sets = cut(cell_sets(docs, ids, n_ids))
     links = cut(true_links(likely, sets))
     more = cut(leftovers(members, components(links), some, sets))
     repeated = reps.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # equal texts, and the texts of a repeated id

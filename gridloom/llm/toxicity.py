@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, small_batches
+from .common import hold
 from .quality import held_out, labelled
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -309,7 +309,6 @@ def tag_toxicity(docs: DataFrame, model: Field, out: str = "toxicity") -> DataFr
             got = [tagger.tag(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in got], "spans": [[{"start": a, "stop": b, "p": p} for a, b, p in x] for _, x in got]})
 
-    small_batches(docs.sparkSession)
     return docs.withColumn(out, tag(docs["text"]))
 
 

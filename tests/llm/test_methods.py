@@ -186,26 +186,91 @@ def test_counts_beyond_the_broadcast_bound_are_the_same(spark, documents, monkey
     assert lmscore.table_sizes(30 * 10**9) == (1 << 28, 1 << 23)
 
 
-def test_packing_round_trip(spark, documents):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(packing.tokenizer_path())
-    got = packing.op5(spark, documents).toPandas()
+def check_packing(rows, got, capacity, tok):
     by_doc = dict(list(got.sort_values("start").groupby("doc_id")))
-    for r in documents.select("doc_id", "text").collect():
-        ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
-        p = by_doc[r["doc_id"]]
+    assert set(by_doc) == {i for i, _ in rows}
+    for i, text in rows:
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        p = by_doc[i]
         assert p["start"].tolist() == np.cumsum([0, *p["length"][:-1]]).tolist() and p["length"].sum() == len(ids) == p["doc_tokens"].iloc[0]
         assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(p["start"], p["length"], strict=True)] == p["ids_crc32"].tolist()
+    sizes = []
     for _, s in got.sort_values("offset").groupby("sequence_id"):
-        n = s["length"].sum()
-        assert s["offset"].tolist() == np.cumsum([0, *s["length"][:-1]]).tolist() and n <= 2048 and n & (n - 1) == 0
+        assert s["offset"].tolist() == np.cumsum([0, *s["length"][:-1]]).tolist() and s["length"].sum() <= capacity
+        sizes.append(s["length"].sum())
+    return sizes
+
+
+@pytest.mark.parametrize("capacity", [2048, 100])
+def test_packing_round_trip(spark, documents, capacity):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    got = packing.pack(documents, packing.tokenizer_path(), capacity).toPandas()
+    sizes = check_packing(rows, got, capacity, tok)
+    assert 1 - sum(sizes) / len(sizes) / capacity < (0.01 if capacity == 2048 else 0.04)
+
+
+def test_packing_fills_bins_by_class_over_workers(spark, documents, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "GROUP", 3)  # three levels
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    got = packing.pack(documents.repartition(11), packing.tokenizer_path()).toPandas()
+    sizes = check_packing(rows, got, 2048, Tokenizer.from_file(packing.tokenizer_path()))
+    assert 1 - sum(sizes) / len(sizes) / 2048 < 0.02 and set(got["sequence_id"] // 2**60) <= {0, 1, 2, 3}
+    for (level, _), s in got.assign(level=got["sequence_id"] // 2**60).groupby(["level", "sequence_id"]):
+        j = 2048 // s["length"]
+        if level < got["sequence_id"].max() // 2**60:
+            assert j.nunique() == 1 and len(s) == j.iloc[0]  # a bin has the fixed number of its class
+
+
+def test_token_ids_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    r = np.random.default_rng(3)
+    al = [*"abstdmrevl'' \n\t\x0b09.,!?<|>Àßéÿ×÷", "'s", "'ll", " I'm "]
+    more = [*al, "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "中文", "e\u0301", "\u00a0", "İ", "Σ", "’s", "\x1c", "½"]
+    for letters in (al, more):
+        texts = ["".join(letters[i] for i in r.integers(0, len(letters), n)) for n in r.integers(0, 40, 2_000)]
+        ids, begin, end = enc.encode(pa.array([*texts, None]))
+        for t, a, b in zip([*texts, ""], begin, end, strict=True):
+            assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert 49407 in tok.encode("a <|endoftext|>", add_special_tokens=False).ids
+
+
+def test_long_runs_are_not_remembered():
+    enc = packing.Encoder(packing.tokenizer_path())
+    r = np.random.default_rng(4)
+    for k in range(30):
+        texts = ["".join(chr(c) for c in r.integers(0x4E00, 0x9FA5, 20_000)), "".join(chr(c) for c in r.integers(97, 123, 20_000)), f"word{k}"]
+        enc.encode(pa.array(texts))
+    for m in (enc.parts, enc.words):
+        m.most = 10
+        m.shrink()
+        assert all(len(p) <= packing.KEPT for p in m.number) and len(m.flat) <= 40
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.loads(Tokenizer.from_file(packing.tokenizer_path()).to_str())
+    rules["normalizer"]["normalizers"].pop()
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    tok, enc = Tokenizer.from_file(str(tmp_path / "t.json")), packing.Encoder(str(tmp_path / "t.json"))
+    ids, begin, end = enc.encode(pa.array(["Ab c", "IT'S"]))
+    assert [ids[a:b].tolist() for a, b in zip(begin, end, strict=True)] == [tok.encode(t).ids for t in ("Ab c", "IT'S")]
 
 
-def test_packing_workers_agree_on_bins(spark, documents):
-    got = packing.pack(documents, packing.tokenizer_path(), per_worker=90).toPandas()
-    whole = packing.op5(spark, documents).toPandas()
-    assert got.groupby("sequence_id")["length"].sum().value_counts().to_dict() == whole.groupby("sequence_id")["length"].sum().value_counts().to_dict()
+def test_piece_lengths():
+    for n in range(1, 5_000):
+        got = packing.cut_lengths(n, 2048)
+        assert sum(got) == n and min(got) > 0 and max(got) <= 2048
+        assert all((2048 - 2048 // k * k) / 2048 < 0.04 for k in got)
 
 
 @pytest.mark.parametrize("parts", [[1], [3, 5], [512, 1, 1, 510], [7, 11, 13, 1, 992], list(range(1, 30))])

@@ -70,7 +70,7 @@ def test_packing(spark):
     assert by[2]["length"] == by[3]["length"] == by[2]["doc_tokens"] == 1
     assert packing.op5(spark, docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        packing.pack(docs(spark), packing.tokenizer_path(), capacity=100)
+        packing.pack(docs(spark), packing.tokenizer_path(), capacity=0)
 
 
 def test_mixing(spark):
