@@ -41,12 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    path = packing.tokenizer_path()
-    if not docs.inputFiles():
-        return packing.pack(docs, path)
-    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    bucket = F.concat_ws("/", F.col("_file"), F.lpad(F.floor(F.col("_row") / 8192).cast("string"), 12, "0"))
-    return packing.pack(rows, path, bucket=bucket, order=F.col("_row"))
+    return packing.pack(docs, packing.tokenizer_path())
 
 
 STAGES = [
