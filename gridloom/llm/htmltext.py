@@ -3,16 +3,22 @@
 Standard-library parser events cut a page into lines at block elements. Each line has its region
 (the innermost sectioning container), its text and its text-to-tag ratio: code points of text over
 tags met. Ratios are smoothed along the page with a Gaussian, and a two-cluster threshold on the
-smoothed ratios marks content lines. A region whose text lies mostly on content lines is content,
-and content regions are taken whole, so short paragraphs of an article stay. All lines compete. Where
-a page marks its article (article, main or a main role), the mark is a later check: nothing outside
-it is taken, its own lines and its sections are one region and always are, and other containers
-inside (div, table, td) stay only as their ratios say. Menus, headers,
-footers, sidebars, notices, adverts, forms and comments, known by element, role, class or id, and
-scripts and styles never count.
+smoothed ratios marks content lines; where the ratios' clusters are less than three times apart, all are. A region whose text lies mostly on content lines is content,
+and content regions are taken whole, so short paragraphs of an article stay.
+
+Marks are evidence beside the ratios. An element article or main, or such a role, speaks for its own
+lines and sections, which are one region; containers inside it (div, table, td) stay only as their
+ratios say, and a content region outside it counts only if it has more text than all that is marked,
+for then the mark is not where the text is. Menus, headers, footers, sidebars and forms, known by
+element or role, never count, nor do scripts, styles and what is hidden. A class or id tells noise
+only by a whole token: one made of names of adverts, notices, comments or menus silences its element;
+one that prose may bear too (related, social, share) silences it if it also looks so: text in links
+for a third or more, or form fields.
 
 Defined cases: null and empty pages give the empty text; markup that is never closed ends with the
-page or with its container; repeated rows are read each; an empty table gives an empty result."""
+page or with its container; unknown declarations are comments; repeated rows are read each; the
+result takes the place of an own column of its name; an empty table gives an empty result. A page is
+read in time proportional to its length, however many elements stay open."""
 
 from __future__ import annotations
 
@@ -25,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "head", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button"}
+SILENT = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 BLOCK = {
@@ -36,77 +42,111 @@ REGION = {"article", "body", "div", "main", "section", "table", "td", "html"}
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "html", "body"}
 #: Inside a marked article these are parts of it.
 PARTS = {"article", "main", "section"}
+#: Elements that end an open one of their own kind, but not beyond these.
 OWN_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+SCOPES = {"p": REGION, **OWN_ENDS}
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|signup|sidebar|side-bar|widget|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|respond|disqus|replies|reply|share|sharing|social|related|recommend\w*|pagination|pager)(?:$|[\s_-])",
-    re.I,
+    r"(?:ads?|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscri\w*|signup|sidebar|menu|nav|navbar|navigation|"
+    r"breadcrumbs?|footer|masthead|comments?|commentlist|respond|disqus|replies|pagination|pager)"
 )
+DOUBTFUL = re.compile(r"(?:alert|widget|header|reply|share|sharing|social|related|recommend\w*)")
+#: What else a noisy token may hold.
+NEUTRAL = re.compile(
+    r"(?:area|bar|block|bottom|box|button|buttons|center|col|column|container|content|footer|form|group|holder|icons?|inner|item|items|left|link|links|list|main|outer|page|"
+    r"panel|post|posts|right|row|section|side|site|slot|text|thread|top|unit|wrap|wrapper|\d+)"
+)
+FIELDS = {"input", "select", "textarea", "button"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 MAIN_ROLES = {"main", "article"}
 
 
+def noise(value: str) -> int:
+    """2 if a token of this class or id is made of names of noise, 1 if of such as prose may bear, else 0."""
+    found = 0
+    for token in value.lower().split():
+        bits = [x for x in re.split(r"[_-]+", token) if x]
+        sure, maybe = (any(r.fullmatch(x) for x in bits) for r in (NOISE, DOUBTFUL))
+        if (sure or maybe) and all(NOISE.fullmatch(x) or DOUBTFUL.fullmatch(x) or NEUTRAL.fullmatch(x) for x in bits):
+            found = max(found, 2 if sure else 1)
+    return found
+
+
 class Lines(HTMLParser):
-    """Collects lines: [region, the region of the marked article around or 0, text, tags]."""
+    """Collects lines: [region, region of the mark around or 0, text, tags, innermost doubtful element or -1]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, silent, region, marked
+        self.open: list[tuple] = []  # tag, silent, region, marked, scopes, doubtful
+        self.number: dict[str, int] = {}  # open elements of a tag
         self.lines: list[list] = []
         self.text: list[str] = []
-        self.tags, self.regions = 0, 0
+        self.tags, self.regions, self.links = 0, 0, 0
+        self.suspects: list[list[int]] = []  # of each doubtful element: the one around, characters, those in links, form fields
+
+    def parse_marked_section(self, i, report=1):
+        end = self.rawdata.find("]]>" if self.rawdata.startswith("<![CDATA[", i) else ">", i)
+        return len(self.rawdata) if end < 0 else self.rawdata.index(">", end) + 1
 
     def _top(self):
-        return self.open[-1] if self.open else ("", False, 0, 0)
+        return self.open[-1] if self.open else ("", False, 0, 0, dict.fromkeys(SCOPES, -1), -1)
 
     def _flush(self):
         text = " ".join("".join(self.text).split())
         if text:
-            _, _, region, marked = self._top()
-            self.lines.append([region, marked, text, self.tags])
+            _, _, region, marked, _, doubtful = self._top()
+            self.lines.append([region, marked, text, self.tags, doubtful])
             self.tags = 0
         self.text = []
 
+    def _cut(self, i):
+        """Ends the elements from the ith on."""
+        for x in self.open[i:]:
+            self.number[x[0]] -= 1
+            self.links -= x[0] == "a"
+        del self.open[i:]
+
     def _close(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if any(x[0] in BLOCK for x in self.open[i:]):
-                    self._flush()
-                del self.open[i:]
-                return
+        if self.number.get(tag):
+            i, block = len(self.open) - 1, False
+            while self.open[i][0] != tag:
+                block |= self.open[i][0] in BLOCK
+                i -= 1
+            if block or tag in BLOCK:
+                self._flush()
+            self._cut(i)
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
+        self.tags += not self._top()[1]  # a silent element counts once, whatever is in it
         if tag in BLOCK:
             self._flush()
-        if tag in ENDS_P and any(x[0] == "p" for x in self.open):
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in REGION:
-                    break
-                if self.open[i][0] == "p":
-                    del self.open[i:]
-                    break
-        if tag in OWN_ENDS:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in OWN_ENDS[tag]:
-                    break
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
+        if tag in ENDS_P and (i := self._top()[4]["p"]) >= 0:
+            self._cut(i)
+        if tag in OWN_ENDS and (i := self._top()[4][tag]) >= 0:
+            self._cut(i)
+        _, silent, region, marked, scopes, doubtful = self._top()
+        if tag in FIELDS and doubtful >= 0:
+            self.suspects[doubtful][3] += 1
         if tag in VOID:
             return
-        _, silent, region, marked = self._top()
         a = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
         role = a.get("role", "").lower()
-        if tag in REGION and not (marked and tag in PARTS):
+        prose = tag in ("html", "body", "main") or tag == "article" and not marked
+        noisy = 0 if prose else max(noise(a.get("class", "")), noise(a.get("id", "")))
+        mark = tag in ("article", "main") or role in MAIN_ROLES
+        if (tag in REGION or mark) and not (marked and tag in PARTS):
             self.regions += 1
             region = self.regions
-        if tag in ("article", "main") or role in MAIN_ROLES:
-            marked = marked or region or -1
-        noisy = tag not in ("html", "body", "article", "main") and (NOISE.search(a.get("class", "")) or NOISE.search(a.get("id", "")))
+        marked = marked or (region if mark else 0)
+        if noisy == 1 and not silent:
+            self.suspects.append([doubtful, 0, 0, 0])
+            doubtful = len(self.suspects) - 1
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-        silent = bool(silent or tag in SILENT or tag in ASIDE or role in NOISE_ROLES or noisy or hidden)
-        self.open.append((tag, silent, region, marked))
+        silent = bool(silent or tag in SILENT or tag in ASIDE or role in NOISE_ROLES or noisy == 2 or hidden)
+        if changed := {t: len(self.open) if t == tag else -1 for t, ends in SCOPES.items() if t == tag or tag in ends}:
+            scopes = scopes | changed
+        self.links += tag == "a"
+        self.number[tag] = self.number.get(tag, 0) + 1
+        self.open.append((tag, silent, region, marked, scopes, doubtful))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -114,14 +154,32 @@ class Lines(HTMLParser):
             self._close(tag)
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags += not self._top()[1]
         if tag in BLOCK:
             self._flush()
         self._close(tag)
 
     def handle_data(self, data):
-        if not self._top()[1]:
+        _, silent, _, _, _, doubtful = self._top()
+        if not silent:
             self.text.append(data)
+            if doubtful >= 0:
+                n = len("".join(data.split()))
+                self.suspects[doubtful][1] += n
+                self.suspects[doubtful][2] += n * (self.links > 0)
+
+    def read(self, html: str) -> list[list]:
+        """The lines of a page, without those in doubtful elements that look like noise."""
+        self.feed(html)
+        self.close()
+        self._flush()
+        for around, *own in reversed(self.suspects):  # an element's text counts for those around it
+            if around >= 0:
+                self.suspects[around][1:] = [a + b for a, b in zip(self.suspects[around][1:], own, strict=True)]
+        out = [False]  # the last one stands for no doubtful element
+        for k, (around, n, linked, fields) in enumerate(self.suspects):
+            out.insert(k, bool(fields or 3 * linked >= n or around >= 0 and out[around]))
+        return [x for x in self.lines if not out[x[4]]]
 
 
 def smooth(x: list[float], sigma: float = 1.5) -> list[float]:
@@ -134,11 +192,9 @@ def smooth(x: list[float], sigma: float = 1.5) -> list[float]:
     return out
 
 
-def threshold(x: list[float]) -> float:
-    """Halfway between the means of the two clusters of x; below all of it where there is one value."""
+def clusters(x: list[float]) -> tuple[float, float]:
+    """The means of the two clusters of x."""
     lo, hi = min(x), max(x)
-    if lo == hi:
-        return lo - 1
     for _ in range(20):
         at = (lo + hi) / 2
         a, b = [v for v in x if v <= at], [v for v in x if v > at]
@@ -146,34 +202,40 @@ def threshold(x: list[float]) -> float:
         if new == (lo, hi):
             break
         lo, hi = new
-    return (lo + hi) / 2
+    return lo, hi
 
 
-def main_text(html: str | None) -> str:
-    """The text of the content regions of a page: blocks in page order, joined by one space."""
-    if not html:
-        return ""
-    p = Lines()
-    p.feed(html)
-    p.close()
-    p._flush()
-    lines = p.lines
-    if not lines:
-        return ""
-    ratio = smooth([len(x[2]) / max(1, x[3]) for x in lines])
-    at = threshold(ratio)
-    size, on = {}, {}
-    for x, r in zip(lines, ratio, strict=True):
+def on_content(ratios: list[float], apart: float = 3.0) -> list[bool]:
+    """Which lines are content: above the middle between the two clusters of the smoothed ratios; all, if the ratios' own clusters are less than so many times apart."""
+    lo, hi = clusters(ratios)
+    if hi < apart * lo:
+        return [True] * len(ratios)
+    flat = smooth(ratios)
+    at = sum(clusters(flat)) / 2
+    return [r > at for r in flat]
+
+
+def content(lines: list[list]) -> list[list]:
+    """The lines of the content regions of a page."""
+    size, on, marks = {}, {}, {}
+    for x, r in zip(lines, on_content([len(x[2]) / max(1, x[3]) for x in lines]), strict=True):
         size[x[0]] = size.get(x[0], 0) + len(x[2])
-        on[x[0]] = on.get(x[0], 0) + len(x[2]) * (r > at)
+        on[x[0]] = on.get(x[0], 0) + len(x[2]) * r
+        marks[x[0]] = x[1]
     chosen = {g for g in size if 2 * on[g] >= size[g]}
-    if inside := [x for x in lines if x[1]]:  # the page itself marks its article
-        lines = inside
-        chosen |= {x[1] for x in inside}
-    here = {x[0] for x in lines}
-    chosen = chosen & here or {max(here, key=lambda g: (size[g], -g))}
-    lines = [x for x in lines if x[0] in chosen]
-    return " ".join(x[2] for x in lines)
+    if any(marks.values()):
+        chosen |= {m for m in marks.values() if m in size}
+        inside = {g for g in chosen if marks[g]} or {max((g for g in size if marks[g]), key=lambda g: (size[g], -g))}
+        marked = sum(size[g] for g in inside)
+        chosen = inside | {g for g in chosen if size[g] > marked}
+    chosen = chosen or {max(size, key=lambda g: (on[g], size[g], -g))}
+    return [x for x in lines if x[0] in chosen]
+
+
+def main_text(html: str | None) -> str:
+    """The text of the content regions of a page: blocks in page order, joined by one space."""
+    lines = Lines().read(html) if html else []
+    return " ".join(x[2] for x in content(lines)) if lines else ""
 
 
 def extract(pages: DataFrame, out: str = "text") -> DataFrame:

@@ -410,7 +410,12 @@ LONG = "A sentence of the article that goes on for a while. " * 4
         (f"<article><p>{LONG}</p><p>{LONG}</p><div>%s</div><p>{LONG}</p></article>", LONG * 3),
         (f"<main><div><p>{LONG}</p><p>{LONG}</p></div><div>%s</div></main>", LONG * 2),
         (f"<article><section><p>Short.</p></section><section><p>{LONG}</p></section></article><div><p>{LONG}</p></div>", "Short. " + LONG),
-        (f"<div><p>{LONG}</p></div><article><p>Short.</p></article>", "Short."),
+        (f"<div><p>{LONG}</p></div><article><p>Short.</p></article>", LONG + "Short."),  # the mark is not where the text is
+        (f"<article><div class='social-science'><p>{LONG}</p></div><div class='related work'><p>{LONG}</p></div></article>", LONG * 2),
+        (f"<article><p>{LONG}</p><div class='related'>%s</div><div class='share-box'>%s</div></article>", LONG),
+        (f"<article><p>{LONG}</p><article class='comment'><p>{LONG}</p></article><div id='comment-list'><p>{LONG}</p></div></article>", LONG),
+        (f"<ul role=main><li>{LONG}<li><math><mi>x</mi></math> is known.</ul><div><a>one</a><a>two</a></div>", LONG + "x is known."),
+        (f"<article><div><a>one</a></div><div><p>{LONG}</p><p>{LONG}</p></div></article>", LONG * 2),
     ],
 )
 def test_ratios_decide_inside_marked_articles(body, want):
@@ -418,13 +423,37 @@ def test_ratios_decide_inside_marked_articles(body, want):
     assert htmltext.main_text(PAGE % body.replace("%s", links)) == want.strip()
 
 
-def test_article_text_of_the_pages(spark):
+@pytest.mark.parametrize("marked", [True, False])
+def test_article_text_of_the_pages(spark, marked):
+    """The method finds the same text whether or not a page marks its article."""
     import html
     import re
 
-    for r in htmltext.op9(spark, table(spark, SF, "pages")).join(table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
+    pages = table(spark, SF, "pages")
+    shown = pages if marked else pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))
+    rows = htmltext.op9(spark, shown).join(pages.select("page_id", "html"), "page_id").collect()
+    right = 0
+    for r in rows:
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
-        assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()) and r["n_chars"] == len(r["text"])
+        right += r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()) and r["n_chars"] == len(r["text"])
+    assert len(rows) == pages.count() and right == len(rows)
+
+
+def test_broken_pages_are_read_in_linear_time():
+    import time
+
+    r = np.random.default_rng(2)
+    bits = ["<", ">", "<!", "<![", "<![foo[ a ]]>", "<![CDATA[x]]>", "<!--", "-->", "</", "<p", "<b>", "</b>", "<div class='related'>", "<td>", "</table>", "&amp", "&#x;", "text ", "<a href=", "'", '"', "<?x", "<li>", "<script>", "</script>"]
+    for _ in range(3_000):
+        assert isinstance(htmltext.main_text("".join(bits[i] for i in r.integers(0, len(bits), 20))), str)
+    assert htmltext.main_text("<p>a<![foo[ x ]]>b</p>") == "ab" and htmltext.main_text("a<![ foo") == "a"
+    took = []
+    for n in (10_000, 80_000):
+        for page in ("<b>" * n + "<div>x" * n, "<p><div>" + "<b>" * n + "<h1>x" * n, "<div class=related>x" * n, "<td><th><li>x" * n, "</i>" * n + "x"):
+            start = time.process_time()
+            htmltext.main_text(page)
+            took.append(time.process_time() - start)
+    assert all(b < 25 * a + 1 for a, b in zip(took[:5], took[5:], strict=True))
 
 
 def test_language_held_out(spark, documents):
