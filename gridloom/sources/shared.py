@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends, and lost executors cost nothing."""
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends, and lost executors cost nothing."""
+    return _write(df)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A cut() whose tables are deleted at the end: what outlasts it is cut by the plain one before."""
+    made: list[str] = []
+
+    def write(df: DataFrame) -> DataFrame:
+        got, path = _write(df)
+        made.append(path)
+        return got
+
+    try:
+        yield write
+    finally:
+        for path in made:
+            delete(spark, path)

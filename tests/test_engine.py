@@ -100,3 +100,18 @@ def test_pick_shift_and_kernels():
     for name in ("sinc", "lanczos", "hamming", "kaiser", "lagrange"):
         k = interp.kernel(name, 4, 0.25)
         assert abs(sum(k) - 1) < 1e-9 and len(k) == 8 and interp.kernel(name, 4, 0.0)[3] == pytest.approx(1)
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from gridloom.sources.shared import cut, scratch
+
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        with scratch(spark) as keep:
+            kept = cut(keep(spark.range(10)).where("id > 4"))
+            assert len(os.listdir(tmp_path / "gridloom")) == 2
+        assert len(os.listdir(tmp_path / "gridloom")) == 1 and kept.count() == 5
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
