@@ -102,16 +102,13 @@ def test_pick_shift_and_kernels():
         assert abs(sum(k) - 1) < 1e-9 and len(k) == 8 and interp.kernel(name, 4, 0.0)[3] == pytest.approx(1)
 
 
-def test_scratch_tables_are_deleted(spark, tmp_path):
+def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
     import os
 
-    from gridloom.sources.shared import cut, scratch
+    from gridloom.sources import shared
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        with scratch(spark) as keep:
-            kept = cut(keep(spark.range(10)).where("id > 4"))
-            assert len(os.listdir(tmp_path / "gridloom")) == 2
-        assert len(os.listdir(tmp_path / "gridloom")) == 1 and kept.count() == 5
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    with shared.scratch(spark) as keep:
+        kept = shared.cut(keep(spark.range(10)).where("id > 4"))
+        assert len(os.listdir(tmp_path / "gridloom")) == 2
+    assert len(os.listdir(tmp_path / "gridloom")) == 1 and kept.count() == 5
