@@ -8,15 +8,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, shared_dir
+from ..sources.shared import cut, scratch, shared_dir
 
-__all__ = ["crc_mod", "cut", "hold", "mix", "shared_dir", "small_batches", "table", "text_chunks", "word_hashes"]
+__all__ = ["crc_mod", "cut", "free_name", "hold", "mix", "scratch", "shared_dir", "small_batches", "table", "text_chunks", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000):
     """Within it at most so many rows make a batch for Python workers: whole texts may be long, and memory is bounded by a batch.

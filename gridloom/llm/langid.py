@@ -114,7 +114,7 @@ def train_langid(docs: DataFrame, usable: Column | None = None, per_lang: int =
 
 
 def predict_langid(docs: DataFrame, names: list[str], logp: np.ndarray, out: str = "lang_id") -> DataFrame:
-    """docs with the column out: struct<lang: string, score: double>; the score is the posterior under equal priors."""
+    """docs with the column out, in the place of an own one of that name: struct<lang: string, score: double>; the score is the posterior under equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T))
 
     @F.pandas_udf("lang string, score double")

@@ -14,7 +14,7 @@ bucket of bounded size plus the counts of the buckets before, so a source may ho
 Defined cases: a null source is a source of its own; documents with one id and source, repeated
 rows included, keep an arbitrary order among themselves; a last block may be short, which leaves a
 gap in position; weights of absent sources are ignored, sources without a weight, or with one of 0,
-get a 1,024th of the sum of the weights; extra columns are kept; an empty table gives an empty result."""
+get a 1,024th of the sum of the weights; extra columns are kept, but for one of the result's name; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -117,8 +117,8 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block:
 
     plan = spark.range(0, 1, 1, 1).mapInPandas(run, PLAN)
     plan = F.broadcast(plan) if sum(blocks) <= BROADCAST_BLOCKS else plan
-    h = F.xxhash64("doc_id", F.lit(seed))
-    dealt = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("m_row"), docs["doc_id"].alias("m_id"), source_key(docs["source"]).alias("m_src"))
+    rows = docs.drop(out) if out in docs.columns else docs
+    dealt = rows.select(F.struct("*").alias("m_row"), docs["doc_id"].alias("m_id"), source_key(docs["source"]).alias("m_src"))
     h = F.xxhash64("m_id", F.lit(seed))
     dealt = dealt.join(F.broadcast(deal), F.col("m_src") == F.col("b_source"))
     dealt = dealt.withColumns({"m_h": h, "m_b": F.pmod(h, F.col("b_n"))}).drop("b_source", "b_n")

@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hold, mix, small_batches, text_chunks, word_hashes
+from .common import cut, hold, mix, scratch, small_batches, text_chunks, word_hashes
 
 #: Coordinates, rows a band, words a shingle, least similarity.
 K, ROWS, SHINGLE, SIMILAR = 120, 5, 5, 0.8
@@ -209,29 +209,33 @@ def true_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ca", "cb").mapInPandas(run, "a long, b long")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """id and root (the smallest id of its component) of every id in links (columns a, b).
 
     Large-star hangs a node's larger neighbours on its smallest one, small-star the smaller ones and
-    itself; once neither changes an edge, every edge is (id, root)."""
-    e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
-    for _ in range(most):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small)
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if mark == now:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        mark = now
-    raise RuntimeError("components did not settle")
-
-
-def buckets(bands: DataFrame) -> DataFrame:
+    itself; once neither changes an edge, every edge is (id, root). The table of nodes and their
+    smallest neighbours is broadcast if its rows were counted to be few; else it is written, so that
+    the join with it splits a hot node."""
+    with scratch(links.sparkSession) as keep:
+        e = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+        count = lambda e: e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        mark = count(e)
+        while True:
+            few = 2 * mark["n"] <= BROADCAST_IDS  # an edge names two nodes at most, and no step makes more edges
+            once, side = (lambda df: df, F.broadcast) if few else (keep, keep)
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = side(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+            large = once(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+            low = side(large.groupBy("u").agg(F.min("v").alias("m")))
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+            e = keep(small)
+            now = count(e)
+            if mark == now:
+                return cut(e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
+            mark = now
+
+
+def buckets(bands: DataFrame, cut=cut) -> DataFrame:
     """key, id, m (members) and a (the first one) of every bucket with two members or more; of buckets with equal members one is kept.
 
     bands has id and bands. Keys are counted first, so that only rows of shared keys go further."""
@@ -304,37 +308,51 @@ def leftovers(members: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataF
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (the smallest id of its class) of every document with an id."""
+    """doc_id and class_id (the smallest id of its class) of every document with an id.
+
+    Equal texts meet through the first of them alone, so that copies never enter the component search."""
     spark = docs.sparkSession
-    with small_batches(spark):
-        sigs = cut(signatures(docs))
-    narrow = sigs.select("id", "h1", "h2", "n")
-    equal = cut(narrow.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))  # as a table, so that the join may split a hot text
-    null = F.xxhash64(F.lit(None).cast("string"), F.lit(1)), F.xxhash64(F.lit(None).cast("string"), F.lit(2), F.lit(None).cast("int"))
-    alone = (F.col("h1") == null[0]) & (F.col("h2") == null[1])
-    reps = cut(narrow.join(equal, ["h1", "h2", "n"]).select("id", F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("rep"), "n").distinct())
-    first = reps.where("id = rep and n > 0").select("id").distinct()
-    members = cut(buckets(sigs.where("n > 0").select("id", "bands").join(first, "id", "left_semi")))
-    ids = cut(members.select("id").distinct())
-    n_ids = ids.count()
-    some = cut(only(sigs.select("id", "sig", "n").where("n > 0"), ids, n_ids))
-    pairs = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    likely = cut(likely_pairs(pairs, some).distinct())
-    with small_batches(spark):
-        sets = cut(cell_sets(docs, ids, n_ids))
-    links = cut(true_links(likely, sets))
-    more = cut(leftovers(members, components(links), some, sets))
-    repeated = reps.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # equal texts, and the texts of a repeated id
-    root = components(links.unionByName(more).unionByName(repeated))
-    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"))
-    return ids.join(root, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"))
+    with scratch(spark) as keep:
+        with small_batches(spark):
+            sigs = keep(signatures(docs))
+        narrow = sigs.select("id", "h1", "h2", "n")
+        equal = keep(narrow.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))  # as a table, so that the join may split a hot text
+        null = F.xxhash64(F.lit(None).cast("string"), F.lit(1)), F.xxhash64(F.lit(None).cast("string"), F.lit(2), F.lit(None).cast("int"))
+        alone = (F.col("h1") == null[0]) & (F.col("h2") == null[1])
+        reps = keep(narrow.join(equal, ["h1", "h2", "n"]).select("id", F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("rep"), "n").distinct())
+        first = reps.where("id = rep and n > 0").select("id").distinct()
+        members = keep(buckets(sigs.where("n > 0").select("id", "bands").join(first, "id", "left_semi"), keep))
+        ids = keep(members.select("id").distinct())
+        n_ids = ids.count()
+        some = keep(only(sigs.select("id", "sig", "n").where("n > 0"), ids, n_ids))
+        pairs = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+        likely = keep(likely_pairs(pairs, some).distinct())
+        with small_batches(spark):
+            sets = keep(cell_sets(docs, ids, n_ids))
+        links = keep(true_links(likely, sets))
+        more = keep(leftovers(members, components(links), some, sets))
+        own = keep(reps.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")))
+        several = reps.join(own.where("rep <> last").select("id"), "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # the texts of a repeated id
+        root = components(links.unionByName(more).unionByName(several))
+        known = own.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))
+        rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+        return rows.join(cut(known), F.col("doc_id") == F.col("id")).select("doc_id", "class_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without all but the first row of every class; rows with a null id stay."""
-    keep = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left").where(keep["_keep"].isNotNull() | docs["doc_id"].isNull())
-    return kept.select(*[docs[c] for c in docs.columns])
+    """One row of every class, with all its columns.
+
+    It is a row whose id names the class; if that id is repeated, the row whose text has the smallest
+    hash. Rows with a null id take part by a large key made of their values, so a row with an id names
+    the class before them, and rows that are equal in every column count as one."""
+    spare = F.xxhash64(*[docs[f"`{f.name}`"] for f in docs.schema if "map" not in f.dataType.simpleString()]).bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), spare).alias("doc_id"), "text")
+    named = classes(keyed.select("doc_id", "text")).where("doc_id = class_id").groupBy(F.col("doc_id").alias("name")).count()
+    named = cut(named)
+    once = keyed.join(named.where("count = 1"), F.col("doc_id") == F.col("name"), "left_semi").select("row.*")
+    again = keyed.join(named.where("count > 1"), F.col("doc_id") == F.col("name"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))  # each task keeps its first row of an id before the shuffle
+    return once.unionByName(again.withColumn("place", place).where("place = 1").select("row.*"))
 
 
 def op7(spark, docs: DataFrame) -> DataFrame:

@@ -145,8 +145,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = No
 
 
 def score_quality(docs: DataFrame, model: RuleModel, out: str = "score") -> DataFrame:
-    """docs with the column out, 0 to 1; own columns of docs are kept, whatever their names."""
-    text = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("text"))
+    """docs with the column out, 0 to 1, in the place of an own column of that name; all others are kept, whatever their names."""
+    rows = docs.drop(out) if out in docs.columns else docs
+    text = rows.select(F.struct("*").alias("_row"), docs["text"].alias("text"))
     return with_shape(text).select("_row.*", model.score().alias(out))
 
 

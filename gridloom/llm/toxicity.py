@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold
+from .common import hold, scratch
 from .quality import held_out, labelled
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -185,7 +185,7 @@ def cues(corpus: Corpus, y: list[int], least: float = 40.0) -> set[str]:
     # numbers only for features that may stand in three toxic documents: a hashed count first, then names
     mask, often = (1 << 22) - 1, np.zeros(1 << 22, np.int32)
     for s in bad:
-        often[np.unique([zlib.crc32(f.encode()) & mask for w in s for f in features(corpus.words[w])])] += 1
+        often[np.unique(np.array([zlib.crc32(f.encode()) & mask for w in s for f in features(corpus.words[w])], np.int64))] += 1
     n_seen = int((often > 0).sum())
     number: dict[str, int] = {}
     wanted = np.unique(np.concatenate(bad))
@@ -291,16 +291,27 @@ def fit_field(texts: list[str], y: list[int], window: int = 8, most: int = 4_000
     return Field(float(theta[m]), float(theta[m + 1]), ((0.0, float(theta[m + 2])), (float(theta[m + 3]), float(theta[m + 4]))), keep)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 3_000) -> Field:
-    """Fits the field to labels.toxic of at most max_rows toxic and max_rows other documents (a documented bound)."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 3_000, max_bytes: int = 48 << 20) -> Field:
+    """Fits the field to labels.toxic of at most max_rows toxic and max_rows other documents and, of these,
+    whole texts of at most max_bytes in all, in the order of a hash of their ids (documented bounds)."""
     ok = F.lit(True) if usable is None else usable
-    parts = [labelled(docs, labels, "toxic", ok & (F.col("_y") == v), max_rows, F.max) for v in (1, 0)]
-    got = parts[0].unionByName(parts[1]).toPandas().dropna(subset=["text"]).sort_values(["doc_id", "text"])
+    with scratch(docs.sparkSession) as keep:
+        parts = [labelled(docs, labels, "toxic", ok & (F.col("_y") == v), max_rows, F.max) for v in (1, 0)]
+        rows = keep(parts[0].unionByName(parts[1]).where("text IS NOT NULL"))
+        sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).groupBy("h", "doc_id").agg(F.sum("n").alias("n")).orderBy("h", "doc_id").collect()
+        total, ids = 0, []
+        for r in sizes:
+            if total + r["n"] <= max_bytes:
+                total += r["n"]
+                ids.append((r["doc_id"],))
+        some = rows if len(ids) == len(sizes) else rows.join(F.broadcast(docs.sparkSession.createDataFrame(ids, rows.select("doc_id").schema)), "doc_id")
+        got = some.toPandas().sort_values(["doc_id", "text"])
     return fit_field(got["text"].tolist(), got["_y"].astype(int).tolist())
 
 
 def tag_toxicity(docs: DataFrame, model: Field, out: str = "toxicity") -> DataFrame:
-    """docs with the column out: struct<score: double, spans: array<start, stop, p>>; offsets count code points."""
+    """docs with the column out, in the place of an own one of that name: struct<score: double, spans: array<start, stop, p>>; offsets count code points."""
+
     @F.pandas_udf(f"score double, spans {SPANS}")
     def tag(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hold("toxicity")

@@ -85,7 +85,12 @@ def test_neardup(spark):
     assert len(got) == 8 and of[1] == of[7] == 1 and all(of[i] == i for i in (2, 3, 4, 5, 6))
     d = docs(spark).withColumns({"_keep": F.lit(1), "id": F.lit(2), "root": F.lit(3), "key": F.lit(4)})
     kept = neardup.deduplicate(d)
-    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 6, None}
+    assert kept.columns == d.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "None"]
+    odd = d.withColumns({"row": F.lit(5), "place": F.lit(6), "a.b": F.create_map(F.lit(1), F.lit(2)), "doc_id": F.when(F.col("doc_id") != 7, F.col("doc_id"))}).unionByName(
+        d.withColumns({"row": F.lit(5), "place": F.lit(6), "a.b": F.create_map(F.lit(1), F.lit(2))}))
+    rows = neardup.deduplicate(odd).collect()  # every row twice, 1 three times more without an id
+    assert list(rows[0].asDict()) == odd.columns and sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "3", "4", "5", "6", "None"]
+    assert neardup.deduplicate(docs(spark, [])).count() == 0
     assert neardup.op7(spark, docs(spark, [])).count() == 0
 
 
@@ -102,3 +107,35 @@ def test_topk(spark):
     got = topk.op2(spark, e).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 4), (0, 2, 5), (0, 3, 100), (100, 1, 0), (100, 2, 4), (100, 3, 5)]
     assert topk.op2(spark, e.where(F.lit(False))).count() == 0
+
+
+def test_pipeline_stages_keep_rows_and_columns(spark, tmp_path):
+    """Clashing names, nulls, empties, repeated rows and empty tables in every stage, by row counts."""
+    import corpus_pipeline as cp
+
+    sf = str(tmp_path)
+    docs(spark).write.parquet(f"{sf}/documents.parquet")
+    labels(spark).write.parquet(f"{sf}/labels.parquet")
+    names = ["_quality", "quality", "_toxicity", "toxicity", "_mix", "mix", "lang_id", "row", "_row", "class_id", "place", "worker", "position"]
+    d = docs(spark).drop("_row").withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    for (name, stage), n in zip(cp.STAGES, (9, 9, 7, 9, None), strict=True):
+        got = stage(spark, d, sf)
+        if n is not None:
+            rows = got.collect()
+            assert got.columns == d.columns and len(rows) == n, name
+            assert all([r[c] for c in names] == list(range(len(names))) for r in rows), name
+            empty = stage(spark, d.limit(0), sf)
+            assert empty.columns == d.columns and empty.count() == 0, name
+        else:
+            p = got.toPandas()
+            assert set(p["doc_id"].dropna()) == {1, 2, 3, 4, 5, 6, 7} and p["doc_id"].isna().sum() == 1
+            assert stage(spark, d.limit(0), sf).count() == 0
+
+
+def test_own_columns_of_the_results_name_give_way(spark):
+    d = docs(spark).withColumns({"toxicity": F.lit(1), "lang_id": F.lit(1), "mix": F.lit(1)})
+    m = toxicity.Field(-6.0, 0.0, ((0.0, -2.0), (-1.0, -1.0)), {"=fox": 14.0})
+    assert toxicity.tag_toxicity(d, m).select("toxicity.score").count() == 9
+    assert langid.predict_langid(d, ["en"], __import__("numpy").zeros((1, langid.BUCKETS), "f4")).select("lang_id.lang").count() == 9
+    assert mixing.mix(d).select("mix.position", "lang_id").count() == 9
+    assert quality.score_quality(d, quality.RuleModel(0.0)).columns.count("score") == 1
