@@ -1,8 +1,14 @@
 """The corpus pipeline: five stages over documents, each the next one's input as Parquet.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
-return the columns of documents. Mixing returns rows in mixed order; packing takes that order from
-the files it reads, so a class's sequences follow the mixture."""
+return the columns of documents, whatever these are called: names made here give way to theirs. Mixing
+returns rows in mixed order, and packing fills sequences in the order of the rows each task reads.
+
+Defined cases: null, empty and blank texts are scored like any other; a null text is never toxic and
+is a near-duplicate class of its own; ties and repeated rows: rows that are equal or share an id are
+one document to near-dedup, which keeps one row of it, and stay apart in every other stage; rows
+with a null id are kept or dropped by their text alone; an empty table gives an empty result with
+the same columns."""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, neardup, packing, quality, toxicity
-from gridloom.llm.common import cut, table
+from gridloom.llm.common import cut, free_name, table
 
 #: Least quality score and least toxicity score at which a document stays or goes.
 LEAST_QUALITY, MOST_TOXIC = 0.3, 0.7
@@ -19,24 +25,26 @@ LEAST_QUALITY, MOST_TOXIC = 0.3, 0.7
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores at least LEAST_QUALITY."""
     model = quality.train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model, "_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    out = free_name(docs, "quality")
+    return quality.score_quality(docs, model, out).where(F.col(out) >= LEAST_QUALITY).drop(out)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below MOST_TOXIC."""
     model = toxicity.train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.tag_toxicity(docs, model, "_toxicity").where(F.col("_toxicity.score") < MOST_TOXIC).drop("_toxicity")
+    out = free_name(docs, "toxicity")
+    return toxicity.tag_toxicity(docs, model, out).where(F.col(out)["score"] < MOST_TOXIC).drop(out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every near-duplicate class."""
+    """One row of every near-duplicate class."""
     return neardup.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, ordered by their place in the mixture."""
-    return mixing.mix(docs, out="_mix").orderBy("_mix.position").drop("_mix")
+    out = free_name(docs, "mix")
+    return mixing.mix(docs, out=out).orderBy(F.col(out)["position"]).drop(out)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
