@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +36,7 @@ def write_stage(frame: DataFrame, path: str, scene: str) -> None:
 def read_stage(spark, path: str, scene: str) -> DataFrame:
     """The scene's frame, or an error if it is not what its newest manifest says."""
     frame = spark.read.parquet(f"{path}/frames/scene={scene}")
-    told = {(r["n"], r["digest"]) for r in spark.read.schema("scene string, n long, digest long").json(f"{path}/manifest").where(F.col("scene") == scene).collect()}
+    told = {(r["n"], r["digest"]) for r in spark.read.schema("scene string, n long, digest string").json(f"{path}/manifest").where(F.col("scene") == scene).collect()}
     got = frame_digest(frame).first()
     if (got["n"], got["digest"]) not in told:
         raise RuntimeError(f"scene {scene}: the frame differs from its manifest")
@@ -69,8 +74,50 @@ def crc_report(segments: DataFrame, payload: str = "payload", expected: str = "c
 
 
 def frame_digest(frame: DataFrame) -> DataFrame:
-    """One row: count and an order-insensitive digest of a frame, for write-then-read checks of any size."""
-    return frame.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(frame.columns))).alias("digest"))
+    """One row: count and an order-insensitive digest of a frame, the sum of its rows' hashes, for write-then-read checks of any size."""
+    h = F.xxhash64(*sorted(frame.columns)).cast("decimal(28,0)")
+    return frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over GF(2) modulo the CRC-32 polynomial; the highest bit is the constant term."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def join_crc(first: int, second: int, n: int) -> int:
+    """CRC-32 of two byte strings one after the other from those of both; the second has n bytes."""
+    step, power = 1 << 23, 1 << 31  # x**8, which is a byte's shift, and 1
+    while n:
+        power = _times(power, step) if n & 1 else power
+        step, n = _times(step, step), n >> 1
+    return _times(first, power) ^ second
+
+
+def region_crc(rows: DataFrame) -> DataFrame:
+    """One row, n_bytes and crc: the CRC-32 of a frame (row, re, im) as a region of little-endian int16 pairs re, im in row order.
+
+    Rows are dealt by ranges; a task folds its lines into one checksum, and the tasks' meet in order."""
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, crc, n = None, 0, 0
+        for p in parts:
+            for row, re, im in zip(p["row"], p["re"], p["im"], strict=True):
+                raw = np.stack([re, im], 1).astype("<i2").tobytes()
+                first, crc, n = row if first is None else first, zlib.crc32(raw, crc), n + len(raw)
+        if first is not None:
+            yield pd.DataFrame({"first": [first], "crc": [crc], "n": [n]})
+
+    spark = rows.sparkSession
+    got = rows.select("row", "re", "im").repartitionByRange("row").sortWithinPartitions("row").mapInPandas(fold, "first long, crc long, n long").orderBy("first").collect()  # a row a task
+    crc = 0
+    for r in got:
+        crc = join_crc(crc, r["crc"], r["n"])
+    return spark.createDataFrame([(sum(r["n"] for r in got), crc)], "n_bytes long, crc long")
 
 
 def burst_bucket(beats: Column) -> Column:

@@ -86,7 +86,7 @@ def resample_rows(rows: DataFrame, grid: DataFrame, n: int, kernel: str = "lerp"
 def resample_cross(rows: DataFrame, grid: DataFrame) -> DataFrame:
     """Second pass over turned lines (row, re, im, axis): the line's source axis is an ascending array; the grid (i, q) is uniform.
 
-    Bracketing by a fold would be quadratic; the axis is searched once a grid point by halving."""
+    Bracketing by a fold would be quadratic; the axis is searched once a grid point, by as many halvings as its length takes."""
     g = grid.agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("_g")).select(F.transform("_g", lambda s: s["q"]).alias("_g"))
     x = rows.crossJoin(F.broadcast(g))
 
@@ -97,7 +97,7 @@ def resample_cross(rows: DataFrame, grid: DataFrame) -> DataFrame:
             F.struct(F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("lo"), s["hi"].alias("hi")),
         ).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
         whole = F.struct(F.lit(0).alias("lo"), (n - 1).cast("int").alias("hi"))
-        at = F.aggregate(F.sequence(F.lit(1), F.lit(16)), whole, lambda s, i: F.when(s["hi"] - s["lo"] > 1, step(s, i)).otherwise(s))["lo"]
+        at = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), fx.bit_length(n.cast("long"))).cast("int")), whole, lambda s, i: F.when(s["hi"] - s["lo"] > 1, step(s, i)).otherwise(s))["lo"]
         ok = (n > 1) & (q >= F.get("axis", F.lit(0))) & (q < F.get("axis", n - 1))
         return F.when(ok, at).otherwise(-1)
 
@@ -116,12 +116,12 @@ def polar_format(rows: DataFrame, pulses: DataFrame, n: int, size: int) -> DataF
 
     Range pass: each pulse is interpolated onto uniform range wavenumbers over the union of all
     pulses' extents. Rows then take their place in angle order, lines are turned, and each range bin
-    is interpolated over its own cross axis (the bin's wavenumber times the sorted tangents). Lines
-    are interpolated in NumPy, batch by batch; the only shuffle of samples is the turn."""
+    is interpolated over its own cross axis (the bin's wavenumber times the sorted tangents). Pulses without
+    a row take no part. Lines are interpolated in NumPy, batch by batch; the only shuffle of samples is the turn."""
     import numpy as np
     import pandas as pd
 
-    order = pulse_order(pulses)
+    order = pulse_order(pulses.join(rows.select("row"), "row", "left_semi"))
     e = order.agg(
         F.min(F.least("x0", F.col("x0") + F.col("dx") * (n - 1))).alias("lo"), F.max(F.greatest("x0", F.col("x0") + F.col("dx") * (n - 1))).alias("hi"),
         F.array_sort(F.collect_list(F.struct("rank", "tan_phi"))).alias("axis"),

@@ -24,12 +24,13 @@ def weight_q15(num: Column, den: Column, rounding: str = "floor") -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(32767), w.cast("int")))
 
 
-def bracket(queries: DataFrame, samples: DataFrame, key: str, closed: str = "left", width: float | None = None) -> DataFrame:
+def bracket(queries: DataFrame, samples: DataFrame, key: str, closed: str = "left", width: float | None = None, beyond: bool = False) -> DataFrame:
     """queries (key, q, ...) with x0, v0, x1, v1, the samples (key, x, v) around q; null where there is no bracket.
 
     One union and one sort: the last sample at or before and the first after, both by window, so the
     cost is linear in rows and no range join is planned. Samples of equal abscissa are ordered by value.
 
+    With beyond, a column of that name says whether a query without a bracket lies behind the last sample.
     With a width, a key's axis is cut into stretches of that width, each a window of its own, so a key
     may hold any share of the rows; the samples next to a stretch come from a table of one row a
     stretch."""
@@ -58,7 +59,8 @@ def bracket(queries: DataFrame, samples: DataFrame, key: str, closed: str = "lef
         hi = F.when(hi.isNull() & (lo["x"] == x), lo).otherwise(hi)
     ok = lo.isNotNull() & hi.isNotNull()
     cols = {"x0": lo["x"], "v0": lo["v"], "x1": hi["x"], "v1": hi["v"]}
-    return both.where(F.col("_q").isNotNull()).select(key, "_q.*", *[F.when(ok, c).alias(k) for k, c in cols.items()])
+    more = [(lo.isNotNull() & hi.isNull()).alias("beyond")] if beyond else []
+    return both.where(F.col("_q").isNotNull()).select(key, "_q.*", *[F.when(ok, c).alias(k) for k, c in cols.items()], *more)
 
 
 def lerp(v0: Column, v1: Column, wq: Column) -> Column:
@@ -67,10 +69,11 @@ def lerp(v0: Column, v1: Column, wq: Column) -> Column:
 
 
 def interp_float(df: DataFrame, left: float = 0.0, right: float = 0.0) -> Column:
-    """Linear interpolation between the columns of bracket(closed='both'); 0 outside."""
+    """Linear interpolation between the columns of bracket(closed='both'); left before the first sample and for a key without samples, right beyond the last, which takes the column beyond."""
     span = F.col("x1") - F.col("x0")
     t = F.when(span == 0, 0.0).otherwise((F.col("q") - F.col("x0")) / F.when(span != 0, span))
-    return F.coalesce(F.col("v0") + (F.col("v1") - F.col("v0")) * t, F.lit(left))
+    outer = F.lit(left) if left == right else F.when(F.col("beyond"), F.lit(right)).otherwise(F.lit(left))
+    return F.coalesce(F.col("v0") + (F.col("v1") - F.col("v0")) * t, outer)
 
 
 def truncated_weight(t: Column, nbits: int) -> Column:

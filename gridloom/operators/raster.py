@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +22,64 @@ def histogram(img: DataFrame) -> DataFrame:
 
 
 def midpoint_cdf(hist: DataFrame) -> DataFrame:
-    """mag, n, cdf: the share of samples below the middle of each value, within (1e-6, 1 - 1e-6).
+    """mag, n, cdf: the share of samples below the middle of each value, within (1e-9, 1 - 1e-9).
 
     A window over the histogram, whose rows are at most 65536 for uint16."""
     upto = F.sum("n").over(Window.orderBy("mag"))
     total = F.sum("n").over(Window.partitionBy())
     cdf = (upto - 0.5 * F.col("n")) / total
-    return hist.select("mag", "n", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), cdf)).alias("cdf"))
+    return hist.select("mag", "n", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), cdf)).alias("cdf"))
 
 
 def normal_scores(hist: DataFrame) -> DataFrame:
     """mag, z: the inverse normal of the midpoint CDF of the non-zero values; a look-up table of at most 65535 rows."""
 
-    @F.udf("double")
-    def inv(p: float) -> float:
-        return NormalDist().inv_cdf(p)
+    @F.pandas_udf("double")
+    def inv(p: pd.Series) -> pd.Series:
+        return p.map(NormalDist().inv_cdf)
 
     return midpoint_cdf(hist.where("mag > 0")).select("mag", inv("cdf").alias("z"))
 
 
+def stretch_normal(img: DataFrame, sigma: float = 3.0) -> DataFrame:
+    """img with v (0 to 255): middle grey plus the normal score, sigma deviations on either side; samples of 0 stay 0."""
+    v = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128.0 + 127.0 * F.col("z") / sigma))).cast("int")
+    lut = normal_scores(histogram(img)).select("mag", v.alias("v"))
+    return img.join(F.broadcast(lut), "mag", "left").withColumn("v", F.coalesce("v", F.lit(0)))  # at most 65535 rows
+
+
+def rescale(img: DataFrame, exponent: int | Column) -> DataFrame:
+    """img with real, the sample a block's shared exponent stands for: mag * 2**exponent."""
+    return img.withColumn("real", F.col("mag") * F.pow(F.lit(2.0), F.lit(exponent) if isinstance(exponent, int) else exponent))
+
+
+def write_png(img: DataFrame, path: str, col: str = "v") -> tuple[int, int]:
+    """Writes a raster of 0 to 255 (row, col and the column named) as an 8-bit grey PNG on the driver; returns height and width.
+
+    Rows are packed on executors and reach the driver in order, one partition at a time, so that it
+    holds one partition's lines and no image."""
+    h, w = (int(x or 0) for x in img.agg(F.max("row") + 1, F.max("col") + 1).first())
+    line = F.array_sort(F.collect_list(F.struct("col", F.col(col).cast("int").alias("v"))))
+    lines = img.groupBy("row").agg(line.alias("p")).orderBy("row")
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
+
+    with open(path, "wb") as f:
+        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)))
+        pack, at = zlib.compressobj(), 0
+        for r in lines.toLocalIterator():
+            y = bytearray(w)
+            for c, v in r["p"]:
+                y[c] = v or 0
+            blank = bytes(1 + w) * (r["row"] - at)
+            if data := pack.compress(blank + b"\0" + bytes(y)):
+                f.write(chunk(b"IDAT", data))
+            at = r["row"] + 1
+        f.write(chunk(b"IDAT", pack.flush()) + chunk(b"IEND", b""))
+    return h, w
+
+
 def apply_lut(img: DataFrame, lut: DataFrame, out: str) -> DataFrame:
     """img with the table's value of each sample (broadcast: a table has at most 65536 rows); 0 where it has none."""
     return img.join(F.broadcast(lut), "mag", "left").withColumn(out, F.coalesce(out, F.lit(0.0)))

@@ -1,7 +1,8 @@
 """Row transforms over array frames (row, re, im) in exact integers or floats, with block exponents.
 
-Two forms of one arithmetic: column expressions (a projection a butterfly stage, JVM only) and
-NumPy over Arrow batches for long lines. Scaling rules:
+Two forms of one arithmetic: NumPy over Arrow batches (lines, line_pass), which forms images of any
+size with one evaluation a pass and a plan that does not grow with the line; and column expressions
+(a projection a butterfly stage, JVM only) for short lines, against which it is held. Scaling rules:
 l1     one exponent a pass from the largest row L1 norm, before the transform; saturating output
 global full-precision transform, then one exponent from the largest output
 perrow a row's own shift after every stage; exponents join back for the global renormalisation
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,14 +158,18 @@ def renormalise(rows: DataFrame, exp: str = "exp", deep: int = 12) -> DataFrame:
     return out.withColumns({c: F.transform(c, lambda v: F.when(down > deep, F.lit(0).cast("long")).otherwise(fx.shr(v, down))) for c in ("re", "im")})
 
 
-def turn(rows: DataFrame) -> DataFrame:
-    """Corner turn of the array form: one shuffle by the new row."""
-    return to_rows(transpose(to_long(rows)))
+def turn(rows: DataFrame, h: int | None = None, w: int | None = None) -> DataFrame:
+    """Corner turn of the array form: one shuffle by the new row. With h and w, of every look of h lines of w samples alone."""
+    f = to_long(rows)
+    if h is None:
+        return to_rows(transpose(f))
+    look = F.floor(F.col("row") / h) * w
+    return to_rows(f.select((look + F.col("col")).cast("long").alias("row"), (F.col("row") % h).cast("int").alias("col"), "re", "im"))
 
 
 def window_q15(rows: DataFrame, row_taper: list[int], col_taper: list[int]) -> DataFrame:
-    """Both tapers folded into one Q15 coefficient first (wrapping), then one product a sample (wrapping)."""
-    wr = F.get(_ints(row_taper), F.col("row").cast("int"))
+    """Both tapers folded into one Q15 coefficient first (wrapping), then one product a sample (wrapping). The row taper begins anew with every look."""
+    wr = F.get(_ints(row_taper), (F.col("row") % len(row_taper)).cast("int"))
     wc = _ints(col_taper)
     fold = lambda x: F.transform(x, lambda v, i: fx.wrap16(fx.shr(v * fx.wrap16(fx.shr(wr * F.get(wc, i), 15)), 15)))
     return rows.withColumns({"re": fold(F.col("re")), "im": fold(F.col("im"))})
@@ -174,53 +180,106 @@ def detect_rows(rows: DataFrame) -> DataFrame:
     return to_long(rows).select("row", "col", fx.detect(F.col("re"), F.col("im")).alias("mag"))
 
 
-def form_image(rows: DataFrame, h: int, w: int, scaling: str = "l1", taper: bool = True) -> DataFrame:
-    """row, col, mag of a frame of h rows and w columns: taper, row pass, corner turn, row pass, detection.
+def _sat(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, fx.I16_MIN, fx.I16_MAX)
 
-    The image has the transform's orientation after the turn: (range bin, cross-range bin)."""
-    one = {"l1": pass_l1, "global": pass_global, "perrow": lambda r, n: renormalise(pass_perrow(r, n)), "uncond": pass_uncond}[scaling]
-    x = window_q15(rows, fx.taper_q15(h), fx.taper_q15(w)) if taper else rows
-    y = turn(one(x.select("row", "re", "im"), w).select("row", "re", "im"))
-    return detect_rows(one(y, h))
 
+def line_kernel(x: np.ndarray, rule: str = "full") -> tuple[np.ndarray, np.ndarray]:
+    """The staged transform over a block of lines (complex codes in two int64 planes: 2 x lines x n) and each line's exponent.
 
-def fft_block(x: np.ndarray) -> np.ndarray:
-    """fft_full over a block of lines (complex codes in two int64 planes: 2 x lines x n)."""
-    n = x.shape[-1]
+    rule: full keeps all bits, uncond halves both operands of every butterfly, perrow shifts a line
+    after a stage by what its largest value takes. Lines are in bit-reversed places and change there."""
+    n, x = x.shape[-1], x[..., fx.reversed_order(x.shape[-1])]
     wr, wi = (np.array(v, np.int64) for v in fx.twiddles(n))
-    x = x[..., fx.reversed_order(n)]
-    for s in range(1, n.bit_length()):
-        m = 1 << s
-        mh = m // 2
-        c, d = wr[:: n // m][:mh], wi[:: n // m][:mh]
-        v = x.reshape(2, -1, n // m, m)
-        a, b = v[..., :mh], v[..., mh:]
-        t = np.stack([(c * b[0] - d * b[1]) >> 15, (c * b[1] + d * b[0]) >> 15])
-        x = np.concatenate([a + t, a - t], axis=-1).reshape(2, -1, n)
-    return x
+    exp, place = np.zeros(x.shape[1], np.int64), np.arange(n)
+    half, stride = 1, n // 2
+    while half < n:
+        up = place[place & half == 0]
+        down = up + half
+        c, d = wr[(up & (half - 1)) * stride], wi[(up & (half - 1)) * stride]
+        a, (p, q) = x[..., up], x[..., down]
+        if rule == "uncond":
+            a, p, q = a >> 1, p >> 1, q >> 1
+        t = np.stack([c * p - d * q, c * q + d * p]) >> 15
+        t = t if rule == "full" else _sat(t)
+        x[..., up], x[..., down] = a + t, a - t
+        if rule == "uncond":
+            x = _sat(x)
+        elif rule == "perrow":
+            top = np.abs(x).max(axis=(0, 2))
+            by = np.where(top > fx.I16_MAX, np.frexp(((top + fx.I16_MAX) // fx.I16_MAX - 1).astype(float))[1], 0)
+            x, exp = _sat(x >> by[:, None]), exp + by
+        half, stride = 2 * half, stride // 2
+    return x, exp
+
+
+LINES = ROWS + ", exp int"
+
+
+def lines(rows: DataFrame, n: int, rule: str = "full", shift: int = 0) -> DataFrame:
+    """line_kernel over Arrow batches of lines of n samples: row, re, im, exp. A shift above 0 is applied at the end, saturating, and is the exponent."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            if p.num_rows:
+                y, exp = line_kernel(np.stack([p.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in ("re", "im")]).astype(np.int64), rule)
+                y, exp = (_sat(y >> shift), exp + shift) if shift else (y, exp)
+                off = pa.array(np.arange(0, p.num_rows * n + 1, n), pa.int32())
+                yield pa.RecordBatch.from_arrays([p.column("row"), *[pa.ListArray.from_arrays(off, pa.array(v.ravel())) for v in y], pa.array(exp, pa.int32())], ["row", "re", "im", "exp"])
 
+    return rows.select("row", "re", "im").mapInArrow(run, LINES)
 
-def fft_full_arrow(rows: DataFrame) -> DataFrame:
-    """fft_full in NumPy over Arrow batches, for lines of any power-of-two length; a batch's rows share one length."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for _, g in p.groupby(p["re"].map(len), sort=False):
-                y = fft_block(np.stack([np.stack(g[c].to_numpy()).astype(np.int64) for c in ("re", "im")]))
-                yield pd.DataFrame({"row": g["row"].to_numpy(), "re": list(y[0]), "im": list(y[1])})
+def fft_full_arrow(rows: DataFrame, n: int) -> DataFrame:
+    """fft_full in NumPy over Arrow batches, for lines of any power-of-two length."""
+    return lines(rows, n).drop("exp")
+
+
+def line_pass(rows: DataFrame, n: int, scaling: str) -> DataFrame:
+    """One pass over array lines in NumPy: row, re, im, exp. Same results as pass_l1, pass_global, pass_perrow and pass_uncond.
 
-    return rows.select("row", "re", "im").mapInPandas(run, ROWS)
+    Every line is transformed once. An exponent that all lines share is one number on the driver, from
+    the lines before the transform (l1) or from the written transform (global)."""
+    if scaling == "l1":
+        e = row_l1(rows).agg(fx.l1_exponent(F.coalesce(F.max("l1"), F.lit(0))).alias("e")).first()["e"]
+        out = lines(rows, n, "full", e)
+        return out if e else _map(out, fx.sat16)
+    if scaling == "global":
+        full = cut(lines(rows, n))
+        e = full.agg(fx.shift_to_fit(F.coalesce(F.max(_peak("re", "im")), F.lit(0))).alias("e")).first()["e"]
+        return _map(full, lambda v: fx.sat16(fx.shr(v, e))).withColumn("exp", F.lit(e).cast("int"))
+    return lines(rows, n, scaling)
+
+
+def pad_lines(rows: DataFrame, h: int, w: int) -> DataFrame:
+    """rows with lines of zeros behind the last one, up to a whole number of looks of h lines."""
+    tall = rows.agg(F.max("row") + 1).first()[0] or 0
+    zeros = F.array_repeat(F.lit(0).cast("long"), w)
+    return rows.unionByName(rows.sparkSession.range(tall, -(-tall // h) * h).select(F.col("id").alias("row"), zeros.alias("re"), zeros.alias("im")))
+
+
+def form_image(rows: DataFrame, h: int, w: int, scaling: str = "l1", taper: bool = True) -> DataFrame:
+    """row, col, mag of a frame of w columns: taper, row pass, corner turn, row pass, detection.
+
+    A frame of more than h rows is a stack of looks of h rows each, whose images have w rows each;
+    shared exponents are those of all looks. The image has the transform's orientation after the
+    turn: (range bin, cross-range bin)."""
+    x = window_q15(rows, fx.taper_q15(h), fx.taper_q15(w)) if taper else rows
+    x = cut(x.select("row", "re", "im"))
+    y = line_pass(x, w, scaling)
+    y = renormalise(cut(y)) if scaling == "perrow" else y
+    z = line_pass(cut(turn(y.select("row", "re", "im"), h, w)), h, scaling)
+    return detect_rows(renormalise(cut(z)) if scaling == "perrow" else z)
 
 
 def dft_direct(frame: DataFrame, n: int) -> DataFrame:
-    """row, k, re, im of integer lines (row, col, re, im) by one broadcast twiddle table and a sum: floors each product."""
-    spark = frame.sparkSession
+    """row, k, re, im of integer lines (row, col, re, im) by a direct sum over one table of n roots: floors each product."""
     wr, wi = fx.twiddles(n)
-    full = [(j, *((wr[j], wi[j]) if j < n // 2 else (-wr[j - n // 2], -wi[j - n // 2]))) for j in range(n)]
-    table = spark.createDataFrame([(c, k, *full[c * k % n][1:]) for c in range(n) for k in range(n)], "col int, k int, c long, s long")  # n * n rows
-    got = frame.join(F.broadcast(table), "col")
-    re = fx.shr(F.col("re") * F.col("c") - F.col("im") * F.col("s"), 15)
-    im = fx.shr(F.col("im") * F.col("c") + F.col("re") * F.col("s"), 15)
+    roots = frame.sparkSession.createDataFrame([([*wr, *[-v for v in wr]], [*wi, *[-v for v in wi]])], "_c array<long>, _s array<long>")  # one row
+    got = frame.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).crossJoin(F.broadcast(roots))
+    at = (F.col("col").cast("long") * F.col("k") % n).cast("int")
+    c, s = F.get("_c", at), F.get("_s", at)
+    re, im = fx.shr(F.col("re") * c - F.col("im") * s, 15), fx.shr(F.col("im") * c + F.col("re") * s, 15)
     return got.groupBy("row", "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import fixed as fx
-
 CODE = "greatest(-32768, least(32767, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)))"
 IQ = f"""iq AS (
     SELECT e.vec_id // 2 AS row, list_transform(e.embedding, lambda x: {CODE}) AS re, list_transform(o.embedding, lambda x: {CODE}) AS im
@@ -15,7 +13,12 @@ LONG = IQ + """, iql AS (
 IMAGE = LONG + """, img AS (
     SELECT row, col, CAST(least(65535, CAST(floor(sqrt(CAST(re * re + im * im AS DOUBLE))) AS BIGINT)) AS INTEGER) AS mag FROM iql
 )"""
-SQUARE = IQ + ", sq AS (SELECT row, re, im FROM iq WHERE row < 64)"
+#: The whole frame with lines of zeros up to a whole number of looks of 64 lines.
+SQUARE = IQ + """, sq AS (
+    SELECT row, re, im FROM iq UNION ALL
+    SELECT r AS row, list_transform(range(0, 64), lambda i: CAST(0 AS BIGINT)) AS re, list_transform(range(0, 64), lambda i: CAST(0 AS BIGINT)) AS im
+    FROM (SELECT unnest(range(h, ((h + 63) // 64) * 64)) AS r FROM (SELECT max(row) + 1 AS h FROM iq))
+)"""
 
 
 def bits(x: str) -> str:
@@ -30,19 +33,37 @@ def sat16(x: str) -> str:
     return f"greatest(-32768, least(32767, {x}))"
 
 
+def cos_q15(k: str, n: int) -> str:
+    return f"CAST(least(32767, floor(cos(2 * pi() * ({k}) / {n}) * 32768)) AS BIGINT)"
+
+
+def sin_q15(k: str, n: int) -> str:
+    """Of -sin."""
+    return f"CAST(least(32767, floor(-sin(2 * pi() * ({k}) / {n}) * 32768)) AS BIGINT)"
+
+
+def hamming_q15(k: str, n: int) -> str:
+    return f"CAST(floor((0.54 - 0.46 * cos(2 * pi() * ({k}) / {n - 1})) * 32768) AS BIGINT)"
+
+
+def swapped(i: str, n: int) -> str:
+    """i with its bits in reverse order."""
+    bits = n.bit_length() - 1
+    return "(" + " + ".join(f"((({i}) >> {b}) & 1) * {1 << (bits - 1 - b)}" for b in range(bits)) + ")"
+
+
 def fft(src: str, name: str, n: int = 64, halve: bool = False, clip: bool = False, after=None) -> tuple[str, str]:
     """CTEs name0 .. nameK of the staged transform of src (row, re, im); after(stage, cte) may add CTEs and name the next source."""
-    order = str(fx.reversed_order(n))
-    wr, wi = fx.twiddles(n)
-    out = [f"{name}0 AS (SELECT row, list_transform({order}, lambda i: re[i + 1]) AS re, list_transform({order}, lambda i: im[i + 1]) AS im{', 0 AS exp' if after else ''} FROM {src})"]
+    put = lambda c: f"list_transform(range(0, {n}), lambda i: {c}[{swapped('i', n)} + 1]) AS {c}"
+    out = [f"{name}0 AS (SELECT row, {put('re')}, {put('im')}{', 0 AS exp' if after else ''} FROM {src})"]
     last = f"{name}0"
     for s in range(1, n.bit_length()):
         m, mh = 1 << s, 1 << (s - 1)
         up = f"(i - i % {m} + i % {mh} + 1)"
-        tw = f"((i % {mh}) * {n // m} + 1)"
+        tw = f"(i % {mh}) * {n // m}"
         h = " >> 1" if halve else ""
         br, bi = f"(re[{up} + {mh}]{h})", f"(im[{up} + {mh}]{h})"
-        c, d = f"{wr}[{tw}]", f"{wi}[{tw}]"
+        c, d = cos_q15(tw, n), sin_q15(tw, n)
         parts = []
         for part, prod in (("re", f"({c} * {br} - {d} * {bi})"), ("im", f"({c} * {bi} + {d} * {br})")):
             t = f"({prod} >> 15)"
@@ -62,8 +83,8 @@ def shifted(src: str, exp: str) -> str:
     return ", ".join(f"list_transform({c}, lambda v: {sat16(f'v >> {exp}')}) AS {c}" for c in ("re", "im"))
 
 
-def pass_l1(src: str, name: str) -> tuple[str, str]:
-    ctes, last = fft(src, name)
+def pass_l1(src: str, name: str, n: int = 64) -> tuple[str, str]:
+    ctes, last = fft(src, name, n)
     e = f"greatest(0, {bits('coalesce(max(l1), 0)')} - 15)"
     l1 = "list_sum(list_transform(re, lambda v: abs(v))) + list_sum(list_transform(im, lambda v: abs(v)))"
     return (
@@ -108,15 +129,14 @@ def renormalise(src: str, name: str) -> tuple[str, str]:
 
 def turn(src: str, name: str, n: int = 64) -> tuple[str, str]:
     return (
-        f"{name}l AS (SELECT unnest(range(0, {n})) AS row, row AS col, unnest(re) AS re, unnest(im) AS im FROM {src}), "
+        f"{name}l AS (SELECT (row // {n}) * {n} + unnest(range(0, {n})) AS row, row % {n} AS col, unnest(re) AS re, unnest(im) AS im FROM {src}), "
         f"{name} AS (SELECT row, list(re ORDER BY col) AS re, list(im ORDER BY col) AS im FROM {name}l GROUP BY row)",
         name,
     )
 
 
 def taper(src: str, name: str, h: int, w: int) -> tuple[str, str]:
-    a, b = fx.taper_q15(h), fx.taper_q15(w)
-    cw = wrap16(f"({a}[row + 1] * {b}[i]) >> 15")
+    cw = wrap16(f"({hamming_q15(f'row % {h}', h)} * {hamming_q15('i - 1', w)}) >> 15")
     one = lambda c: f"list_transform({c}, lambda v, i: {wrap16(f'(v * {cw}) >> 15')}) AS {c}"
     return f"{name} AS (SELECT row, {one('re')}, {one('im')} FROM {src})", name
 
@@ -129,9 +149,9 @@ def detect(src: str, n: int = 64) -> str:
     )
 
 
-def image(scaling: str, n: int = 64, tapered: bool = True) -> str:
-    """The whole image formation over the square frame."""
-    ctes = [SQUARE]
+def image(scaling: str, n: int = 64, tapered: bool = True, frame: str = SQUARE) -> str:
+    """The whole image formation over the frame sq as a stack of square looks."""
+    ctes = [frame]
     src = "sq"
     if tapered:
         more, src = taper(src, "wn", n, n)
@@ -144,7 +164,7 @@ def image(scaling: str, n: int = 64, tapered: bool = True) -> str:
         elif scaling == "uncond":
             more, src = fft(src, name, halve=True, clip=True)
         else:
-            more, src = {"l1": pass_l1, "global": pass_global}[scaling](src, name)
+            more, src = pass_l1(src, name, n) if scaling == "l1" else pass_global(src, name)
         ctes.append(more)
         if name == "fa":
             more, src = turn(src, "ct", n)
@@ -168,9 +188,8 @@ def scale_exponent(m: str) -> str:
 
 def pass_rescaled(src: str, name: str, n: int = 64) -> tuple[str, str]:
     """Mantissas scaled both ways after every stage; products keep all bits."""
-    order = str(fx.reversed_order(n))
-    wr, wi = fx.twiddles(n)
-    out = [f"{name}i AS (SELECT row, list_transform({order}, lambda i: re[i + 1]) AS re, list_transform({order}, lambda i: im[i + 1]) AS im, 0 AS exp FROM {src})"]
+    put = lambda c: f"list_transform(range(0, {n}), lambda i: {c}[{swapped('i', n)} + 1]) AS {c}"
+    out = [f"{name}i AS (SELECT row, {put('re')}, {put('im')}, 0 AS exp FROM {src})"]
 
     def scaled(last, new, off):
         move = lambda c: f"list_transform({c}, lambda v: {sat16('CASE WHEN sh >= 0 THEN v >> greatest(sh, 0) ELSE v * CAST(pow(2, greatest(-sh, 0)) AS BIGINT) END')}) AS {c}"
@@ -179,9 +198,21 @@ def pass_rescaled(src: str, name: str, n: int = 64) -> tuple[str, str]:
     out.append(scaled(f"{name}i", f"{name}s0", 0))
     for s in range(1, n.bit_length()):
         m, mh = 1 << s, 1 << (s - 1)
-        up, tw = f"(i - i % {m} + i % {mh} + 1)", f"((i % {mh}) * {n // m} + 1)"
-        br, bi, c, d = f"re[{up} + {mh}]", f"im[{up} + {mh}]", f"{wr}[{tw}]", f"{wi}[{tw}]"
+        up, tw = f"(i - i % {m} + i % {mh} + 1)", f"(i % {mh}) * {n // m}"
+        br, bi, c, d = f"re[{up} + {mh}]", f"im[{up} + {mh}]", cos_q15(tw, n), sin_q15(tw, n)
         v = lambda part, prod: f"list_transform(range(0, {n}), lambda i: {part}[{up}] * 32768 + (CASE WHEN i % {m} < {mh} THEN 1 ELSE -1 END) * ({prod})) AS {part}"
         out.append(f"{name}x{s} AS (SELECT row, {v('re', f'{c} * {br} - {d} * {bi}')}, {v('im', f'{c} * {bi} + {d} * {br}')}, exp FROM {name}s{s - 1})")
         out.append(scaled(f"{name}x{s}", f"{name}s{s}", 15))
     return ", ".join(out), f"{name}s{n.bit_length() - 1}"
+
+
+def dft2(src: str, name: str, h: str, w: int) -> str:
+    """CTEs namea and name (row, col, re, im): the centred two-dimensional transform of long src by direct sums; h is a scalar query."""
+    one = lambda t: f"sum(re * cos({t}) + im * sin({t})) AS re, sum(im * cos({t}) - re * sin({t})) AS im"
+    across = f"(2 * pi() * (((col - {w // 2}) * (k - {w // 2})) % {w}) / {w})"
+    down = "(2 * pi() * (((row - h // 2) * (k - h // 2)) % h) / h)"
+    return (
+        f"{name}h AS ({h}), {name}a AS (SELECT row, k AS col, {one(across)} FROM {src}, range(0, {w}) g(k) GROUP BY ALL), "
+        f"{name}k AS (SELECT unnest(range(0, h)) AS k, h FROM {name}h), "
+        f"{name} AS (SELECT k AS row, CAST(col AS INTEGER) AS col, any_value(h) AS h, {one(down)} FROM {name}a, {name}k GROUP BY k, col)"
+    )

@@ -5,8 +5,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
@@ -41,6 +43,25 @@ def to_rows(frame: DataFrame) -> DataFrame:
     return packed.select("row", F.transform("_v", lambda v: v["re"]).alias("re"), F.transform("_v", lambda v: v["im"]).alias("im"))
 
 
+def to_dense(frame: DataFrame, width: int) -> DataFrame:
+    """Long form to array form of lines of this width, with zeros where a line has no sample; of several in one place the last by value counts."""
+    packed = frame.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "re", "im"))).alias("v"))
+    packed = packed.select("row", *[F.transform("v", lambda v: v[c].cast("long")).alias(c) for c in ("col", "re", "im")])
+
+    def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            at = np.diff(p.column("col").offsets.to_numpy())
+            cell = np.repeat(np.arange(p.num_rows), at) * width + p.column("col").flatten().to_numpy(zero_copy_only=False)
+            out, off = [p.column("row")], pa.array(np.arange(0, p.num_rows * width + 1, width), pa.int32())
+            for c in ("re", "im"):
+                x = np.zeros(p.num_rows * width, np.int64)
+                x[cell] = p.column(c).flatten().to_numpy(zero_copy_only=False)
+                out.append(pa.ListArray.from_arrays(off, pa.array(x)))
+            yield pa.RecordBatch.from_arrays(out, ["row", "re", "im"])
+
+    return packed.mapInArrow(fill, "row long, re array<long>, im array<long>")
+
+
 def dims(frame: DataFrame) -> DataFrame:
     """n_rows, n_cols of a long frame."""
     return frame.agg((F.max("row") + 1).cast("long").alias("n_rows"), (F.max("col") + 1).cast("long").alias("n_cols"))
@@ -96,14 +117,44 @@ def source_line(spark: SparkSession, n: int, case: int = 0) -> DataFrame:
 
 
 def stimuli(spark: SparkSession, n: int, scale: float = 2000.0) -> DataFrame:
-    """case, k, re, im of the closed-form transform stimuli: impulse, dc, tone, impulse_k."""
+    """case, k, re, im of the transform stimuli: a spread of spectra, phases and dynamic ranges over one line.
+
+    twotone_hidr and dc_smalltone hold a weak tone 60 dB below a strong one, which a datapath that
+    floors small values loses. random is a complex normal line from a fixed seed, made on the driver."""
     k = F.col("id")
-    angle = 2 * F.pi() * (n // 8) * k / n
+    wave = lambda size, f: (size * F.cos(2 * F.pi() * f * k / n), size * F.sin(2 * F.pi() * f * k / n))
+    both = lambda a, b: (a[0] + b[0], a[1] + b[1])
+    spike = lambda at: (F.when(k == at, scale).otherwise(0.0), F.lit(0.0))
+    level = (F.lit(scale), F.lit(0.0))
     rows = {
-        "impulse": (F.when(k == 0, scale).otherwise(0.0), F.lit(0.0)),
-        "dc": (F.lit(scale), F.lit(0.0)),
-        "tone": (scale * F.cos(angle), scale * F.sin(angle)),
-        "impulse_k": (F.when(k == 37 % n, scale).otherwise(0.0), F.lit(0.0)),
+        "impulse": spike(0),
+        "dc": level,
+        "tone": wave(scale, n // 8),
+        "twotone": both(wave(scale, 5), wave(0.5 * scale, n // 3)),
+        "impulse_k": spike(37 % n),
+        "twotone_hidr": both(wave(scale, 11), wave(1e-3 * scale, n // 3)),
+        "dc_smalltone": both(level, wave(1e-3 * scale, n // 5)),
     }
     cases = F.array(*[F.struct(F.lit(c).alias("case"), re.alias("re"), im.alias("im")) for c, (re, im) in rows.items()])
-    return spark.range(n).select(k.alias("k"), F.explode(cases).alias("c")).select("c.case", "k", "c.re", "c.im")
+    closed = spark.range(n).select(k.alias("k"), F.explode(cases).alias("c")).select("c.case", "k", "c.re", "c.im")
+    r = np.random.default_rng(1234)
+    re, im = (scale * r.standard_normal(n) / 2**0.5 for _ in range(2))
+    return closed.unionByName(spark.createDataFrame(pd.DataFrame({"case": "random", "k": np.arange(n), "re": re, "im": im})))
+
+
+def scene_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path and byte_len of the files below a folder that match a pattern, in the order of their paths; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("byte_len")).orderBy("path")
+
+
+def siblings(name: Column, suffix: str, others: list[str]) -> Column:
+    """The names beside one that ends in suffix: its stem with each of the other suffixes; none for another name."""
+    stem = F.substring(name, F.lit(1), F.length(name) - len(suffix))
+    return F.when(F.endswith(name, F.lit(suffix)), F.array(*[F.concat(stem, F.lit(o)) for o in others])).otherwise(F.array().cast("array<string>"))
+
+
+def fixed_name(prefix: str, number: Column, width: int = 5) -> Column:
+    """A name with its number padded by zeros, so that names sort as numbers do; longer numbers keep all digits."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))

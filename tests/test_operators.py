@@ -25,7 +25,32 @@ def back(df):
 @pytest.mark.parametrize("n", [2, 8, 64])
 def test_expression_and_arrow_transforms_agree(spark, n):
     x = rows_of(spark, codes(3, n))
-    assert (back(spectral.fft_full(x, n)) == back(spectral.fft_full_arrow(x))).all()
+    assert (back(spectral.fft_full(x, n)) == back(spectral.fft_full_arrow(x, n))).all()
+
+
+@pytest.mark.parametrize("top", [3, 32767])
+def test_kernel_and_expression_passes_agree(spark, top):
+    x = rows_of(spark, codes(5, 16, seed=top, top=top) * np.array([1, 0, 1 / 64, 1, 1 / 999])[:, None])
+    keep = lambda df, *c: [tuple(r) for r in df.select("row", "re", "im", *c).orderBy("row").collect()]
+    for scaling, f in (("l1", spectral.pass_l1), ("global", spectral.pass_global), ("perrow", spectral.pass_perrow)):
+        assert keep(spectral.line_pass(x, 16, scaling), "exp") == keep(f(x, 16), "exp")
+    assert keep(spectral.line_pass(x, 16, "uncond")) == keep(spectral.pass_uncond(x, 16))
+
+
+def test_looks_are_formed_alone(spark):
+    x = codes(12, 8, top=900)
+    pad = spectral.pad_lines(rows_of(spark, x), 8, 8)
+    assert pad.count() == 16
+    got = {(r["row"], r["col"]): r["mag"] for r in spectral.form_image(pad, 8, 8, "uncond").collect()}
+    for k, part in enumerate((x[:8], np.concatenate([x[8:], np.zeros((4, 8))]))):
+        alone = spectral.form_image(rows_of(spark, part), 8, 8, "uncond").collect()
+        assert len(alone) == 64 and all(got[r["row"] + 8 * k, r["col"]] == r["mag"] for r in alone)
+
+
+def test_plan_does_not_grow_with_the_line(spark):
+    x = spectral.pad_lines(rows_of(spark, codes(1, 512, top=900)), 512, 512)
+    img = spectral.form_image(x, 512, 512, "perrow")
+    assert len(img._jdf.queryExecution().executedPlan().toString()) < 10_000 and img.count() == 512 * 512
 
 
 def test_transform_is_close_to_float(spark):
@@ -45,6 +70,8 @@ def test_per_row_exponents_need_renormalising(spark):
 
 
 def test_zero_rows_stay_zero(spark):
+    for scaling in ("l1", "global", "perrow", "uncond"):
+        assert (back(spectral.line_pass(rows_of(spark, np.zeros((2, 8), complex)), 8, scaling)) == 0).all()
     for f in (spectral.pass_l1, spectral.pass_global, spectral.pass_perrow, spectral.pass_uncond):
         assert (back(f(rows_of(spark, np.zeros((2, 8), complex)), 8)) == 0).all()
 
@@ -201,3 +228,89 @@ def test_empty_frames(spark):
     assert spectral.form_image(none, 4, 4, "l1").count() == 0
     assert slicing.decimate(frames.to_long(none), 2, 2).count() == 0
     assert raster.histogram(spectral.detect_rows(none)).count() == 0
+
+
+def test_digest_sees_repeated_rows(spark):
+    frame = lambda a, b: spark.createDataFrame([(0, 0, a), (0, 0, a), (0, 1, b), (0, 1, b)], "row long, col int, v int")
+    assert not catalog.verify(frame(1, 1), frame(9, 9)) and catalog.verify(frame(1, 2), frame(1, 2))
+    assert catalog.frame_digest(frame(1, 1).limit(0)).first()["digest"] == "0"
+
+
+def test_region_crc_is_that_of_the_bytes(spark):
+    import zlib
+
+    x = codes(37, 9)
+    want = zlib.crc32(np.stack([x.real, x.imag], -1).astype("<i2").tobytes())
+    got = catalog.region_crc(rows_of(spark, x).repartition(5)).first()
+    assert (got["n_bytes"], got["crc"]) == (37 * 9 * 4, want)
+    assert catalog.region_crc(rows_of(spark, x).where("row < 0")).first()["crc"] == 0
+    for a, b in ((b"", b"x"), (b"abc", b""), (b"abc" * 99, b"\0" * 70_001)):
+        assert catalog.join_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_cross_pass_brackets_long_axes(spark):
+    n = 131_077
+    rows = spark.range(1).select(F.col("id").alias("row"), *[F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("double") if c == "axis" else (i % 30_000).cast("long")).alias(c) for c in ("re", "im", "axis")])
+    grid = spark.createDataFrame([(0, 77_777.0), (1, 3.0), (2, 131_075.0), (3, 131_076.0)], "i int, q double")
+    assert geometry.resample_cross(rows, grid).first()["re"] == [17_777, 3, 11_075, 0]
+
+
+def test_float_interpolation_has_both_outer_values(spark):
+    s = spark.createDataFrame([("a", 1.0, 10.0), ("a", 2.0, 20.0)], "k string, x double, v double")
+    q = spark.createDataFrame([("a", 0.5), ("a", 1.0), ("a", 1.5), ("a", 2.0), ("a", 2.5), ("b", 1.0)], "k string, q double")
+    both = interp.bracket(q, s, "k", "both", beyond=True)
+    got = both.select("k", "q", interp.interp_float(both, -1.0, -2.0).alias("v")).collect()
+    assert {(r["k"], r["q"]): r["v"] for r in got} == {("a", 0.5): -1, ("a", 1.0): 10, ("a", 1.5): 15, ("a", 2.0): 20, ("a", 2.5): -2, ("b", 1.0): -1}
+
+
+def test_normal_stretch(spark):
+    from statistics import NormalDist
+
+    mags = [0, 0, 5, 5, 9, 70, 70, 70]
+    img = spark.createDataFrame([(0, i, m) for i, m in enumerate(mags)], "row long, col int, mag int")
+    live = [m for m in mags if m]
+    z = {m: NormalDist().inv_cdf((sum(x < m for x in live) + 0.5 * live.count(m)) / len(live)) for m in live}
+    want = [int(max(0, min(255, 128 + 127 * z[m] / 3))) if m else 0 for m in mags]
+    assert [r["v"] for r in raster.stretch_normal(img).orderBy("col").collect()] == want
+
+
+def test_png_holds_the_raster(spark, tmp_path):
+    import struct
+    import zlib
+
+    v = np.random.default_rng(1).integers(0, 256, (5, 7))
+    v[3] = 0
+    img = spark.createDataFrame([(r, c, int(v[r, c])) for r in range(5) for c in range(7) if r != 3], "row long, col int, v int")
+    assert raster.write_png(img, str(tmp_path / "a.png")) == (5, 7)
+    raw, at, data = (tmp_path / "a.png").read_bytes(), 8, b""
+    while at < len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        assert struct.unpack(">I", raw[at + 8 + n : at + 12 + n])[0] == zlib.crc32(raw[at + 4 : at + 8 + n])
+        data += raw[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    assert (np.frombuffer(zlib.decompress(data), np.uint8).reshape(5, 8)[:, 1:] == v).all()
+
+
+def test_stimuli_lines(spark):
+    got = frames.stimuli(spark, 128).toPandas()
+    r = np.random.default_rng(1234)
+    re, im = (2000 * r.standard_normal(128) / 2**0.5 for _ in range(2))
+    x = got[got["case"] == "random"].sort_values("k")
+    assert got["case"].nunique() == 8 and np.allclose(x["re"], re) and np.allclose(x["im"], im)
+    weak = got[got["case"] == "twotone_hidr"].sort_values("k")
+    spectrum = abs(np.fft.fft(weak["re"].to_numpy() + 1j * weak["im"].to_numpy()))
+    assert abs(spectrum[42] / spectrum[11] - 1e-3) < 1e-9
+
+
+def test_files_come_in_the_order_of_their_paths(spark, tmp_path):
+    for name in ("b/two.bin", "a/one.bin", "a/none.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    got = frames.scene_files(spark, str(tmp_path), "*.bin").collect()
+    assert [(r["path"][-9:], r["byte_len"]) for r in got] == [("a/one.bin", 9), ("b/two.bin", 9)]
+
+
+def test_dense_lines(spark):
+    f = spark.createDataFrame([(2, 3, 5, 6), (2, 0, 1, 2), (7, 1, -1, -2)], "row long, col int, re int, im int")
+    got = {r["row"]: (r["re"], r["im"]) for r in frames.to_dense(f, 4).collect()}
+    assert got == {2: ([1, 0, 0, 5], [2, 0, 0, 6]), 7: ([0, -1, 0, 0], [0, -2, 0, 0])}
