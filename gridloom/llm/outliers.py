@@ -2,8 +2,11 @@
 
 DataFrame functions only. Five transformed statistics of every text form a vector; each language
 and source has a location and scatter estimated on the part of its documents with the smallest
-Mahalanobis distances (concentration steps from two starts, the smaller determinant wins, then one
-reweighting), and a document too far from its group's centre is rejected.
+Mahalanobis distances (concentration steps from three starts until the log determinants move by
+less than a thousandth a group, the smallest determinant wins, then one reweighting), and a document too far from its group's centre is
+rejected: beyond the chi-square quantile of five variables at 1 - ALPHA. Most clean texts have no
+symbol and no repeat at all, so their vectors have heavier tails than normal ones and a usual level
+(0.975, 12.8) rejects clean documents: on sf0.1 54 of 3243 with a good label, and none at this one.
 
 A concentration step is one aggregation: distances fall into logarithmic bins, a bin keeps counts
 and sums of products, and the nearest bins that hold at least the wanted share of a group's
@@ -23,7 +26,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 from .stats import with_base
 
 P = 5
@@ -31,6 +34,8 @@ P = 5
 FLOORS = (0.35, 0.06, 0.35, 0.35, 0.5)
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+#: Level of rejection.
+ALPHA = 1e-9
 #: Groups whose estimates may be broadcast: 200 bytes each, so 20 MB at most.
 BROADCAST_GROUPS = 100_000
 
@@ -127,10 +132,10 @@ def add_up(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in names])
 
 
-def fit(stats: DataFrame, groups: DataFrame, n_groups: int, share: float, steps: int) -> DataFrame:
-    """g, m, low: the reweighted estimate of every group."""
+def fit(stats: DataFrame, groups: DataFrame, n_groups: int, share: float, steps: int, cut=cut) -> DataFrame:
+    """g, m, low: the reweighted estimate of every group, from at most this many concentration steps."""
     usable = attach(stats.where(~F.col("base_failed")), groups.where(F.col("g").isNotNull()).drop("n"), [("lang", "gl"), ("source", "gs")], n_groups)
-    usable = usable.select("g", *[f"z{i}" for i in range(P)])
+    usable = cut(usable.select("g", *[f"z{i}" for i in range(P)]))
     sums = usable.groupBy("g").agg(
         F.count("*").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
     )
@@ -142,12 +147,17 @@ def fit(stats: DataFrame, groups: DataFrame, n_groups: int, share: float, steps:
         F.array(*[spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("low"),
         sum((2 * F.log(x) for x in spread), F.lit(0.0)).alias("logdet"),
     )
-    now = cut(mean.withColumn("start", F.lit(0)).unionByName(middle.withColumn("start", F.lit(1))))
-    keys = ["g", "start"]
+    plain = middle.withColumns({"low": F.array(*[F.lit(FLOORS[i] if i == j else 0.0) for i, j in PAIRS]), "start": F.lit(2)})
+    now = cut(mean.withColumn("start", F.lit(0)).unionByName(middle.withColumn("start", F.lit(1))).unionByName(plain))
+    keys, before = ["g", "start"], None
     for _ in range(steps):
         rows = usable.join(F.broadcast(now) if n_groups <= BROADCAST_GROUPS else now, "g")
         near = binned(rows, keys).where(F.col("upto") - F.col("n") < F.ceil(F.col("all") * share))
         now = cut(estimate(add_up(near, keys), keys))
+        reached = now.agg(F.sum("logdet").alias("x")).first()["x"]
+        if before is not None and reached is not None and abs(reached - before) <= 1e-3 * n_groups:
+            break
+        before = reached
     w = Window.partitionBy("g").orderBy("logdet", "start")
     best = now.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "start", "logdet")
     rows = usable.join(F.broadcast(best) if n_groups <= BROADCAST_GROUPS else best, "g")
@@ -157,14 +167,16 @@ def fit(stats: DataFrame, groups: DataFrame, n_groups: int, share: float, steps:
     return estimate(add_up(inside, ["g"]), ["g"]).drop("logdet")
 
 
-def robust_outliers(docs: DataFrame, min_group: int = 60, share: float = 0.75, steps: int = 4, cutoff: float = 80.0) -> DataFrame:
+def robust_outliers(docs: DataFrame, min_group: int = 60, share: float = 0.75, steps: int = 10, cutoff: float | None = None) -> DataFrame:
     """Per document the base statistics, base_failed, distance2 (null without an estimate) and kept."""
+    cutoff = chi2_quantile(1 - ALPHA) if cutoff is None else cutoff
     stats = cut(vectors(docs))
-    groups = cut(assign(stats, min_group))
-    n_groups = groups.count()
-    groups = groups.withColumn("g", F.when(F.col("n") >= min_group, F.col("g")))
-    model = fit(stats, groups, n_groups, share, steps).withColumnRenamed("g", "_g")
-    known = attach(groups.drop("n"), cut(model), [("g", "_g")], n_groups).drop("g")
+    with scratch(docs.sparkSession) as keep:
+        groups = keep(assign(stats, min_group))
+        n_groups = groups.count()
+        groups = groups.withColumn("g", F.when(F.col("n") >= min_group, F.col("g")))
+        model = fit(stats, groups, n_groups, share, steps, keep).withColumnRenamed("g", "_g")
+        known = cut(attach(groups.drop("n"), keep(model), [("g", "_g")], n_groups).drop("g"))
     out = attach(stats, known, [("lang", "gl"), ("source", "gs")], n_groups).withColumn("distance2", distance())
     kept = ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= cutoff))
     return out.withColumn("kept", kept).select("doc_id", "lang", "source", *BASE, "base_failed", "kept", "distance2")

@@ -33,6 +33,19 @@ def test_quality_held_out(spark, documents, labelled):
     assert len(both) > 40 and (both["predicted"] == both["quality"]).mean() > 0.95
 
 
+def test_compiled_rules_equal_plain_evaluation(spark, documents, labelled):
+    """Every document's score, rule by rule in Python over the statistics, against the column expression."""
+    from gridloom.llm import stats
+
+    model = quality.train_quality(documents, table(spark, SF, "labels"))
+    shape = stats.with_shape(documents).select("doc_id", *stats.SHAPE).toPandas().set_index("doc_id")
+    got = quality.score_quality(documents, model, "s").select("doc_id", "s").toPandas().set_index("doc_id")["s"]
+    assert len(model.rules) > 5
+    for i, x in shape.iterrows():
+        z = model.intercept + sum(w for rule, w in model.rules if all((x[f] <= v) if op == "<=" else (x[f] > v) for f, op, v in rule))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_lasso_finds_the_one_rule():
     r = np.random.default_rng(0)
     x = r.normal(size=(800, 3))
@@ -95,6 +108,41 @@ def test_threshold_search_equals_sorting(seed):
         assert got.tolist() == ids[want].tolist() and score.tolist() == s[want].tolist()
 
 
+def test_the_bound_saves_work_on_vectors_with_structure():
+    r = np.random.default_rng(5)
+    c = np.where(r.random((4_000, 40)) < 0.05, r.integers(1, 1_000, (4_000, 40)), 0).astype(float)
+    q, ids, scored = c[:20], np.arange(4_000), []
+    got = topk.threshold_search(q, c, ids, ids[:20], 10, scored=scored)
+    for x, i, (best, score) in zip(q, ids[:20], got, strict=True):
+        want = sorted((j for j in range(4_000) if j != i), key=lambda j: (-(c[j] @ x), j))[:10]
+        assert best.tolist() == want and score.tolist() == (c[want] @ x).tolist()
+    bars = np.array([s[-1] for _, s in got])
+    more: list = []
+    again = topk.threshold_search(q, c, ids, ids[:20], 10, bars, more)
+    assert np.mean(scored) < 0.5 * 4_000 and sum(more) <= sum(scored)
+    assert all((a[0] == b[0]).all() for a, b in zip(got, again, strict=True))
+
+
+def topk_oracle(duck_rows):
+    import duckdb
+    import pandas as pd
+
+    from gridloom.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    embeddings = pd.DataFrame(duck_rows, columns=["vec_id", "embedding"])  # noqa: F841
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", duck_rows)
+    return sorted(con.execute(ORACLE_SQL["op2_threshold_topk"]).fetchall())
+
+
+def test_repeated_and_large_vectors_score_as_in_sql(spark):
+    rows = [(0, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [0.5, 9.0]), (100, [1e8, 3.0]), (7, [1e8, -2.0]), (8, [1e30, 1.0]), (9, [-1e30, 1e30]), (200, [1e30, -1e30]), (11, [3e4, 3e4])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op2(spark, df).collect())
+    assert got == topk_oracle(rows) and max(r[3] for r in got) == (1 << 63) - 1
+
+
 def test_blocks_do_not_change_the_result(spark):
     v = topk.quantise(table(spark, SF, "embeddings"))
     a, b = (topk.search(v, F.col("vec_id") % 50 == 0, 10, *size).orderBy("query_id", "rank").toPandas() for size in ((16384, 4096), (70, 3)))
@@ -125,6 +173,36 @@ def test_outliers_keep_good_texts(spark, documents, labelled):
     assert rest.loc[rest["quality"] == 1, "kept"].mean() > 0.98 and rest.loc[rest["quality"] == 0, "kept"].mean() < 0.05
 
 
+def test_estimates_equal_an_exact_search(spark):
+    """Concentration on sorted distances from 60 random starts, against the binned steps from three."""
+    r = np.random.default_rng(11)
+    n = 700
+    z = r.normal(size=(n, 5)) @ np.diag([0.8, 0.1, 0.5, 0.4, 0.9]) + np.array([5, 1.7, 0.5, 0.5, 1.0])
+    z[: n // 9] += np.array([0, 0.5, 5, 3, 4])
+    floors = np.diag(np.square(outliers.FLOORS))
+    dist = lambda m, s: np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(s), z - m)
+    of = lambda x: (x.mean(0), np.cov(x.T, bias=True) + floors)
+    h, best = -(-n * 3 // 4), (np.inf, None)
+    for _ in range(60):
+        m, s = of(z[r.choice(n, 12, replace=False)])
+        for _ in range(40):
+            m, s = of(z[np.argsort(dist(m, s))[:h]])
+        best = min(best, (np.linalg.slogdet(s)[1], (m, s)), key=lambda x: x[0])
+    d = dist(*best[1])
+    scale = max(1.0, np.sort(d)[h - 1] / outliers.chi2_quantile(0.75))
+    want = dist(*of(z[d <= scale * outliers.chi2_quantile(0.975)]))
+    rows = [(i, "x", "y", False, *map(float, v)) for i, v in enumerate(z)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, base_failed boolean, z0 double, z1 double, z2 double, z3 double, z4 double")
+    groups = outliers.assign(stats, 60)
+    model = outliers.fit(stats, groups, 1, 0.75, 20).first()
+    low = np.zeros((5, 5))
+    for (i, j), v in zip(outliers.PAIRS, model["low"], strict=True):
+        low[i, j] = v
+    got = dist(np.array(model["m"]), low @ low.T)
+    at = outliers.chi2_quantile(1 - outliers.ALPHA)
+    assert ((got > at) == (want > at)).all() and (want > at)[: n // 9].all() and np.median(abs(got / want - 1)) < 0.03
+
+
 def test_distance_equals_numpy(spark):
     r = np.random.default_rng(0)
     z = r.normal(size=(200, 5)) @ r.normal(size=(5, 5))
@@ -470,6 +548,23 @@ def test_language_scores_equal_counting():
     assert [sorted(g[d == i].tolist()) for i in range(5)] == [sorted(a) for a in alone] and letters.tolist() == [True, True, False, False, True]
 
 
+def test_language_posterior_equals_plain_counting(spark):
+    """Two small languages: the posterior of add-half multinomial counts over hashed grams, gram by gram."""
+    rows = [(1, "ab abc bad", "x"), (2, "cab cabbage", "x"), (3, "zig zag zoo", "y"), (4, None, "x"), (5, "none", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, logp = langid.train_langid(df)
+    n = {k: Counter() for k in ("x", "y")}
+    for _, text, lang in rows:
+        if lang and text:
+            n[lang].update(langid.grams([text])[0].tolist())
+    asked = ["abba", "zap", "the cab zag"]
+    got = langid.predict_langid(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string"), names, logp).orderBy("doc_id").collect()
+    for t, r in zip(asked, got, strict=True):
+        ll = {k: sum(np.log((c[g] + 0.5) / (c.total() + 0.5 * langid.BUCKETS)) for g in langid.grams([t])[0].tolist()) for k, c in n.items()}
+        top = max(ll, key=ll.get)
+        assert r["lang_id"]["lang"] == top and abs(r["lang_id"]["score"] - 1 / sum(np.exp(v - ll[top]) for v in ll.values())) < 1e-4
+
+
 def test_pipeline_stages(spark, labelled):
     import corpus_pipeline as cp
 
