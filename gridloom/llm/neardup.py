@@ -247,14 +247,14 @@ def buckets(bands: DataFrame, cut=cut) -> DataFrame:
     return some.join(once.select("key", "m", "a"), "key")
 
 
-def leftovers(members: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+def leftovers(members: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataFrame, cut=cut) -> DataFrame:
     """Links a, b between different components within buckets of three or more whose members lie in several.
 
     Every pair of blocks of a bucket is a group of bounded size. First the members that have a likely
     partner in another component are found by signature; then, among these alone, pairs are compared
     exactly while their components differ, and a link joins these for the pairs to come."""
     named = members.where("m > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    mixed = cut(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))  # a table, so that the join splits a hot key
     named = named.join(mixed, "key").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
@@ -330,7 +330,7 @@ def classes(docs: DataFrame) -> DataFrame:
         with small_batches(spark):
             sets = keep(cell_sets(docs, ids, n_ids))
         links = keep(true_links(likely, sets))
-        more = keep(leftovers(members, components(links), some, sets))
+        more = keep(leftovers(members, components(links), some, sets, keep))
         own = keep(reps.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")))
         several = reps.join(own.where("rep <> last").select("id"), "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # the texts of a repeated id
         root = components(links.unionByName(more).unionByName(several))
