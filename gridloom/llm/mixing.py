@@ -6,9 +6,10 @@ floor((i-1) / w) and due at ceil(i / w); earliest deadline first fills every slo
 source is less than one block off its weight. When a source has no block left, the others go on in
 their proportions (the next phase), so every document is scheduled exactly once.
 
-The schedule of blocks is one stream, made by one task on an executor; what it remembers is a block and
-at most PIECE slots a source. It leaves as pieces of PIECE blocks of a source, which are broadcast up
-to BROADCAST_BLOCKS blocks and shuffled beyond. A document's place in its source is its place in a
+The schedule of blocks is one stream, made by one task on an executor from the written table of the
+sources' sizes, so that there may be any number of sources; what it remembers is a block and at most
+PIECE slots a source, and a phase begins with one look at the sources left. It leaves as pieces of
+PIECE blocks of a source, which are broadcast up to BROADCAST_BLOCKS blocks and shuffled beyond. A document's place in its source is its place in a
 bucket of bounded size plus the counts of the buckets before, so a source may hold any share of the rows.
 
 Defined cases: a null source is a source of its own; documents with one id and source, repeated
@@ -28,7 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FRAME, MAX_SOURCES = 1024, 1024
+from .common import cut
+
+FRAME = 1024
+#: Sources whose table of sizes may be broadcast: a name and 16 bytes each.
+BROADCAST_SOURCES = 100_000
 #: Blocks in a piece of the schedule, and blocks whose pieces may be broadcast: 12 bytes each.
 PIECE, BROADCAST_BLOCKS = 1024, 4_000_000
 PLAN = "m_source string, m_piece long, slots array<long>, phases array<int>"
@@ -100,27 +105,26 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block:
     """docs with the column out: struct of block, slot, phase and position, the place in the mixed order.
 
     weights maps sources to target weights; without it a source weighs its count to the given power."""
-    spark = docs.sparkSession
-    sizes = docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = sorted(((r["source"], r["count"]) for r in sizes), key=lambda x: (x[0] is not None, x[0] or ""))
-    deal = spark.createDataFrame([(s, -(-n // per_bucket)) for s, n in sizes], "b_source string, b_n long").select(source_key(F.col("b_source")).alias("b_source"), "b_n")  # a row a source
-    goal = [float((weights or {}).get(s, 0.0)) if weights is not None else n**power for s, n in sizes]
-    shares, blocks, names = whole_parts(goal, FRAME), [-(-n // block) for _, n in sizes], ["" if s is None else f"={s}" for s, _ in sizes]
+    key = source_key(docs["source"])
+    sizes = cut(docs.groupBy(key.alias("b_source")).agg(F.count("*").alias("b_count")))  # a row a source, whatever their number
+    few, n_blocks = sizes.agg(F.count("*") <= BROADCAST_SOURCES, F.coalesce(F.sum(F.ceil(F.col("b_count") / block)), F.lit(0))).first()
+    goals = None if weights is None else {"" if s is None else f"={s}": float(w) for s, w in weights.items()}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = ((names[s], *rest) for _ in range(len(part)) for s, *rest in pieces(blocks, shares))
-            while some := list(islice(rows, 64)):
-                yield pd.DataFrame(some, columns=["m_source", "m_piece", "slots", "phases"])
-
-    plan = spark.range(0, 1, 1, 1).mapInPandas(run, PLAN)
-    plan = F.broadcast(plan) if sum(blocks) <= BROADCAST_BLOCKS else plan
+        known = sorted((s, n) for part in parts for s, n in zip(part["b_source"], part["b_count"].tolist(), strict=True))
+        shares = whole_parts([n**power if goals is None else goals.get(s, 0.0) for s, n in known], FRAME)
+        rows = ((known[s][0], *rest) for s, *rest in pieces([-(-n // block) for _, n in known], shares))
+        while some := list(islice(rows, 64)):
+            yield pd.DataFrame(some, columns=["m_source", "m_piece", "slots", "phases"])
+
+    plan = sizes.coalesce(1).mapInPandas(run, PLAN)
+    plan = F.broadcast(plan) if n_blocks <= BROADCAST_BLOCKS and few else plan
+    deal = sizes.select("b_source", F.ceil(F.col("b_count") / per_bucket).alias("b_n"))
+    deal = F.broadcast(deal) if few else deal
     rows = docs.drop(out) if out in docs.columns else docs
-    dealt = rows.select(F.struct("*").alias("m_row"), docs["doc_id"].alias("m_id"), source_key(docs["source"]).alias("m_src"))
+    dealt = rows.select(F.struct("*").alias("m_row"), docs["doc_id"].alias("m_id"), key.alias("m_src"))
     h = F.xxhash64("m_id", F.lit(seed))
-    dealt = dealt.join(F.broadcast(deal), F.col("m_src") == F.col("b_source"))
+    dealt = dealt.join(deal, F.col("m_src") == F.col("b_source"))
     dealt = dealt.withColumns({"m_h": h, "m_b": F.pmod(h, F.col("b_n"))}).drop("b_source", "b_n")
     counts = dealt.groupBy(F.col("m_src").alias("c_source"), F.col("m_b").alias("c_b")).agg(F.count("*").alias("c_n"))
     before = counts.withColumn("c_before", F.sum("c_n").over(Window.partitionBy("c_source").orderBy("c_b")) - F.col("c_n")).drop("c_n")

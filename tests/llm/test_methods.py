@@ -371,6 +371,17 @@ def test_phases_schedule_every_block_once():
     assert all(v == sorted(v) for v in slots.values())
 
 
+def test_any_number_of_sources(spark, monkeypatch):
+    rows = [(i, None if i % 1500 == 0 else f"s{i % 1500}") for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, block=2).select("doc_id", "source", "mix.*").toPandas()
+    assert sorted(got["doc_id"]) == list(range(4_000)) and got["position"].is_unique
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    again = mixing.mix(docs, block=2).select("doc_id", "source", "mix.*").toPandas()
+    order = lambda p: p.sort_values("doc_id").values.tolist()
+    assert order(got) == order(again)
+
+
 def test_mixture_follows_the_weights(spark, documents):
     got = mixing.mix(documents, {f"src{i}": float(i + 1) for i in range(20)}, block=1).select("source", "mix.*").toPandas().sort_values("position")
     assert got["position"].tolist() == list(range(len(got)))
