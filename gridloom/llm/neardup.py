@@ -344,14 +344,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     It is a row whose id names the class; if that id is repeated, the row whose text has the smallest
     hash. Rows with a null id take part by a large key made of their values, so a row with an id names
-    the class before them, and rows that are equal in every column count as one."""
+    the class before them, and rows that are equal in every column count as one.
+
+    The ids to keep are counted first: texts stay where they are as long as these may be broadcast, and
+    are shuffled once beyond; rows of repeated ids are the only ones that are ranked."""
     spare = F.xxhash64(*[docs[f"`{f.name}`"] for f in docs.schema if "map" not in f.dataType.simpleString()]).bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), spare).alias("doc_id"), "text")
-    named = classes(keyed.select("doc_id", "text")).where("doc_id = class_id").groupBy(F.col("doc_id").alias("name")).count()
-    named = cut(named)
-    once = keyed.join(named.where("count = 1"), F.col("doc_id") == F.col("name"), "left_semi").select("row.*")
-    again = keyed.join(named.where("count > 1"), F.col("doc_id") == F.col("name"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))  # each task keeps its first row of an id before the shuffle
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), spare).alias("id"))
+    named = cut(classes(keyed.select(F.col("id").alias("doc_id"), "row.text")).where("doc_id = class_id").groupBy(F.col("doc_id").alias("id")).count())
+    n_once, n_again = named.agg(F.count_if(F.col("count") == 1), F.count_if(F.col("count") > 1)).first()
+    once = only(keyed, named.where("count = 1").select("id"), n_once).select("row.*")
+    if not n_again:
+        return once
+    again = only(keyed, named.where("count > 1").select("id"), n_again)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text")))  # each task keeps its first row of an id before the shuffle
     return once.unionByName(again.withColumn("place", place).where("place = 1").select("row.*"))
 
 
