@@ -94,6 +94,16 @@ def test_neardup(spark):
     assert neardup.op7(spark, docs(spark, [])).count() == 0
 
 
+def test_deduplicate_beyond_the_broadcast_bound(spark, monkeypatch):
+    texts = ["one two three four five six", "one two three four five six", "quite other words stand in this one", None, ""]
+    rows = [(i % 7 if i % 5 else None, texts[i % len(texts)], f"s{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = lambda df: sorted(map(str, df.collect()))
+    few = order(neardup.deduplicate(docs))
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    assert few and order(neardup.deduplicate(docs)) == few
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "<p>a &amp; b\n c<p>d", "x"), (3, None, "<p>a &amp; b\n c<p>d", "x")], "page_id long, url string, html string, text string")
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in htmltext.op9(spark, pages).collect()]
