@@ -576,6 +576,28 @@ def test_language_posterior_equals_plain_counting(spark):
         assert r["lang_id"]["lang"] == top and abs(r["lang_id"]["score"] - 1 / sum(np.exp(v - ll[top]) for v in ll.values())) < 1e-4
 
 
+def test_more_languages_than_a_block_are_scored_alike(spark, documents, monkeypatch):
+    """Blocks of two languages with a pass each give the languages and posteriors of one matrix."""
+    usable = documents.where("doc_id % 3 = 0 OR text IS NULL")
+    want = langid.op10(spark, usable).toPandas().set_index("doc_id").sort_index()
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    assert len(list(langid.language_blocks(usable))) > 1
+    got = langid.op10(spark, usable).toPandas().set_index("doc_id").sort_index()
+    assert len(got) == len(want) > 100 and (got["lang_pred"] == want["lang_pred"]).all() and np.allclose(got["score"], want["score"], atol=1e-9)
+
+
+def test_blocks_of_languages_in_small_cases(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 1)
+    rows = [(1, "aaa bbb", "x", 1), (2, "aaa bbb", "y", 2), (3, "zzz", "z", 3), (4, None, "x", 4), (5, "12", None, 5), (5, "aaa", "x", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _best int")
+    got = langid.identify(df, langid.language_blocks(df))
+    assert got.columns == [*df.columns, "lang_id"]
+    by_text = {r["text"]: (r["lang_id"]["lang"], r["lang_id"]["score"]) for r in got.collect()}
+    assert got.count() == 6 and by_text[None] == by_text["12"] == ("und", 0.0) and by_text["zzz"][0] == "z"
+    assert by_text["aaa bbb"][0] == "x"  # the first of those that tell no more
+    assert langid.identify(df.limit(0), langid.language_blocks(df)).count() == 0 == langid.identify(df.limit(0), langid.language_blocks(df.limit(0))).count()
+
+
 def test_pipeline_stages(spark, labelled):
     import corpus_pipeline as cp
 
