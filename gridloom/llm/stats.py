@@ -15,8 +15,10 @@ def words(text: Column) -> Column:
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    """How many code points of a text are among chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many code points of a text are among chars; null for null.
+
+    One pass of a character class: translate() looks every character of the text up by itself, many times slower."""
+    return F.regexp_count(text, F.lit("[" + "".join(c if c.isalnum() else "\\" + c for c in chars) + "]"))
 
 
 def with_base(df: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def with_base(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.translate(F.col("_text"), " \t\n\x0b\x0c\r", "")).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": count_chars(F.col("_text"), "#*$%&|<>").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
@@ -72,7 +74,7 @@ def with_shape(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "f_words": F.log1p(F.size("_w")),
-            "f_word_len": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")) / n,
+            "f_word_len": F.length(F.array_join("_w", "")) / n,
             "f_symbols": count_chars(t, "#*$%&<>") / n,
             "f_bars": count_chars(t, "|") / n,
             "f_upper": count_chars(t, _UPPER) / c,
