@@ -32,14 +32,15 @@ def with_base(df: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
     w = F.col("_w")
-    windows = F.when(
+    hashes = F.when(
         F.size(w) >= 3,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - 3),
-                lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-            )
-        ),
+        F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
+    )
+    df = df.withColumn("_hash", hashes)
+    own = F.col("_hash")
+    windows = F.when(  # texts without a repeated hash, most of them, are done here
+        F.size(F.array_distinct(own)) < F.size(own),
+        F.sort_array(F.transform(own, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
     df = df.withColumn("_win", windows)
     win = F.col("_win")
@@ -64,7 +65,7 @@ def with_base(df: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
-    ).drop("_text", "_w", "_lines", "_win", "_at")
+    ).drop("_text", "_w", "_lines", "_hash", "_win", "_at")
 
 
 def with_shape(df: DataFrame) -> DataFrame:
