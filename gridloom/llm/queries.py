@@ -84,4 +84,35 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op7_dart_minhash": r"""
+        WITH RECURSIVE texts AS (
+            SELECT DISTINCT CAST(doc_id AS BIGINT) AS id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+        ), once AS (
+            SELECT row_number() OVER (ORDER BY text) AS k, min(id) AS rep, text FROM texts GROUP BY text
+        ), split AS (
+            SELECT k, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM once
+        ), placed AS (
+            SELECT k, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM split WHERE len(w) > 0
+        ), shingles AS (
+            SELECT k, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS n FROM placed GROUP BY ALL
+        ), sizes AS (
+            SELECT k, sum(n) AS n FROM shingles GROUP BY k
+        ), shared AS (
+            SELECT x.k AS a, y.k AS b, sum(least(x.n, y.n)) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.k < y.k GROUP BY x.k, y.k
+        ), near AS (
+            SELECT p.rep AS u, q.rep AS v
+            FROM shared JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b JOIN once p ON p.k = a JOIN once q ON q.k = b
+            WHERE CAST(shared.n AS DOUBLE) / CAST(x.n + y.n - shared.n AS DOUBLE) >= CAST(0.8 AS DOUBLE)
+        ), edges AS (
+            SELECT u, v FROM near UNION SELECT v, u FROM near
+            UNION SELECT t.id, o.rep FROM texts t JOIN once o ON o.text = t.text
+            UNION SELECT o.rep, t.id FROM texts t JOIN once o ON o.text = t.text
+        ), reach AS (
+            SELECT id, id AS other FROM texts UNION SELECT r.id, e.v FROM reach r JOIN edges e ON e.u = r.other
+        ), named AS (
+            SELECT id, min(other) AS class_id FROM reach GROUP BY id
+        )
+        SELECT CAST(d.doc_id AS BIGINT) AS doc_id, coalesce(n.class_id, CAST(d.doc_id AS BIGINT)) AS class_id
+        FROM documents d LEFT JOIN named n ON n.id = d.doc_id WHERE d.doc_id IS NOT NULL
+    """,
 }

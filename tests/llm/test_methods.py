@@ -433,6 +433,23 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert {r["doc_id"]: r["class_id"] for r in neardup.op7(spark, documents).collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_equal_sql(spark):
+    """Nulls, empties, texts without words or of one to four, repeated rows and ids, case, marks, chains and repeated shingles."""
+    import duckdb
+
+    from gridloom.llm.queries import ORACLE_SQL
+
+    base = [f"word{i}" for i in range(60)]
+    texts = [None, None, "", "", "!!", "??", "a b", "A, b", "b a", "a b c d", "a b c d e", "x " * 40, "x " * 44, "x " * 80, " ".join(base), " ".join(base).upper()]
+    texts += [" ".join(base[: 60 - k]) for k in range(2, 30, 4)] + [" ".join([*base[:k], "é", *base[k:]]) for k in (0, 7, 60)]
+    rows = [(i + 1, x) for i, x in enumerate(texts)] + [(3, ""), (15, "a b c d e"), (None, "a b"), (100, None), (100, "a b")]
+    got = neardup.op7(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(ORACLE_SQL["op7_dart_minhash"]).fetchall())
+
+
 def test_chains_and_large_groups(spark, monkeypatch):
     """Copies that drift apart: neighbours are similar, the ends are not; blocks smaller than the group."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
