@@ -778,7 +778,27 @@ def geo_utm_zone(spark, d):
     return frames.read(spark, d, "customer").select("c_custkey", raster.utm_epsg(lat, lon).alias("epsg"))
 
 
-@query()
+@query(
+    """
+    WITH p AS (
+        SELECT c_custkey, (c_custkey * 37 % 1600) / 10.0 - 80 AS lat, (c_custkey * 91 % 3590) / 10.0 - 179.5 AS lon FROM customer
+    ), e AS (
+        SELECT *, 6378137.0 AS a, f * (2 - f) AS e2, f * (2 - f) / (1 - f * (2 - f)) AS ep2 FROM p, (SELECT 1 / CAST(298.257223563 AS DOUBLE) AS f)
+    ), q AS (
+        SELECT *, radians(lat) AS phi, radians(lon) - radians((least(60, floor((lon + 180) / 6) + 1) - 1) * 6 - 177) AS dl FROM e
+    ), r AS (
+        SELECT *, a / sqrt(1 - e2 * sin(phi) ** 2) AS n, tan(phi) ** 2 AS t, ep2 * cos(phi) ** 2 AS c, cos(phi) * dl AS s,
+               a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * phi - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * phi)
+                    + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * phi) - (35 * e2 ** 3 / 3072) * sin(6 * phi)) AS m
+        FROM q
+    )
+    SELECT c_custkey,
+           round(0.9996 * n * (s + (1 - t + c) * s ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * s ** 5 / 120) + 500000, 3) AS east,
+           round(0.9996 * (m + n * tan(phi) * (s ** 2 / 2 + (5 - t + 9 * c + 4 * c * c) * s ** 4 / 24
+                 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * s ** 6 / 720)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS north
+    FROM r
+    """
+)
 def geo_affine(spark, d):
     k = F.col("c_custkey")
     c = frames.read(spark, d, "customer").select("c_custkey", ((k * 37 % 1600) / 10.0 - 80).alias("lat"), ((k * 91 % 3590) / 10.0 - 179.5).alias("lon"))
