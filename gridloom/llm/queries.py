@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, langid, lmscore, mixing, neardup, outliers, packing, quality, topk, toxicity
+from . import htmltext, infill, langid, lmscore, mixing, neardup, outliers, packing, pii, quality, topk, toxicity
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op11(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.op12(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_html_extraction,
         op10_language_id,
+        op11_candidate_boosting,
+        op12_fill_in_middle,
     )
 }
 
@@ -115,4 +125,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CAST(d.doc_id AS BIGINT) AS doc_id, coalesce(n.class_id, CAST(d.doc_id AS BIGINT)) AS class_id
         FROM documents d LEFT JOIN named n ON n.id = d.doc_id WHERE d.doc_id IS NOT NULL
     """,
+    "op12_fill_in_middle": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+        ), units AS (
+            SELECT doc_id, t, string_split(t, chr(10)) AS l,
+                   CASE WHEN t = '' THEN 0 WHEN ends_with(t, chr(10)) THEN len(string_split(t, chr(10))) - 1 ELSE len(string_split(t, chr(10))) END AS n,
+                   CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+                   CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4
+            FROM texts
+        ), ranks AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS r1, greatest(h1 % (n + 1), h2 % (n + 1)) AS r2,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM units
+        ), ends AS (
+            SELECT *, CASE WHEN r1 = 0 THEN 0 WHEN r1 = n THEN length(t) ELSE length(array_to_string(l[1:r1], chr(10))) + 1 END AS a,
+                   CASE WHEN r2 = 0 THEN 0 WHEN r2 = n THEN length(t) ELSE length(array_to_string(l[1:r2], chr(10))) + 1 END AS b
+            FROM ranks
+        ), parts AS (
+            SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM ends
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts
+    """,
 }
