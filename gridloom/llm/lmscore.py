@@ -1,18 +1,18 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both are interpolated bigram models over one vocabulary of hashed words with one table of hashed
-bigrams; the background's counts are scaled to the target's number of words, so the two are
-smoothed alike. Counts come from every document, and the numbers of word and bigram buckets follow
-the corpus without a bound. Up to 2**MOST bigram buckets each task adds up dense tables, which meet
-as compressed blocks and are broadcast. Beyond, the same counts stay distributed: chunks of texts
-send their counts, added up by key, to key ranges, whose totals come back to the chunks. A document
-is scored without its own counts in either model (leave one out), so that members of the target have
+Both are interpolated bigram models over one vocabulary, the words of the corpus; the background's
+counts are scaled to the target's number of words, so the two are smoothed alike. Counts come from
+every document and are those of the words and bigrams themselves, each by a hash of 62 bits: no two
+share a count, and nothing is bounded, broadcast or held whole by a task. Chunks of texts send their
+counts, added up by key, to ranges of keys, whose totals come back to the chunks. A document is
+scored without its own counts in either model (leave one out), so that members of the target have
 no advantage.
 
-Defined cases: null texts and texts without words have no loss (null) and n_tokens 0; labels that
-are null or repeated count once, by their worst; without target documents the target model is the
-uniform one; repeated rows count and are scored each; extra columns are ignored; an empty table
-gives an empty result."""
+Defined cases: null texts and texts without words have no loss (null) and n_tokens 0; a very long
+text is a chunk by itself; labels that are null or repeated count once, by their worst; rows with a
+null id are background and are scored; ties cannot occur; without target documents the target model
+is the uniform one; repeated rows count and are scored each; extra columns, whatever their names, are
+ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -26,42 +26,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, text_chunks, word_hashes
+from .common import cut, mix, scratch, text_chunks, word_hashes
 
-#: Least word buckets.
-WORDS = 1 << 18
-#: Least bigram buckets, and the most that are broadcast, as powers of two.
-LEAST, MOST = 14, 23
-#: Keys in a range of words and of bigrams, as powers of two, and bytes of text in a chunk.
-WORD_RANGE, RANGE, CHUNK = 14, 20, 1 << 22
-#: Counters in a block.
-BLOCK = 1 << 17
+#: Bytes of text in a chunk, and bytes of text for each range of keys.
+CHUNK, RANGE = 1 << 22, 1 << 24
 #: Ids of target documents that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 2_000_000
+#: Bits of a hash; a key is a hash and a last bit, 0 for words and 1 for bigrams.
+_HASH = np.uint64((1 << 62) - 1)
+#: The key that stands before a text's first word.
+OPENS = int(_HASH) << 1
 OUT = "doc_id long, n_tokens long, loss_target double, loss_background double"
+PIECES = "chunk string, range int, words binary, pairs binary, data binary, n0 long, n1 long, ids array<long>, t array<boolean>, text array<string>"
 
 
-PIECES = "chunk string, range int, keys binary, data binary, n0 long, n1 long, ids array<long>, t array<boolean>, text array<string>"
-
-
-def table_sizes(n_bytes: int) -> tuple[int, int]:
-    """Bigram and word buckets for a corpus: about a bigram bucket for every 32 words, a word bucket for every 32 of these."""
-    n_bi = 1 << max(LEAST, int(n_bytes / 192).bit_length())
-    return n_bi, max(WORDS, n_bi >> 5)
-
-
-def buckets(array, n_bi: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word its row, its bucket, the bucket of the word before (words where it opens a text) and the bigram's."""
+def tokens(array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word its row, its key, the key of the word before (OPENS where it opens a text) and the bigram's."""
     h, row = word_hashes(array)
     opens = np.ones(len(h), bool)
     opens[1:] = row[1:] != row[:-1]
     last = np.zeros_like(h)
     last[1:] = h[:-1]
     last[opens] = 0
-    uni = (h & np.uint64(words - 1)).astype(np.int64)
-    ctx = np.where(opens, words, (last & np.uint64(words - 1)).astype(np.int64))
-    bi = (mix(last * np.uint64(0x9FB21C651E98DF25) + h) & np.uint64(n_bi - 1)).astype(np.int64)
-    return row, uni, ctx, bi
+    key = lambda x, bit: ((x & _HASH) << np.uint64(1) | np.uint64(bit)).astype(np.int64)
+    word, pair = key(h, 0), key(mix(last * np.uint64(0x9FB21C651E98DF25) + h), 1)
+    return row, word, np.where(opens, OPENS, key(last, 0)), pair
+
+
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """The range of each key of n ranges; ascending keys have ascending ranges."""
+    return ((keys.astype(np.uint64) >> np.uint64(31)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def squeeze(counts: np.ndarray) -> bytes:
@@ -74,89 +68,42 @@ def spread(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").reshape(2, -1).astype(np.int64)
 
 
-def add_up(p: pd.DataFrame) -> pd.DataFrame:
-    total = None
-    for raw in p["data"]:
-        x = spread(raw)
-        total = x if total is None else total + x
-    return pd.DataFrame({"salt": [0], "block": [p["block"].iloc[0]], "data": [squeeze(total)]})
-
-
-def count(docs: DataFrame, n_bi: int, n_bytes: int) -> np.ndarray:
-    """Counts (2 models x (WORDS + 1 + n_bi)) over docs, which has text and t (1 in the target).
-
-    A task's tables leave it as compressed blocks, a row each; tasks meet in about as many groups a
-    block as the square root of their number, and these groups in one, so no group grows with the
-    corpus but by that root."""
-    width = WORDS + 1 + n_bi
-    salts = max(1, int((n_bytes / (16 << 20)) ** 0.5))
-    kind = "salt int, block int, data binary"
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, width), np.int32)
-        seed = 0
-        for part in parts:
-            text, t = part.column("text"), part.column("t").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in text_chunks(text):
-                row, uni, ctx, bi = buckets(text.slice(a, b - a), n_bi)
-                on = t[a:b][row]
-                seed = (seed * 31 + int(bi[:1].sum())) % 1_000_003
-                for m, keep in ((0, slice(None)), (1, on)):
-                    for x, at in ((np.concatenate([uni[keep], ctx[keep][ctx[keep] == WORDS]]), 0), (bi[keep], WORDS + 1)):
-                        np.add.at(total[m], x + at, 1)
-        for k in range(0, width, BLOCK):
-            x = total[:, k : k + BLOCK]
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([seed % salts], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([squeeze(x)])], ["salt", "block", "data"])
-
-    once = docs.mapInArrow(run, kind).groupBy("salt", "block").applyInPandas(add_up, kind)
-    out = np.zeros((2, width), np.int64)
-    for r in once.groupBy("block").applyInPandas(add_up, kind).select("block", "data").toLocalIterator():
-        x = spread(bytes(r["data"]))
-        out[:, r["block"] * BLOCK : r["block"] * BLOCK + x.shape[1]] = x
-    return out
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed steps."""
+    return zlib.compress(np.diff(keys, prepend=0).astype("<i8").tobytes(), 1)
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<i8"))
 
 
 def own_counts(row: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each word how often its row holds its key."""
+    """For each word how often its row holds its key (small numbers)."""
     if not len(row):
         return np.zeros(0, np.int64)
-    both = row * (key.max() + 1) + key
-    order = np.argsort(both, kind="stable")
-    s = both[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    n = np.diff(np.append(first, len(s)))
-    out = np.empty(len(s), np.int64)
-    out[order] = np.repeat(n, n)
-    return out
-
-
-def losses(array, in_target: np.ndarray, counts: np.ndarray, n_bi: int, mixing: float = 0.7, alpha: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and mean loss per word (nats) under the target and the background, of each row; NaN without words."""
-    tokens = buckets(array, n_bi)
-    _, uni, ctx, bi = tokens
-    met = counts[:, uni], counts[:, ctx], counts[:, WORDS + 1 + bi]
-    return mean_losses(len(array), tokens, in_target, met, counts[:, :WORDS].sum(1).astype(float), WORDS, mixing, alpha)
-
-
-def mean_losses(n_rows: int, tokens, in_target: np.ndarray, met, totals: np.ndarray, words: int, mixing: float = 0.7, alpha: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """losses() from the counts (2 models x words) of each word, the word before and the bigram, and the words of both models."""
-    row, uni, ctx, bi = tokens
+    _, inv, n = np.unique(row * (key.max() + 1) + key, return_inverse=True, return_counts=True)
+    return n[inv]
+
+
+def mean_losses(n_rows: int, row, word, before, pair, opens, in_target: np.ndarray, counts: np.ndarray, totals: np.ndarray, vocabulary: int, mixing: float = 0.7, alpha: float = 0.5):
+    """Words, and mean loss per word (nats) under the target and the background, of each row; NaN without words.
+
+    word, before and pair are places in counts (2 models x keys), opens the place of OPENS; totals are the words of both models."""
     n = np.bincount(row, minlength=n_rows)
-    c_uni, c_bi = own_counts(row, uni), own_counts(row, bi)
-    c_ctx = np.zeros(len(row), np.int64)  # how often the text has the word before, as a word
+    c_word, c_pair = own_counts(row, word), own_counts(row, pair)
+    c_before = np.zeros(len(row), np.int64)  # how often the text has the word before, as a word
     if len(row):
-        c_ctx[1:] = c_uni[:-1]
-        c_ctx[ctx == words] = 1
+        c_before[1:] = c_word[:-1]
+        c_before[before == opens] = 1
     loss = []
     for m in (1, 0):
         own = in_target[row] if m else np.ones(len(row), bool)
         size = np.maximum(totals[m] - own * n[row], 0)
         scale = np.ones(len(row)) if m else np.minimum(totals[1] / np.maximum(totals[0], 1), 1.0) if totals[1] else np.ones(len(row))
-        a = np.maximum(met[0][m] - own * c_uni, 0) * scale
-        c = np.maximum(met[1][m] - own * c_ctx, 0) * scale
-        b = np.minimum(np.maximum(met[2][m] - own * c_bi, 0) * scale, c)
-        flat = (a + alpha) / (size * scale + alpha * words)
+        a = np.maximum(counts[m, word] - own * c_word, 0) * scale
+        c = np.maximum(counts[m, before] - own * c_before, 0) * scale
+        b = np.minimum(np.maximum(counts[m, pair] - own * c_pair, 0) * scale, c)
+        flat = (a + alpha) / (size * scale + alpha * vocabulary)
         lam = mixing * c / (c + 1.0)
         p = lam * b / np.maximum(c, 1e-12) + (1 - lam) * flat
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -164,67 +111,52 @@ def mean_losses(n_rows: int, tokens, in_target: np.ndarray, met, totals: np.ndar
     return n, loss[0], loss[1]
 
 
-def chunk_keys(tokens, words: int) -> np.ndarray:
-    """Keys of a chunk's counts: words from 0, openings at words, bigrams beyond."""
-    _, uni, ctx, bi = tokens
-    return np.concatenate([uni, ctx[ctx == words], words + 1 + bi])
-
-
-def ranges(keys: np.ndarray, words: int) -> np.ndarray:
-    """The range of each of these ascending keys, ascending too."""
-    return np.where(keys <= words, keys >> WORD_RANGE, (words >> WORD_RANGE) + 1 + ((keys - words - 1) >> RANGE))
-
-
-def shuffled_scores(flagged: DataFrame, n_bi: int, words: int) -> DataFrame:
-    """Scores with distributed counts. A chunk is written once with its texts and its counts by range; a
-    range adds up its pieces and answers each with the totals of that piece's keys."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.string()), ("range", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("n0", pa.int64()), ("n1", pa.int64()),
-                            ("ids", pa.list_(pa.int64())), ("t", pa.list_(pa.bool_())), ("text", pa.list_(pa.string()))])
-        for part in parts:
-            text, t = part.column("text"), part.column("t").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in text_chunks(text, CHUNK):
-                name, tokens = uuid.uuid4().hex, buckets(text.slice(a, b - a), n_bi, words)
-                row, _, ctx, _ = tokens
-                on = t[a:b][row]
-                u, inv = np.unique(chunk_keys(tokens, words), return_inverse=True)
-                sums = np.stack([np.bincount(inv, minlength=len(u)), np.bincount(inv[np.concatenate([on, on[ctx == words], on])], minlength=len(u))])
-                of = ranges(u, words)
-                rows = [{"chunk": name, "range": -1, "n0": len(row), "n1": int(on.sum()), "ids": part.column("doc_id").slice(a, b - a).to_pylist(), "t": t[a:b].tolist(), "text": text.slice(a, b - a).to_pylist()}]
-                first = np.flatnonzero(np.diff(of, prepend=-1))
-                for i, j in zip(first, [*first[1:], len(u)][: len(first)], strict=True):
-                    steps = np.diff(u[i:j], prepend=0).astype("<i8")
-                    rows.append({"chunk": name, "range": int(of[i]), "keys": zlib.compress(steps.tobytes(), 1), "data": squeeze(sums[:, i:j])})
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    def answer(p: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(np.frombuffer(zlib.decompress(k), "<i8")) for k in p["keys"]]
-        low = min(int(k[0]) for k in keys)
-        total = np.zeros((2, max(int(k[-1]) for k in keys) - low + 1), np.int64)
-        for k, raw in zip(keys, p["data"], strict=True):
-            total[:, k - low] += spread(raw)
-        return pd.DataFrame({"chunk": p["chunk"], "range": p["range"], "data": [squeeze(total[:, k - low]) for k in keys]})
-
-    pieces = cut(flagged.select("doc_id", "text", "t").mapInArrow(run, PIECES))
-    sums = pieces.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
-    totals = np.array([sums["n0"], sums["n1"]], float)
-
-    def finish(p: pa.Table) -> pa.Table:
-        p = p.sort_by("range")
-        ids, t, text = (p.column(c)[0].values for c in ("ids", "t", "text"))
-        tokens = buckets(text, n_bi, words)
-        row, uni, ctx, bi = tokens
-        u = np.unique(chunk_keys(tokens, words))
-        got = np.concatenate([np.zeros((2, 0), np.int64), *[spread(raw) for raw in p.column("data").to_pylist()[1:]]], axis=1)
-        met = [got[:, np.searchsorted(u, k)] for k in (uni, ctx, words + 1 + bi)]
-        n, lt, lb = mean_losses(len(text), tokens, t.to_numpy(zero_copy_only=False).astype(bool), met, totals, words)
-        none = n == 0
-        return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(lt, mask=none), pa.array(lb, mask=none)], ["doc_id", "n_tokens", "loss_target", "loss_background"])
-
-    answers = pieces.where("range >= 0").select("chunk", "range", "keys", "data").groupBy("range").applyInPandas(answer, "chunk string, range int, data binary")
-    heads = pieces.where("range < 0").select("chunk", "range", "data", "ids", "t", "text")
-    return heads.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(finish, OUT)
+def places(array) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Rows of the words of some texts, their distinct keys in order, and the places in these of each word, the one before, each bigram and of OPENS."""
+    row, word, before, pair = tokens(array)
+    u, inv = np.unique(np.concatenate([word, pair, [OPENS]]), return_inverse=True)
+    n, opens = len(row), int(inv[-1])
+    prior = np.concatenate([[opens], inv[: n - 1]]) if n else inv[:0]
+    return row, u, (inv[:n], np.where(before == OPENS, opens, prior), inv[n:-1], opens)
+
+
+def pieces(parts: Iterator[pa.RecordBatch], n_ranges: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts: a row with the texts, and one with keys and counts (all, target) for every range they meet."""
+    schema = pa.schema([("chunk", pa.string()), ("range", pa.int32()), *[(c, pa.binary()) for c in ("words", "pairs", "data")], ("n0", pa.int64()), ("n1", pa.int64()),
+                        ("ids", pa.list_(pa.int64())), ("t", pa.list_(pa.bool_())), ("text", pa.list_(pa.string()))])
+    for part in parts:
+        text, t = part.column("text"), part.column("t").to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in text_chunks(text, CHUNK):
+            name, some = uuid.uuid4().hex, text.slice(a, b - a)
+            row, u, (word, before, pair, opens) = places(some)
+            on = t[a:b][row]
+            firsts = before == opens
+            at = np.concatenate([word, np.full(int(firsts.sum()), opens), pair])
+            sums = np.stack([np.bincount(at, minlength=len(u)), np.bincount(at[np.concatenate([on, on[firsts], on])], minlength=len(u))])
+            rows = [{"chunk": name, "range": -1, "n0": len(row), "n1": int(on.sum()), "ids": part.column("doc_id").slice(a, b - a).to_pylist(), "t": t[a:b].tolist(), "text": some.to_pylist()}]
+            of = ranges(u, n_ranges)
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            for i, j in zip(first, [*first[1:], len(u)], strict=True):
+                is_pair = (u[i:j] & 1) == 1
+                order = np.concatenate([np.flatnonzero(~is_pair), np.flatnonzero(is_pair)])
+                rows.append({"chunk": name, "range": int(of[i]), "words": pack_keys(u[i:j][~is_pair]), "pairs": pack_keys(u[i:j][is_pair]), "data": squeeze(sums[:, i:j][:, order])})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def answer(p: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of one range with the totals of their keys in place of their counts, in ascending order of keys."""
+    keys = [np.concatenate([unpack_keys(w), unpack_keys(q)]) for w, q in zip(p["words"], p["pairs"], strict=True)]
+    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    total, at = np.zeros((2, len(u)), np.int64), np.cumsum([0, *map(len, keys)])
+    for k, raw in enumerate(p["data"]):
+        total[:, inv[at[k] : at[k + 1]]] += spread(raw)  # a piece has each key once
+    return pd.DataFrame({"chunk": p["chunk"], "range": p["range"], "data": [squeeze(total[:, np.sort(inv[at[k] : at[k + 1]])]) for k in range(len(keys))]})
+
+
+def word_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for raw in part.column("words").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(unpack_keys(raw))], ["key"])
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -236,26 +168,26 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     side = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
     flagged = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_t"), "left").select("doc_id", "text", F.col("_t").isNotNull().cast("int").alias("t"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_bi, words = table_sizes(size)
-    if n_bi > 1 << MOST:
-        got = shuffled_scores(flagged, n_bi, words)
-        return got.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
-    counts = count(flagged.select("text", "t"), n_bi, size)
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for part in parts:
-            text, t = part.column("text"), part.column("t").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in text_chunks(text):
-                n, lt, lb = losses(text.slice(a, b - a), t[a:b], table, n_bi)
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(lt, mask=none), pa.array(lb, mask=none)],
-                    ["doc_id", "n_tokens", "loss_target", "loss_background"],
-                )
-
-    got = flagged.mapInArrow(run, OUT)
+    n_ranges = min((1 << 31) - 1, size // RANGE + 1)
+    with scratch(docs.sparkSession) as keep:
+        met = keep(flagged.mapInArrow(lambda parts: pieces(parts, n_ranges), PIECES))
+        sums = met.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
+        totals = np.array([sums["n0"], sums["n1"]], float)
+        words = met.where("range >= 0").select("words").mapInArrow(word_keys, "key long").where(F.col("key") != OPENS)
+        vocabulary = max(1, words.distinct().count())
+
+        def finish(p: pa.Table) -> pa.Table:
+            p = p.sort_by("range")
+            ids, t, text = (p.column(c)[0].values for c in ("ids", "t", "text"))
+            row, u, at = places(text)
+            got = np.concatenate([np.zeros((2, 0), np.int64), *[spread(raw) for raw in p.column("data").to_pylist()[1:]]], axis=1)
+            n, lt, lb = mean_losses(len(text), row, *at, t.to_numpy(zero_copy_only=False).astype(bool), got, totals, vocabulary)
+            none = n == 0
+            return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(lt, mask=none), pa.array(lb, mask=none)], ["doc_id", "n_tokens", "loss_target", "loss_background"])
+
+        answers = met.where("range >= 0").select("chunk", "range", "words", "pairs", "data").groupBy("range").applyInPandas(answer, "chunk string, range int, data binary")
+        heads = met.where("range < 0").select("chunk", "range", "data", "ids", "t", "text")
+        got = cut(heads.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(finish, OUT))
     return got.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
 
 

@@ -1,6 +1,7 @@
 """Each method against brute force, an exact round trip or held-out accuracy."""
 
 import itertools
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -214,32 +215,57 @@ def test_distance_equals_numpy(spark):
     assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d)))
 
 
-def test_losses_against_counting():
-    texts = ["a b c a b", "a b d", "c c c", "", None, "b"]
-    member, n_bi, words = np.array([1, 0, 1, 0, 0, 1], bool), 1 << 14, [(t or "").split() for t in texts]
-    arr = pa.array(texts)
-    counts = np.zeros((2, lmscore.WORDS + 1 + n_bi), np.int64)
-    row, uni, ctx, bi = lmscore.buckets(arr, n_bi)
-    for m, keep in ((0, np.ones(len(row), bool)), (1, member[row])):
-        np.add.at(counts[m], uni[keep], 1)
-        np.add.at(counts[m], ctx[keep][ctx[keep] == lmscore.WORDS], 1)
-        np.add.at(counts[m], lmscore.WORDS + 1 + bi[keep], 1)
-    n, lt, lb = lmscore.losses(arr, member, counts, n_bi)
+def plain_losses(docs, members):
+    """n_tokens, loss_target and loss_background of every document, from dictionaries of words and of pairs of words."""
+    words = [re.findall("[a-z0-9\x80-\U0010ffff]+", (x or "").lower()) for _, x in docs]
+    member = [i in members for i, _ in docs]
     sizes = [sum(len(w) for w, on in zip(words, member, strict=True) if on), sum(map(len, words))]
-    for d, ws in enumerate(words):
-        assert n[d] == len(ws)
-        for got, target in ((lt[d], True), (lb[d], False)):
-            others = [w for k, w in enumerate(words) if k != d and (member[k] or not target)]
-            scale = 1.0 if target else sizes[0] / sizes[1]
-            one, two = Counter(x for w in others for x in w), Counter(x for w in others for x in zip(["<"] + w, w, strict=False))
-            one["<"] = sum(bool(w) for w in others)
-            total = sum(len(w) for w in others) * scale
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for w, on in zip(words, member, strict=True):
+        for m in (0, 1) if on else (0,):
+            one[m].update(["<"] * bool(w) + w)
+            two[m].update(zip(["<"] + w, w, strict=False))
+    vocabulary = max(1, len(set(one[0]) - {"<"}))
+    for w, on in zip(words, member, strict=True):
+        out, own1, own2 = [], Counter(["<"] + w), Counter(zip(["<"] + w, w, strict=False))
+        for m in (1, 0):
+            own = on or not m
+            scale = 1.0 if m or not sizes[0] else min(sizes[0] / sizes[1], 1.0)
+            total = (sizes[0] if m else sizes[1]) - own * len(w)
             loss = []
-            for v, x in zip(["<"] + ws, ws, strict=False):
-                c, b = one[v] * scale, min(two[v, x] * scale, one[v] * scale)
+            for v, x in zip(["<"] + w, w, strict=False):
+                c = (one[m][v] - own * own1[v]) * scale
+                b = min((two[m][v, x] - own * own2[v, x]) * scale, c)
                 lam = 0.7 * c / (c + 1)
-                loss.append(-np.log(lam * b / max(c, 1e-12) + (1 - lam) * (one[x] * scale + 0.5) / (total + 0.5 * lmscore.WORDS)))
-            assert (np.isnan(got) and not ws) or np.isclose(got, np.mean(loss))
+                loss.append(-np.log(lam * b / max(c, 1e-12) + (1 - lam) * ((one[m][x] - own * own1[x]) * scale + 0.5) / (total * scale + 0.5 * vocabulary)))
+            out.append(np.mean(loss) if w else None)
+        yield len(w), *out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_losses_of_every_document_by_dictionaries(spark, documents, monkeypatch, small):
+    """With one range and one chunk a task, and with many of both."""
+    if small:
+        monkeypatch.setattr(lmscore, "CHUNK", 50_000)
+        monkeypatch.setattr(lmscore, "RANGE", 40_000)
+    docs = documents.unionByName(documents.limit(3).withColumns({"text": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("long")}))
+    target = documents.where("doc_id % 3 = 0").select("doc_id").distinct()
+    got = lmscore.score(docs.repartition(5), target).collect()
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = sorted(((str(i), *x) for (i, _), x in zip(rows, plain_losses(rows, {r[0] for r in target.collect()}), strict=True)), key=str)
+    have = sorted(((str(r["doc_id"]), r["n_tokens"], r["loss_target"], r["loss_background"]) for r in got), key=str)
+    assert len(have) == len(want)
+    for x, y in zip(have, want, strict=True):
+        assert x[:2] == y[:2] and (x[2:] == y[2:] == (None, None) or np.allclose(x[2:], y[2:], atol=1e-9)), (x, y)
+
+
+def test_a_bigram_of_one_document_counts_as_unseen(spark):
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "green red violet"), (3, "red green blue")], "doc_id long, text string")
+    once = {r["doc_id"]: r["loss_background"] for r in lmscore.score(docs, docs.where("doc_id = 9").select("doc_id")).collect()}
+    assert once[1] == once[3] < once[2]
+    alone = {r["doc_id"]: r["loss_background"] for r in lmscore.score(docs.where("doc_id < 3"), docs.where("doc_id = 9").select("doc_id")).collect()}
+    rows = [tuple(r) for r in docs.where("doc_id < 3").collect()]
+    assert np.allclose([alone[1], alone[2]], [x[2] for x in plain_losses(rows, set())])
 
 
 def test_loss_difference_tells_quality(spark, documents, labelled):
@@ -247,23 +273,6 @@ def test_loss_difference_tells_quality(spark, documents, labelled):
     assert got.loc[got["quality"] == 0, "ce_diff"].median() > got.loc[got["quality"] == 1, "ce_diff"].median()
 
 
-def test_counts_do_not_depend_on_partitions(spark, documents):
-    d = documents.select("text", (F.col("doc_id") % 3 == 0).cast("int").alias("t"))
-    assert (lmscore.count(d.repartition(7), 1 << 14, 1 << 30) == lmscore.count(d.coalesce(1), 1 << 14, 1)).all()
-
-
-def test_counts_beyond_the_broadcast_bound_are_the_same(spark, documents, monkeypatch):
-    docs, target = documents.unionByName(documents.limit(3).withColumn("text", F.lit(None).cast("string"))), documents.where("doc_id % 3 = 0").select("doc_id").distinct()
-    read = lambda: lmscore.score(docs, target).toPandas().sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
-    want = read()
-    monkeypatch.setattr(lmscore, "MOST", 10)
-    monkeypatch.setattr(lmscore, "CHUNK", 50_000, raising=False)
-    got = read()
-    assert (got[["doc_id", "n_tokens"]] == want[["doc_id", "n_tokens"]]).all().all()
-    assert np.allclose(got[["loss_target", "loss_background", "ce_diff"]], want[["loss_target", "loss_background", "ce_diff"]], equal_nan=True)
-    assert lmscore.table_sizes(30 * 10**9) == (1 << 28, 1 << 23)
-
-
 def check_packing(rows, got, capacity, tok):
     by_doc = dict(list(got.sort_values("start").groupby("doc_id")))
     assert set(by_doc) == {i for i, _ in rows}
