@@ -2,8 +2,9 @@
 
 Both are interpolated bigram models over one vocabulary, the words of the corpus; the background's
 counts are scaled to the target's number of words, so the two are smoothed alike. Counts come from
-every document and are those of the words and bigrams themselves, each by a hash of 62 bits: no two
-share a count, and nothing is bounded, broadcast or held whole by a task. Chunks of texts send their
+every document and are those of the words and bigrams themselves, each by a hash that has 15 bits more
+than the corpus has bigrams, so that of 30,000 keys about one meets another at any size; nothing is
+bounded, broadcast or held whole by a task. Chunks of texts send their
 counts, added up by key, to ranges of keys, whose totals come back to the chunks. A document is
 scored without its own counts in either model (leave one out), so that members of the target have
 no advantage.
@@ -32,30 +33,38 @@ from .common import cut, mix, scratch, text_chunks, word_hashes
 CHUNK, RANGE = 1 << 22, 1 << 24
 #: Ids of target documents that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 2_000_000
-#: Bits of a hash; a key is a hash and a last bit, 0 for words and 1 for bigrams.
-_HASH = np.uint64((1 << 62) - 1)
-#: The key that stands before a text's first word.
-OPENS = int(_HASH) << 1
 OUT = "doc_id long, n_tokens long, loss_target double, loss_background double"
 PIECES = "chunk string, range int, words binary, pairs binary, data binary, n0 long, n1 long, ids array<long>, t array<boolean>, text array<string>"
 
 
-def tokens(array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word its row, its key, the key of the word before (OPENS where it opens a text) and the bigram's."""
+def hash_bits(n_bytes: int) -> int:
+    """Bits of a key's hash for a corpus of so many bytes, which has less than an eighth as many bigrams."""
+    return min(62, max(40, n_bytes.bit_length() + 12))
+
+
+def opening(bits: int) -> int:
+    """The key that stands before a text's first word."""
+    return (1 << bits) - 1 << 1
+
+
+def tokens(array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word its row, its key, the key of the word before (opening() where it opens a text) and the bigram's.
+
+    A key is a hash and a last bit, 0 for words and 1 for bigrams."""
     h, row = word_hashes(array)
     opens = np.ones(len(h), bool)
     opens[1:] = row[1:] != row[:-1]
     last = np.zeros_like(h)
     last[1:] = h[:-1]
     last[opens] = 0
-    key = lambda x, bit: ((x & _HASH) << np.uint64(1) | np.uint64(bit)).astype(np.int64)
+    key = lambda x, bit: ((x & np.uint64((1 << bits) - 1)) << np.uint64(1) | np.uint64(bit)).astype(np.int64)
     word, pair = key(h, 0), key(mix(last * np.uint64(0x9FB21C651E98DF25) + h), 1)
-    return row, word, np.where(opens, OPENS, key(last, 0)), pair
+    return row, word, np.where(opens, opening(bits), key(last, 0)), pair
 
 
-def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+def ranges(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The range of each key of n ranges; ascending keys have ascending ranges."""
-    return ((keys.astype(np.uint64) >> np.uint64(31)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    return ((keys.astype(np.uint64) >> np.uint64(bits - 31)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def squeeze(counts: np.ndarray) -> bytes:
@@ -69,12 +78,17 @@ def spread(raw: bytes) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as compressed steps."""
-    return zlib.compress(np.diff(keys, prepend=0).astype("<i8").tobytes(), 1)
+    """Ascending keys as steps, byte by byte of all of them, compressed; the first byte says how many bytes a step has."""
+    steps = np.diff(keys, prepend=0).astype("<u8")
+    size = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + zlib.compress(steps.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes(), 1)
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<i8"))
+    data = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    steps = np.zeros((data.shape[1], 8), np.uint8)
+    steps[:, : raw[0]] = data.T
+    return np.cumsum(steps.view("<i8").ravel())
 
 
 def own_counts(row: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -88,7 +102,7 @@ def own_counts(row: np.ndarray, key: np.ndarray) -> np.ndarray:
 def mean_losses(n_rows: int, row, word, before, pair, opens, in_target: np.ndarray, counts: np.ndarray, totals: np.ndarray, vocabulary: int, mixing: float = 0.7, alpha: float = 0.5):
     """Words, and mean loss per word (nats) under the target and the background, of each row; NaN without words.
 
-    word, before and pair are places in counts (2 models x keys), opens the place of OPENS; totals are the words of both models."""
+    word, before and pair are places in counts (2 models x keys), opens the place of the opening; totals are the words of both models."""
     n = np.bincount(row, minlength=n_rows)
     c_word, c_pair = own_counts(row, word), own_counts(row, pair)
     c_before = np.zeros(len(row), np.int64)  # how often the text has the word before, as a word
@@ -111,16 +125,16 @@ def mean_losses(n_rows: int, row, word, before, pair, opens, in_target: np.ndarr
     return n, loss[0], loss[1]
 
 
-def places(array) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Rows of the words of some texts, their distinct keys in order, and the places in these of each word, the one before, each bigram and of OPENS."""
-    row, word, before, pair = tokens(array)
-    u, inv = np.unique(np.concatenate([word, pair, [OPENS]]), return_inverse=True)
+def places(array, bits: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Rows of the words of some texts, their distinct keys in order, and the places in these of each word, the one before, each bigram and of the opening."""
+    row, word, before, pair = tokens(array, bits)
+    u, inv = np.unique(np.concatenate([word, pair, [opening(bits)]]), return_inverse=True)
     n, opens = len(row), int(inv[-1])
     prior = np.concatenate([[opens], inv[: n - 1]]) if n else inv[:0]
-    return row, u, (inv[:n], np.where(before == OPENS, opens, prior), inv[n:-1], opens)
+    return row, u, (inv[:n], np.where(before == opening(bits), opens, prior), inv[n:-1], opens)
 
 
-def pieces(parts: Iterator[pa.RecordBatch], n_ranges: int) -> Iterator[pa.RecordBatch]:
+def pieces(parts: Iterator[pa.RecordBatch], n_ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Chunks of texts: a row with the texts, and one with keys and counts (all, target) for every range they meet."""
     schema = pa.schema([("chunk", pa.string()), ("range", pa.int32()), *[(c, pa.binary()) for c in ("words", "pairs", "data")], ("n0", pa.int64()), ("n1", pa.int64()),
                         ("ids", pa.list_(pa.int64())), ("t", pa.list_(pa.bool_())), ("text", pa.list_(pa.string()))])
@@ -128,13 +142,13 @@ def pieces(parts: Iterator[pa.RecordBatch], n_ranges: int) -> Iterator[pa.Record
         text, t = part.column("text"), part.column("t").to_numpy(zero_copy_only=False).astype(bool)
         for a, b in text_chunks(text, CHUNK):
             name, some = uuid.uuid4().hex, text.slice(a, b - a)
-            row, u, (word, before, pair, opens) = places(some)
+            row, u, (word, before, pair, opens) = places(some, bits)
             on = t[a:b][row]
             firsts = before == opens
             at = np.concatenate([word, np.full(int(firsts.sum()), opens), pair])
             sums = np.stack([np.bincount(at, minlength=len(u)), np.bincount(at[np.concatenate([on, on[firsts], on])], minlength=len(u))])
             rows = [{"chunk": name, "range": -1, "n0": len(row), "n1": int(on.sum()), "ids": part.column("doc_id").slice(a, b - a).to_pylist(), "t": t[a:b].tolist(), "text": some.to_pylist()}]
-            of = ranges(u, n_ranges)
+            of = ranges(u, n_ranges, bits)
             first = np.flatnonzero(np.diff(of, prepend=-1))
             for i, j in zip(first, [*first[1:], len(u)], strict=True):
                 is_pair = (u[i:j] & 1) == 1
@@ -168,18 +182,18 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     side = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
     flagged = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_t"), "left").select("doc_id", "text", F.col("_t").isNotNull().cast("int").alias("t"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_ranges = min((1 << 31) - 1, size // RANGE + 1)
+    bits, n_ranges = hash_bits(size), min((1 << 31) - 1, size // RANGE + 1)
     with scratch(docs.sparkSession) as keep:
-        met = keep(flagged.mapInArrow(lambda parts: pieces(parts, n_ranges), PIECES))
+        met = keep(flagged.mapInArrow(lambda parts: pieces(parts, n_ranges, bits), PIECES))
         sums = met.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
         totals = np.array([sums["n0"], sums["n1"]], float)
-        words = met.where("range >= 0").select("words").mapInArrow(word_keys, "key long").where(F.col("key") != OPENS)
+        words = met.where("range >= 0").select("words").mapInArrow(word_keys, "key long").where(F.col("key") != opening(bits))
         vocabulary = max(1, words.distinct().count())
 
         def finish(p: pa.Table) -> pa.Table:
             p = p.sort_by("range")
             ids, t, text = (p.column(c)[0].values for c in ("ids", "t", "text"))
-            row, u, at = places(text)
+            row, u, at = places(text, bits)
             got = np.concatenate([np.zeros((2, 0), np.int64), *[spread(raw) for raw in p.column("data").to_pylist()[1:]]], axis=1)
             n, lt, lb = mean_losses(len(text), row, *at, t.to_numpy(zero_copy_only=False).astype(bool), got, totals, vocabulary)
             none = n == 0
