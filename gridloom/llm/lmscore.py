@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ CHUNK, RANGE = 1 << 22, 1 << 24
 #: Ids of target documents that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 2_000_000
 OUT = "doc_id long, n_tokens long, loss_target double, loss_background double"
-PIECES = "chunk string, range int, words binary, pairs binary, data binary, n0 long, n1 long, ids array<long>, t array<boolean>, text array<string>"
+CHUNKS = "chunk string, ids array<long>, t array<boolean>, text binary, words binary, n0 long, n1 long"
+PIECES = "chunk string, range int, keys binary, data binary"
 
 
 def hash_bits(n_bytes: int) -> int:
@@ -134,37 +136,56 @@ def places(array, bits: int) -> tuple[np.ndarray, np.ndarray, tuple]:
     return row, u, (inv[:n], np.where(before == opening(bits), opens, prior), inv[n:-1], opens)
 
 
-def pieces(parts: Iterator[pa.RecordBatch], n_ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of texts: a row with the texts, and one with keys and counts (all, target) for every range they meet."""
-    schema = pa.schema([("chunk", pa.string()), ("range", pa.int32()), *[(c, pa.binary()) for c in ("words", "pairs", "data")], ("n0", pa.int64()), ("n1", pa.int64()),
-                        ("ids", pa.list_(pa.int64())), ("t", pa.list_(pa.bool_())), ("text", pa.list_(pa.string()))])
+def pack_texts(array) -> bytes:
+    """The texts of an Arrow string array, compressed; null counts as empty."""
+    sizes = pc.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False).astype("<i4")
+    return zlib.compress(sizes.tobytes() + b"".join(x.encode() for x in array.to_pylist() if x), 1)
+
+
+def unpack_texts(raw: bytes, n: int) -> pa.Array:
+    raw = zlib.decompress(raw)
+    off = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i4", n))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(off), pa.py_buffer(raw[4 * n :])])
+
+
+def chunked(parts: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """A row for every chunk of texts: these, whether they are in the target, the distinct words and the numbers of words (all, target)."""
+    schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(pa.int64())), ("t", pa.list_(pa.bool_())), ("text", pa.binary()), ("words", pa.binary()), ("n0", pa.int64()), ("n1", pa.int64())])
     for part in parts:
         text, t = part.column("text"), part.column("t").to_numpy(zero_copy_only=False).astype(bool)
         for a, b in text_chunks(text, CHUNK):
-            name, some = uuid.uuid4().hex, text.slice(a, b - a)
-            row, u, (word, before, pair, opens) = places(some, bits)
-            on = t[a:b][row]
+            some = text.slice(a, b - a)
+            row, word, _, _ = tokens(some, bits)
+            rows = {"chunk": uuid.uuid4().hex, "ids": part.column("doc_id").slice(a, b - a).to_pylist(), "t": t[a:b].tolist(), "text": pack_texts(some), "words": pack_keys(np.unique(word)), "n0": len(row), "n1": int(t[a:b][row].sum())}
+            yield pa.RecordBatch.from_pylist([rows], schema)
+
+
+def pieces(parts: Iterator[pa.RecordBatch], n_ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Keys and counts (all, target) of chunks, a row for every range that a chunk meets."""
+    for part in parts:
+        for k in range(part.num_rows):
+            name, t = part.column("chunk")[k].as_py(), part.column("t")[k].values.to_numpy(zero_copy_only=False)
+            row, u, (word, before, pair, opens) = places(unpack_texts(part.column("text")[k].as_py(), len(t)), bits)
+            on = t[row]
             firsts = before == opens
             at = np.concatenate([word, np.full(int(firsts.sum()), opens), pair])
             sums = np.stack([np.bincount(at, minlength=len(u)), np.bincount(at[np.concatenate([on, on[firsts], on])], minlength=len(u))])
-            rows = [{"chunk": name, "range": -1, "n0": len(row), "n1": int(on.sum()), "ids": part.column("doc_id").slice(a, b - a).to_pylist(), "t": t[a:b].tolist(), "text": some.to_pylist()}]
             of = ranges(u, n_ranges, bits)
             first = np.flatnonzero(np.diff(of, prepend=-1))
-            for i, j in zip(first, [*first[1:], len(u)], strict=True):
-                is_pair = (u[i:j] & 1) == 1
-                order = np.concatenate([np.flatnonzero(~is_pair), np.flatnonzero(is_pair)])
-                rows.append({"chunk": name, "range": int(of[i]), "words": pack_keys(u[i:j][~is_pair]), "pairs": pack_keys(u[i:j][is_pair]), "data": squeeze(sums[:, i:j][:, order])})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            ends = zip(first, [*first[1:], len(u)], strict=True)
+            rows = [(name, int(of[i]), pack_keys(u[i:j]), squeeze(sums[:, i:j])) for i, j in ends]
+            kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, q) for c, q in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "range", "keys", "data"])
 
 
 def answer(p: pd.DataFrame) -> pd.DataFrame:
-    """The pieces of one range with the totals of their keys in place of their counts, in ascending order of keys."""
-    keys = [np.concatenate([unpack_keys(w), unpack_keys(q)]) for w, q in zip(p["words"], p["pairs"], strict=True)]
+    """The pieces of one range with the totals of their keys in place of their counts."""
+    keys = [unpack_keys(k) for k in p["keys"]]
     u, inv = np.unique(np.concatenate(keys), return_inverse=True)
     total, at = np.zeros((2, len(u)), np.int64), np.cumsum([0, *map(len, keys)])
     for k, raw in enumerate(p["data"]):
         total[:, inv[at[k] : at[k + 1]]] += spread(raw)  # a piece has each key once
-    return pd.DataFrame({"chunk": p["chunk"], "range": p["range"], "data": [squeeze(total[:, np.sort(inv[at[k] : at[k + 1]])]) for k in range(len(keys))]})
+    return pd.DataFrame({"chunk": p["chunk"], "range": p["range"], "data": [squeeze(total[:, inv[at[k] : at[k + 1]]]) for k in range(len(keys))]})
 
 
 def word_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,23 +205,23 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits, n_ranges = hash_bits(size), min((1 << 31) - 1, size // RANGE + 1)
     with scratch(docs.sparkSession) as keep:
-        met = keep(flagged.mapInArrow(lambda parts: pieces(parts, n_ranges, bits), PIECES))
+        met = keep(flagged.mapInArrow(lambda parts: chunked(parts, bits), CHUNKS))
         sums = met.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
         totals = np.array([sums["n0"], sums["n1"]], float)
-        words = met.where("range >= 0").select("words").mapInArrow(word_keys, "key long").where(F.col("key") != opening(bits))
-        vocabulary = max(1, words.distinct().count())
+        vocabulary = max(1, met.select("words").mapInArrow(word_keys, "key long").distinct().count())
 
         def finish(p: pa.Table) -> pa.Table:
             p = p.sort_by("range")
-            ids, t, text = (p.column(c)[0].values for c in ("ids", "t", "text"))
-            row, u, at = places(text, bits)
-            got = np.concatenate([np.zeros((2, 0), np.int64), *[spread(raw) for raw in p.column("data").to_pylist()[1:]]], axis=1)
-            n, lt, lb = mean_losses(len(text), row, *at, t.to_numpy(zero_copy_only=False).astype(bool), got, totals, vocabulary)
+            ids, t = (p.column(c)[0].values for c in ("ids", "t"))
+            row, u, at = places(unpack_texts(p.column("text")[0].as_py(), len(ids)), bits)
+            counts = np.concatenate([spread(raw) for raw in p.column("data").to_pylist()[1:]], axis=1)
+            n, lt, lb = mean_losses(len(ids), row, *at, t.to_numpy(zero_copy_only=False).astype(bool), counts, totals, vocabulary)
             none = n == 0
             return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(lt, mask=none), pa.array(lb, mask=none)], ["doc_id", "n_tokens", "loss_target", "loss_background"])
 
-        answers = met.where("range >= 0").select("chunk", "range", "words", "pairs", "data").groupBy("range").applyInPandas(answer, "chunk string, range int, data binary")
-        heads = met.where("range < 0").select("chunk", "range", "data", "ids", "t", "text")
+        sent = met.select("chunk", "t", "text").mapInArrow(lambda parts: pieces(parts, n_ranges, bits), PIECES)
+        answers = sent.groupBy("range").applyInPandas(answer, "chunk string, range int, data binary")
+        heads = met.select("chunk", F.lit(-1).alias("range"), "ids", "t", "text")
         got = cut(heads.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(finish, OUT))
     return got.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
 
