@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed as fx
-from .operators import catalog, geometry, raster, slicing, spectral
+from .operators import catalog, geometry, imaging, raster, slicing, spectral
 from .sources import frames
 from .streaming.watch import watch
 
@@ -75,7 +75,7 @@ class Engine:
         rows = slicing.zero_pad(rows, w2)
         zeros = F.array_repeat(F.lit(0).cast("long"), w2)
         rows = rows.unionByName(self.spark.range(int(h), h2).select(F.col("id").alias("row"), zeros.alias("re"), zeros.alias("im")))
-        return spectral.form_image(rows, h2, w2, o.scaling, taper=False)
+        return imaging.form_image(rows, h2, w2, o.scaling, taper=False)
 
     def roi(self, image: DataFrame, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
         return slicing.roi(image, r0, r1, c0, c1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -10,35 +11,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import PART, halo, running
+
 ALIGN = 512
 PHENOMENA = ("compute", "memory", "transfer", "stall", "overhead", "other")
 
 
 def offsets(segments: DataFrame, scene: str = "scene_id", order: str = "role", length: str = "byte_len", align: int = ALIGN) -> DataFrame:
-    """segments with blob_off, the aligned running offset within a scene."""
-    w = Window.partitionBy(scene).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("blob_off", F.coalesce(F.sum(F.ceil(F.col(length) / align) * align).over(w), F.lit(0)).cast("long"))
+    """segments with blob_off, the aligned running offset within a scene; a scene may hold any share of the segments."""
+    return running(segments, (F.ceil(F.col(length) / align) * align).cast("long"), [order], [scene], "blob_off")
 
 
 def image_layout(scenes: DataFrame, first: int = 0, block: int = ALIGN) -> DataFrame:
-    """scenes (scene_id, byte_len) with lba, the first block of each in one image: an exclusive running sum over the catalog."""
-    w = Window.orderBy("scene_id").rowsBetween(Window.unboundedPreceding, -1)
-    return scenes.withColumn("lba", F.lit(first) + F.coalesce(F.sum(F.ceil(F.col("byte_len") / block)).over(w), F.lit(0)).cast("long"))
+    """scenes (scene_id, byte_len) with lba, the first block of each in one image: an exclusive running sum over stretches of the catalog."""
+    got = running(scenes, F.ceil(F.col("byte_len") / block).cast("long"), ["scene_id"], out="lba")
+    return got.withColumn("lba", F.col("lba") + first)
 
 
 def write_stage(frame: DataFrame, path: str, scene: str) -> None:
-    """A scene's frame as a partition of a dataset, and beside it a manifest with its digest and dimensions."""
+    """A scene's frame as a partition of a dataset, and beside it a manifest with its digest, dimensions and the number of the run."""
     frame.write.mode("overwrite").parquet(f"{path}/frames/scene={scene}")
     d = frame_digest(frame).crossJoin(frame.agg((F.max("row") + 1).alias("m"), (F.max("col") + 1).alias("n_cols")))
-    d.select(F.lit(scene).alias("scene"), "n", "digest", "m", "n_cols").write.mode("append").json(f"{path}/manifest")
+    d.select(F.lit(scene).alias("scene"), "n", "digest", "m", "n_cols", F.lit(time.time_ns()).alias("run")).write.mode("append").json(f"{path}/manifest")
 
 
 def read_stage(spark, path: str, scene: str) -> DataFrame:
     """The scene's frame, or an error if it is not what its newest manifest says."""
     frame = spark.read.parquet(f"{path}/frames/scene={scene}")
-    told = {(r["n"], r["digest"]) for r in spark.read.schema("scene string, n long, digest string").json(f"{path}/manifest").where(F.col("scene") == scene).collect()}
+    told = spark.read.schema("scene string, n long, digest string, run long").json(f"{path}/manifest").where(F.col("scene") == scene)
+    last = told.agg(F.max_by(F.struct("n", "digest"), F.coalesce("run", F.lit(0))).alias("last")).first()["last"]
     got = frame_digest(frame).first()
-    if (got["n"], got["digest"]) not in told:
+    if last is None or (got["n"], got["digest"]) != (last["n"], last["digest"]):
         raise RuntimeError(f"scene {scene}: the frame differs from its manifest")
     return frame
 
@@ -62,7 +65,7 @@ def occupied_bandwidth(spectrum: DataFrame, floor_db: float = -20.0) -> DataFram
 
 
 def job(catalog: DataFrame, segments: DataFrame, scene_id: int) -> DataFrame:
-    """The scene's catalog row with a map of its segments' offsets by role: a point look-up that prunes both scans."""
+    """The scene's catalog row with a map of its segments' offsets by role. Both scans are pruned where scene_id is a stored column and offsets are stored too."""
     s = segments.where(F.col("scene_id") == scene_id).groupBy("scene_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "blob_off")))).alias("at"))
     return catalog.where(F.col("scene_id") == scene_id).join(s, "scene_id")
 
@@ -168,10 +171,11 @@ def append_ledger(records: DataFrame, path: str) -> None:
 
 
 def stage_shares(stages: DataFrame, key: str, order: str, at: str) -> DataFrame:
-    """stages with elapsed (since the stage before) and share of the key's total."""
-    w = Window.partitionBy(key).orderBy(order)
-    e = stages.withColumn("elapsed", F.col(at) - F.lag(at).over(w)).where("elapsed is not null")
-    return e.withColumn("share", F.try_divide(F.col("elapsed").cast("double"), F.sum("elapsed").over(Window.partitionBy(key))))
+    """stages with elapsed (since the stage before) and share of the key's total; a key may hold any share of the rows."""
+    w = Window.partitionBy(PART, key).orderBy(order)
+    e = halo(stages, [order], [key], back=1).withColumn("elapsed", F.col(at) - F.lag(at).over(w)).where("elapsed IS NOT NULL AND NOT _halo").drop(PART, "_halo")
+    total = e.groupBy(F.col(key).alias("_k")).agg(F.sum("elapsed").alias("_total"))
+    return e.join(total, F.col(key).eqNullSafe(F.col("_k"))).withColumn("share", F.try_divide(F.col("elapsed").cast("double"), "_total")).drop("_k", "_total")
 
 
 def estimate(catalog: DataFrame, base_elems: float, base_seconds: float, base_gb: float) -> DataFrame:

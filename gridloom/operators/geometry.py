@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
-from . import interp
+from . import interp, tiles
+from .scan import PART, halo, running
 
 LIGHT = 299792458.0
 
@@ -37,10 +40,8 @@ def ramp(f0: Column, df: Column, k: Column, nu: int = 1) -> Column:
 
 
 def pulse_order(pulses: DataFrame, key: str = "tan_phi") -> DataFrame:
-    """pulses with rank, the place of each in ascending key; ties to the smaller row.
-
-    A window over one row a pulse; a frame has thousands, never one a sample."""
-    return pulses.withColumn("rank", (F.row_number().over(Window.orderBy(key, "row")) - 1).cast("int"))
+    """pulses with rank, the place of each in ascending key; ties to the smaller row. Ranks are counted over stretches of the order."""
+    return running(pulses, F.lit(1).cast("long"), [key, "row"], out="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def grid_union(pulses: DataFrame, n: int) -> DataFrame:
@@ -51,9 +52,11 @@ def grid_union(pulses: DataFrame, n: int) -> DataFrame:
     )
 
 
-def reciprocals(axis: DataFrame) -> DataFrame:
-    """axis (i, t) with inv, the reciprocal of the distance to the next point (null at the last)."""
-    return axis.withColumn("inv", F.lit(1.0) / (F.lead("t").over(Window.orderBy("i")) - F.col("t")))
+def reciprocals(axis: DataFrame, key: str = "row") -> DataFrame:
+    """axis (key, i, t) with inv, the reciprocal of the distance to the key's next point (null at the last); a key may hold any share of the rows."""
+    h = halo(axis, ["i"], [key], ahead=1)
+    step = F.lead("t").over(Window.partitionBy(PART, key).orderBy("i")) - F.col("t")
+    return h.withColumn("inv", F.try_divide(F.lit(1.0), step)).where("NOT _halo").drop(PART, "_halo")
 
 
 def resample_rows(rows: DataFrame, grid: DataFrame, n: int, kernel: str = "lerp", table: list[list[int]] | None = None) -> DataFrame:
@@ -111,48 +114,57 @@ def resample_cross(rows: DataFrame, grid: DataFrame) -> DataFrame:
     return x.withColumns({"re": one("re"), "im": one("im")}).drop("_g", "_c")
 
 
-def polar_format(rows: DataFrame, pulses: DataFrame, n: int, size: int) -> DataFrame:
-    """The float resampler: array rows (row, re, im) and pulses (row, x0, dx, tan_phi) onto a size x size grid (array form by range).
+def _between(x: np.ndarray, i: np.ndarray, f: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """lines x 2 x n at places i + f, 0 where not ok: one gather for all lines and both planes."""
+    a, b = (np.take_along_axis(x, np.broadcast_to(k[:, None], (len(x), 2, k.shape[1])), 2) for k in (i, i + 1))
+    return np.where(ok[:, None], a + (b - a) * f[:, None], 0.0)
+
 
-    Range pass: each pulse is interpolated onto uniform range wavenumbers over the union of all
-    pulses' extents. Rows then take their place in angle order, lines are turned, and each range bin
-    is interpolated over its own cross axis (the bin's wavenumber times the sorted tangents). Pulses without
-    a row take no part. Lines are interpolated in NumPy, batch by batch; the only shuffle of samples is the turn."""
-    import numpy as np
-    import pandas as pd
+def polar_format(rows: DataFrame, pulses: DataFrame, n: int, size: int, h: int | None = None) -> DataFrame:
+    """The float resampler: array rows (row, re, im) and pulses (row, x0, dx, tan_phi) onto size x size grids (row, re, im by range), look by look of h rows.
 
-    order = pulse_order(pulses.join(rows.select("row"), "row", "left_semi"))
-    e = order.agg(
-        F.min(F.least("x0", F.col("x0") + F.col("dx") * (n - 1))).alias("lo"), F.max(F.greatest("x0", F.col("x0") + F.col("dx") * (n - 1))).alias("hi"),
-        F.array_sort(F.collect_list(F.struct("rank", "tan_phi"))).alias("axis"),
-    ).first()  # a value a pulse: thousands at most
+    Range pass: each pulse is interpolated onto uniform range wavenumbers over the union of all pulses'
+    extents, all lines of a batch at once. Cross pass: where the tiles of the corner turn come together, each
+    range bin is interpolated over its own cross axis, the bin's wavenumber times the look's tangents in
+    order, all bins of a tile at once. Points up to 1e-9 beyond an end count as the end, what lies farther
+    is 0. Three numbers reach the driver, axes stay with their lines; pulses without a row take no part."""
+    h = h or size
+    end = F.col("x0") + F.col("dx") * (n - 1)
+    some = rows.join(pulses, "row")
+    e = some.agg(F.min(F.least("x0", end)).alias("lo"), F.max(F.greatest("x0", end)).alias("hi"), F.max(F.abs("tan_phi")).alias("tan")).first()
     if e["lo"] is None:
         return rows.select("row", *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("re", "im")]).where(F.lit(False))
-    kr = np.linspace(e["lo"], e["hi"], size)
-    tans = np.array([a["tan_phi"] for a in e["axis"]])
-    edge = np.abs(kr).max() * np.abs(tans).max()
-    kc = np.linspace(-edge, edge, size)
-    kind = "row long, re array<double>, im array<double>"
-
-    def line(x, axis, re, im):
-        up = axis if axis[-1] >= axis[0] else axis[::-1]
-        pick = (lambda v: v) if axis[-1] >= axis[0] else (lambda v: v[::-1])
-        return [np.interp(x, up, pick(np.asarray(v, float)), left=0.0, right=0.0).tolist() for v in (re, im)]
+    kr = e["lo"] + np.arange(size) * ((e["hi"] - e["lo"]) / (size - 1))
+    edge = max(abs(kr[0]), abs(kr[-1])) * e["tan"]
+    kc = -edge + np.arange(size) * (2 * edge / (size - 1))
 
     def range_pass(parts):
         for p in parts:
-            got = [line(kr, r.x0 + r.dx * np.arange(n), r.re, r.im) for r in p.itertuples()]
-            yield pd.DataFrame({"row": p["rank"].astype("int64"), "re": [g[0] for g in got], "im": [g[1] for g in got]})
-
-    def cross_pass(parts):
-        for p in parts:
-            got = [line(kc, kr[r.row] * tans, r.re, r.im) for r in p.itertuples()]
-            yield pd.DataFrame({"row": p["row"], "re": [g[0] for g in got], "im": [g[1] for g in got]})
-
-    from .spectral import turn
-
-    first = rows.join(order.select("row", "x0", "dx", "rank"), "row").select("rank", "x0", "dx", "re", "im").mapInPandas(range_pass, kind)
-    return turn(first).mapInPandas(cross_pass, kind)
+            for at in tiles.chunks(p.num_rows, max(n, size)):
+                x = tiles.listed(p, at, n).astype(float)
+                x0, dx, tan = (p.column(c).slice(at.start, at.stop - at.start) for c in ("x0", "dx", "tan_phi"))
+                t = (kr - x0.to_numpy()[:, None]) / dx.to_numpy()[:, None]
+                ok, t = (t >= -1e-9) & (t <= n - 1 + 1e-9), np.clip(t, 0, n - 1)
+                i = np.minimum(np.floor(t).astype(np.int64), n - 2)
+                yield pa.RecordBatch.from_arrays([p.column("row").slice(at.start, at.stop - at.start), tiles.binaries(_between(x, i, t - i, ok), "<f8"), tan], ["row", "iq", "tan_phi"])
+
+    def cross_pass(tile, tans, first):
+        there = np.flatnonzero(~np.isnan(tans))
+        order = there[np.argsort(tans[there], kind="stable")]
+        axis, x = tans[order], tile[:, :, order]
+        if len(axis) < 2:
+            return np.zeros((len(tile), 2, size))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = kc / kr[first : first + len(tile), None]
+        ok = (u >= axis[0] - 1e-9) & (u <= axis[-1] + 1e-9)
+        u = np.clip(np.where(ok, u, axis[0]), axis[0], axis[-1])
+        i = np.clip(np.searchsorted(axis, u.ravel(), "right").reshape(u.shape) - 1, 0, len(axis) - 2)
+        span = axis[i + 1] - axis[i]
+        f = np.where(span > 0, (u - axis[i]) / np.where(span > 0, span, 1), 0.0)
+        return _between(x, i, f, ok)
+
+    lines = some.select("row", "re", "im", "x0", "dx", "tan_phi").mapInArrow(range_pass, tiles.PACKED + ", tan_phi double")
+    return tiles.unpack(tiles.turn(lines, h, size, "<f8", axis="tan_phi", then=cross_pass), size, "<f8", "double")
 
 
 def scatter_rows(rows: DataFrame, order: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
+from .scan import running
 
 
 def weight_q15(num: Column, den: Column, rounding: str = "floor") -> Column:
@@ -168,11 +169,47 @@ def kernel(name: str, half: int, mu: float) -> list[float]:
     return [c / sum(w) for c in w]
 
 
-def kernel_response(taps: DataFrame, freqs: DataFrame) -> DataFrame:
-    """freq, gain and error in dB of kernels (name, mu, k, c) against the ideal delay, at freqs (w, radians a sample)."""
-    angle = F.col("w") * F.col("k")
-    ideal_re, ideal_im = F.cos(F.col("w") * F.col("mu")), F.sin(F.col("w") * F.col("mu"))
-    both = taps.crossJoin(F.broadcast(freqs))  # a handful of taps and frequencies
-    got = both.groupBy("name", "mu", "w").agg(F.sum(F.col("c") * F.cos(angle)).alias("re"), F.sum(F.col("c") * F.sin(angle)).alias("im"))
-    err = F.sqrt(F.pow(F.col("re") - ideal_re, 2) + F.pow(F.col("im") - ideal_im, 2))
-    return got.select("name", "mu", "w", F.hypot("re", "im").alias("gain"), (20 * F.log10(F.greatest(err, F.lit(1e-12)))).alias("error_db"))
+def kernel_response(at: DataFrame, taps: DataFrame, first: int, floor: float = 1e-12) -> DataFrame:
+    """at (mu, w, ...: a delay and a frequency in radians a sample a row) with name, gain and error_db of every kernel of that delay
+    against the ideal one. taps (name, mu, c: array from offset first on) is a bounded table: kernels x delays."""
+    both = at.join(F.broadcast(taps), "mu")
+    add = lambda f: F.aggregate(F.transform("c", lambda v, i: v * f(F.col("w") * (i + first))), F.lit(0.0), lambda s, v: s + v)
+    both = both.withColumns({"_re": add(F.cos), "_im": add(F.sin)})
+    angle = F.col("w") * F.col("mu")
+    err = F.sqrt(F.pow(F.col("_re") - F.cos(angle), 2) + F.pow(F.col("_im") - F.sin(angle), 2))
+    got = both.withColumns({"gain": F.hypot("_re", "_im"), "error_db": 20 * F.log10(F.greatest(err, F.lit(floor)))})
+    return got.drop("_re", "_im", "c")
+
+
+def scaled_unit(unit: Column, most: int) -> tuple[Column, Column]:
+    """A factor as a 32-bit mantissa and its right shift: the largest shift up to most at which the rounded mantissa fits and is not 0; null without one."""
+    mantissa = lambda s: F.floor(unit * F.pow(F.lit(2.0), s) + 0.5)
+    ok = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda s: (mantissa(s) >= -(1 << 31)) & (mantissa(s) < 1 << 31) & (mantissa(s) != 0))
+    shift = F.array_max(ok)
+    return mantissa(shift).cast("long"), shift
+
+
+def affine48(q: Column, a: Column, shift: Column, b: Column) -> tuple[Column, Column]:
+    """((q * a) >> shift) + b in 48 bits, wrapping, and whether the shifted product or the sum did not fit; q and a have 32 bits."""
+    fits = lambda x: (x >= -(1 << 47)) & (x < 1 << 47)
+    wrap = lambda x: F.shiftright(F.shiftleft(x, 16), 16)
+    p = fx.shr(q * a, shift)
+    v = wrap(p) + b
+    return wrap(v), ~fits(p) | ~fits(v)
+
+
+def merge_scan(queries: DataFrame, axis: DataFrame, key: str, inverse_bits: int = 30, width: float | None = None) -> DataFrame:
+    """queries (key, v, sat, ...) with idx and wq on an ascending integer axis (key, ts), all in integers.
+
+    v counts 4096ths of the axis' unit. idx is the last point at or before v, -1 where v lies outside
+    [first, last) or is saturated; wq is the Q15 weight towards the next point, by a rounded reciprocal
+    of the step. Points of an axis are numbered over stretches and brackets are taken over stretches of
+    width (in units of v), so that one axis may hold any share of the rows."""
+    points = running(axis.select(key, "ts").distinct(), F.lit(1).cast("long"), ["ts"], [key], "_n")
+    got = bracket(queries.withColumnRenamed("v", "q"), points.select(key, (F.col("ts") * 4096).alias("x"), F.col("_n").alias("v")), key, "left", width)
+    ok = F.col("x0").isNotNull() & ~F.col("sat")
+    step, d = fx.shr(F.col("x1") - F.col("x0"), 12), F.col("q") - F.col("x0")
+    inverse = F.floor(((1 << inverse_bits + 1) + step) / (2 * step)).cast("long")
+    wq = F.when(d >= 1 << 32, 0).otherwise(F.least(F.lit(32767), fx.shr(d * inverse, inverse_bits - 3)))
+    idx, wq = F.when(ok, F.col("v0")).otherwise(-1).cast("long"), F.when(ok, wq).otherwise(0).cast("int")
+    return got.withColumns({"idx": idx, "wq": wq}).drop("x0", "v0", "x1", "v1").withColumnRenamed("q", "v")

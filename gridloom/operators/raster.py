@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import PART, halo
+
 
 def multilook(img: DataFrame, n: int, h: int, w: int) -> DataFrame:
     """Means of n x n blocks; ragged edges are dropped."""
@@ -193,17 +195,22 @@ def complex_match(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def psf_metrics(line: DataFrame) -> DataFrame:
-    """pslr_db, islr_db of a one-dimensional response (k, p): the main lobe ends at the first minimum on either side of the peak."""
-    w = Window.orderBy("k")
-    x = line.withColumns({"l": F.lag("p").over(w), "r": F.lead("p").over(w)})
-    peak = line.agg(F.min_by(F.struct("k", "p"), F.struct(-F.col("p"), F.col("k"))).alias("b")).select(F.col("b.k").alias("pk"), F.col("b.p").alias("pp"))
-    low = x.where((F.coalesce("l", F.col("p")) >= F.col("p")) & (F.coalesce("r", F.col("p")) >= F.col("p"))).crossJoin(F.broadcast(peak))
-    nulls = low.agg(F.max(F.when(F.col("k") < F.col("pk"), F.col("k"))).alias("a"), F.min(F.when(F.col("k") > F.col("pk"), F.col("k"))).alias("b"))
-    y = line.crossJoin(F.broadcast(peak)).crossJoin(F.broadcast(nulls))
-    main = (F.col("k") > F.coalesce("a", F.lit(-1))) & (F.col("k") < F.coalesce("b", F.lit(1 << 60)))
-    s = y.agg(F.max("pp").alias("pp"), F.max(F.when(~main, F.col("p"))).alias("side"), F.sum(F.when(main, F.col("p") ** 2)).alias("em"), F.sum(F.when(~main, F.col("p") ** 2)).alias("es"))
-    return s.select((20 * F.log10(F.col("side") / F.col("pp"))).alias("pslr_db"), (10 * F.log10(F.col("es") / F.col("em"))).alias("islr_db"))
+def psf_metrics(lines: DataFrame, key: str = "row", guard: int = 8) -> DataFrame:
+    """key, pslr_db, islr_db, spur_db of every one-dimensional response p (array), JVM-side: the main lobe ends at the first minimum
+    on either side of the peak; the spur is the largest sample more than guard from it, null where there is none."""
+    p, at = F.col("p"), lambda i: F.get("p", i)
+    peak = F.array_position(p, F.array_max(p)).cast("int") - 1
+    x = lines.select(key, "p", peak.alias("_k"))
+    ends = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (F.coalesce(at(i - 1), at(i)) >= at(i)) & (F.coalesce(at(i + 1), at(i)) >= at(i)))
+    x = x.withColumn("_low", ends)
+    left, right = F.array_max(F.filter("_low", lambda i: i < F.col("_k"))), F.array_min(F.filter("_low", lambda i: i > F.col("_k")))
+    x = x.withColumns({"_a": F.coalesce(left, F.lit(-1)), "_b": F.coalesce(right, F.size(p))})
+    inside, energy = lambda i: (i > F.col("_a")) & (i < F.col("_b")), lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    main, rest = F.filter(p, lambda v, i: inside(i)), F.filter(p, lambda v, i: ~inside(i))
+    far = F.filter(p, lambda v, i: F.abs(i - F.col("_k")) > guard)
+    db = lambda k, a, b: k * F.log10(F.try_divide(a, b))
+    top = F.array_max(p)
+    return x.select(key, db(20, F.array_max(rest), top).alias("pslr_db"), db(10, energy(rest), energy(main)).alias("islr_db"), db(20, F.array_max(far), top).alias("spur_db"))
 
 
 def orientation_correlations(a: DataFrame, b: DataFrame, h: int, w: int) -> DataFrame:
@@ -215,11 +222,12 @@ def orientation_correlations(a: DataFrame, b: DataFrame, h: int, w: int) -> Data
 
 
 def spacing_uniformity(axis: DataFrame, key: str, x: str, width: int = 31) -> DataFrame:
-    """key, worst, middle: the largest and the median ratio of the largest to the smallest difference in sliding windows."""
-    w = Window.partitionBy(key).orderBy(x)
-    d = axis.select(key, x, (F.lead(x).over(w) - F.col(x)).alias("d")).where("d is not null")
-    full = Window.partitionBy(key).orderBy(x).rowsBetween(0, width - 1)
-    r = d.select(key, F.count("d").over(full).alias("n"), F.max("d").over(full).alias("hi"), F.min("d").over(full).alias("lo"))
+    """key, worst, middle: the largest and the median ratio of the largest to the smallest difference in sliding windows; a key may hold any share of the rows."""
+    h = halo(axis.select(key, x), [x], [key], ahead=width)  # a window and the step behind it
+    w = Window.partitionBy(PART, key).orderBy(x)
+    d = h.withColumn("d", F.lead(x).over(w) - F.col(x)).where("d is not null")
+    full = w.rowsBetween(0, width - 1)
+    r = d.select(key, "_halo", F.count("d").over(full).alias("n"), F.max("d").over(full).alias("hi"), F.min("d").over(full).alias("lo")).where("NOT _halo")
     ratio = F.col("hi") / F.greatest(F.col("lo"), F.lit(1e-12))
     return r.where(F.col("n") == width).groupBy(key).agg(F.max(ratio).alias("worst"), F.median(ratio).alias("middle"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as fx
 from ..sources.frames import to_long, to_rows
 from ..sources.shared import cut
-from .slicing import transpose
+from . import tiles
 
 ROWS = "row long, re array<long>, im array<long>"
 
@@ -158,13 +158,11 @@ def renormalise(rows: DataFrame, exp: str = "exp", deep: int = 12) -> DataFrame:
     return out.withColumns({c: F.transform(c, lambda v: F.when(down > deep, F.lit(0).cast("long")).otherwise(fx.shr(v, down))) for c in ("re", "im")})
 
 
-def turn(rows: DataFrame, h: int | None = None, w: int | None = None) -> DataFrame:
-    """Corner turn of the array form: one shuffle by the new row. With h and w, of every look of h lines of w samples alone."""
-    f = to_long(rows)
-    if h is None:
-        return to_rows(transpose(f))
-    look = F.floor(F.col("row") / h) * w
-    return to_rows(f.select((look + F.col("col")).cast("long").alias("row"), (F.col("row") % h).cast("int").alias("col"), "re", "im"))
+def turn(rows: DataFrame, h: int, w: int) -> DataFrame:
+    """Corner turn of the array form, of every look of h lines of w samples: one shuffle of tiles."""
+    real = "double" in rows.schema["re"].dataType.simpleString()
+    dtype = "<f8" if real else "<i8"
+    return tiles.unpack(tiles.turn(tiles.pack(rows, w, dtype), h, w, dtype), h, dtype, "double" if real else "long")
 
 
 def window_q15(rows: DataFrame, row_taper: list[int], col_taper: list[int]) -> DataFrame:
@@ -258,20 +256,6 @@ def pad_lines(rows: DataFrame, h: int, w: int) -> DataFrame:
     return rows.unionByName(rows.sparkSession.range(tall, -(-tall // h) * h).select(F.col("id").alias("row"), zeros.alias("re"), zeros.alias("im")))
 
 
-def form_image(rows: DataFrame, h: int, w: int, scaling: str = "l1", taper: bool = True) -> DataFrame:
-    """row, col, mag of a frame of w columns: taper, row pass, corner turn, row pass, detection.
-
-    A frame of more than h rows is a stack of looks of h rows each, whose images have w rows each;
-    shared exponents are those of all looks. The image has the transform's orientation after the
-    turn: (range bin, cross-range bin)."""
-    x = window_q15(rows, fx.taper_q15(h), fx.taper_q15(w)) if taper else rows
-    x = cut(x.select("row", "re", "im"))
-    y = line_pass(x, w, scaling)
-    y = renormalise(cut(y)) if scaling == "perrow" else y
-    z = line_pass(cut(turn(y.select("row", "re", "im"), h, w)), h, scaling)
-    return detect_rows(renormalise(cut(z)) if scaling == "perrow" else z)
-
-
 def dft_direct(frame: DataFrame, n: int) -> DataFrame:
     """row, k, re, im of integer lines (row, col, re, im) by a direct sum over one table of n roots: floors each product."""
     wr, wi = fx.twiddles(n)
@@ -283,57 +267,63 @@ def dft_direct(frame: DataFrame, n: int) -> DataFrame:
     return got.groupBy("row", "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
-def fft2_arrow(rows: DataFrame, centred: bool = True, inverse: bool = False) -> DataFrame:
-    """Float two-dimensional transform in the orientation given: NumPy per row, corner turn, NumPy per row, corner turn back.
+def fft2_arrow(rows: DataFrame, h: int, w: int, centred: bool = True, inverse: bool = False) -> DataFrame:
+    """Float two-dimensional transform of every look of h lines of w samples, in the orientation given: NumPy over blocks of
+    lines, corner turn, NumPy again, corner turn back. Missing lines count as zeros.
 
     centred moves the origin from and to the middle along both axes; inverse scales by 1 / (h w)."""
 
-    def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if not len(p):
-                continue
-            z = np.stack(p["re"].to_numpy()) + 1j * np.stack(p["im"].to_numpy())
-            z = np.fft.ifftshift(z, axes=1) if centred else z
-            z = np.fft.ifft(z, axis=1) if inverse else np.fft.fft(z, axis=1)
-            z = np.fft.fftshift(z, axes=1) if centred else z
-            yield pd.DataFrame({"row": p["row"].to_numpy(), "re": list(z.real), "im": list(z.imag)})
+    def along(lines: DataFrame, n: int) -> DataFrame:
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p in parts:
+                for at in tiles.chunks(p.num_rows, n):
+                    x = tiles.planes(p.column("iq").slice(at.start, at.stop - at.start), n, "<f8")
+                    z = x[:, 0] + 1j * x[:, 1]
+                    z = np.fft.ifftshift(z, axes=1) if centred else z
+                    z = np.fft.ifft(z, axis=1) if inverse else np.fft.fft(z, axis=1)
+                    z = np.fft.fftshift(z, axes=1) if centred else z
+                    yield pa.RecordBatch.from_arrays([p.column("row").slice(at.start, at.stop - at.start), tiles.binaries(np.stack([z.real, z.imag], 1), "<f8")], ["row", "iq"])
+
+        return lines.select("row", "iq").mapInArrow(run, tiles.PACKED)
 
-    kind = "row long, re array<double>, im array<double>"
-    return turn(turn(rows.select("row", "re", "im").mapInPandas(one, kind)).mapInPandas(one, kind))
+    turned = tiles.turn(along(tiles.pack(rows, w, "<f8"), w), h, w, "<f8")
+    return tiles.unpack(tiles.turn(along(turned, h), w, h, "<f8"), w, "<f8", "double")
 
 
 def taper_float(rows: DataFrame, h: int, w: int) -> DataFrame:
-    """Array form times the outer product of two Hamming windows."""
+    """Array form times the outer product of two Hamming windows, look by look."""
     a, b = (F.array(*[F.lit(v) for v in fx.hamming(k)]) for k in (h, w))
-    k = F.get(a, F.col("row").cast("int"))
+    k = F.get(a, (F.col("row") % h).cast("int"))
     one = lambda c: F.transform(F.col(c), lambda v, i: v * (k * F.get(b, i)))
     return rows.withColumns({"re": one("re"), "im": one("im")})
 
 
 def quicklook(rows: DataFrame, h: int, w: int) -> DataFrame:
-    """row, col, amp of the windowed float transform without resampling."""
+    """row, col, amp of the windowed float transform of every look, without resampling."""
     x = rows.select("row", *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("re", "im")])
-    return to_long(fft2_arrow(taper_float(x, h, w))).select("row", "col", F.hypot("re", "im").alias("amp"))
+    return to_long(fft2_arrow(taper_float(x, h, w), h, w)).select("row", "col", F.hypot("re", "im").alias("amp"))
 
 
 def focus(rows: DataFrame, h: int, w: int, spacing: tuple[float, float], negative: bool = True) -> tuple[DataFrame, tuple[float, float]]:
-    """Pads to powers of two, transforms (the inverse for a positive phase sign) and rescales the pixel spacing."""
+    """Pads every look to powers of two, transforms (the inverse for a positive phase sign) and rescales the pixel spacing.
+
+    A look of h lines becomes one of as many lines as its padded height."""
     h2, w2 = (1 << (k - 1).bit_length() for k in (h, w))
     fill = lambda c: F.concat(F.transform(c, lambda v: v.cast("double")), F.array_repeat(F.lit(0.0), F.lit(w2) - F.size(c)))
-    zeros = F.array_repeat(F.lit(0.0), w2)
-    pad = rows.sparkSession.range(h, h2).select(F.col("id").alias("row"), zeros.alias("re"), zeros.alias("im"))
-    x = rows.select("row", fill("re").alias("re"), fill("im").alias("im")).unionByName(pad)
-    return fft2_arrow(x, inverse=not negative), (spacing[0] * w / w2, spacing[1] * h / h2)
+    row = (F.floor(F.col("row") / h) * h2 + F.col("row") % h).cast("long")
+    x = rows.select(row.alias("row"), fill("re").alias("re"), fill("im").alias("im"))
+    return fft2_arrow(x, h2, w2, inverse=not negative), (spacing[0] * w / w2, spacing[1] * h / h2)
 
 
 def phase_correlation(a: DataFrame, b: DataFrame, h: int, w: int) -> DataFrame:
-    """dy, dx, peak: the cyclic shift that best aligns frame b with frame a (array form, float)."""
-    fa, fb = to_long(fft2_arrow(a, False)), to_long(fft2_arrow(b, False)).select("row", "col", F.col("re").alias("br"), F.col("im").alias("bi"))
+    """look, dy, dx, peak: the cyclic shift that best aligns each look of frame b with that of frame a (array form, float)."""
+    fa, fb = (to_long(fft2_arrow(x, h, w, False)) for x in (a, b))
+    fb = fb.select("row", "col", F.col("re").alias("br"), F.col("im").alias("bi"))
     re = F.col("re") * F.col("br") + F.col("im") * F.col("bi")
     im = F.col("im") * F.col("br") - F.col("re") * F.col("bi")
     size = F.greatest(F.hypot(re, im), F.lit(1e-12))
     cross = fa.join(fb, ["row", "col"]).select("row", "col", (re / size).alias("re"), (im / size).alias("im"))
-    back = to_long(fft2_arrow(to_rows(cross), False, inverse=True))
-    return back.agg(F.max_by(F.struct("row", "col"), "re").alias("at"), F.max("re").alias("peak")).select(
-        F.col("at.row").alias("dy"), F.col("at.col").alias("dx"), "peak"
-    )
+    back = to_long(fft2_arrow(to_rows(cross), h, w, False, inverse=True))
+    look, best = F.floor(F.col("row") / h).cast("long").alias("look"), F.struct(F.col("re"), -F.col("row"), -F.col("col"))
+    got = back.groupBy(look).agg(F.max_by(F.struct((F.col("row") % h).alias("row"), "col"), best).alias("at"), F.max("re").alias("peak"))
+    return got.select("look", F.col("at.row").alias("dy"), F.col("at.col").alias("dx"), "peak")

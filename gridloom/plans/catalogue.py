@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as fx
 from ..operators import catalog as ct
 from ..operators import geometry as geo
-from ..operators import interp, raster, slicing, spectral
+from ..operators import imaging, interp, longline, raster, scan, slicing, spectral
 from ..sources import frames
 from ..streaming.watch import windowed_counts
 from . import sql as s
@@ -193,9 +193,9 @@ def dihedral(spark, d):
     return slicing.oriented(img, _height(img), 64)
 
 
-@query("SELECT CAST(k AS INTEGER) AS i, CAST(list_reduce(list_transform(range(0, 6), lambda b: ((k >> b) & 1) << (5 - b)), lambda x, y: x + y) AS INTEGER) AS r FROM range(0, 64) t(k)")
+@query("SELECT l_orderkey, l_linenumber, CAST(list_reduce(list_transform(range(0, 6), lambda b: (((l_partkey % 64) >> b) & 1) << (5 - b)), lambda x, y: x + y) AS INTEGER) AS r FROM lineitem")
 def bit_reverse(spark, d):
-    return spark.range(64).select(F.col("id").cast("int").alias("i"), fx.bit_reverse(F.col("id"), 6).alias("r"))
+    return frames.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fx.bit_reverse(F.col("l_partkey") % 64, 6).cast("int").alias("r"))
 
 
 @query(f"WITH {s.LONG} SELECT row, col, lpad(lower(hex(((re & 65535) << 16) | (im & 65535))), 8, '0') AS value FROM iql")
@@ -209,21 +209,23 @@ def hex_round_trip(spark, d):
 
 
 @query(
-    "SELECT j, CAST(CASE WHEN j % 13 = 0 THEN 32767 WHEN j % 17 = 5 THEN -32768 ELSE " + s.wrap16("(j * 7919 + 2 * 4523 + 13) * 37") + " END AS BIGINT) AS re, "
-    "CAST(CASE WHEN j % 13 = 0 THEN -32768 WHEN j % 17 = 5 THEN 32767 ELSE " + s.wrap16("(j * 6271 - 2 * 2749 - 5) * 53") + " END AS BIGINT) AS im FROM range(0, 1024) t(j)"
+    "SELECT l_orderkey, l_linenumber, CAST(CASE l_orderkey % 12 WHEN 0 THEN 32767 WHEN 6 THEN -32768 ELSE " + s.wrap16("l_partkey * 1021 + l_suppkey") + " END AS BIGINT) AS re, "
+    "CAST(CASE l_orderkey % 12 WHEN 0 THEN -32768 WHEN 6 THEN 32767 ELSE " + s.wrap16("l_suppkey * 4093 - l_partkey") + " END AS BIGINT) AS im FROM lineitem"
 )
 def source_line(spark, d):
-    return frames.source_line(spark, 1024, 2)
+    """Full-scale samples of either sign among wrapped products of the table's keys."""
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    li = frames.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fx.wrap16(p * 1021 + q).alias("re"), fx.wrap16(q * 4093 - p).alias("im"))
+    return frames.stress_line(li, "l_orderkey")
 
 
 @query(
-    "SELECT c AS \"case\", CAST(k AS BIGINT) AS k, round(level + CASE WHEN k = spike THEN 2000.0 ELSE 0 END + a * cos(2 * pi() * f * k / 64) + b * cos(2 * pi() * g * k / 64), 6) + 0.0 AS re, "
-    "round(a * sin(2 * pi() * f * k / 64) + b * sin(2 * pi() * g * k / 64), 6) + 0.0 AS im FROM range(0, 64) t(k), (VALUES ('impulse', 0, 0, 0, 0, 0, 0), ('dc', 2000, -1, 0, 0, 0, 0), "
+    "SELECT c AS \"case\", k, round(level + CASE WHEN k % 64 = spike THEN 2000.0 ELSE 0 END + a * cos(2 * pi() * f * (k % 64) / 64) + b * cos(2 * pi() * g * (k % 64) / 64), 6) + 0.0 AS re, "
+    "round(a * sin(2 * pi() * f * (k % 64) / 64) + b * sin(2 * pi() * g * (k % 64) / 64), 6) + 0.0 AS im FROM (SELECT vec_id AS k FROM embeddings) t, (VALUES ('impulse', 0, 0, 0, 0, 0, 0), ('dc', 2000, -1, 0, 0, 0, 0), "
     "('tone', 0, -1, 2000, 8, 0, 0), ('impulse_k', 0, 37, 0, 0, 0, 0), ('twotone', 0, -1, 2000, 5, 1000, 21), ('twotone_hidr', 0, -1, 2000, 11, 2, 21), ('dc_smalltone', 2000, -1, 0, 0, 2, 12)) v(c, level, spike, a, f, b, g)"
 )
 def stimuli(spark, d):
-    """The closed-form ones; the random line is tested against NumPy."""
-    got = frames.stimuli(spark, 64).where("case <> 'random'")
+    got = frames.stimuli(frames.read(spark, d, "embeddings").select(F.col("vec_id").alias("k")), 64)
     return got.select("case", "k", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
@@ -269,9 +271,10 @@ def window_q15(spark, d):
     return frames.to_long(spectral.window_q15(_looks(spark, d), fx.taper_q15(64), fx.taper_q15(64)))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, round(0.54 - 0.46 * cos(2 * pi() * i / 99), 6) AS w FROM range(0, 100) t(i)")
+@query("SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[i + 1] AS DOUBLE) * (0.54 - 0.46 * cos(2 * pi() * i / 63)), 6) + 0.0 AS x FROM embeddings, range(0, 64) t(i)")
 def window_float(spark, d):
-    return spark.range(100).select(F.col("id").cast("int").alias("i"), r6(0.54 - 0.46 * F.cos(2 * F.pi() * F.col("id") / 99), "w"))
+    x = frames.real_frame(frames.read(spark, d, "embeddings"))
+    return x.select(F.col("row").alias("vec_id"), F.col("col").alias("i"), (F.round(F.col("x") * (0.54 - 0.46 * F.cos(2 * F.pi() * F.col("col") / 63)), 6) + 0.0).alias("x"))
 
 
 @query(f"WITH {s.LONG} SELECT row, col, CAST(floor(sqrt(CAST(re * re + im * im AS DOUBLE))) AS BIGINT) AS root, CAST(least(65535, floor(sqrt(CAST(re * re + im * im AS DOUBLE)))) AS INTEGER) AS mag, round(sqrt(CAST(re * re + im * im AS DOUBLE)), 6) AS amp FROM iql")
@@ -364,17 +367,17 @@ def detect_order_diff(spark, d):
 
 @query(s.image("l1"))
 def form_image_l1bfp(spark, d):
-    return spectral.form_image(_looks(spark, d), 64, 64, "l1")
+    return imaging.form_image(_looks(spark, d), 64, 64, "l1")
 
 
 @query(s.image("global"))
 def form_image_global(spark, d):
-    return spectral.form_image(_looks(spark, d), 64, 64, "global")
+    return imaging.form_image(_looks(spark, d), 64, 64, "global")
 
 
 @query(s.image("perrow"))
 def form_image_perrow(spark, d):
-    return spectral.form_image(_looks(spark, d), 64, 64, "perrow")
+    return imaging.form_image(_looks(spark, d), 64, 64, "perrow")
 
 
 _WIDE = """cells AS (SELECT (l_orderkey * 8 + l_linenumber) // 1024 AS row, (l_orderkey * 8 + l_linenumber) % 1024 AS col, CAST(l_partkey % 8192 AS BIGINT) - 4096 AS re, CAST(l_suppkey % 512 AS BIGINT) - 256 AS im FROM lineitem),
@@ -391,11 +394,10 @@ def form_image_wide(spark, d):
     f = frames.read(spark, d, "lineitem").select(
         F.floor(at / 1024).cast("long").alias("row"), (at % 1024).cast("int").alias("col"), (F.col("l_partkey") % 8192 - 4096).alias("re"), (F.col("l_suppkey") % 512 - 256).alias("im")
     )
-    rows = frames.to_dense(f, 1024)
-    zeros = F.array_repeat(F.lit(0).cast("long"), 1024)
+    rows = frames.to_packed(f, 1024)
     whole = spark.range(-(-_height(f) // 1024) * 1024).select(F.col("id").alias("row"))
-    rows = whole.join(rows, "row", "left").select("row", F.coalesce("re", zeros).alias("re"), F.coalesce("im", zeros).alias("im"))
-    return spectral.form_image(rows, 1024, 1024, "l1")
+    rows = whole.join(rows, "row", "left").select("row", F.coalesce("iq", F.lit(bytes(4 * 1024))).alias("iq"))
+    return imaging.form_image(rows, 1024, 1024, "l1")
 
 
 @query(f"WITH {s.IMAGE} SELECT row, col, CAST(mag * 8 AS DOUBLE) AS real FROM img")
@@ -422,7 +424,7 @@ def frame_crc(spark, d):
 
 @query(s.image("uncond", tapered=False))
 def form_image_uncond(spark, d):
-    return spectral.form_image(_looks(spark, d), 64, 64, "uncond", taper=False)
+    return imaging.form_image(_looks(spark, d), 64, 64, "uncond", taper=False)
 
 
 @query(f"WITH {s.LONG} SELECT CAST(col AS BIGINT) AS row, CAST(row AS INTEGER) AS col, re, im FROM iql")
@@ -435,10 +437,10 @@ def transpose_strip(spark, d):
     return slicing.transpose_strip(_long(spark, d), 10, 20)
 
 
-@query(f"WITH {s.LONG} SELECT CAST(col AS BIGINT) AS row, CAST(row AS INTEGER) AS col, re, im FROM iql")
+@query(f"WITH {s.SQUARE}, l AS (SELECT row, unnest(range(0, 64)) AS col, unnest(re) AS re, unnest(im) AS im FROM sq) SELECT row // 64 * 64 + col AS row, CAST(row % 64 AS INTEGER) AS col, re, im FROM l")
 def corner_turn(spark, d):
-    got = spectral.turn(_iq(spark, d))
-    return frames.to_long(got).select("row", F.col("col").cast("int"), "re", "im")
+    """Of every look of 64 lines."""
+    return frames.to_long(spectral.turn(_iq(spark, d), 64, 64)).select("row", F.col("col").cast("int"), "re", "im")
 
 
 @query(
@@ -473,21 +475,32 @@ _LONGD = "iqd AS (SELECT row, col, CAST(re AS DOUBLE) AS re, CAST(im AS DOUBLE)
 _ROWS = "SELECT max(row) + 1 AS h FROM iq"
 
 
-@query(f"WITH {s.LONG}, {_LONGD}, {s.dft2('iqd', 'f', _ROWS, 64)} SELECT row, col, round(re / (64 * h), 4) + 0.0 AS re, round(im / (64 * h), 4) + 0.0 AS im FROM f")
+# sums of integers times products of two roots of order 64 are multiples of a half wherever they are rational, so none lies on a tie of the first decimal
+@query(f"WITH {s.LONG}, {_LONGD}, {s.dft2('iqd', 'f', 64, 64)} SELECT row, col, round(re, 1) + 0.0 AS re, round(im, 1) + 0.0 AS im FROM f")
 def fft2_float(spark, d):
-    rows = _iq(spark, d)
-    part = lambda c: (F.round(F.col(c) / (64 * _height(rows)), 4) + 0.0).alias(c)
-    return frames.to_long(spectral.fft2_arrow(_doubles(rows))).select("row", "col", part("re"), part("im"))
+    """Of every look of 64 lines."""
+    got = frames.to_long(spectral.fft2_arrow(_doubles(_iq(spark, d)), 64, 64))
+    return got.select("row", "col", *[(F.round(c, 1) + 0.0).alias(c) for c in ("re", "im")])
+
+
+_MOVED = "mvd AS (SELECT row // 64 * 64 + (row % 64 + 59) % 64 AS row, (col + 55) % 64 AS col, re + floor(im / 4) AS re, CAST(0 AS DOUBLE) AS im FROM iqd), flat AS (SELECT row, col, re, CAST(0 AS DOUBLE) AS im FROM iqd)"
 
 
-@query("SELECT CAST(5 AS BIGINT) AS dy, CAST(9 AS INTEGER) AS dx, CAST(1.0 AS DOUBLE) AS peak")
+@query(
+    f"WITH {s.LONG}, {_LONGD}, {_MOVED}, {s.dft2('flat', 'fa', 64, 64, centred=False)}, {s.dft2('mvd', 'fb', 64, 64, centred=False)}, "
+    "x AS (SELECT row, col, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im FROM fa a JOIN fb b USING (row, col)), "
+    "u AS (SELECT row, col, re / greatest(sqrt(re * re + im * im), 1e-12) / 4096 AS re, -im / greatest(sqrt(re * re + im * im), 1e-12) / 4096 AS im FROM x), "
+    f"{s.dft2('u', 'g', 64, 64, centred=False)}, best AS (SELECT row // 64 AS look, arg_max({{'r': row % 64, 'c': col}}, re) AS p, max(re) AS peak FROM g GROUP BY 1) "
+    "SELECT look, p.r AS dy, CAST(p.c AS INTEGER) AS dx, round(peak, 4) AS peak FROM best"
+)
 def phase_correlation(spark, d):
-    rows = _iq(spark, d)
-    h = _height(rows)
-    f = frames.to_long(rows).select("row", "col", F.col("re").cast("double").alias("re"), F.lit(0.0).alias("im"))
-    moved = f.withColumns({"row": (F.col("row") + (h - 5)) % h, "col": (F.col("col") + 55) % 64})
-    got = spectral.phase_correlation(frames.to_rows(f), frames.to_rows(moved), h, 64)
-    return got.select(F.col("dy").cast("long").alias("dy"), F.col("dx").cast("int").alias("dx"), F.round("peak", 3).alias("peak"))
+    """Of every look with a moved copy whose samples have a part of the other channel in them."""
+    f = frames.to_long(_iq(spark, d)).select("row", "col", *[F.col(c).cast("double").alias(c) for c in ("re", "im")])
+    flat, zero = f.withColumn("im", F.lit(0.0)), F.lit(0.0)
+    row = (F.floor(F.col("row") / 64) * 64 + (F.col("row") % 64 + 59) % 64).cast("long")
+    moved = f.select(row.alias("row"), ((F.col("col") + 55) % 64).alias("col"), (F.col("re") + F.floor(F.col("im") / 4)).alias("re"), zero.alias("im"))
+    got = spectral.phase_correlation(frames.to_rows(flat), frames.to_rows(moved), 64, 64)
+    return got.select("look", F.col("dy").cast("long").alias("dy"), F.col("dx").cast("int").alias("dx"), F.round("peak", 4).alias("peak"))
 
 
 # ---- gathers ---------------------------------------------------------------------------------
@@ -611,31 +624,42 @@ def affine_keys(spark, d):
 
 @query()
 def resample_2pass(spark, d):
-    """Range pass on a uniform grid, pulses in angle order, corner turn, cross pass on each bin's scaled axis."""
-    rows = _iq(spark, d)
-    last = _height(rows) - 1
-    rows = rows.withColumns({"x0": F.lit(0.0) + F.col("row") / 256.0, "dx": F.lit(1.0)})
+    """Of every look of 64 lines: range pass on a uniform grid, corner turn, cross pass on each bin's scaled axis."""
+    rows = _iq(spark, d).withColumns({"x0": F.lit(0.0) + F.col("row") / 256.0, "dx": F.lit(1.0)})
     grid = spark.range(64).select(F.col("id").cast("int").alias("i"), (F.col("id") * 0.96875).alias("q"))
     first = geo.resample_rows(rows, grid, 64).select("row", "re", "im")
-    turned = spectral.turn(first)
-    axis = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda p: p * (1 + F.col("row") / 1024.0))
+    turned = spectral.turn(first, 64, 64)
+    axis = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: p * (1 + (F.col("row") % 64) / 1024.0))
     return frames.to_long(geo.resample_cross(turned.withColumn("axis", axis), grid).select("row", "re", "im"))
 
 
-@query(
-    "WITH g AS (SELECT CAST(i AS INTEGER) AS i, i * i / 64.0 AS t FROM range(0, 40) r(i)) SELECT i, round(1.0 / (lead(t) OVER (ORDER BY i) - t), 6) AS inv FROM g"
-)
+@query("WITH g AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events), n AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY event_id) - t AS step FROM g) SELECT user_id, event_id, round(1e6 / CASE WHEN step <> 0 THEN step END, 9) AS inv FROM n")
 def reciprocal_steps(spark, d):
-    g = spark.range(40).select(F.col("id").cast("int").alias("i"), (F.col("id") * F.col("id") / 64.0).alias("t"))
-    return geo.reciprocals(g).select("i", r6(F.col("inv"), "inv"))
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    e = frames.read(spark, d, "events").select("user_id", F.col("event_id").alias("i"), us.alias("t"))
+    return geo.reciprocals(e, "user_id").select("user_id", F.col("i").alias("event_id"), F.round(1e6 * F.col("inv"), 9).alias("inv"))
 
 
-@query()
+def _kernel_sql():
+    rows = [(n, q, k, c) for n in _KERNELS for q in range(8) for k, c in zip(range(-3, 5), interp.kernel(n, 4, q / 8), strict=True)]
+    return "taps AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {q}, {k}, {c!r})" for n, q, k, c in rows) + ") v(name, q, k, c))"
+
+
+_KERNELS = ("sinc", "lanczos", "hamming", "kaiser", "lagrange")
+
+
+@query(
+    f"WITH {_kernel_sql()}, pt AS (SELECT vec_id, CAST(floor((CAST(embedding[1] AS DOUBLE) + 4) * 1024) AS BIGINT) % 8 AS q, (1 + vec_id % 31) * pi() / 32 AS w FROM embeddings), "
+    "r AS (SELECT vec_id, name, w, q / 8.0 AS mu, sum(c * cos(w * k)) AS re, sum(c * sin(w * k)) AS im FROM pt JOIN taps USING (q) GROUP BY ALL) "
+    "SELECT vec_id, name, round(sqrt(re * re + im * im), 6) AS gain, round(20 * log10(greatest(sqrt(pow(re - cos(w * mu), 2) + pow(im - sin(w * mu), 2)), 1e-6)), 3) + 0.0 AS error_db FROM r"
+)
 def kernel_study(spark, d):
-    taps = [(n, mu, k, c) for n in ("sinc", "lanczos", "hamming", "kaiser", "lagrange") for mu in (0.25, 0.5) for k, c in zip(range(-3, 5), interp.kernel(n, 4, mu), strict=True)]
-    freqs = spark.range(1, 32).select((F.col("id") * F.pi() / 32).alias("w"))
-    got = interp.kernel_response(spark.createDataFrame(taps, "name string, mu double, k int, c double"), freqs)
-    return got.select("name", "mu", r6(F.col("w"), "w"), r6(F.col("gain"), "gain"), r6(F.col("error_db"), "error_db"))
+    """The response of every kernel at the delay and the frequency that a vector names; errors below a millionth count as that."""
+    q = F.pmod(F.floor((F.get("embedding", F.lit(0)).cast("double") + 4) * 1024), F.lit(8))
+    at = frames.read(spark, d, "embeddings").select("vec_id", (q / 8.0).alias("mu"), ((1 + F.col("vec_id") % 31) * F.pi() / 32).alias("w"))
+    taps = [(n, k / 8, interp.kernel(n, 4, k / 8)) for n in _KERNELS for k in range(8)]
+    got = interp.kernel_response(at, spark.createDataFrame(taps, "name string, mu double, c array<double>"), -3, 1e-6)
+    return got.select("vec_id", "name", r6(F.col("gain"), "gain"), (F.round("error_db", 3) + 0.0).alias("error_db"))
 
 
 # ---- raster queries and metrics --------------------------------------------------------------
@@ -751,10 +775,19 @@ def pslr(spark, d):
     return got.select("peak", "side", r6(F.col("pslr_db"), "pslr_db"))
 
 
-@query()
+@query(
+    "WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS p FROM embeddings), k AS (SELECT *, list_position(p, list_max(p)) AS k FROM l), "
+    "m AS (SELECT *, list_filter(range(1, 65), lambda i: coalesce(p[nullif(i - 1, 0)], p[i]) >= p[i] AND coalesce(p[i + 1], p[i]) >= p[i]) AS low FROM k), "
+    "e AS (SELECT *, coalesce(list_max(list_filter(low, lambda i: i < k)), 0) AS a, coalesce(list_min(list_filter(low, lambda i: i > k)), 65) AS b FROM m), "
+    "s AS (SELECT vec_id, p[k] AS top, list_filter(range(1, 65), lambda i: i > a AND i < b) AS main, list_filter(range(1, 65), lambda i: i <= a OR i >= b) AS rest, list_filter(range(1, 65), lambda i: abs(i - k) > 8) AS far, p FROM e) "
+    "SELECT vec_id, round(20 * log10(list_max(list_transform(rest, lambda i: p[i])) / top), 6) AS pslr_db, "
+    "round(10 * log10(list_sum(list_transform(rest, lambda i: p[i] * p[i])) / list_sum(list_transform(main, lambda i: p[i] * p[i]))), 6) AS islr_db, "
+    "round(20 * log10(list_max(list_transform(far, lambda i: p[i])) / top), 6) AS spur_db FROM s"
+)
 def psf_1d(spark, d):
-    line = spark.range(-64, 65).select(F.col("id").cast("int").alias("k"), F.abs(F.when(F.col("id") == 0, 1.0).otherwise(F.sin(F.pi() * F.col("id") / 8) / (F.pi() * F.col("id") / 8))).alias("p"))
-    return raster.psf_metrics(line)
+    """Of every vector's magnitudes."""
+    lines = frames.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("p"))
+    return raster.psf_metrics(lines, "vec_id").select("vec_id", *[r6(F.col(c), c) for c in ("pslr_db", "islr_db", "spur_db")])
 
 
 @query(f"WITH {s.IMAGE} SELECT max(mag) AS peak, round(avg(mag), 6) AS mean, CAST(median(mag) AS DOUBLE) AS median, round(100.0 * avg(CAST(mag >= 65535 AS DOUBLE)), 6) AS saturated_pct, round(100.0 * avg(CAST(mag > 0 AS DOUBLE)), 6) AS nonzero_pct FROM img")
@@ -896,9 +929,10 @@ def resource_estimate(spark, d):
     return got.select("o_orderkey", r6(F.col("est_seconds"), "est_seconds"), r6(F.col("est_gb"), "est_gb"))
 
 
-@query("SELECT CAST(w AS INTEGER) AS w, CAST(least(1000, ((w * 32) // 6) * 32) AS BIGINT) AS a, CAST(least(1000, (((w + 1) * 32) // 6) * 32) AS BIGINT) AS b FROM range(0, 6) t(w)")
+@query("SELECT CAST(w AS INTEGER) AS w, CAST(least(n, ((w * ((n + 31) // 32)) // 6) * 32) AS BIGINT) AS a, CAST(least(n, (((w + 1) * ((n + 31) // 32)) // 6) * 32) AS BIGINT) AS b FROM range(0, 6) t(w), (SELECT count(*) AS n FROM lineitem)")
 def worker_bounds(spark, d):
-    rows = [(w, a, b) for w, (a, b) in enumerate(slicing.worker_bounds(1000, 6, 32))]
+    n = frames.read(spark, d, "lineitem").count()
+    rows = [(w, a, b) for w, (a, b) in enumerate(slicing.worker_bounds(n, 6, 32))]
     return spark.createDataFrame(rows, "w int, a long, b long")
 
 
@@ -910,8 +944,8 @@ def block_cyclic(spark, d):
 
 @query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS upto FROM events")
 def cumulative_axis(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.read(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(w), 4).alias("upto"))
+    e = frames.read(spark, d, "events").select("user_id", "event_id", "value")
+    return scan.running(e, F.col("value"), ["event_id"], ["user_id"], inclusive=True).select("user_id", "event_id", F.round("upto", 4).alias("upto"))
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01')) AS w_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -934,31 +968,50 @@ def fft_row_rescaled(spark, d):
     return _rows_out(spectral.pass_block(_looks(spark, d), 64, rescale=True), "exp")
 
 
-_TAPERED = "win AS (SELECT row, col, re * (0.54 - 0.46 * cos(2 * pi() * row / (h - 1))) * (0.54 - 0.46 * cos(2 * pi() * col / 63)) AS re, im * (0.54 - 0.46 * cos(2 * pi() * row / (h - 1))) * (0.54 - 0.46 * cos(2 * pi() * col / 63)) AS im FROM iqd, (SELECT max(row) + 1 AS h FROM iq))"
+_TAPERED = "win AS (SELECT row, col, re * (0.54 - 0.46 * cos(2 * pi() * (row % 64) / 63)) * (0.54 - 0.46 * cos(2 * pi() * col / 63)) AS re, im * (0.54 - 0.46 * cos(2 * pi() * (row % 64) / 63)) * (0.54 - 0.46 * cos(2 * pi() * col / 63)) AS im FROM iqd)"
 
 
-@query(f"WITH {s.LONG}, {_LONGD}, {_TAPERED}, {s.dft2('win', 'f', _ROWS, 64)} SELECT row, col, round(sqrt(re * re + im * im) / (64 * h), 4) AS amp FROM f")
+@query(f"WITH {s.LONG}, {_LONGD}, {_TAPERED}, {s.dft2('win', 'f', 64, 64)} SELECT row, col, round(sqrt(re * re + im * im), 1) AS amp FROM f")
 def quicklook(spark, d):
-    rows = _iq(spark, d)
-    h = _height(rows)
-    return spectral.quicklook(rows, h, 64).select("row", "col", F.round(F.col("amp") / (64 * h), 4).alias("amp"))
-
+    """Of every look of 64 lines."""
+    return spectral.quicklook(_iq(spark, d), 64, 64).select("row", "col", F.round("amp", 1).alias("amp"))
 
-_POW2 = "SELECT CAST(pow(2, ceil(log2(max(row) + 1))) AS BIGINT) AS h FROM iq"
 
-
-@query(f"WITH {s.LONG}, {_LONGD}, {s.dft2('iqd', 'f', _POW2, 64)} SELECT row, col, round(sqrt(re * re + im * im) / (64 * h), 4) AS amp FROM f")
+@query(f"WITH {s.LONG}, {_LONGD}, pad AS (SELECT row // 40 * 64 + row % 40 AS row, col, re, im FROM iqd), {s.dft2('pad', 'f', 64, 64)} SELECT row, col, round(sqrt(re * re + im * im), 1) AS amp FROM f")
 def focus_padded(spark, d):
-    rows = _iq(spark, d)
-    h = _height(rows)
-    img, (_, down) = spectral.focus(rows, h, 64, (1.0, 1.0))
-    return frames.to_long(img).select("row", "col", F.round(F.hypot("re", "im") / (64 * h / down), 4).alias("amp"))
+    """Of every look of 40 lines, padded to 64."""
+    img, _ = spectral.focus(_iq(spark, d), 40, 64, (1.0, 1.0))
+    return frames.to_long(img).select("row", "col", F.round(F.hypot("re", "im"), 1).alias("amp"))
+
+
+_POLAR = (
+    PULSES.replace("SELECT vec_id AS row,", "SELECT vec_id // 2 AS row,").replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 2 = 0)")
+    + """, mean AS (SELECT avg(ax) AS mx, avg(ay) AS my FROM pulses), pl AS (
+    SELECT row, 1 + (ax * mx + ay * my) / sqrt(mx * mx + my * my) / 64 AS x0, 1 / 64.0::DOUBLE AS dx, (ay * mx - ax * my) / (ax * mx + ay * my) AS tan FROM pulses, mean),
+    e AS (SELECT min(x0) AS lo, max(x0 + dx * 63) AS hi, max(abs(tan)) AS tan FROM pl),
+    kr AS (SELECT j, lo + j * ((hi - lo) / 63) AS kr FROM e, range(0, 64) t(j)),
+    kc AS (SELECT i, -edge + i * (2 * edge / 63) AS kc FROM (SELECT (SELECT max(abs(kr)) FROM kr) * tan AS edge FROM e), range(0, 64) t(i)),
+    t1 AS (SELECT iq.row, j, tan, re, im, (kr - x0) / dx AS t FROM iq JOIN pl USING (row), kr),
+    t2 AS (SELECT *, t >= -1e-9 AND t <= 63 + 1e-9 AS ok, greatest(0, least(63, t)) AS tc FROM t1),
+    t3 AS (SELECT *, CAST(least(62, floor(tc)) AS BIGINT) AS k FROM t2),
+    r AS (SELECT row // 64 AS look, j, tan, CASE WHEN ok THEN re[k + 1] + (re[k + 2] - re[k + 1]) * (tc - k) ELSE 0 END AS re, CASE WHEN ok THEN im[k + 1] + (im[k + 2] - im[k + 1]) * (tc - k) ELSE 0 END AS im FROM t3),
+    ends AS (SELECT look, min(tan) AS a, max(tan) AS b FROM r GROUP BY look),
+    q AS (SELECT look, j, i, kc / kr AS u, a, b FROM ends, kr, kc),
+    q2 AS (SELECT look, j, i, greatest(a, least(b, u)) AS u, u >= a - 1e-9 AND u <= b + 1e-9 AS ok FROM q),
+    lo AS (SELECT q2.*, s.tan AS t0, s.re AS r0, s.im AS i0 FROM q2 ASOF LEFT JOIN r s ON q2.look = s.look AND q2.j = s.j AND q2.u >= s.tan),
+    hi AS (SELECT lo.*, s.tan AS t1, s.re AS r1, s.im AS i1 FROM lo ASOF LEFT JOIN r s ON lo.look = s.look AND lo.j = s.j AND lo.u < s.tan),
+    f AS (SELECT *, CASE WHEN t1 IS NULL THEN 0.0 ELSE (u - t0) / (t1 - t0) END AS f FROM hi)
+    SELECT look * 64 + j AS row, CAST(i AS INTEGER) AS col, round(CASE WHEN ok THEN r0 + coalesce(r1 - r0, 0) * f ELSE 0 END, 3) + 0.0 AS re, round(CASE WHEN ok THEN i0 + coalesce(i1 - i0, 0) * f ELSE 0 END, 3) + 0.0 AS im FROM f"""
+)
 
 
-@query()
+@query(f"WITH {s.IQ}, {_POLAR}")
 def polar_format(spark, d):
-    p = geo.wavenumbers(_pulses(spark, d)).select("row", (F.lit(1.0) + F.col("pr") / 64).alias("x0"), (F.lit(1.0) / 64).alias("dx"), "tan_phi")
-    return frames.to_long(geo.polar_format(_iq(spark, d), p, 64, 64)).select("row", "col", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+    """Of every look of 64 lines; a line's pulse is that of its even vector."""
+    p = geo.wavenumbers(_pulses(spark, d).where("row % 2 = 0").withColumn("row", F.floor(F.col("row") / 2).cast("long")))
+    p = p.select("row", (F.lit(1.0) + F.col("pr") / 64).alias("x0"), (F.lit(1.0) / 64).alias("dx"), "tan_phi")
+    got = frames.to_long(geo.polar_format(_iq(spark, d), p, 64, 64))
+    return got.select("row", "col", *[(F.round(c, 3) + 0.0).alias(c) for c in ("re", "im")])
 
 
 @query()
@@ -966,18 +1019,23 @@ def form_image_device(spark, d):
     """Resampling on a uniform grid, pulses in angle order, tapers, per-row exponents with global renormalisation, detection."""
     rows = _looks(spark, d).withColumns({"x0": F.lit(0.0) + F.col("row") / 256.0, "dx": F.lit(1.0)})
     grid = spark.range(64).select(F.col("id").cast("int").alias("i"), (F.col("id") * 0.96875).alias("q"))
-    return spectral.form_image(geo.resample_rows(rows, grid, 64).select("row", "re", "im"), 64, 64, "perrow")
+    return imaging.form_image(geo.resample_rows(rows, grid, 64).select("row", "re", "im"), 64, 64, "perrow")
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS k, CAST({s.cos_q15('k', 64)} AS INTEGER) AS c, CAST({s.sin_q15('k', 64)} AS INTEGER) AS s FROM range(0, 32) t(k)")
+@query(f"SELECT vec_id, CAST({s.cos_q15('(vec_id % 32)', 64)} AS INTEGER) AS c, CAST({s.sin_q15('(vec_id % 32)', 64)} AS INTEGER) AS s FROM embeddings")
 def twiddle_table(spark, d):
-    return spark.createDataFrame(list(zip(range(32), *fx.twiddles(64), strict=True)), "k int, c int, s int")
+    wr, wi = (F.array(*[F.lit(v) for v in x]) for x in fx.twiddles(64))
+    at = (F.col("vec_id") % 32).cast("int")
+    return frames.read(spark, d, "embeddings").select("vec_id", F.get(wr, at).alias("c"), F.get(wi, at).alias("s"))
 
 
-@query("SELECT CAST(p AS INTEGER) AS phase, CAST(32768 AS BIGINT) AS total FROM range(0, 64) t(p)")
+@query(f"WITH {s.IQ}, {_COEFF} SELECT CAST((wq * 64) >> 15 AS INTEGER) AS phase, CAST(sum(32768) AS BIGINT) AS total, count(*) AS n FROM c GROUP BY 1")
 def sinc_unity(spark, d):
-    rows = [(p, k, c) for p, r in enumerate(_TABLE) for k, c in enumerate(r)]
-    return spark.createDataFrame(rows, "phase int, tap int, c long").groupBy("phase").agg(F.sum("c").alias("total"))
+    """The taps of every gather of the frame add up to one whole."""
+    rows = F.array(*[F.array(*[F.lit(c).cast("long") for c in r]) for r in _TABLE])
+    phase = fx.shr(F.col("wq").cast("long") * 64, 15).cast("int")
+    add = F.aggregate(F.get(rows, F.col("phase")), F.lit(0).cast("long"), lambda s, v: s + v)
+    return _coeffs(spark, d).select(phase.alias("phase")).groupBy("phase").agg(F.sum(add).alias("total"), F.count("*").alias("n"))
 
 
 @query(f"WITH {s.IMAGE}, lut AS (SELECT mag, mag * 2 + 1 AS y FROM img GROUP BY mag HAVING mag % 3 = 0) SELECT row, col, CAST(coalesce(y, 0) AS DOUBLE) AS y FROM img LEFT JOIN lut USING (mag)")
@@ -987,10 +1045,10 @@ def lut_apply(spark, d):
     return raster.apply_lut(img, lut, "y").select("row", "col", "y")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST((i * 511 * j * 257) >> 15 AS BIGINT) AS w FROM range(0, 64) a(i), range(0, 64) b(j)")
+@query("SELECT vec_id, CAST(j AS INTEGER) AS j, ((vec_id % 64) * 511 * j * 257) >> 15 AS w FROM embeddings, range(0, 64) b(j)")
 def outer_taper(spark, d):
-    i, j = (spark.range(64).select(F.col("id").cast("int").alias(k), (F.col("id") * f).alias("w" + k)) for k, f in (("i", 511), ("j", 257)))
-    return i.crossJoin(F.broadcast(j)).select("i", "j", fx.shr(F.col("wi") * F.col("wj"), 15).alias("w"))  # 64 x 64
+    j = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")
+    return frames.read(spark, d, "embeddings").select("vec_id", j).select("vec_id", "j", fx.shr((F.col("vec_id") % 64) * 511 * F.col("j") * 257, 15).cast("long").alias("w"))
 
 
 @query("SELECT vec_id, round(floor((CAST(embedding[1] AS DOUBLE) + 4) / 8 / pow(2.0, -7)) * pow(2.0, -7), 9) AS t FROM embeddings")
@@ -1011,10 +1069,11 @@ def occupied_bandwidth(spark, d):
     return got.select(r6(F.col("share"), "share"))
 
 
-@query("WITH s AS (SELECT doc_id // 10 AS scene_id, CAST(sum(strlen(text)) AS BIGINT) AS byte_len FROM documents GROUP BY 1) SELECT scene_id, byte_len, CAST(8 + coalesce(sum(CAST(ceil(byte_len / 512.0) AS BIGINT)) OVER (ORDER BY scene_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lba FROM s")
+@query("WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS scene_id, CAST(sum(l_partkey * 37 + 1) AS BIGINT) AS byte_len FROM lineitem GROUP BY 1) SELECT scene_id, byte_len, CAST(8 + coalesce(sum(CAST(ceil(byte_len / 512.0) AS BIGINT)) OVER (ORDER BY scene_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lba FROM s")
 def image_layout(spark, d):
-    scenes = _segments(spark, d).groupBy("scene_id").agg(F.sum("byte_len").alias("byte_len"))
-    return ct.image_layout(scenes, 8).select("scene_id", "byte_len", "lba")
+    """Every place that lineitem's keys name as a segment of one image."""
+    li = frames.read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("scene_id"), (F.col("l_partkey") * 37 + 1).alias("byte_len"))
+    return ct.image_layout(li.groupBy("scene_id").agg(F.sum("byte_len").alias("byte_len")), 8).select("scene_id", "byte_len", "lba")
 
 
 @query(f"WITH {s.LONG} SELECT row, CAST(col - 16 AS INTEGER) AS col, re FROM iql WHERE col >= 16 AND col < 48")
@@ -1025,3 +1084,72 @@ def centre_pow2_crop(spark, d):
 @query("SELECT event_type AS phenomenon, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def ledger_filter(spark, d):
     return frames.read(spark, d, "events").where("event_type = 'click'").groupBy(F.col("event_type").alias("phenomenon")).agg(F.count("*").alias("n"))
+
+
+# ---- long lines, split transforms, integer merge scan ----------------------------------------
+
+
+@query(
+    f"WITH x AS (SELECT vec_id AS i, CAST(floor(4096 * CAST(embedding[1] AS DOUBLE)) AS DOUBLE) AS x FROM embeddings), n AS (SELECT CAST(pow(2, ceil(log2(max(i) + 1))) AS BIGINT) AS n FROM x) "
+    "SELECT k AS i, round(sum(x * cos(2 * pi() * ((i * k) % n) / n)), 1) + 0.0 AS re, round(-sum(x * sin(2 * pi() * ((i * k) % n) / n)), 1) + 0.0 AS im FROM x, n, (SELECT unnest(range(0, n)) AS k FROM n) g GROUP BY k"
+)
+def fft_long(spark, d):
+    """One line of the first component of every vector, whatever its length."""
+    x = frames.read(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.floor(F.get("embedding", F.lit(0)).cast("double") * 4096).cast("double").alias("x"))
+    n1, n2 = longline.shape((x.agg(F.max("i")).first()[0] or 0) + 1)
+    lines = frames.to_packed(x.select(F.floor(F.col("i") / n2).cast("long").alias("row"), (F.col("i") % n2).alias("col"), F.col("x").alias("re"), F.lit(0.0).alias("im")), n2, "<f8")
+    got = longline.samples(longline.fft_long(lines, n1, n2), n1)
+    return got.select("i", *[(F.round(c, 1) + 0.0).alias(c) for c in ("re", "im")])
+
+
+def _split_sql() -> str:
+    half = lambda name, odd: f"{name} AS (SELECT row, list_transform(range(0, 32), lambda i: re[2 * i + {1 + odd}]) AS re, list_transform(range(0, 32), lambda i: im[2 * i + {1 + odd}]) AS im FROM sq)"
+    (ea, e), (ob, o) = (s.pass_rescaled(n, n, 32, by_line=True) for n in ("ev", "od"))
+    cut = lambda v, by: f"(sign({v}) * (abs({v}) >> ({by})))"
+    c, d = s.cos_q15("(i - 1)", 64), s.sin_q15("(i - 1)", 64)
+    turned = lambda prod: cut(f"CAST({prod} AS BIGINT)", "15")
+    tr, ti = turned(f"({c} * br[i] - {d} * bi[i])"), turned(f"({c} * bi[i] + {d} * br[i])")
+    whole = lambda a, t: f"list_concat(list_transform(range(1, 33), lambda i: {a}[i] + {t}), list_transform(range(1, 33), lambda i: {a}[i] - {t}))"
+    low = lambda x, e, to: f"list_transform({x}, lambda v: CAST({cut('v', f'g - {e}')} AS BIGINT)) AS {to}"
+    return (
+        f"WITH {s.SQUARE}, {half('ev', 0)}, {half('od', 1)}, {ea}, {ob}, b AS (SELECT e.row, e.re AS er, e.im AS ei, o.re AS od_r, o.im AS od_i, e.exp AS ea, o.exp AS eb, greatest(e.exp, o.exp) AS g FROM {e} e JOIN {o} o USING (row)), "
+        f"a AS (SELECT row, g, {low('er', 'ea', 'ar')}, {low('ei', 'ea', 'ai')}, {low('od_r', 'eb', 'br')}, {low('od_i', 'eb', 'bi')} FROM b), "
+        f"y AS (SELECT row, g, {whole('ar', tr)} AS re, {whole('ai', ti)} AS im FROM a), m AS (SELECT *, CAST({s.PEAK} AS BIGINT) AS m FROM y), "
+        f"k AS (SELECT *, greatest(0, {s.bits('(m - 1)')} - 15) AS more FROM m) "
+        f"SELECT row, CAST(unnest(range(0, 64)) AS INTEGER) AS col, CAST(unnest(list_transform(re, lambda v: {cut('CAST(v AS BIGINT)', 'more')})) AS BIGINT) AS re, "
+        f"CAST(unnest(list_transform(im, lambda v: {cut('CAST(v AS BIGINT)', 'more')})) AS BIGINT) AS im, CAST(g + more AS INTEGER) AS exp FROM k"
+    )
+
+
+@query(_split_sql())
+def fft_split(spark, d):
+    """Every line's transform from those of its even and odd samples, under block exponents."""
+    return _rows_out(longline.fft_split(_looks(spark, d), 64), "exp")
+
+
+_SCAN_T = "((epoch_us(ts) - 1704067200000000) // 2000)"
+
+
+@query(
+    f"""WITH ax AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS k, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM (SELECT DISTINCT user_id, {_SCAN_T} AS ts FROM events WHERE event_id % 4 <> 0)),
+    q AS (SELECT user_id, event_id, {_SCAN_T} AS q, 4096.0::DOUBLE * (1 + user_id / 1000.0::DOUBLE) / (1 + user_id % 5 * 7) AS unit, CASE WHEN event_id % 97 = 0 THEN 140737488355300 ELSE user_id % 7 * 4096 END AS b FROM events WHERE event_id % 4 = 0),
+    sc AS (SELECT *, list_max(list_filter(range(0, 25), lambda s: floor(unit * pow(2.0, s) + 0.5) BETWEEN -2147483648 AND 2147483647 AND floor(unit * pow(2.0, s) + 0.5) <> 0)) AS sh FROM q),
+    p AS (SELECT user_id, event_id, sh, (q * CAST(floor(unit * pow(2.0, sh) + 0.5) AS BIGINT)) >> sh AS p, b FROM sc),
+    v AS (SELECT user_id, event_id, sh, p, {s.wrap48('p')} + b AS w FROM p),
+    a AS (SELECT user_id, event_id, sh, {s.wrap48('w')} AS v, NOT (p BETWEEN -140737488355328 AND 140737488355327) OR NOT (w BETWEEN -140737488355328 AND 140737488355327) AS sat FROM v),
+    j AS (SELECT a.*, ax.k, ax.ts, ax.nx FROM a ASOF LEFT JOIN ax ON a.user_id = ax.user_id AND a.v >= ax.ts * 4096),
+    f AS (SELECT *, k IS NOT NULL AND nx IS NOT NULL AND NOT sat AS ok, v - ts * 4096 AS d, (2147483648 + (nx - ts)) // (2 * (nx - ts)) AS inv FROM j)
+    SELECT user_id, event_id, CAST(sh AS INTEGER) AS shift, v, sat, CASE WHEN ok THEN k ELSE -1 END AS idx, CAST(CASE WHEN NOT ok OR d >= 4294967296 THEN 0 ELSE least(32767, (d * inv) >> 27) END AS INTEGER) AS wq FROM f"""
+)
+def merge_scan(spark, d):
+    """Every fourth event under its user's scaled affine map, bracketed among the user's other events in integers."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    e = frames.read(spark, d, "events").select("user_id", "event_id", F.floor((us - 1704067200000000) / 2000).cast("long").alias("ts"))
+    u = F.col("user_id")
+    a, shift = interp.scaled_unit(4096.0 * (1 + u / 1000.0) / (1 + u % 5 * 7), 24)
+    b = F.when(F.col("event_id") % 97 == 0, 140737488355300).otherwise(u % 7 * 4096)
+    q = e.where("event_id % 4 = 0").select("user_id", "event_id", "ts", a.alias("a"), shift.alias("shift"), b.alias("b"))
+    v, sat = interp.affine48(F.col("ts"), F.col("a"), F.col("shift"), F.col("b"))
+    q = q.select("user_id", "event_id", "shift", v.alias("v"), sat.alias("sat"))
+    got = interp.merge_scan(q, e.where("event_id % 4 <> 0"), "user_id", width=4096 * 1.8e6)
+    return got.select("user_id", "event_id", "shift", "v", "sat", "idx", "wq")

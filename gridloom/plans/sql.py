@@ -29,6 +29,10 @@ def wrap16(x: str) -> str:
     return f"(xor(({x}) & 65535, 32768) - 32768)"
 
 
+def wrap48(x: str) -> str:
+    return f"(xor(({x}) & 281474976710655, 140737488355328) - 140737488355328)"
+
+
 def sat16(x: str) -> str:
     return f"greatest(-32768, least(32767, {x}))"
 
@@ -186,13 +190,16 @@ def scale_exponent(m: str) -> str:
     return f"(CASE WHEN {m} = 0 THEN 0 WHEN {m} > 32767 THEN {bits(f'(({m} + 32766) // 32767 - 1)')} ELSE 1 - {bits(f'(32767 // greatest({m}, 1))')} END)"
 
 
-def pass_rescaled(src: str, name: str, n: int = 64) -> tuple[str, str]:
-    """Mantissas scaled both ways after every stage; products keep all bits."""
+def pass_rescaled(src: str, name: str, n: int = 64, by_line: bool = False) -> tuple[str, str]:
+    """Mantissas scaled both ways after every stage, by one exponent or one a line; products keep all bits."""
     put = lambda c: f"list_transform(range(0, {n}), lambda i: {c}[{swapped('i', n)} + 1]) AS {c}"
     out = [f"{name}i AS (SELECT row, {put('re')}, {put('im')}, 0 AS exp FROM {src})"]
 
     def scaled(last, new, off):
         move = lambda c: f"list_transform({c}, lambda v: {sat16('CASE WHEN sh >= 0 THEN v >> greatest(sh, 0) ELSE v * CAST(pow(2, greatest(-sh, 0)) AS BIGINT) END')}) AS {c}"
+        if by_line:
+            own = f"{new}e AS (SELECT *, CAST({scale_exponent('m')} AS INTEGER) AS sh FROM (SELECT *, {PEAK} AS m FROM {last}))"
+            return f"{own}, {new} AS (SELECT row, {move('re')}, {move('im')}, exp + sh - {off} AS exp FROM {new}e)"
         return f"{new}e AS (SELECT CAST({scale_exponent('max(m)')} AS INTEGER) AS sh FROM (SELECT {PEAK} AS m FROM {last})), {new} AS (SELECT row, {move('re')}, {move('im')}, exp + sh - {off} AS exp FROM {last}, {new}e)"
 
     out.append(scaled(f"{name}i", f"{name}s0", 0))
@@ -206,13 +213,11 @@ def pass_rescaled(src: str, name: str, n: int = 64) -> tuple[str, str]:
     return ", ".join(out), f"{name}s{n.bit_length() - 1}"
 
 
-def dft2(src: str, name: str, h: str, w: int) -> str:
-    """CTEs namea and name (row, col, re, im): the centred two-dimensional transform of long src by direct sums; h is a scalar query."""
+def dft2(src: str, name: str, h: int, w: int, centred: bool = True) -> str:
+    """CTEs namea and name (row, col, re, im): the two-dimensional transform of every look of h rows of long src by direct sums."""
     one = lambda t: f"sum(re * cos({t}) + im * sin({t})) AS re, sum(im * cos({t}) - re * sin({t})) AS im"
-    across = f"(2 * pi() * (((col - {w // 2}) * (k - {w // 2})) % {w}) / {w})"
-    down = "(2 * pi() * (((row - h // 2) * (k - h // 2)) % h) / h)"
+    turns = lambda x, n: f"(2 * pi() * ((({x} - {n // 2 * centred}) * (k - {n // 2 * centred})) % {n}) / {n})"
     return (
-        f"{name}h AS ({h}), {name}a AS (SELECT row, k AS col, {one(across)} FROM {src}, range(0, {w}) g(k) GROUP BY ALL), "
-        f"{name}k AS (SELECT unnest(range(0, h)) AS k, h FROM {name}h), "
-        f"{name} AS (SELECT k AS row, CAST(col AS INTEGER) AS col, any_value(h) AS h, {one(down)} FROM {name}a, {name}k GROUP BY k, col)"
+        f"{name}a AS (SELECT row, k AS col, {one(turns('col', w))} FROM {src}, range(0, {w}) g(k) GROUP BY ALL), "
+        f"{name} AS (SELECT row // {h} * {h} + k AS row, CAST(col AS INTEGER) AS col, {one(turns(f'(row % {h})', h))} FROM {name}a, range(0, {h}) g(k) GROUP BY row // {h}, k, col)"
     )

@@ -43,23 +43,34 @@ def to_rows(frame: DataFrame) -> DataFrame:
     return packed.select("row", F.transform("_v", lambda v: v["re"]).alias("re"), F.transform("_v", lambda v: v["im"]).alias("im"))
 
 
-def to_dense(frame: DataFrame, width: int) -> DataFrame:
-    """Long form to array form of lines of this width, with zeros where a line has no sample; of several in one place the last by value counts."""
-    packed = frame.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "re", "im"))).alias("v"))
-    packed = packed.select("row", *[F.transform("v", lambda v: v[c].cast("long")).alias(c) for c in ("col", "re", "im")])
+def to_packed(frame: DataFrame, width: int, dtype: str = "<i2") -> DataFrame:
+    """Long form (row, col, re, im; 16-bit codes or, for <f8, any numbers) to packed lines (row, iq) of this width, with zeros where a line has no sample;
+    of several in one place the last by value counts. One shuffle by row and one sort, line by line in Arrow."""
 
     def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, line = None, np.zeros((1, 2, width), dtype)  # the line that the last batch ended in, not yet whole
+        pack = lambda rows, x: pa.RecordBatch.from_arrays([pa.array(rows), pa.array([v.tobytes() for v in x], pa.binary())], ["row", "iq"])
         for p in parts:
-            at = np.diff(p.column("col").offsets.to_numpy())
-            cell = np.repeat(np.arange(p.num_rows), at) * width + p.column("col").flatten().to_numpy(zero_copy_only=False)
-            out, off = [p.column("row")], pa.array(np.arange(0, p.num_rows * width + 1, width), pa.int32())
-            for c in ("re", "im"):
-                x = np.zeros(p.num_rows * width, np.int64)
-                x[cell] = p.column(c).flatten().to_numpy(zero_copy_only=False)
-                out.append(pa.ListArray.from_arrays(off, pa.array(x)))
-            yield pa.RecordBatch.from_arrays(out, ["row", "re", "im"])
-
-    return packed.mapInArrow(fill, "row long, re array<long>, im array<long>")
+            row, col, re, im = (p.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "re", "im"))
+            for at in range(0, len(row), 1 << 20):
+                r = row[at : at + (1 << 20)]
+                rows, inv = np.unique(r, return_inverse=True)
+                x = np.zeros((len(rows), 2, width), dtype)
+                if rest is not None and rest == rows[0]:
+                    x[0] = line[0]
+                elif rest is not None:
+                    yield pack(np.array([rest]), line)
+                for k, v in ((0, re), (1, im)):
+                    x[inv, k, col[at : at + (1 << 20)]] = v[at : at + (1 << 20)]
+                if len(rows) > 1:
+                    yield pack(rows[:-1], x[:-1])
+                rest, line = rows[-1], x[-1:]
+        if rest is not None:
+            yield pack(np.array([rest]), line)
+
+    to = "double" if "f" in dtype else "int"
+    kind = frame.select("row", F.col("col").cast("int"), F.col("re").cast(to), F.col("im").cast(to))
+    return kind.repartition("row").sortWithinPartitions("row", "col", "re", "im").mapInArrow(fill, "row long, iq binary")
 
 
 def dims(frame: DataFrame) -> DataFrame:
@@ -107,39 +118,29 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).json(path)
 
 
-def source_line(spark: SparkSession, n: int, case: int = 0) -> DataFrame:
-    """A deterministic adversarial line j, re, im: wrapped products, with both int16 extremes at fixed steps."""
-    j = F.col("id")
-    re, im = fx.wrap16((j * 7919 + case * 4523 + 13) * 37), fx.wrap16((j * 6271 - case * 2749 - 5) * 53)
-    re = F.when(j % 13 == 0, fx.I16_MAX).when(j % 17 == 5, fx.I16_MIN).otherwise(re)
-    im = F.when(j % 13 == 0, fx.I16_MIN).when(j % 17 == 5, fx.I16_MAX).otherwise(im)
-    return spark.range(n).select(j.alias("j"), re.cast("long").alias("re"), im.cast("long").alias("im"))
+def stress_line(line: DataFrame, key: str, every: int = 12) -> DataFrame:
+    """line (key, re, im, ...) with both ends of the 16-bit range in its way: after every so many keys re is full and im empty, half-way the other way round."""
+    k, low, high = F.pmod(key, F.lit(every)), F.lit(fx.I16_MIN), F.lit(fx.I16_MAX)
+    put = lambda c, a, b: F.when(k == 0, a).when(k == every // 2, b).otherwise(F.col(c)).cast("long").alias(c)
+    return line.withColumns({"_re": put("re", high, low), "_im": put("im", low, high)}).drop("re", "im").withColumnsRenamed({"_re": "re", "_im": "im"})
 
 
-def stimuli(spark: SparkSession, n: int, scale: float = 2000.0) -> DataFrame:
-    """case, k, re, im of the transform stimuli: a spread of spectra, phases and dynamic ranges over one line.
+def stimuli(places: DataFrame, n: int, scale: float = 2000.0) -> DataFrame:
+    """case, k, re, im of transform stimuli at the places k of a table, periodic in n: impulses, levels, tones.
 
-    twotone_hidr and dc_smalltone hold a weak tone 60 dB below a strong one, which a datapath that
-    floors small values loses. random is a complex normal line from a fixed seed, made on the driver."""
-    k = F.col("id")
-    wave = lambda size, f: (size * F.cos(2 * F.pi() * f * k / n), size * F.sin(2 * F.pi() * f * k / n))
+    twotone_hidr and dc_smalltone hold a weak tone 60 dB below a strong one, which a datapath that floors
+    small values loses. The cases and their sizes are fixed values: they are those of the vectors to match."""
+    k = F.col("k")
+    wave = lambda size, f: (size * F.cos(2 * F.pi() * f * (k % n) / n), size * F.sin(2 * F.pi() * f * (k % n) / n))
     both = lambda a, b: (a[0] + b[0], a[1] + b[1])
-    spike = lambda at: (F.when(k == at, scale).otherwise(0.0), F.lit(0.0))
+    spike = lambda at: (F.when(k % n == at, scale).otherwise(0.0), F.lit(0.0))
     level = (F.lit(scale), F.lit(0.0))
     rows = {
-        "impulse": spike(0),
-        "dc": level,
-        "tone": wave(scale, n // 8),
-        "twotone": both(wave(scale, 5), wave(0.5 * scale, n // 3)),
-        "impulse_k": spike(37 % n),
-        "twotone_hidr": both(wave(scale, 11), wave(1e-3 * scale, n // 3)),
-        "dc_smalltone": both(level, wave(1e-3 * scale, n // 5)),
-    }
+        "impulse": spike(0), "dc": level, "tone": wave(scale, n // 8), "twotone": both(wave(scale, 5), wave(0.5 * scale, n // 3)), "impulse_k": spike(37 % n),
+        "twotone_hidr": both(wave(scale, 11), wave(1e-3 * scale, n // 3)), "dc_smalltone": both(level, wave(1e-3 * scale, n // 5)),
+    }
     cases = F.array(*[F.struct(F.lit(c).alias("case"), re.alias("re"), im.alias("im")) for c, (re, im) in rows.items()])
-    closed = spark.range(n).select(k.alias("k"), F.explode(cases).alias("c")).select("c.case", "k", "c.re", "c.im")
-    r = np.random.default_rng(1234)
-    re, im = (scale * r.standard_normal(n) / 2**0.5 for _ in range(2))
-    return closed.unionByName(spark.createDataFrame(pd.DataFrame({"case": "random", "k": np.arange(n), "re": re, "im": im})))
+    return places.select(k.alias("k"), F.explode(cases).alias("c")).select("c.case", "k", "c.re", "c.im")
 
 
 def scene_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

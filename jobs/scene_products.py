@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import catalog, spectral
+from gridloom.operators import catalog, imaging, spectral
 from gridloom.sources import frames
 from gridloom.sources.shared import scratch
 from jobs.command import log, main
@@ -67,7 +67,7 @@ def run(spark: SparkSession, source: str, out: str, config: Config = Config()) -
     try:
         with scratch(spark) as keep:
             lines = spectral.pad_lines(frames.iq_rows(vectors), c.side, c.side)
-            image = keep(spectral.form_image(lines, c.side, c.side, c.scaling, c.taper))
+            image = keep(imaging.form_image(lines, c.side, c.side, c.scaling, c.taper))
             made = {"products": keep(products(image, c)), "health": keep(health(image, c))}
             made["products"].repartition("strip").sortWithinPartitions("look", "row", "col").write.mode("overwrite").partitionBy("strip").parquet(f"{out}/products")
             made["health"].repartition("strip").sortWithinPartitions("look").write.mode("overwrite").partitionBy("strip").json(f"{out}/health")

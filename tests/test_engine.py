@@ -63,7 +63,8 @@ def test_polar_format_equals_numpy(spark):
     first = np.array([np.interp(kr, src[i], x[i].real, 0, 0) + 1j * np.interp(kr, src[i], x[i].imag, 0, 0) for i in order])
     edge = abs(kr).max() * abs(tan).max()
     kc, axis = np.linspace(-edge, edge, 20), np.sort(tan)
-    want = np.array([np.interp(kc, k * axis, c.real, 0, 0) + 1j * np.interp(kc, k * axis, c.imag, 0, 0) for k, c in zip(kr, first.T, strict=True)])
+    ends = lambda u: np.where(abs(u - axis[0]) < 1e-9, axis[0], np.where(abs(u - axis[-1]) < 1e-9, axis[-1], u))
+    want = np.array([np.interp(ends(kc / k), axis, c.real, 0, 0) + 1j * np.interp(ends(kc / k), axis, c.imag, 0, 0) for k, c in zip(kr, first.T, strict=True)])
     assert np.allclose(got, want)
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import fixed as fx
-from gridloom.operators import catalog, geometry, interp, raster, slicing, spectral
+from gridloom.operators import catalog, geometry, imaging, interp, longline, raster, scan, slicing, spectral, tiles
 from gridloom.sources import frames
 from gridloom.streaming.watch import watch, windowed_counts
 
@@ -41,15 +41,15 @@ def test_looks_are_formed_alone(spark):
     x = codes(12, 8, top=900)
     pad = spectral.pad_lines(rows_of(spark, x), 8, 8)
     assert pad.count() == 16
-    got = {(r["row"], r["col"]): r["mag"] for r in spectral.form_image(pad, 8, 8, "uncond").collect()}
+    got = {(r["row"], r["col"]): r["mag"] for r in imaging.form_image(pad, 8, 8, "uncond").collect()}
     for k, part in enumerate((x[:8], np.concatenate([x[8:], np.zeros((4, 8))]))):
-        alone = spectral.form_image(rows_of(spark, part), 8, 8, "uncond").collect()
+        alone = imaging.form_image(rows_of(spark, part), 8, 8, "uncond").collect()
         assert len(alone) == 64 and all(got[r["row"] + 8 * k, r["col"]] == r["mag"] for r in alone)
 
 
 def test_plan_does_not_grow_with_the_line(spark):
     x = spectral.pad_lines(rows_of(spark, codes(1, 512, top=900)), 512, 512)
-    img = spectral.form_image(x, 512, 512, "perrow")
+    img = imaging.form_image(x, 512, 512, "perrow")
     assert len(img._jdf.queryExecution().executedPlan().toString()) < 10_000 and img.count() == 512 * 512
 
 
@@ -78,14 +78,14 @@ def test_zero_rows_stay_zero(spark):
 
 def test_turn_twice_is_identity(spark):
     x = codes(5, 7)
-    assert (back(spectral.turn(spectral.turn(rows_of(spark, x)))) == x).all()
+    assert (back(spectral.turn(spectral.turn(rows_of(spark, x), 5, 7), 7, 5)) == x).all()
 
 
 def test_image_correlates_with_float(spark):
     x = np.zeros((16, 16), complex)
     k = np.arange(16)
     x += 5000 * np.exp(2j * np.pi * (3 * k[:, None] + 5 * k[None, :]) / 16)
-    img = spectral.form_image(rows_of(spark, np.round(x.real) + 1j * np.round(x.imag)), 16, 16, "perrow", taper=False)
+    img = imaging.form_image(rows_of(spark, np.round(x.real) + 1j * np.round(x.imag)), 16, 16, "perrow", taper=False)
     top = raster.brightest(img).first()
     assert (top["row"], top["col"]) == (5, 3)
 
@@ -225,7 +225,7 @@ def test_geodesy(spark):
 
 def test_empty_frames(spark):
     none = rows_of(spark, codes(1, 4)).where("row < 0")
-    assert spectral.form_image(none, 4, 4, "l1").count() == 0
+    assert imaging.form_image(none, 4, 4, "l1").count() == 0
     assert slicing.decimate(frames.to_long(none), 2, 2).count() == 0
     assert raster.histogram(spectral.detect_rows(none)).count() == 0
 
@@ -292,14 +292,19 @@ def test_png_holds_the_raster(spark, tmp_path):
 
 
 def test_stimuli_lines(spark):
-    got = frames.stimuli(spark, 128).toPandas()
-    r = np.random.default_rng(1234)
-    re, im = (2000 * r.standard_normal(128) / 2**0.5 for _ in range(2))
-    x = got[got["case"] == "random"].sort_values("k")
-    assert got["case"].nunique() == 8 and np.allclose(x["re"], re) and np.allclose(x["im"], im)
-    weak = got[got["case"] == "twotone_hidr"].sort_values("k")
-    spectrum = abs(np.fft.fft(weak["re"].to_numpy() + 1j * weak["im"].to_numpy()))
-    assert abs(spectrum[42] / spectrum[11] - 1e-3) < 1e-9
+    got = frames.stimuli(spark.range(256).select(F.col("id").alias("k")), 128).toPandas()
+    assert got["case"].nunique() == 7 and len(got) == 7 * 256
+    lines = {c: g.sort_values("k")["re"].to_numpy() + 1j * g.sort_values("k")["im"].to_numpy() for c, g in got.groupby("case")}
+    assert all(np.allclose(v[:128], v[128:]) for v in lines.values())
+    spectrum = abs(np.fft.fft(lines["twotone_hidr"][:128]))
+    assert abs(spectrum[42] / spectrum[11] - 1e-3) < 1e-9 and np.flatnonzero(lines["impulse_k"][:128]).tolist() == [37]
+
+
+def test_stress_line(spark):
+    got = frames.stress_line(spark.range(24).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("re"), F.lit(2).cast("long").alias("im"), F.lit("x").alias("more")), "k", 8)
+    assert got.columns == ["k", "more", "re", "im"]
+    want = {0: (32767, -32768), 4: (-32768, 32767)}
+    assert all((r["re"], r["im"]) == want.get(r["k"] % 8, (1, 2)) for r in got.collect())
 
 
 def test_files_come_in_the_order_of_their_paths(spark, tmp_path):
@@ -310,7 +315,182 @@ def test_files_come_in_the_order_of_their_paths(spark, tmp_path):
     assert [(r["path"][-9:], r["byte_len"]) for r in got] == [("a/one.bin", 9), ("b/two.bin", 9)]
 
 
-def test_dense_lines(spark):
-    f = spark.createDataFrame([(2, 3, 5, 6), (2, 0, 1, 2), (7, 1, -1, -2)], "row long, col int, re int, im int")
-    got = {r["row"]: (r["re"], r["im"]) for r in frames.to_dense(f, 4).collect()}
+def test_packed_lines(spark):
+    f = spark.createDataFrame([(2, 3, 5, 6), (2, 0, 1, 2), (7, 1, -1, -2), (2, 3, 5, -6)], "row long, col int, re int, im int")
+    got = {r["row"]: (r["re"], r["im"]) for r in tiles.unpack(frames.to_packed(f, 4), 4).collect()}
     assert got == {2: ([1, 0, 0, 5], [2, 0, 0, 6]), 7: ([0, -1, 0, 0], [0, -2, 0, 0])}
+    r = np.random.default_rng(4)
+    cells = [(int(a), int(b), int(a) % 999 - 500, int(b) - 3) for a, b in {tuple(x) for x in r.integers(0, 40, (900, 2))}]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # lines go on from batch to batch
+    try:
+        got = {q["row"]: q["re"] for q in tiles.unpack(frames.to_packed(spark.createDataFrame(cells, f.schema), 40), 40).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {a: [0] * 40 for a, *_ in cells}
+    for a, b, x, _ in cells:
+        want[a][b] = x
+    assert got == want
+
+
+@pytest.mark.parametrize("shape", [(5, 7, 3), (64, 130, 128), (8, 8, 8)])
+def test_tiled_turn(spark, shape):
+    """Ragged strips, a look that lacks lines, several looks, few rows moved."""
+    h, w, tile = shape
+    x = codes(3 * h, w, seed=w)
+    lines = tiles.pack(rows_of(spark, x).where(f"row <> {h}"), w)
+    got = back(tiles.unpack(tiles.turn(lines, h, w, tile=tile), h))
+    x[h] = 0
+    assert (got == np.concatenate([x[k * h : (k + 1) * h].T for k in range(3)])).all()
+    l1 = {r["row"]: r["l1"] for r in tiles.turn(lines, h, w, tile=tile).collect()}
+    assert l1[0] == int(abs(x[:h, 0].real).sum() + abs(x[:h, 0].imag).sum())
+
+
+def test_samples_must_fit(spark):
+    with pytest.raises(Exception, match="16 bits"):
+        tiles.pack(rows_of(spark, np.array([[40000 + 0j]])), 1).collect()
+    with pytest.raises(Exception, match="must have"):
+        tiles.pack(rows_of(spark, codes(1, 3)), 4).collect()
+
+
+def test_images_equal_the_passes_by_expressions(spark):
+    """Every scaling rule against the column expressions, stage by stage."""
+    x = rows_of(spark, codes(16, 8, top=30000) * np.array([1, 1 / 512, 1, 0, 1, 1 / 99, 1, 1] * 2)[:, None])
+    for scaling, one in (("l1", spectral.pass_l1), ("global", spectral.pass_global), ("perrow", spectral.pass_perrow), ("uncond", spectral.pass_uncond)):
+        done = lambda df, n: (spectral.renormalise(one(df, n)) if scaling == "perrow" else one(df, n)).select("row", "re", "im")  # noqa: B023, E731
+        mid = done(spectral.window_q15(x, fx.taper_q15(8), fx.taper_q15(8)), 8)
+        want = spectral.detect_rows(done(spectral.turn(mid, 8, 8), 8))
+        report = imaging.Report()
+        got = imaging.form_image(x, 8, 8, scaling, report=report)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and report.code == 0 and len(report.exponents) == 2
+
+
+def test_stage_codes(spark, monkeypatch):
+    x = rows_of(spark, codes(8, 8))
+    broken = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost"))
+    for name, owner, code in (("tapered", imaging, 1), ("one_pass", imaging, 2), ("turn", tiles, 3), ("detected", imaging, 4)):
+        report = imaging.Report()
+        with monkeypatch.context() as m, pytest.raises(imaging.StageError) as e:
+            m.setattr(owner, name, broken)
+            imaging.form_image(x, 8, 8, report=report)
+        assert report.code == e.value.code == code
+    for h, w, rule in ((6, 8, "l1"), (8, 8, "odd")):
+        with pytest.raises(imaging.StageError):
+            imaging.form_image(x, h, w, rule)
+    report = imaging.Report()
+    assert imaging.form_image(rows_of(spark, np.full((8, 8), 32767 + 32767j)), 8, 8, "uncond", taper=False, report=report).count() == 64
+    assert report == imaging.Report(0, [0, 0], [0, 0])
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_running_sums_over_stretches(spark, inclusive):
+    r = np.random.default_rng(7)
+    keys = np.where(r.random(400) < 0.6, 3, r.integers(0, 9, 400))
+    rows = [(None if k == 8 else int(k), i, None if i % 50 == 0 else int(v)) for i, (k, v) in enumerate(zip(keys, r.integers(-5, 9, 400), strict=True))]
+    df = spark.createDataFrame(rows, "k int, i int, v long").repartition(6)
+    for group in ([], ["k"]):
+        for parts in (1, 5, 40):
+            got = {q["i"]: q["upto"] for q in scan.running(df, F.col("v"), ["i"], group, inclusive=inclusive, parts=parts).collect()}
+            sums, want = {}, {}
+            for k, i, v in rows:
+                g = k if group else 0
+                want[i] = sums.get(g, 0) + ((v or 0) if inclusive else 0)
+                sums[g] = sums.get(g, 0) + (v or 0)
+            assert got == want
+    assert scan.running(df.limit(0), F.col("v"), ["i"]).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 70])
+def test_windows_over_halos(spark, parts):
+    from pyspark.sql import Window
+
+    df = spark.range(120).select((F.col("id") % 11 < 8).cast("int").alias("k"), "id", (F.col("id") * 37 % 101).alias("v"))
+    for back_by, ahead in ((0, 5), (5, 0), (3, 4)):
+        whole = Window.partitionBy("k").orderBy("id").rowsBetween(-back_by, ahead)
+        want = sorted(map(tuple, df.select("id", F.sum("v").over(whole).alias("s")).collect()))
+        h = scan.halo(df, ["id"], ["k"], back_by, ahead, parts)
+        some = Window.partitionBy("_part", "k").orderBy("id").rowsBetween(-back_by, ahead)
+        got = h.select("id", F.sum("v").over(some).alias("s"), "_halo").where("not _halo").select("id", "s")
+        assert sorted(map(tuple, got.collect())) == want
+    assert scan.halo(df.limit(0), ["id"], [], 1, 1).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 8, 64, 512])
+def test_long_lines(spark, n):
+    """The four steps against NumPy, forth and back."""
+    r = np.random.default_rng(n)
+    x = r.normal(size=n) + 1j * r.normal(size=n)
+    n1, n2 = longline.shape(n)
+    assert n1 * n2 == n and n1 in (n2, 2 * n2)
+    cells = spark.createDataFrame([(i // n2, i % n2, float(v.real), float(v.imag)) for i, v in enumerate(x)], "row long, col int, re double, im double")
+    lines = frames.to_packed(cells, n2, "<f8")
+    out = longline.fft_long(lines, n1, n2)
+    got = {q["i"]: q["re"] + 1j * q["im"] for q in longline.samples(out, n1).collect()}
+    assert np.allclose([got[i] for i in range(n)], np.fft.fft(x))
+    again = longline.samples(longline.fft_long(out, n2, n1, inverse=True), n2) if n1 == n2 else None
+    assert again is None or np.allclose([q["re"] + 1j * q["im"] for q in again.orderBy("i").collect()], x)
+
+
+def test_split_transforms_are_close_to_float_at_every_level(spark):
+    for top in (3, 500, 32767):
+        x = codes(4, 256, seed=top, top=top)
+        x[3] = 0
+        rows = longline.fft_split(rows_of(spark, x), 256).orderBy("row").collect()
+        got = np.array([(np.array(q["re"]) + 1j * np.array(q["im"])) * 2.0 ** q["exp"] for q in rows])
+        want = np.fft.fft(x, axis=1)
+        assert abs(got - want).max() < 4e-3 * abs(want).max() and (got[3] == 0).all() and all(max(map(abs, q["re"])) <= 32768 for q in rows)
+
+
+def test_merge_scan_against_a_plain_scan(spark):
+    r = np.random.default_rng(8)
+    ts = sorted({int(v) for v in r.integers(-900, 900, 60)})
+    vs = [int(v) for v in r.integers(-1000 * 4096, 1000 * 4096, 300)] + [ts[0] * 4096, ts[-1] * 4096, ts[-1] * 4096 - 1, ts[5] * 4096]
+    q = spark.createDataFrame([("a", v, i % 9 == 0, i) for i, v in enumerate(vs)] + [("none", 5, False, -1)], "k string, v long, sat boolean, n int")
+    axis = spark.createDataFrame([("a", t) for t in ts for _ in range(2)], "k string, ts long")
+    for width in (None, 4096 * 100.0):
+        got = {x["n"]: (x["idx"], x["wq"]) for x in interp.merge_scan(q, axis, "k", width=width).collect()}
+        assert got[-1] == (-1, 0)
+        for i, v in enumerate(vs):
+            if i % 9 == 0 or not ts[0] * 4096 <= v < ts[-1] * 4096:
+                assert got[i] == (-1, 0)
+                continue
+            k = max(j for j in range(len(ts) - 1) if ts[j] * 4096 <= v)
+            inverse = round(2**30 / (ts[k + 1] - ts[k]) + 1e-12)
+            assert got[i] == (k, min(32767, (v - ts[k] * 4096) * inverse >> 27))
+
+
+def test_affine_map_saturates(spark):
+    big = (1 << 31) - 1
+    cases = [(big, big, 0, 0), (big, big, 20, 0), (-5, 3, 1, 0), (1, 1, 0, (1 << 47) - 1), (0, 1, 0, (1 << 47) - 1), (-1, 1, 0, -(1 << 47))]
+    rows = spark.createDataFrame(cases, "q long, a long, s int, b long")
+    v, sat = interp.affine48(F.col("q"), F.col("a"), F.col("s"), F.col("b"))
+    wrap = lambda x: (x + (1 << 47)) % (1 << 48) - (1 << 47)
+    for r, (x, a, s, b) in zip(rows.select(v.alias("v"), sat.alias("sat")).collect(), cases, strict=True):
+        p = x * a >> s
+        w = wrap(p) + b
+        assert (r["v"], r["sat"]) == (wrap(w), p != wrap(p) or w != wrap(w))
+    units = spark.createDataFrame([(1.0,), (-0.3,), (1e12,), (3e9,), (2.0**30,)], "u double")
+    a, s = interp.scaled_unit(F.col("u"), 24)
+    assert [tuple(r) for r in units.select(a.alias("a"), s.alias("s")).collect()] == [(1 << 24, 24), (-5033165, 24), (None, None), (None, None), (1 << 30, 0)]
+
+
+def test_responses_of_lines(spark):
+    p = [float(abs(np.sinc((k - 20) / 4))) for k in range(48)]
+    got = raster.psf_metrics(spark.createDataFrame([(1, p), (2, [0.0, 3.0, 0.0])], "row int, p array<double>")).orderBy("row").collect()
+    side = max(p[:16] + p[25:])
+    energy = lambda v: sum(x * x for x in v)
+    assert np.isclose(got[0]["pslr_db"], 20 * np.log10(side)) and np.isclose(got[0]["islr_db"], 10 * np.log10(energy(p[:17] + p[24:]) / energy(p[17:24])))
+    assert np.isclose(got[0]["spur_db"], 20 * np.log10(max(p[:12] + p[29:]))) and got[1]["spur_db"] is None
+
+
+def test_an_old_frame_put_back_is_refused(spark, tmp_path):
+    import shutil
+
+    one, two = (frames.to_long(rows_of(spark, codes(4, 4, seed=k))) for k in (1, 2))
+    catalog.write_stage(one, str(tmp_path), "s")
+    shutil.copytree(f"{tmp_path}/frames/scene=s", f"{tmp_path}/old")
+    catalog.write_stage(two, str(tmp_path), "s")
+    assert catalog.verify(catalog.read_stage(spark, str(tmp_path), "s"), two)
+    shutil.rmtree(f"{tmp_path}/frames/scene=s")
+    shutil.copytree(f"{tmp_path}/old", f"{tmp_path}/frames/scene=s")
+    with pytest.raises(RuntimeError):
+        catalog.read_stage(spark, str(tmp_path), "s")
