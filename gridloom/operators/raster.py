@@ -233,8 +233,7 @@ def spacing_uniformity(axis: DataFrame, key: str, x: str, width: int = 31) -> Da
 
 
 def utm_epsg(lat: Column, lon: Column) -> Column:
-    zone = F.least(F.lit(60), F.floor((lon + 180) / 6).cast("int") + 1)
-    return (F.when(lat >= 0, 32600).otherwise(32700) + zone).cast("int")
+    return (F.when(lat >= 0, 32600).otherwise(32700) + utm_zone(lon)).cast("int")
 
 
 def ecef_to_geodetic(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
@@ -248,13 +247,17 @@ def ecef_to_geodetic(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     return F.degrees(lat), F.degrees(F.atan2(y, x))
 
 
-def utm(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Easting and northing in the zone of the longitude, by the transverse Mercator series."""
+def utm_zone(lon: Column) -> Column:
+    return F.least(F.lit(60), F.floor((lon + 180) / 6).cast("int") + 1)
+
+
+def utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column]:
+    """Easting and northing in a zone, that of the longitude if none is given, by the transverse Mercator series."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     e2 = f * (2 - f)
     ep2 = e2 / (1 - e2)
     phi = F.radians(lat)
-    lam0 = F.radians((F.least(F.lit(60), F.floor((lon + 180) / 6).cast("int") + 1) - 1) * 6 - 177)
+    lam0 = F.radians(((utm_zone(lon) if zone is None else zone) - 1) * 6 - 177)
     n = a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
     t, c, s = F.pow(F.tan(phi), 2), ep2 * F.pow(F.cos(phi), 2), F.cos(phi) * (F.radians(lon) - lam0)
     m = a * (
@@ -266,3 +269,33 @@ def utm(lat: Column, lon: Column) -> tuple[Column, Column]:
     east = k0 * n * (s + (1 - t + c) * s**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * s**5 / 120) + 500000
     north = k0 * (m + n * F.tan(phi) * (s**2 / 2 + (5 - t + 9 * c + 4 * c * c) * s**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * s**6 / 720))
     return east, F.when(lat < 0, north + 10000000).otherwise(north)
+
+
+def scene_affine(scenes: DataFrame, height: Column, width: Column, flip_row: bool = False, flip_col: bool = False) -> DataFrame:
+    """scenes with epsg and affine (array of six): the map place of image place (row, col) is (e_col * col + e_row * row + e0, n_col * col + n_row * row + n0).
+
+    Of a scene are known its centre (ECEF array), the image plane's axes uiax and uiay (ECEF arrays), the range
+    and cross-range directions dhat and chat on these (two numbers each) and the ground size dr of a column and
+    dc of a row. The centre is image place (height // 2, width // 2). It and the points one column and one row
+    away are projected to the zone of the centre; an image plane of this size maps by one affine."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    move = lambda h, step, sign: [sign * F.col(step) * (at(h, 0) * at("uiax", i) + at(h, 1) * at("uiay", i)) for i in range(3)]
+    centre = [at("centre", i) for i in range(3)]
+    lat, lon = ecef_to_geodetic(*centre)
+    x = scenes.withColumns({"_lat": lat, "_lon": lon})
+    zone, south = utm_zone(F.col("_lon")), F.col("_lat") < 0
+
+    def place(p):
+        la, lo = ecef_to_geodetic(*p)
+        e, n = utm(la, lo, zone)
+        return e, F.when(south & (la >= 0), n + 10000000).when(~south & (la < 0), n - 10000000).otherwise(n)  # the centre's own half
+
+    col, row = (move(h, s, -1.0 if flip else 1.0) for h, s, flip in (("dhat", "dr", flip_col), ("chat", "dc", flip_row)))
+    points = {"_p": centre, "_q": [a + b for a, b in zip(centre, col, strict=True)], "_r": [a + b for a, b in zip(centre, row, strict=True)]}
+    x = x.withColumns({k: F.array(*place(p)) for k, p in points.items()})
+    c0, r0, out = F.floor(width / 2), F.floor(height / 2), []
+    for i in range(2):
+        a, b = at("_q", i) - at("_p", i), at("_r", i) - at("_p", i)
+        out += [a, b, at("_p", i) - a * c0 - b * r0]
+    epsg = utm_epsg(F.col("_lat"), F.col("_lon"))
+    return x.withColumns({"epsg": epsg, "affine": F.array(*out)}).drop("_lat", "_lon", "_p", "_q", "_r")

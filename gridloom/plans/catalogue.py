@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from ..functions import fixed as fx
 from ..operators import catalog as ct
 from ..operators import geometry as geo
 from ..operators import imaging, interp, longline, raster, scan, slicing, spectral
-from ..sources import frames
+from ..sources import frames, geotiff, phasehistory
+from ..sources.shared import shared_dir
 from ..streaming.watch import windowed_counts
 from . import sql as s
 
@@ -1153,3 +1155,55 @@ def merge_scan(spark, d):
     q = q.select("user_id", "event_id", "shift", v.alias("v"), sat.alias("sat"))
     got = interp.merge_scan(q, e.where("event_id % 4 <> 0"), "user_id", width=4096 * 1.8e6)
     return got.select("user_id", "event_id", "shift", "v", "sat", "idx", "wq")
+
+
+# ---- scene files in, georeferenced images out ------------------------------------------------
+
+
+@query(
+    f"WITH {s.LONG} SELECT row // 64 AS scene, row % 64 AS row, CAST(col AS INTEGER) AS col, CAST(re AS DOUBLE) AS re, CAST(im AS DOUBLE) AS im, 1 + row / 1024.0::DOUBLE AS f0, CAST(4 * 45 AS BIGINT) AS read_bytes "
+    "FROM iql WHERE row % 64 % 2 = 1 AND col BETWEEN 8 AND 55 AND col % 4 = 0"
+)
+def read_chip(spark, d):
+    """The frame's looks of 64 lines as phase history files, of which every second row and every fourth of 48 columns is read back."""
+    folder = f"{shared_dir(spark)}/scenes/{uuid.uuid4().hex}"
+    lines = _iq(spark, d).select(F.floor(F.col("row") / 64).cast("long").alias("scene"), (F.col("row") % 64).alias("row"), "re", "im", (1 + F.col("row") / 1024.0).alias("SC0"))
+    phasehistory.export(lines, folder, ["SC0"]).agg(F.sum("n_bytes")).collect()
+    got = phasehistory.read(spark, folder, "1::2", "8:56:4", ["SC0"])
+    flat = got.select("scene", "row", "first_col", "col_step", "read_bytes", F.get(F.col("pvp")["SC0"], F.lit(0)).alias("f0"), F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
+    return flat.select("scene", "row", (F.col("first_col") + F.col("k") * F.col("col_step")).alias("col"), "v.re", "v.im", "f0", "read_bytes")
+
+
+def _map_sql(name: str, src: str, x: str, y: str, z: str) -> str:
+    """CTE name (c_custkey, e, n): the map place of an ECEF point of src in the zone of its column lon0."""
+    return f"""{name}g AS (SELECT *, sqrt(({x}) * ({x}) + ({y}) * ({y})) AS hp, {z} AS pz, {x} AS px, {y} AS py, 6378137.0::DOUBLE AS a, f * (2 - f) AS e2, f * (2 - f) / (1 - f * (2 - f)) AS ep2, 6378137.0::DOUBLE * (1 - f) AS sb FROM {src}, (SELECT 1 / CAST(298.257223563 AS DOUBLE) AS f)),
+    {name}h AS (SELECT *, atan2(pz * a, hp * sb) AS bt FROM {name}g),
+    {name}i AS (SELECT *, atan2(pz + ep2 * sb * pow(sin(bt), 3), hp - e2 * a * pow(cos(bt), 3)) AS phi, atan2(py, px) AS lam FROM {name}h),
+    {name}j AS (SELECT *, a / sqrt(1 - e2 * pow(sin(phi), 2)) AS nn, pow(tan(phi), 2) AS t, ep2 * pow(cos(phi), 2) AS cc, cos(phi) * (lam - radians((least(60, floor((coalesce(lon0, degrees(lam)) + 180) / 6) + 1) - 1) * 6 - 177)) AS s,
+        a * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * phi - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * phi) + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * phi) - (35 * pow(e2, 3) / 3072) * sin(6 * phi)) AS m FROM {name}i),
+    {name} AS (SELECT c_custkey, degrees(phi) AS lat, degrees(lam) AS lon, 0.9996 * nn * (s + (1 - t + cc) * pow(s, 3) / 6 + (5 - 18 * t + t * t + 72 * cc - 58 * ep2) * pow(s, 5) / 120) + 500000 AS e,
+        0.9996 * (m + nn * tan(phi) * (pow(s, 2) / 2 + (5 - t + 9 * cc + 4 * cc * cc) * pow(s, 4) / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * ep2) * pow(s, 6) / 720)) + CASE WHEN phi < 0 THEN 10000000 ELSE 0 END AS n FROM {name}j)"""
+
+
+@query(
+    "WITH b AS (SELECT c_custkey, (c_custkey * 37 % 1500) / 10.0::DOUBLE - 75.05 AS la, (c_custkey * 91 % 3590) / 10.0::DOUBLE - 179.5 AS lo FROM customer), "
+    "c AS (SELECT *, 6378137.0::DOUBLE * cos(radians(la)) * cos(radians(lo)) AS cx, 6378137.0::DOUBLE * cos(radians(la)) * sin(radians(lo)) AS cy, 6356752.0::DOUBLE * sin(radians(la)) AS cz, -sin(radians(lo)) AS ux, cos(radians(lo)) AS uy, "
+    "-sin(radians(la)) * cos(radians(lo)) AS vx, -sin(radians(la)) * sin(radians(lo)) AS vy, cos(radians(la)) AS vz, 0.5 + c_custkey % 5 AS dr, 0.25 + c_custkey % 3 AS dc, CAST(NULL AS DOUBLE) AS lon0 FROM b), "
+    f"{_map_sql('p', 'c', 'cx', 'cy', 'cz')}, cz0 AS (SELECT c.* EXCLUDE (lon0), p.lon AS lon0 FROM c JOIN p USING (c_custkey)), "
+    f"{_map_sql('q', 'cz0', 'cx + dr * (0.6 * ux + 0.8 * vx)', 'cy + dr * (0.6 * uy + 0.8 * vy)', 'cz + dr * 0.8 * vz')}, {_map_sql('r', 'cz0', 'cx + dc * (-0.8 * ux + 0.6 * vx)', 'cy + dc * (-0.8 * uy + 0.6 * vy)', 'cz + dc * 0.6 * vz')} "
+    "SELECT p.c_custkey, CAST(CASE WHEN p.lat >= 0 THEN 32600 ELSE 32700 END + least(60, CAST(floor((p.lon + 180) / 6) AS INTEGER) + 1) AS INTEGER) AS epsg, round(q.e - p.e, 4) AS e_col, round(r.e - p.e, 4) AS e_row, round(p.e - (q.e - p.e) * 64 - (r.e - p.e) * 32, 2) AS e0, "
+    "round(q.n - p.n, 4) AS n_col, round(r.n - p.n, 4) AS n_row, round(p.n - (q.n - p.n) * 64 - (r.n - p.n) * 32, 2) AS n0 FROM p JOIN q USING (c_custkey) JOIN r USING (c_custkey)"
+)
+def scene_affine(spark, d):
+    """The affine of a scene of 64 x 128 samples at every customer's place, whose plane is that of east and north."""
+    k = F.col("c_custkey")
+    c = frames.read(spark, d, "customer").select("c_custkey", F.radians((k * 37 % 1500) / 10.0 - 75.05).alias("la"), F.radians((k * 91 % 3590) / 10.0 - 179.5).alias("lo"), (0.5 + k % 5).alias("dr"), (0.25 + k % 3).alias("dc"))
+    sin, cos, la, lo = F.sin, F.cos, F.col("la"), F.col("lo")
+    scenes = c.select(
+        "c_custkey", "dr", "dc", F.array(6378137.0 * cos(la) * cos(lo), 6378137.0 * cos(la) * sin(lo), 6356752.0 * sin(la)).alias("centre"),
+        F.array(-sin(lo), cos(lo), F.lit(0.0)).alias("uiax"), F.array(-sin(la) * cos(lo), -sin(la) * sin(lo), cos(la)).alias("uiay"),
+        F.array(F.lit(0.6), F.lit(0.8)).alias("dhat"), F.array(F.lit(-0.8), F.lit(0.6)).alias("chat"),
+    )
+    got = raster.scene_affine(scenes, F.lit(64), F.lit(128))
+    names = {"e_col": (0, 4), "e_row": (1, 4), "e0": (2, 2), "n_col": (3, 4), "n_row": (4, 4), "n0": (5, 2)}
+    return got.select("c_custkey", "epsg", *[F.round(F.get("affine", F.lit(i)), places).alias(k) for k, (i, places) in names.items()])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import fixed as fx
 from gridloom.operators import catalog, geometry, imaging, interp, longline, raster, scan, slicing, spectral, tiles
-from gridloom.sources import frames
+from gridloom.sources import frames, geotiff, phasehistory
 from gridloom.streaming.watch import watch, windowed_counts
 
 
@@ -494,3 +494,90 @@ def test_an_old_frame_put_back_is_refused(spark, tmp_path):
     shutil.copytree(f"{tmp_path}/old", f"{tmp_path}/frames/scene=s")
     with pytest.raises(RuntimeError):
         catalog.read_stage(spark, str(tmp_path), "s")
+
+
+@pytest.mark.parametrize("kind", ["CI4", "CI2", "CF8"])
+def test_phase_history_chips(spark, tmp_path, kind):
+    """Every stride against slices of the arrays; what is read is what was asked for."""
+    x = codes(9, 12, top=100)
+    pvp = {"SC0": np.arange(9) * 1.5, "TxPos": np.arange(27).reshape(9, 3)}
+    (tmp_path / "a.cphd").write_bytes(phasehistory.encode(x.real, x.imag, pvp, kind))
+    size = {"CI4": 4, "CI2": 2, "CF8": 8}[kind]
+    for rows, cols in (("::", "::"), ("1:8:3", "2:11:4"), (":4", "-3:"), ("20:", "::")):
+        got = phasehistory.read(spark, str(tmp_path), rows, cols, ["TxPos"]).orderBy("row").collect()
+        r, c = (slice(*[int(v) if v else None for v in s.split(":")]) for s in (rows, cols))
+        want = x[r, c]
+        assert [q["row"] for q in got] == list(range(9)[r]) and all((np.array(q["re"]) + 1j * np.array(q["im"]) == w).all() for q, w in zip(got, want, strict=True))
+        used = range(12)[c]
+        assert all(q["read_bytes"] == size * (used[-1] + 1 - used[0]) and q["pvp"]["TxPos"] == [q["row"] * 3.0 + i for i in range(3)] for q in got)
+    assert phasehistory.read(spark, f"{tmp_path}/a.cphd").count() == 9
+
+
+def test_phase_history_refuses_damage(spark, tmp_path):
+    raw = phasehistory.encode(np.ones((4, 4)), np.ones((4, 4)), {"SC0": np.zeros(4)})
+    for name, data, why in (("cut", raw[:-1], "cut short"), ("other", b"x" * 99, "no phase history"), ("empty", b"", "no phase history")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "s.cphd").write_bytes(data)
+        with pytest.raises(Exception, match=why):
+            phasehistory.read(spark, f"{tmp_path}/{name}").collect()
+    (tmp_path / "ok.cphd").write_bytes(raw)
+    for bad in ({"rows": "1"}, {"rows": "::0"}, {"cols": "::-1"}, {"pvp": ["None"]}):
+        with pytest.raises(Exception):
+            phasehistory.read(spark, f"{tmp_path}/ok.cphd", **bad).collect()
+    (tmp_path / "none").mkdir()
+    assert phasehistory.read(spark, f"{tmp_path}/none").count() == 0
+
+
+def read_tiff(raw):
+    """A plain reader of the written kind of file: image, affine rows, the system's number."""
+    import struct
+    import zlib
+
+    magic, version, at = struct.unpack("<2sHI", raw[:8])
+    assert (magic, version) == (b"II", 42)
+    tags, last = {}, 0
+    for k in range(struct.unpack("<H", raw[at : at + 2])[0]):
+        tag, kind, n = struct.unpack("<HHI", raw[at + 2 + 12 * k : at + 10 + 12 * k])
+        code, size = {3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}[kind]
+        place = at + 10 + 12 * k if n * size <= 4 else struct.unpack("<I", raw[at + 10 + 12 * k : at + 14 + 12 * k])[0]
+        tags[tag], last = struct.unpack(f"<{n}{code}", raw[place : place + n * size]), max(last, tag)
+        assert tag == last
+    dtype = {(8, 1): "<u1", (16, 1): "<u2", (32, 3): "<f4"}[tags[258][0], tags[339][0]]
+    data = b"".join(zlib.decompress(raw[o : o + n]) for o, n in zip(tags[273], tags[279], strict=True))
+    keys = tags[34735]
+    return np.frombuffer(data, dtype).reshape(tags[257][0], tags[256][0]), np.array(tags[34264]).reshape(4, 4), keys[keys.index(3072) + 3]
+
+
+@pytest.mark.parametrize("kind", ["float32", "uint16", "uint8"])
+def test_georeferenced_strips(spark, tmp_path, kind):
+    x = np.random.default_rng(3).integers(0, 250, (150, 33))
+    lines = spark.createDataFrame([(s, r, (x[r] + s).tolist()) for s in (0, 4) for r in range(150) if r != 77], "scene int, row int, mag array<int>")
+    lines = lines.withColumns({"affine": F.array(*[F.lit(v) for v in (2.0, 0.5, 1000.0, -0.25, -3.0, 5000.0)]), "epsg": F.lit(32632)})
+    files = geotiff.write(lines, str(tmp_path), kind, 64).collect()
+    assert len(files) == 6 and sum(f["rows"] for f in files) == 300
+    for f in files:
+        raw = open(f["path"], "rb").read()
+        got, m, epsg = read_tiff(raw)
+        first = f["strip"] * 64
+        want = x[first : first + 64] + f["scene"]
+        want[77 - first if 0 <= 77 - first < 64 else slice(0, 0)] = 0
+        assert (got == want).all() and epsg == 32632 and len(raw) == f["n_bytes"]
+        assert (m[0] == [2.0, 0.5, 0, 1000 + 0.5 * first]).all() and (m[1] == [-0.25, -3.0, 0, 5000 - 3.0 * first]).all()
+
+
+def test_scene_affine_near_a_zones_edge(spark):
+    """Points over the edge stay in the centre's zone, and the affine maps the centre to itself."""
+    import math
+
+    lat, lon = math.radians(10.0), math.radians(11.9999999)
+    c = [6378137 * math.cos(lat) * math.cos(lon), 6378137 * math.cos(lat) * math.sin(lon), 6356752 * math.sin(lat)]
+    east, north = [-math.sin(lon), math.cos(lon), 0.0], [-math.sin(lat) * math.cos(lon), -math.sin(lat) * math.sin(lon), math.cos(lat)]
+    scene = spark.createDataFrame([(c, east, north, [1.0, 0.0], [0.0, 1.0], 2.0, 3.0)], "centre array<double>, uiax array<double>, uiay array<double>, dhat array<double>, chat array<double>, dr double, dc double")
+    r = raster.scene_affine(scene, F.lit(100), F.lit(60)).first()
+    a, b, e0, d, f, n0 = r["affine"]
+    assert r["epsg"] == 32632 and abs(math.hypot(a, d) - 2.0) < 0.01 and abs(math.hypot(b, f) - 3.0) < 0.03
+    la, lo = raster.ecef_to_geodetic(*[F.lit(v) for v in c])
+    e, n = scene.select(*raster.utm(la, lo)).first()
+    assert abs(a * 30 + b * 50 + e0 - e) < 1e-6 and abs(d * 30 + f * 50 + n0 - n) < 1e-6
+    flipped = raster.scene_affine(scene, F.lit(100), F.lit(60), flip_row=True, flip_col=True).first()["affine"]
+    assert abs(flipped[0] + a) < 1e-3 and abs(flipped[4] + f) < 1e-3
