@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed as fx
 from .operators import catalog, geometry, imaging, raster, slicing, spectral
-from .sources import frames
+from .sources import frames, geotiff, phasehistory
 from .streaming.watch import watch
 
 CHOICES = {"scaling": ("l1", "global", "perrow", "uncond"), "kernel": ("none", "lerp", "cubic", "sinc")}
@@ -85,7 +85,27 @@ class Engine:
         return raster.multilook(image, n, int(h), int(w))
 
     def stretch(self, image: DataFrame, kind: str = "u8") -> DataFrame:
-        return {"u8": raster.stretch_u8, "db": raster.stretch_db, "log": raster.stretch_log}[kind](image)
+        return {"u8": raster.stretch_u8, "db": raster.stretch_db, "log": raster.stretch_log, "normal": raster.stretch_normal}[kind](image)
+
+    def crc(self, frame: DataFrame) -> int:
+        """CRC-32 of a long frame as a region of 16-bit pairs in row order."""
+        return catalog.region_crc(frames.to_rows(frame)).first()["crc"]
+
+    def chip(self, path: str, rows: str = "::", cols: str = "::") -> DataFrame:
+        """scene, row, col, re, im of the wanted part of the phase history files below a path."""
+        got = phasehistory.read(self.spark, path, rows, cols)
+        flat = got.select("scene", "row", "first_col", "col_step", F.posexplode(F.arrays_zip("re", "im")).alias("k", "v"))
+        return flat.select("scene", "row", (F.col("first_col") + F.col("k") * F.col("col_step")).alias("col"), "v.re", "v.im")
+
+    def save_png(self, grey: DataFrame, path: str) -> tuple[int, int]:
+        return raster.write_png(grey, path)
+
+    def save_geotiff(self, image: DataFrame, scene: DataFrame, folder: str, kind: str = "float32") -> DataFrame:
+        """Writes an image (row, col, mag) with the affine of its one scene (columns as of raster.scene_affine) as TIFF strips."""
+        h, w = frames.dims(image).first()
+        at = raster.scene_affine(scene, F.lit(int(h)), F.lit(int(w))).select("affine", "epsg")  # one row
+        lines = image.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "mag"))), lambda v: v["mag"].cast("double")).alias("mag"))
+        return geotiff.write(lines.withColumn("scene", F.lit(0)).crossJoin(F.broadcast(at)), folder, kind)
 
     def compare(self, ref: DataFrame, test: DataFrame) -> DataFrame:
         return raster.compare(ref, test)

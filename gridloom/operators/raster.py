@@ -87,8 +87,52 @@ def apply_lut(img: DataFrame, lut: DataFrame, out: str) -> DataFrame:
     return img.join(F.broadcast(lut), "mag", "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = 4096) -> dict[int, float]:
+    """The values of these ranks (from 0) of a numeric column without its nulls and NaNs, exact, by refined histograms.
+
+    Each round counts the bins of the stretches that still hold a wanted rank and goes on with the bin that has
+    it, from its least to its largest value; bins ascend with the values, so their counts are ranks. A round is
+    one aggregate of at most bins x ranks groups, no task holds all values, and a stretch shrinks by the number of bins."""
+    x = F.col(col).cast("double")
+    df = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    e = df.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+    out, todo = {}, [(e["a"], e["b"], 0, sorted(set(ranks)))] if e["a"] is not None and ranks else []
+    while todo:
+        for a, b, _, some in todo:
+            out |= {r: a for r in some if a == b}
+        todo = [s for s in todo if s[0] < s[1]]
+        if not todo:
+            break
+        seg = F.coalesce(*[F.when(F.col("x").between(a, b), F.lit(i)) for i, (a, b, *_) in enumerate(todo)])
+        low, high = (F.get(F.array(*[F.lit(float(s[k])) for s in todo]), F.col("s")) for k in (0, 1))
+        part = F.col("x") / 2 - low / 2, high / 2 - low / 2  # halves, so that no difference overflows
+        bin_ = F.least(F.lit(bins - 1), F.floor(part[0] / part[1] * bins)).cast("int")
+        got = df.withColumn("s", seg).where("s IS NOT NULL").groupBy("s", bin_.alias("k")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("s", "k").collect()
+        more, at = [], [s[2] for s in todo]
+        for r in got:
+            first, at[r["s"]] = at[r["s"]], at[r["s"]] + r["n"]
+            mine = [k for k in todo[r["s"]][3] if first <= k < at[r["s"]]]
+            if mine:
+                more.append((r["a"], r["b"], first, mine))
+        todo = more
+    return out
+
+
+def percentiles(df: DataFrame, ps: list[float], col: str = "mag") -> list[float | None]:
+    """Linearly interpolated percentiles of a numeric column of any size, from exact order statistics; null without values."""
+    x = F.col(col).cast("double")
+    n = df.agg(F.count(F.when(~F.isnan(x), x)).alias("n")).first()["n"]
+    places = [p / 100 * (n - 1) for p in ps]
+    got = order_statistics(df, col, [k for at in places for k in (int(at), min(n - 1, int(at) + 1))]) if n else {}
+    ends = [(got[int(at)], got[min(n - 1, int(at) + 1)], at - int(at)) for at in places] if n else []
+    return [a + (b - a) * f for a, b, f in ends] or [None] * len(ps)
+
+
 def percentile(img: DataFrame, p: float, col: str = "mag") -> DataFrame:
-    """One row, p: the linearly interpolated percentile."""
+    """One row, p: the linearly interpolated percentile. Of whole numbers by one aggregate of their distinct values (65536 of a
+    magnitude), of floats by refined histograms."""
+    if img.schema[col].dataType.typeName() in ("double", "float"):
+        return img.sparkSession.createDataFrame([tuple(percentiles(img, [p], col))], "p double")
     return img.agg(F.percentile(col, F.lit(p / 100)).alias("p"))
 
 
@@ -110,7 +154,10 @@ def stretch_db(img: DataFrame, span: float = 28.0, p: float = 99.7, gamma: float
 def stretch_log(img: DataFrame, lo: float = 30.0, hi: float = 99.5) -> DataFrame:
     """row, col, v: log1p between two percentiles, clipped to 0..1."""
     x = img.withColumn("x", F.log1p("mag"))
-    ends = x.agg(F.percentile("x", F.lit(lo / 100)).alias("a"), F.percentile("x", F.lit(hi / 100)).alias("b"))
+    if img.schema["mag"].dataType.typeName() in ("double", "float"):
+        ends = img.sparkSession.createDataFrame([tuple(percentiles(x, [lo, hi], "x"))], "a double, b double")
+    else:
+        ends = x.agg(F.percentile("x", F.lit(lo / 100)).alias("a"), F.percentile("x", F.lit(hi / 100)).alias("b"))
     v = (F.col("x") - F.col("a")) / F.greatest(F.col("b") - F.col("a"), F.lit(1e-12))
     return x.crossJoin(F.broadcast(ends)).select("row", "col", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias("v"))
 
@@ -157,6 +204,10 @@ def health(img: DataFrame) -> DataFrame:
 
 def dynamic_range(img: DataFrame, col: str = "mag") -> DataFrame:
     """One row, dr_db: the 99.99th percentile over the 5th of the positive samples."""
+    if img.schema[col].dataType.typeName() in ("double", "float"):
+        (hi,), (lo,) = percentiles(img, [99.99], col), percentiles(img.where(F.col(col) > 0), [5], col)
+        ends = img.sparkSession.createDataFrame([(hi, lo)], "hi double, lo double")
+        return ends.select((20 * F.log10(F.col("hi") / (F.coalesce("lo", F.lit(1e-12)) + 1e-12))).alias("dr_db"))
     hi, lo = F.percentile(col, F.lit(0.9999)), F.percentile(F.when(F.col(col) > 0, F.col(col)), F.lit(0.05))
     return img.agg((20 * F.log10(hi / (F.coalesce(lo, F.lit(1e-12)) + 1e-12))).alias("dr_db"))
 

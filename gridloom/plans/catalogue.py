@@ -13,7 +13,7 @@ from ..operators import catalog as ct
 from ..operators import geometry as geo
 from ..operators import imaging, interp, longline, raster, scan, slicing, spectral
 from ..sources import frames, geotiff, phasehistory
-from ..sources.shared import shared_dir
+from ..sources.shared import cut, shared_dir
 from ..streaming.watch import windowed_counts
 from . import sql as s
 
@@ -1207,3 +1207,15 @@ def scene_affine(spark, d):
     got = raster.scene_affine(scenes, F.lit(64), F.lit(128))
     names = {"e_col": (0, 4), "e_row": (1, 4), "e0": (2, 2), "n_col": (3, 4), "n_row": (4, 4), "n0": (5, 2)}
     return got.select("c_custkey", "epsg", *[F.round(F.get("affine", F.lit(i)), places).alias(k) for k, (i, places) in names.items()])
+
+
+@query(
+    f"WITH {s.LONG}, {_LONGD}, {_TAPERED}, {s.dft2('win', 'f', 64, 64)}, a AS (SELECT sqrt(re * re + im * im) AS amp FROM f) "
+    "SELECT round(quantile_cont(amp, 0.05), 3) AS p05, round(quantile_cont(amp, 0.5), 3) AS p50, round(quantile_cont(amp, 0.997), 3) AS p997, round(20 * log10(quantile_cont(amp, 0.9999) / (quantile_cont(amp, 0.05) FILTER (amp > 0) + 1e-12)), 4) AS dr_db FROM a"
+)
+def percentiles_float(spark, d):
+    """Of the float quicklook, by refined histograms."""
+    amp = cut(spectral.quicklook(_iq(spark, d), 64, 64).select("amp"))
+    row = raster.percentiles(amp, [5, 50, 99.7], "amp")
+    got = raster.dynamic_range(amp, "amp")
+    return got.select(*[F.round(F.lit(v).cast("double"), 3).alias(k) for k, v in zip(("p05", "p50", "p997"), row, strict=True)], F.round("dr_db", 4).alias("dr_db"))

@@ -113,3 +113,22 @@ def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
         kept = shared.cut(keep(spark.range(10)).where("id > 4"))
         assert len(os.listdir(tmp_path / "gridloom")) == 2
     assert len(os.listdir(tmp_path / "gridloom")) == 1 and kept.count() == 5
+
+
+def test_engine_reads_chips_and_writes_maps(spark, tmp_path):
+    import zlib
+
+    from gridloom.sources import phasehistory
+
+    x = codes(8, 8, top=900)
+    (tmp_path / "scene_00003.cphd").write_bytes(phasehistory.encode(x.real, x.imag, {"SC0": np.zeros(8)}))
+    e = Engine(spark)
+    chip = e.chip(str(tmp_path), "::2", "1:7:2")
+    assert {(r["scene"], r["row"], r["col"]) for r in chip.collect()} == {(3, r, c) for r in range(0, 8, 2) for c in (1, 3, 5)}
+    whole = e.chip(str(tmp_path)).drop("scene").selectExpr("row", "col", "CAST(re AS BIGINT) AS re", "CAST(im AS BIGINT) AS im")
+    assert e.crc(whole) == zlib.crc32(np.stack([x.real, x.imag], -1).astype("<i2").tobytes())
+    image = e.form_image(whole)
+    scene = spark.createDataFrame([([4.2e6, 1.0e6, 4.6e6], [0.0, 1.0, 0.0], [-0.7, 0.0, 0.7], [1.0, 0.0], [0.0, 1.0], 1.0, 1.0)], "centre array<double>, uiax array<double>, uiay array<double>, dhat array<double>, chat array<double>, dr double, dc double")
+    files = e.save_geotiff(image, scene, f"{tmp_path}/tif").collect()
+    assert [(f["rows"], f["cols"]) for f in files] == [(8, 8)]
+    assert e.stretch(image, "normal").count() == 64 and e.save_png(e.stretch(image).withColumnRenamed("u8", "v"), f"{tmp_path}/a.png") == (8, 8)

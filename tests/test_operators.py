@@ -581,3 +581,27 @@ def test_scene_affine_near_a_zones_edge(spark):
     assert abs(a * 30 + b * 50 + e0 - e) < 1e-6 and abs(d * 30 + f * 50 + n0 - n) < 1e-6
     flipped = raster.scene_affine(scene, F.lit(100), F.lit(60), flip_row=True, flip_col=True).first()["affine"]
     assert abs(flipped[0] + a) < 1e-3 and abs(flipped[4] + f) < 1e-3
+
+
+def test_order_statistics_of_any_values(spark):
+    r = np.random.default_rng(6)
+    many = {
+        "wide": np.concatenate([r.normal(size=500) * 10.0 ** r.integers(-200, 200, 500), [0.0, -0.0, 1.7e308, -1.7e308]]),
+        "ties": r.integers(0, 3, 301).astype(float), "one": np.array([5.0]), "near": 1.0 + np.arange(200) * 2.0**-52,
+    }
+    for name, x in many.items():
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "mag double")
+        assert np.array_equal([v for _, v in sorted(raster.order_statistics(df, "mag", list(range(0, len(x), 60)), bins=64).items())], np.sort(x)[::60]), name
+        ps = [0, 5, 50, 99.7, 100]
+        assert np.allclose(raster.percentiles(df, ps), np.percentile(x, ps), rtol=1e-12), name
+    none = spark.createDataFrame([], "mag double")
+    assert raster.percentiles(none, [5, 50]) == [None, None] and raster.stretch_u8(none.selectExpr("1 AS row", "1 AS col", "mag")).count() == 0
+
+
+def test_float_stretches_equal_numpy(spark):
+    x = np.abs(np.random.default_rng(9).normal(size=400)) * 100
+    img = spark.createDataFrame([(i // 20, i % 20, float(v)) for i, v in enumerate(x)], "row long, col int, mag double")
+    got = [r["u8"] for r in raster.stretch_u8(img).orderBy("row", "col").collect()]
+    assert got == np.floor(np.clip(x / (np.percentile(x, 99.7) + 1e-12) * 255, 0, 255)).astype(int).tolist()
+    a, b = np.percentile(np.log1p(x), [30, 99.5])
+    assert np.allclose([r["v"] for r in raster.stretch_log(img).orderBy("row", "col").collect()], np.clip((np.log1p(x) - a) / (b - a), 0, 1))
