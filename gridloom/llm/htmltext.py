@@ -4,16 +4,22 @@ Standard-library parser events cut a page into lines at block elements. Each lin
 (the innermost sectioning container), its text and its text-to-tag ratio: code points of text over
 tags met. Ratios are smoothed along the page with a Gaussian, and a two-cluster threshold on the
 smoothed ratios marks content lines; where the ratios' clusters are less than three times apart, all are. A region whose text lies mostly on content lines is content,
-and content regions are taken whole, so short paragraphs of an article stay.
-
-Marks are evidence beside the ratios. An element article or main, or such a role, speaks for its own
-lines and sections, which are one region; containers inside it (div, table, td) stay only as their
-ratios say, and a content region outside it counts only if it has more text than all that is marked,
-for then the mark is not where the text is. Menus, headers, footers, sidebars and forms, known by
-element or role, never count, nor do scripts, styles and what is hidden. A class or id tells noise
-only by a whole token: one made of names of adverts, notices, comments or menus silences its element;
-one that prose may bear too (related, social, share) silences it if it also looks so: text in links
-for a third or more, or form fields.
+and content regions are taken whole, so short paragraphs of an article stay. Menus and link lists are
+told by their ratios alone, whatever their elements are called.
+
+A line counts as content only if its region's own ratio, all its text over all its tags, is also at
+least a third of that of the main region, the one with the most text; a region with less than a fifth
+of the main one's text needs a ratio as high as that, or must lie between larger ones.
+
+Names and marks are evidence, never a verdict on text by themselves. A header, footer or aside, by
+element or role, and an element whose class or id has a whole token made of names of adverts,
+notices, comments or menus is a region that speaks against itself: it counts only if it is content by
+its ratios and has more text than all other regions together, for then the name is wrong. A token
+that prose may bear too (related, social, share) speaks against its element if that also looks so:
+text in links for a third or more, or form fields. An element article or main, or such a role, speaks
+for its own lines and sections, which are one region; containers inside it (div, table, td) stay only
+as their ratios say, and a content region outside it counts only if it has more text than all that is
+marked. Scripts, styles, forms and what is hidden are no text of a page.
 
 Defined cases: null and empty pages give the empty text; markup that is never closed ends with the
 page or with its container; unknown declarations are comments; repeated rows are read each; the
@@ -31,20 +37,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SILENT = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button"}
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+SILENT = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "form", "dialog"}
+ASIDE = {"header", "footer", "aside"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 BLOCK = {
     "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4",
-    "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "nav", "menu", "form", "dialog",
 } | ASIDE
-REGION = {"article", "body", "div", "main", "section", "table", "td", "html"}
+REGION = {"article", "body", "div", "main", "section", "table", "td", "html", "nav", "menu"} | ASIDE
+SCOPE_ENDS = {"article", "body", "div", "main", "section", "table", "td", "html"}
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "html", "body"}
 #: Inside a marked article these are parts of it.
 PARTS = {"article", "main", "section"}
 #: Elements that end an open one of their own kind, but not beyond these.
 OWN_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-SCOPES = {"p": REGION, **OWN_ENDS}
+SCOPES = {"p": SCOPE_ENDS, **OWN_ENDS}
 NOISE = re.compile(
     r"(?:ads?|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscri\w*|signup|sidebar|menu|nav|navbar|navigation|"
     r"breadcrumbs?|footer|masthead|comments?|commentlist|respond|disqus|replies|pagination|pager)"
@@ -56,7 +63,11 @@ NEUTRAL = re.compile(
     r"panel|post|posts|right|row|section|side|site|slot|text|thread|top|unit|wrap|wrapper|\d+)"
 )
 FIELDS = {"input", "select", "textarea", "button"}
-NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
+NOISE_ROLES = {"banner", "contentinfo", "complementary", "alert"}
+MENUS, MENU_ROLES = {"nav", "menu"}, {"navigation", "menu", "menubar"}
+#: What speaks against a line: nothing, a name, or that it is in a menu, which counts beside a marked article alone.
+NONE, NAMED, MENU = range(3)
+SILENT_ROLES = {"search", "form", "dialog"}
 MAIN_ROLES = {"main", "article"}
 
 
@@ -72,11 +83,11 @@ def noise(value: str) -> int:
 
 
 class Lines(HTMLParser):
-    """Collects lines: [region, region of the mark around or 0, text, tags, innermost doubtful element or -1]."""
+    """Collects lines: [region, region of the mark around or 0, text, tags, innermost doubtful element or -1, what speaks against it]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple] = []  # tag, silent, region, marked, scopes, doubtful
+        self.open: list[tuple] = []  # tag, silent, region, marked, scopes, doubtful, against
         self.number: dict[str, int] = {}  # open elements of a tag
         self.lines: list[list] = []
         self.text: list[str] = []
@@ -88,13 +99,13 @@ class Lines(HTMLParser):
         return len(self.rawdata) if end < 0 else self.rawdata.index(">", end) + 1
 
     def _top(self):
-        return self.open[-1] if self.open else ("", False, 0, 0, dict.fromkeys(SCOPES, -1), -1)
+        return self.open[-1] if self.open else ("", False, 0, 0, dict.fromkeys(SCOPES, -1), -1, NONE)
 
     def _flush(self):
         text = " ".join("".join(self.text).split())
         if text:
-            _, _, region, marked, _, doubtful = self._top()
-            self.lines.append([region, marked, text, self.tags, doubtful])
+            _, _, region, marked, _, doubtful, against = self._top()
+            self.lines.append([region, marked, text, self.tags, doubtful, against])
             self.tags = 0
         self.text = []
 
@@ -123,7 +134,7 @@ class Lines(HTMLParser):
             self._cut(i)
         if tag in OWN_ENDS and (i := self._top()[4][tag]) >= 0:
             self._cut(i)
-        _, silent, region, marked, scopes, doubtful = self._top()
+        _, silent, region, marked, scopes, doubtful, against = self._top()
         if tag in FIELDS and doubtful >= 0:
             self.suspects[doubtful][3] += 1
         if tag in VOID:
@@ -133,20 +144,23 @@ class Lines(HTMLParser):
         prose = tag in ("html", "body", "main") or tag == "article" and not marked
         noisy = 0 if prose else max(noise(a.get("class", "")), noise(a.get("id", "")))
         mark = tag in ("article", "main") or role in MAIN_ROLES
-        if (tag in REGION or mark) and not (marked and tag in PARTS):
+        named = noisy == 2 or tag in ASIDE or role in NOISE_ROLES
+        menu = tag in MENUS or role in MENU_ROLES
+        if (tag in REGION or mark or menu or named and against != NAMED) and not (marked and tag in PARTS and not named and not menu):
             self.regions += 1
             region = self.regions
+        against = NAMED if named or against == NAMED else MENU if menu else against
         marked = marked or (region if mark else 0)
         if noisy == 1 and not silent:
             self.suspects.append([doubtful, 0, 0, 0])
             doubtful = len(self.suspects) - 1
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-        silent = bool(silent or tag in SILENT or tag in ASIDE or role in NOISE_ROLES or noisy == 2 or hidden)
+        silent = bool(silent or tag in SILENT or role in SILENT_ROLES or hidden)
         if changed := {t: len(self.open) if t == tag else -1 for t, ends in SCOPES.items() if t == tag or tag in ends}:
             scopes = scopes | changed
         self.links += tag == "a"
         self.number[tag] = self.number.get(tag, 0) + 1
-        self.open.append((tag, silent, region, marked, scopes, doubtful))
+        self.open.append((tag, silent, region, marked, scopes, doubtful, against))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -160,7 +174,7 @@ class Lines(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data):
-        _, silent, _, _, _, doubtful = self._top()
+        _, silent, _, _, _, doubtful, _ = self._top()
         if not silent:
             self.text.append(data)
             if doubtful >= 0:
@@ -169,7 +183,7 @@ class Lines(HTMLParser):
                 self.suspects[doubtful][2] += n * (self.links > 0)
 
     def read(self, html: str) -> list[list]:
-        """The lines of a page, without those in doubtful elements that look like noise."""
+        """The lines of a page; those in doubtful elements that look like noise have a name against them."""
         self.feed(html)
         self.close()
         self._flush()
@@ -179,7 +193,7 @@ class Lines(HTMLParser):
         out = [False]  # the last one stands for no doubtful element
         for k, (around, n, linked, fields) in enumerate(self.suspects):
             out.insert(k, bool(fields or 3 * linked >= n or around >= 0 and out[around]))
-        return [x for x in self.lines if not out[x[4]]]
+        return [[*x[:5], NAMED if out[x[4]] else x[5]] for x in self.lines]
 
 
 def smooth(x: list[float], sigma: float = 1.5) -> list[float]:
@@ -205,30 +219,42 @@ def clusters(x: list[float]) -> tuple[float, float]:
     return lo, hi
 
 
-def on_content(ratios: list[float], apart: float = 3.0) -> list[bool]:
-    """Which lines are content: above the middle between the two clusters of the smoothed ratios; all, if the ratios' own clusters are less than so many times apart."""
+def on_content(lines: list[list], apart: float = 3.0, part: float = 1 / 3, small: float = 0.2) -> list[bool]:
+    """Which lines are content by their ratios: above the middle between the two clusters of the smoothed ratios (all, if the ratios' own
+    clusters are less than so many times apart), in a region whose own ratio stands beside that of the region with the most text."""
+    text, tags = {}, {}
+    for x in lines:
+        text[x[0]], tags[x[0]] = text.get(x[0], 0) + len(x[2]), tags.get(x[0], 0) + max(1, x[3])
+    main = max(text, key=lambda g: (text[g], -g))
+    beside = lambda g: text[g] * tags[main] / (text[main] * tags[g])
+    large = {g for g in text if beside(g) >= part and (text[g] >= small * text[main] or beside(g) >= 1)}
+    places = [k for k, x in enumerate(lines) if x[0] in large]
+    good = large | {x[0] for x in lines[places[0] : places[-1]] if beside(x[0]) >= part}
+    ratios = [len(x[2]) / max(1, x[3]) for x in lines]
     lo, hi = clusters(ratios)
     if hi < apart * lo:
-        return [True] * len(ratios)
+        return [x[0] in good for x in lines]
     flat = smooth(ratios)
     at = sum(clusters(flat)) / 2
-    return [r > at for r in flat]
+    return [r > at and x[0] in good for x, r in zip(lines, flat, strict=True)]
 
 
 def content(lines: list[list]) -> list[list]:
     """The lines of the content regions of a page."""
-    size, on, marks = {}, {}, {}
-    for x, r in zip(lines, on_content([len(x[2]) / max(1, x[3]) for x in lines]), strict=True):
+    lines = [[-1 - x[0] if x[5] == NAMED and x[4] >= 0 else x[0], *x[1:]] for x in lines]  # a doubtful element's lines stand apart from the region around them
+    size, on, marks, against = {}, {}, {}, {}
+    for x, r in zip(lines, on_content(lines), strict=True):
         size[x[0]] = size.get(x[0], 0) + len(x[2])
         on[x[0]] = on.get(x[0], 0) + len(x[2]) * r
-        marks[x[0]] = x[1]
-    chosen = {g for g in size if 2 * on[g] >= size[g]}
-    if any(marks.values()):
-        chosen |= {m for m in marks.values() if m in size}
-        inside = {g for g in chosen if marks[g]} or {max((g for g in size if marks[g]), key=lambda g: (size[g], -g))}
+        marks[x[0]], against[x[0]] = x[1], x[5]
+    whole, free = sum(size.values()), [g for g in size if against[g] != NAMED]
+    chosen = {g for g in size if 2 * on[g] >= size[g] and (against[g] != NAMED or 2 * size[g] > whole)}
+    if any(marks[g] for g in free):
+        chosen |= {m for m in marks.values() if m in free}
+        inside = {g for g in chosen if marks[g]} or {max((g for g in free if marks[g]), key=lambda g: (size[g], -g))}
         marked = sum(size[g] for g in inside)
-        chosen = inside | {g for g in chosen if size[g] > marked}
-    chosen = chosen or {max(size, key=lambda g: (on[g], size[g], -g))}
+        chosen = inside | {g for g in chosen if size[g] > marked and against[g] == NONE}
+    chosen = chosen or {max(size, key=lambda g: (against[g] != NAMED, on[g], size[g], -g))}
     return [x for x in lines if x[0] in chosen]
 
 

@@ -538,6 +538,23 @@ def test_ratios_decide_inside_marked_articles(body, want):
     assert htmltext.main_text(PAGE % body.replace("%s", links)) == want.strip()
 
 
+def plain_article(page):
+    import html
+
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def test_ratios_decide_on_the_pages(spark, monkeypatch):
+    """Without names and marks nearly all pages give the same text; without the ratios none does."""
+    pages = [r["html"] for r in table(spark, SF, "pages").collect()]
+    bare = [re.sub(r"<(/?)(nav|footer)\b", r"<\1div", re.sub(r"</?article>", "", p)).replace(' class="ad"', "") for p in pages]
+    assert sum(htmltext.main_text(b) == plain_article(p) for b, p in zip(bare, pages, strict=True)) >= 0.9 * len(pages)
+    monkeypatch.setattr(htmltext, "on_content", lambda lines: [True] * len(lines))
+    unmarked = [re.sub(r"</?article>", "", p) for p in pages]
+    assert sum(htmltext.main_text(u) != plain_article(p) for u, p in zip(unmarked, pages, strict=True)) >= 0.5 * len(pages)
+
+
 @pytest.mark.parametrize("marked", [True, False])
 def test_article_text_of_the_pages(spark, marked):
     """The method finds the same text whether or not a page marks its article."""
