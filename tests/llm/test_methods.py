@@ -195,7 +195,7 @@ def test_estimates_equal_an_exact_search(spark):
     rows = [(i, "x", "y", False, *map(float, v)) for i, v in enumerate(z)]
     stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, base_failed boolean, z0 double, z1 double, z2 double, z3 double, z4 double")
     groups = outliers.assign(stats, 60)
-    model = outliers.fit(stats, groups, 1, 0.75, 20).first()
+    model = outliers.fit(stats, groups, 1, 0.75).first()
     low = np.zeros((5, 5))
     for (i, j), v in zip(outliers.PAIRS, model["low"], strict=True):
         low[i, j] = v
@@ -215,6 +215,26 @@ def test_distance_equals_numpy(spark):
     assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d)))
 
 
+def test_every_start_is_stepped_until_it_settles(spark, documents, monkeypatch):
+    """No start leaves the steps while another one would lower its determinant; small and large groups alike."""
+    steps, real = [], outliers.estimate
+
+    def watched(sums, keys):
+        out = real(sums, keys)
+        if keys == ["g", "start"]:
+            steps.append({(r["g"], r["start"]): r["logdet"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(outliers, "estimate", watched)
+    outliers.robust_outliers(documents).count()
+    assert len(steps) > 2
+    for k, now in enumerate(steps[1:], 1):
+        went_on = {g for g, v in steps[k - 1].items() if k == 1 or steps[k - 2][g] - v > outliers.FALL}
+        assert set(now) == went_on
+    assert all(steps[-2][g] - v <= outliers.FALL for g, v in steps[-1].items())
+
+
+
 def plain_losses(docs, members):
     """n_tokens, loss_target and loss_background of every document, from dictionaries of words and of pairs of words."""
     words = [re.findall("[a-z0-9\x80-\U0010ffff]+", (x or "").lower()) for _, x in docs]
