@@ -419,7 +419,10 @@ def stretch_normal(spark, d):
     return raster.stretch_normal(_image(spark, d)).select("row", "col", "v")
 
 
-@query()
+@query(
+    f"WITH {s.LONG}, {s.CRC_TABLE}, b AS (SELECT row, col, j, ((CASE WHEN j < 2 THEN re ELSE im END) >> (8 * (j % 2))) & 255 AS b FROM iql, range(0, 4) t(j)), "
+    f"y AS (SELECT list(b ORDER BY row, col, j) AS y, count(*) AS n FROM b) SELECT n AS n_bytes, {s.crc('y')} AS crc FROM y, tab"
+)
 def frame_crc(spark, d):
     return ct.region_crc(_iq(spark, d))
 
@@ -624,7 +627,23 @@ def affine_keys(spark, d):
     return _long(spark, d).select("row", "col", interp.affine_key(F.col("re"), F.lit(12345), 7, F.lit(77)).alias("key"))
 
 
-@query()
+_GATHER = lambda c, w: s.wrap16(f"{c}[k + 1] + ((({c}[k + 2] - {c}[k + 1]) * {w}) >> 15)")
+_RANGE = (
+    s.SQUARE.replace("sq AS (", "pad AS (")
+    + f""", g AS (SELECT i, i * 0.96875::DOUBLE AS q FROM range(0, 64) t(i)), r1 AS (SELECT row, i, re, im, q - row / 256.0::DOUBLE AS t FROM pad, g),
+    r2 AS (SELECT *, CASE WHEN t >= 0 AND t < 63 THEN CAST(floor(t) AS INTEGER) ELSE -1 END AS k FROM r1),
+    r3 AS (SELECT *, CASE WHEN k < 0 THEN 0 ELSE least(32767, CAST(floor((t - k) * 32768 + 0.5) AS INTEGER)) END AS w FROM r2),
+    r AS (SELECT row, i, CASE WHEN k < 0 THEN 0 ELSE {_GATHER('re', 'w')} END AS re, CASE WHEN k < 0 THEN 0 ELSE {_GATHER('im', 'w')} END AS im FROM r3)"""
+)
+
+
+@query(
+    f"""WITH {_RANGE}, lines AS (SELECT row // 64 * 64 + i AS row, list(re ORDER BY row) AS re, list(im ORDER BY row) AS im FROM r GROUP BY row // 64, i),
+    c1 AS (SELECT row, g.i, re, im, q, 1 + (row % 64) / 1024.0::DOUBLE AS s FROM lines, g),
+    c2 AS (SELECT *, CASE WHEN q < 63 * s THEN list_max(list_filter(range(0, 64), lambda p: p * s <= q)) ELSE -1 END AS k FROM c1),
+    c3 AS (SELECT *, CASE WHEN k < 0 THEN 0 ELSE greatest(0, least(32767, CAST(floor((q - k * s) * 32768.0::DOUBLE / ((k + 1) * s - k * s) + 0.5) AS INTEGER))) END AS w FROM c2)
+    SELECT row, CAST(i AS INTEGER) AS col, CAST(CASE WHEN k < 0 THEN 0 ELSE {_GATHER('re', 'w')} END AS BIGINT) AS re, CAST(CASE WHEN k < 0 THEN 0 ELSE {_GATHER('im', 'w')} END AS BIGINT) AS im FROM c3"""
+)
 def resample_2pass(spark, d):
     """Of every look of 64 lines: range pass on a uniform grid, corner turn, cross pass on each bin's scaled axis."""
     rows = _iq(spark, d).withColumns({"x0": F.lit(0.0) + F.col("row") / 256.0, "dx": F.lit(1.0)})
@@ -875,10 +894,16 @@ def job_rebuild(spark, d):
     return ct.job(cat, segs, 7).select("scene_id", F.explode("at").alias("role", "blob_off"))
 
 
-@query()
+@query(
+    f"WITH {s.CRC_TABLE}, h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), "
+    "y AS (SELECT doc_id, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS y FROM h) "
+    "SELECT doc_id // 10 AS scene_id, CAST(doc_id % 10 AS INTEGER) AS role, " f"CASE WHEN y IS NOT NULL THEN {s.crc('y')} END AS got_crc, "
+    "CASE WHEN y IS NOT NULL THEN true END AS ok FROM y, tab"
+)
 def segment_crc(spark, d):
-    segs = _segments(spark, d).withColumn("crc", F.crc32(F.col("payload").cast("binary")))
-    return ct.crc_report(segs).select("scene_id", "role", "got_crc", "ok")
+    """Staged segments, read back and checked against the checksums that were staged with them."""
+    staged = cut(_segments(spark, d).withColumn("crc", F.crc32(F.col("payload").cast("binary"))))
+    return ct.crc_report(staged).select("scene_id", "role", "got_crc", "ok")
 
 
 @query()
@@ -1016,7 +1041,7 @@ def polar_format(spark, d):
     return got.select("row", "col", *[(F.round(c, 3) + 0.0).alias(c) for c in ("re", "im")])
 
 
-@query()
+@query(s.image("perrow", frame=_RANGE + ", sq AS (SELECT row, list(CAST(re AS BIGINT) ORDER BY i) AS re, list(CAST(im AS BIGINT) ORDER BY i) AS im FROM r GROUP BY row)"))
 def form_image_device(spark, d):
     """Resampling on a uniform grid, pulses in angle order, tapers, per-row exponents with global renormalisation, detection."""
     rows = _looks(spark, d).withColumns({"x0": F.lit(0.0) + F.col("row") / 256.0, "dx": F.lit(1.0)})

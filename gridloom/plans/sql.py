@@ -20,6 +20,15 @@ SQUARE = IQ + """, sq AS (
     FROM (SELECT unnest(range(h, ((h + 63) // 64) * 64)) AS r FROM (SELECT max(row) + 1 AS h FROM iq))
 )"""
 
+#: CTE tab: the CRC-32 table, from its polynomial.
+CRC_TABLE = """bits AS (SELECT b, list_reduce(list_prepend(b, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(0, 256) t(b)),
+    tab AS (SELECT list(v ORDER BY b) AS t FROM bits)"""
+
+
+def crc(y: str) -> str:
+    """CRC-32 of a list of bytes, beside tab."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {y}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
 
 def bits(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN length(bin({x})) ELSE 0 END)"

@@ -605,3 +605,12 @@ def test_float_stretches_equal_numpy(spark):
     assert got == np.floor(np.clip(x / (np.percentile(x, 99.7) + 1e-12) * 255, 0, 255)).astype(int).tolist()
     a, b = np.percentile(np.log1p(x), [30, 99.5])
     assert np.allclose([r["v"] for r in raster.stretch_log(img).orderBy("row", "col").collect()], np.clip((np.log1p(x) - a) / (b - a), 0, 1))
+
+
+def test_crc_report_sees_damage(spark):
+    import zlib
+
+    rows = [(i, f"payload {i}", zlib.crc32(f"payload {i}".encode())) for i in range(5)]
+    rows[3] = (3, "payload 3 damaged", rows[3][2])
+    got = catalog.crc_report(spark.createDataFrame(rows, "i int, payload string, crc long")).collect()
+    assert [r["i"] for r in got if not r["ok"]] == [3]
