@@ -9,8 +9,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fixed as fx
-from .operators import catalog, geometry, imaging, raster, slicing, spectral
+from .operators import catalog, geometry, imaging, raster, slicing
 from .sources import frames, geotiff, phasehistory
 from .streaming.watch import watch
 
@@ -66,16 +65,11 @@ class Engine:
         if not h:
             return x.select("row", "col", F.lit(0).alias("mag"))
         h2, w2 = (1 << (int(k) - 1).bit_length() for k in (h, w))
-        rows = frames.to_rows(x)
-        if o.kernel != "none":
-            grid = self.spark.range(int(w)).select(F.col("id").cast("int").alias("i"), (F.col("id") * ((w - 1) / w)).alias("q"))
-            rows = geometry.resample_rows(rows.withColumns({"x0": F.lit(0.0), "dx": F.lit(1.0)}), grid, int(w), o.kernel).select("row", "re", "im")
-        if o.taper:
-            rows = spectral.window_q15(rows, fx.taper_q15(int(h)), fx.taper_q15(int(w)))
-        rows = slicing.zero_pad(rows, w2)
-        zeros = F.array_repeat(F.lit(0).cast("long"), w2)
-        rows = rows.unionByName(self.spark.range(int(h), h2).select(F.col("id").alias("row"), zeros.alias("re"), zeros.alias("im")))
-        return imaging.form_image(rows, h2, w2, o.scaling, taper=False)
+        if o.kernel == "none":
+            return imaging.form_image(frames.to_packed(x, w2), h2, w2, o.scaling, o.taper, window=(int(h), int(w)))
+        grid = self.spark.range(int(w)).select(F.col("id").cast("int").alias("i"), (F.col("id") * ((w - 1) / w)).alias("q"))
+        rows = geometry.resample_rows(frames.to_rows(x).withColumns({"x0": F.lit(0.0), "dx": F.lit(1.0)}), grid, int(w), o.kernel).select("row", "re", "im")
+        return imaging.form_image(slicing.zero_pad(rows, w2), h2, w2, o.scaling, o.taper, window=(int(h), int(w)))
 
     def roi(self, image: DataFrame, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
         return slicing.roi(image, r0, r1, c0, c1)

@@ -53,10 +53,11 @@ def _wrap(x: np.ndarray) -> np.ndarray:
     return ((x + 32768) & 65535) - 32768
 
 
-def tapered(rows: DataFrame, h: int, w: int, taper: bool) -> DataFrame:
-    """row, iq, l1 of lines (row, re, im or row, iq) under the Q15 window; both tapers wrap as one coefficient, and so does the product."""
+def tapered(rows: DataFrame, h: int, w: int, taper: bool, window: tuple[int, int] | None = None) -> DataFrame:
+    """row, iq, l1 of lines (row, re, im or row, iq) under the Q15 window of the first window lines and samples of a look (all, if none is
+    given; 0 beyond); both tapers wrap as one coefficient, and so does the product."""
     packed = "iq" in rows.columns
-    tr, tc = np.array(fx.taper_q15(h), np.int64), np.array(fx.taper_q15(w), np.int64)
+    tr, tc = (np.pad(np.array(fx.taper_q15(k), np.int64), (0, n - k)) for k, n in zip(window or (h, w), (h, w), strict=True))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
@@ -167,12 +168,13 @@ def pixels(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "row long, mag array<int>").select("row", F.posexplode("mag").alias("col", "mag"))
 
 
-def form_image(rows: DataFrame, h: int, w: int, scaling: str = "l1", taper: bool = True, report: Report | None = None) -> DataFrame:
+def form_image(rows: DataFrame, h: int, w: int, scaling: str = "l1", taper: bool = True, report: Report | None = None, window: tuple[int, int] | None = None) -> DataFrame:
     """row, col, mag of a frame of w columns (row, re, im, or packed row, iq).
 
     A frame of more than h rows is a stack of looks of h rows each, whose images have w rows each;
     shared exponents are those of all looks. The image has the transform's orientation after the
-    turn: (range bin, cross-range bin). A failed stage raises StageError; report, if given, then holds
+    turn: (range bin, cross-range bin). Of looks that were padded, window says how many lines and samples the
+    taper spans. A failed stage raises StageError; report, if given, then holds
     its code, and exponents and saturated values else."""
     report = Report() if report is None else report
     spark = rows.sparkSession
@@ -181,7 +183,7 @@ def form_image(rows: DataFrame, h: int, w: int, scaling: str = "l1", taper: bool
             raise ValueError(f"no image of {h} x {w} samples, rule {scaling}")
     with scratch(spark) as keep, tiles.lines_in_batches(spark, max(h, w)):
         with stage(report, BAD_FRAME):
-            x, seen = watched(tapered(rows, h, w, taper), l1=F.max("l1"))
+            x, seen = watched(tapered(rows, h, w, taper, window), l1=F.max("l1"))
             x = keep(x)
         with stage(report, FIRST_PASS):
             y, over = one_pass(x, w, scaling, seen.get["l1"], keep, report)

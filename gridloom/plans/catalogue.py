@@ -5,14 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..operators import catalog as ct
 from ..operators import geometry as geo
 from ..operators import imaging, interp, longline, raster, scan, slicing, spectral
-from ..sources import frames, geotiff, phasehistory
+from ..sources import frames, phasehistory
 from ..sources.shared import cut, shared_dir
 from ..streaming.watch import windowed_counts
 from . import sql as s

@@ -45,7 +45,7 @@ def to_rows(frame: DataFrame) -> DataFrame:
 
 def to_packed(frame: DataFrame, width: int, dtype: str = "<i2") -> DataFrame:
     """Long form (row, col, re, im; 16-bit codes or, for <f8, any numbers) to packed lines (row, iq) of this width, with zeros where a line has no sample;
-    of several in one place the last by value counts. One shuffle by row and one sort, line by line in Arrow."""
+    of several in one place the last by value counts, and codes that do not fit are an error. One shuffle by row and one sort, line by line in Arrow."""
 
     def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, line = None, np.zeros((1, 2, width), dtype)  # the line that the last batch ended in, not yet whole
@@ -61,6 +61,8 @@ def to_packed(frame: DataFrame, width: int, dtype: str = "<i2") -> DataFrame:
                 elif rest is not None:
                     yield pack(np.array([rest]), line)
                 for k, v in ((0, re), (1, im)):
+                    if dtype == "<i2" and len(v) and (v.min() < fx.I16_MIN or v.max() > fx.I16_MAX):
+                        raise ValueError("samples must fit 16 bits")
                     x[inv, k, col[at : at + (1 << 20)]] = v[at : at + (1 << 20)]
                 if len(rows) > 1:
                     yield pack(rows[:-1], x[:-1])

@@ -132,3 +132,20 @@ def test_engine_reads_chips_and_writes_maps(spark, tmp_path):
     files = e.save_geotiff(image, scene, f"{tmp_path}/tif").collect()
     assert [(f["rows"], f["cols"]) for f in files] == [(8, 8)]
     assert e.stretch(image, "normal").count() == 64 and e.save_png(e.stretch(image).withColumnRenamed("u8", "v"), f"{tmp_path}/a.png") == (8, 8)
+
+
+@pytest.mark.parametrize("shape", [(6, 10), (8, 8), (1, 3)])
+def test_padded_images_taper_what_was_there(spark, shape):
+    """A frame that is no power of two: the taper spans its own lines and samples, zeros surround it."""
+    from gridloom.functions import fixed as fx
+    from gridloom.operators import imaging
+
+    h, w = shape
+    x = codes(h, w, top=9000)
+    h2, w2 = (1 << (k - 1).bit_length() for k in shape)
+    whole = np.zeros((h2, w2), complex)
+    own = back(spectral.window_q15(rows_of(spark, x), fx.taper_q15(h), fx.taper_q15(w)))
+    whole[:h, :w] = own
+    want = imaging.form_image(rows_of(spark, whole), h2, w2, taper=False).collect()
+    got = Engine(spark).form_image(frames.to_long(rows_of(spark, x))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == h2 * w2
