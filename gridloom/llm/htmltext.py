@@ -5,7 +5,8 @@ Standard-library parser events cut a page into lines at block elements. Each lin
 tags met. Ratios are smoothed along the page with a Gaussian, and a two-cluster threshold on the
 smoothed ratios marks content lines; where the ratios' clusters are less than three times apart, all are. A region whose text lies mostly on content lines is content,
 and content regions are taken whole, so short paragraphs of an article stay. Menus and link lists are
-told by their ratios alone, whatever their elements are called.
+told by their ratios alone, whatever their elements are called; a page that has nothing else has no
+main text.
 
 A line counts as content only if its region's own ratio, all its text over all its tags, is also at
 least a third of that of the main region, the one with the most text; a region with less than a fifth
@@ -242,6 +243,8 @@ def on_content(lines: list[list], apart: float = 3.0, part: float = 1 / 3, small
 def content(lines: list[list]) -> list[list]:
     """The lines of the content regions of a page."""
     lines = [[-1 - x[0] if x[5] == NAMED and x[4] >= 0 else x[0], *x[1:]] for x in lines]  # a doubtful element's lines stand apart from the region around them
+    if all(x[5] != NONE for x in lines):
+        return []  # nothing stands beside the menus and notices that their ratios could be held against
     size, on, marks, against = {}, {}, {}, {}
     for x, r in zip(lines, on_content(lines), strict=True):
         size[x[0]] = size.get(x[0], 0) + len(x[2])
