@@ -4,16 +4,21 @@ Training. Document labels become token labels: a word or word prefix is an offen
 stands in toxic documents far more often than chance lets it (log-likelihood ratio), near copies
 in the sample counting once; tokens of toxic documents that bear a cue are labelled 1, all others
 0. The field has two states, weights for word and prefix features, and transition weights, fitted
-by maximum likelihood on token windows.
+by maximum likelihood on token windows. A cue need not be clean documents' taboo: a stem that they
+hold once by chance and toxic ones many times is one, and the field weighs it.
 
 Scoring. Forward-backward gives each token's marginal. A token that bears no weighted feature has
 a constant step matrix, so a gap of k such tokens is that matrix to the power k in closed form:
-exact, and whole documents of any length cost little. The score is the noisy-or of the marginals
-of at least FLOOR, the offending spans are the tokens with a marginal of at least one half.
+exact, and whole documents of any length cost little. A document's evidence is the sum of -ln(1 - p)
+over its marginals, which is the noisy-or on a scale that does not saturate; a logistic curve over
+the logarithms of the evidence and of the number of tokens, fitted to the labels of the same
+documents, makes it the score. The offending spans are the tokens with a marginal of at least one half.
 
-Defined cases: null and empty texts and texts without letters score 0 with no spans; repeated rows
-are scored each; an empty table gives an empty result; without labels, or with labels of one class
-only, no token can offend and every score is 0."""
+Defined cases: null and empty texts and texts without letters score 0 with no spans, whatever their
+length; texts without any weighted feature get the curve's value at no evidence; equal texts get equal
+scores; repeated rows and rows with a null id are scored each; a column of the result's name gives
+way, all others are kept; an empty table gives an empty result; without labels, or with labels of
+one class only, no token can offend and every score is 0."""
 
 from __future__ import annotations
 
@@ -21,7 +26,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +38,10 @@ from .common import hold, scratch
 from .quality import held_out, labelled
 
 TOKEN = re.compile(r"[^\W\d_]+")
-FLOOR = 0.05
+#: A cue's share of toxic documents is at least this many times its share of clean ones.
+LIFT = 5.0
+#: Clean documents for each toxic one in the fit of the score, whatever the sample holds.
+CLEAN_ODDS = 8.0
 #: Words a worker remembers before it starts anew.
 CACHE = 150_000
 SPANS = "array<struct<start:int,stop:int,p:double>>"
@@ -53,6 +61,8 @@ class Field:
     start: float = 0.0
     trans: tuple = ((0.0, 0.0), (0.0, 0.0))
     weights: dict[str, float] = field(default_factory=dict)
+    #: constant, factor of ln(1 + evidence) and factor of ln(1 + tokens); without them a score is the noisy-or itself
+    curve: tuple[float, float, float] | None = None
 
     def emission(self, word: str) -> float:
         get = self.weights.get
@@ -108,6 +118,17 @@ class Field:
                 w = (w[0] / s, w[1] / s)
         return out[::-1]
 
+    def score(self, evidence: float, n: int) -> float:
+        """The score of a text of n tokens."""
+        if self.curve is None:
+            return -math.expm1(-evidence)
+        c, a, b = self.curve
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, c + a * math.log1p(evidence) + b * math.log1p(n)))))
+
+
+def evidence(marginals: Iterable[float]) -> float:
+    return -sum(math.log1p(-min(p, 1 - 1e-12)) for p in marginals)
+
 
 class Emissions(dict):
     """Emissions of the words met so far; starts anew when full."""
@@ -133,14 +154,15 @@ class Tagger:
         if not text or not self.model.weights:
             return 0.0, []
         em = list(map(self.memory.__getitem__, TOKEN.findall(text)))
-        if not any(em):
+        if not em:
             return 0.0, []
+        if not any(em):
+            return self.model.score(0.0, len(em)), []
         at = [i for i, e in enumerate(em) if e]
         p = dict(zip(at, self.model.marginals(len(em), at, [em[i] for i in at]), strict=True))
-        miss = math.prod(1 - x for x in p.values() if x >= FLOOR)
         on = {i for i, x in p.items() if x >= 0.5}
         spans = [(m.start(), m.end(), p[i]) for i, m in enumerate(TOKEN.finditer(text)) if i in on] if on else []
-        return 1 - miss, spans
+        return self.model.score(evidence(p.values()), len(em)), spans
 
 
 class Corpus:
@@ -177,7 +199,7 @@ def cues(corpus: Corpus, y: list[int], least: float = 40.0) -> set[str]:
     First every feature whose log-likelihood ratio over all documents reaches least. Then, while
     toxic documents without a cue remain, the one that tells most of these apart from the clean
     ones, if its ratio is beyond what the best of so many features reaches by chance: rare
-    languages have few documents each. A cue has ten times as many toxic documents as clean ones."""
+    languages have few documents each. A cue's share of toxic documents is LIFT times that of clean ones."""
     keep = distinct_rows(corpus)
     bad, good = [corpus.sets[i] for i in keep if y[i]], [corpus.sets[i] for i in keep if not y[i]]
     if not bad or not good:
@@ -204,7 +226,7 @@ def cues(corpus: Corpus, y: list[int], least: float = 40.0) -> set[str]:
         t = (a + d0) / (n0 + n1)
         part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
         g = 2 * (part(a, t * n1) + part(d0, t * n0) + part(n1 - a, (1 - t) * n1) + part(n0 - d0, (1 - t) * n0))
-        return np.where((a >= 3) & (10 * d0 <= a), g, 0.0)
+        return np.where((a >= 3) & (a * n0 >= LIFT * d0 * n1), g, 0.0)
 
     on = rated(rows) >= least
     rest = 2 * math.log(10 * max(2, n_seen))
@@ -288,7 +310,35 @@ def fit_field(texts: list[str], y: list[int], window: int = 8, most: int = 4_000
         mom, var = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         theta += 0.15 * (mom / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.99**k)) + 1e-8)
     keep = {f: float(theta[i]) for f, i in number.items() if abs(theta[i]) > 0.05}
-    return Field(float(theta[m]), float(theta[m + 1]), ((0.0, float(theta[m + 2])), (float(theta[m + 3]), float(theta[m + 4]))), keep)
+    model = Field(float(theta[m]), float(theta[m + 1]), ((0.0, float(theta[m + 2])), (float(theta[m + 3]), float(theta[m + 4]))), keep)
+    model.curve = fit_curve(model, corpus, y, list(of))
+    return model
+
+
+def fit_curve(model: Field, corpus: Corpus, y: list[int], live: list[int]) -> tuple[float, float, float]:
+    """Logistic regression of the labels on the logarithms of evidence and length, live being the words
+    that may bear weights; a text does not become toxic by its length, so that factor is at most 0."""
+    em = np.zeros(len(corpus.words))
+    em[live] = [model.emission(corpus.words[w]) for w in live]
+    rows, on = [], []
+    for ws, v in zip(corpus.docs, y, strict=True):
+        if not len(ws):
+            continue
+        at = np.flatnonzero(em[ws])
+        seen = evidence(model.marginals(len(ws), at.tolist(), em[ws[at]].tolist())) if len(at) else 0.0
+        rows.append((1.0, math.log1p(seen), math.log1p(len(ws))))
+        on.append(v)
+    x, t = np.array(rows), np.array(on, float)
+    w = np.where(t == 1, 1.0, CLEAN_ODDS * t.sum() / max(1.0, (1 - t).sum()))
+    for k in (3, 2):
+        b = np.zeros(k)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x[:, :k] @ b, -30, 30)))
+            h = (x[:, :k] * (w * p * (1 - p))[:, None]).T @ x[:, :k] + 0.01 * np.eye(k)
+            b += np.clip(np.linalg.solve(h, x[:, :k].T @ (w * (t - p)) - 0.01 * b), -2, 2)
+        if k == 2 or b[2] <= 0:
+            break
+    return float(b[0]), float(b[1]), float(b[2]) if k == 3 else 0.0
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = 3_000, max_bytes: int = 48 << 20) -> Field:

@@ -86,7 +86,46 @@ def test_toxicity_held_out(spark, documents, labelled):
     got = toxicity.op1(spark, documents, table(spark, SF, "labels")).toPandas().set_index("doc_id")
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in got["held_out"].items())
     both = got[got["held_out"]].join(labelled, how="inner")
-    assert both.loc[both["toxic"] == 0, "predicted"].mean() < 0.02 and both.loc[both["toxic"] == 1, "predicted"].mean() > 0.7
+    assert both.loc[both["toxic"] == 0, "predicted"].mean() < 0.01 and both.loc[both["toxic"] == 1, "predicted"].mean() > 0.7
+
+
+def test_toxicity_of_every_document_equals_a_plain_forward_backward(spark, documents):
+    """All texts of 300 tokens or less by the dense recursion over every token, then the score from its definition."""
+    m = toxicity.train_toxicity(documents, table(spark, SF, "labels"))
+    got = toxicity.tag_toxicity(documents.select("doc_id", "text"), m).toPandas()
+    a = np.exp(np.array(m.trans))
+    some = 0
+    for text, out in zip(got["text"], got["toxicity"], strict=True):
+        words = toxicity.TOKEN.findall(text or "")
+        if not 0 < len(words) <= 300:
+            continue
+        some += 1
+        e = np.array([sum(m.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words])
+        step = np.stack([np.ones(len(e)), np.exp(m.bias + e)], 1)
+        f, b = np.empty((len(e), 2)), np.ones((len(e), 2))
+        f[0] = step[0] * [1, np.exp(m.start)]
+        for i in range(1, len(e)):
+            f[i] = (f[i - 1] / f[i - 1].sum()) @ a * step[i]
+        for i in range(len(e) - 2, -1, -1):
+            b[i] = a @ (step[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
+        p = (f * b)[:, 1] / (f * b).sum(1)
+        seen = -np.log1p(-np.minimum(p[e != 0], 1 - 1e-12)).sum()
+        c, k, n = m.curve
+        assert abs(out["score"] - 1 / (1 + np.exp(-(c + k * np.log1p(seen) + n * np.log1p(len(e)))))) < 1e-6
+        ends = [x.end() for x, q in zip(toxicity.TOKEN.finditer(text), (p >= 0.5) & (e != 0), strict=True) if q]
+        assert [s["stop"] for s in out["spans"]] == ends
+    assert some > 200
+
+
+def test_a_stem_that_clean_texts_hold_once_counts_where_it_is_frequent():
+    r = np.random.default_rng(1)
+    word = lambda stem="": stem + "".join(r.choice(list("abcdefghijklmnop"), 6))
+    texts = [" ".join([word() for _ in range(60)] + [word("rude") for _ in range(8 if i < 30 else i % 10 == 0)]) for i in range(400)]
+    m = toxicity.fit_field(texts, [1] * 30 + [0] * 370)
+    tag = toxicity.Tagger(m).tag
+    fresh = [" ".join([word() for _ in range(60)] + [word("rude") for _ in range(k)]) for k in (0, 1, 8)]
+    assert [tag(t)[0] >= 0.7 for t in fresh] == [False, False, True] and m.curve[2] <= 0
 
 
 def test_a_cue_of_few_documents_survives_one_clean_document():
