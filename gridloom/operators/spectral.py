@@ -218,11 +218,12 @@ def lines(rows: DataFrame, n: int, rule: str = "full", shift: int = 0) -> DataFr
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            if p.num_rows:
-                y, exp = line_kernel(np.stack([p.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in ("re", "im")]).astype(np.int64), rule)
+            for at in tiles.chunks(p.num_rows, n):
+                y, exp = line_kernel(tiles.listed(p, at, n).transpose(1, 0, 2).astype(np.int64), rule)
                 y, exp = (_sat(y >> shift), exp + shift) if shift else (y, exp)
-                off = pa.array(np.arange(0, p.num_rows * n + 1, n), pa.int32())
-                yield pa.RecordBatch.from_arrays([p.column("row"), *[pa.ListArray.from_arrays(off, pa.array(v.ravel())) for v in y], pa.array(exp, pa.int32())], ["row", "re", "im", "exp"])
+                off = pa.array(np.arange(0, len(exp) * n + 1, n), pa.int32())
+                row = p.column("row").slice(at.start, at.stop - at.start)
+                yield pa.RecordBatch.from_arrays([row, *[pa.ListArray.from_arrays(off, pa.array(v.ravel())) for v in y], pa.array(exp, pa.int32())], ["row", "re", "im", "exp"])
 
     return rows.select("row", "re", "im").mapInArrow(run, LINES)
 

@@ -149,3 +149,27 @@ def test_padded_images_taper_what_was_there(spark, shape):
     want = imaging.form_image(rows_of(spark, whole), h2, w2, taper=False).collect()
     got = Engine(spark).form_image(frames.to_long(rows_of(spark, x))).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == h2 * w2
+
+
+@pytest.mark.parametrize("n", [64, 1024, 8192])
+def test_a_pass_works_on_few_lines_at_a_time(n):
+    """What a worker holds of a pass does not grow with the Arrow batches that it is given."""
+    import tracemalloc
+
+    from gridloom.operators import tiles
+
+    at = max(tiles.chunks(10_000, n), key=lambda s: s.stop - s.start)
+    tracemalloc.start()
+    spectral.line_kernel(np.ones((2, at.stop - at.start, n), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
+def test_sparse_wide_lines_are_packed_a_few_at_a_time(spark):
+    """Lines of one sample each, more of them than are packed at a time, and one that goes on beyond a batch."""
+    f = spark.range(0, 300, 1, 2).selectExpr("id as row", "cast(id % 7 as int) as col", "id as re", "-id as im")
+    more = spark.range(3000).selectExpr("299L as row", "cast(10 + id as int) as col", "id as re", "id as im")
+    got = {r["row"]: np.frombuffer(r["iq"], "<i2").reshape(2, 4096) for r in frames.to_packed(f.union(more), 4096).collect()}
+    assert len(got) == 300 and all(x[0, r % 7] == r and x[1, r % 7] == -r for r, x in got.items())
+    assert all(np.count_nonzero(x) == 2 for r, x in got.items() if 0 < r < 299) and (got[299][0, 10:3010] == np.arange(3000)).all()
