@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.plans import catalogue
 
@@ -44,3 +45,9 @@ def test_no_window_over_everything(spark):
     for name in ("image_layout", "pulse_order", "cumulative_axis"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan, name
+
+
+def test_frame_queries_take_the_whole_frame(spark):
+    """Not looks of 64 lines: the turned frame has 64 lines, each as long as the frame is high."""
+    top = catalogue.QUERIES["corner_turn"](spark, SF).agg(F.max("row"), F.max("col"), F.count("*")).first()
+    assert tuple(top) == (63, 249, 250 * 64)

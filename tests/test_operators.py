@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import fixed as fx
-from gridloom.operators import catalog, geometry, imaging, interp, longline, raster, scan, slicing, spectral, tiles
+from gridloom.operators import catalog, geometry, imaging, interp, longline, raster, scan, slicing, spectral, tall, tiles
 from gridloom.sources import frames, geotiff, phasehistory
 from gridloom.streaming.watch import watch, windowed_counts
 
@@ -614,3 +614,11 @@ def test_crc_report_sees_damage(spark):
     rows[3] = (3, "payload 3 damaged", rows[3][2])
     got = catalog.crc_report(spark.createDataFrame(rows, "i int, payload string, crc long")).collect()
     assert [r["i"] for r in got if not r["ok"]] == [3]
+
+
+@pytest.mark.parametrize("h", [1, 5, 12])
+def test_corner_turn_is_of_the_whole_frame(spark, h):
+    """More lines than a block, one of them missing: what comes out are lines as long as the frame is high, without samples of lines that are not there."""
+    x = codes(h, 8)
+    got = {(r["row"], r["col"]): complex(r["re"], r["im"]) for r in tall.turn(rows_of(spark, x).where("row <> 3"), 8, block=4).collect()}
+    assert got == {(c, r): x[r, c] for c in range(8) for r in range(h) if r != 3}
