@@ -622,3 +622,17 @@ def test_corner_turn_is_of_the_whole_frame(spark, h):
     x = codes(h, 8)
     got = {(r["row"], r["col"]): complex(r["re"], r["im"]) for r in tall.turn(rows_of(spark, x).where("row <> 3"), 8, block=4).collect()}
     assert got == {(c, r): x[r, c] for c in range(8) for r in range(h) if r != 3}
+
+
+@pytest.mark.parametrize("h", [1, 7, 12, 101])
+@pytest.mark.parametrize("most", [1 << 21, 8])
+@pytest.mark.parametrize("taper", [False, True])
+def test_transform_is_of_the_whole_frame(spark, monkeypatch, h, most, taper):
+    """Heights with factors, prime ones, and ones of which no task may hold a factor's lines; a missing line counts as zeros."""
+    monkeypatch.setattr(tall, "MOST", most)
+    monkeypatch.setattr(tall, "AIM", 64)
+    x = codes(h, 8)
+    got = back(tall.fft2(rows_of(spark, x).where("row <> 3"), h, 8, taper))
+    x[3:4] = 0
+    x = x * np.outer(0.54 - 0.46 * np.cos(2 * np.pi * np.arange(h) / max(1, h - 1)), np.hamming(8)) if taper else x
+    assert np.allclose(got, np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(x))))
