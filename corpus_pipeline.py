@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
 return the columns of documents, whatever these are called: names made here give way to theirs. Mixing
-returns rows in mixed order, and packing fills sequences in the order of the rows each task reads.
+returns rows in mixed order, and packing fills sequences in the order of the rows each task reads. A stage
+puts this folder on the path of Python workers itself, so it may be called without run().
 
 Defined cases: null, empty and blank texts are scored like any other; a null text is never toxic and
 is a near-duplicate class of its own; ties and repeated rows: rows that are equal or share an id are
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, neardup, packing, quality, toxicity
 from gridloom.llm.common import cut, free_name, table
+from gridloom.sources.shared import with_path
 
 #: Least quality score and least toxicity score at which a document stays or goes.
 LEAST_QUALITY, MOST_TOXIC = 0.3, 0.7
 
 
+@with_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores at least LEAST_QUALITY."""
     model = quality.train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -29,6 +32,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score_quality(docs, model, out).where(F.col(out) >= LEAST_QUALITY).drop(out)
 
 
+@with_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below MOST_TOXIC."""
     model = toxicity.train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -36,17 +40,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.tag_toxicity(docs, model, out).where(F.col(out)["score"] < MOST_TOXIC).drop(out)
 
 
+@with_path
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every near-duplicate class."""
     return neardup.deduplicate(docs)
 
 
+@with_path
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, ordered by their place in the mixture."""
     out = free_name(docs, "mix")
     return mixing.mix(docs, out=out).orderBy(F.col(out)["position"]).drop(out)
 
 
+@with_path
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return packing.pack(docs, packing.tokenizer_path())

@@ -1,15 +1,32 @@
-"""Durable cuts of lineage in the folder that driver and executors share."""
+"""What driver and executors share: a folder for durable cuts of lineage, and the path of this library."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def with_path(f):
+    """f, whose first argument is a session, with the folder of this library on the path of Python workers, wherever the session was started from."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *rest, **named) -> DataFrame:
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if _HOME not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([_HOME, *paths])
+        return f(spark, *rest, **named)
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:

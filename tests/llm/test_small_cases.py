@@ -142,6 +142,33 @@ def test_pipeline_stages_keep_rows_and_columns(spark, tmp_path):
             assert stage(spark, d.limit(0), sf).count() == 0
 
 
+def test_pipeline_stages_put_the_library_on_the_path_of_workers(spark, tmp_path):
+    """A session that was started elsewhere, without this folder in PYTHONPATH, runs every stage called by itself."""
+    import os
+    import subprocess
+    import sys
+
+    import corpus_pipeline as cp
+
+    sf, root = f"{tmp_path}/sf", os.path.dirname(os.path.abspath(cp.__file__))
+    docs(spark).withColumn("lang", F.lit("en")).write.parquet(f"{sf}/documents.parquet")
+    labels(spark).write.parquet(f"{sf}/labels.parquet")
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import corpus_pipeline as cp
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for name, stage in cp.STAGES:
+    spark.sparkContext.environment.pop("PYTHONPATH", None)
+    print(name, stage(spark, spark.read.parquet({sf!r} + "/documents.parquet"), {sf!r}).count(), sep=": ")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("PYSPARK_GATEWAY")}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert [x.partition(": ")[0] for x in done.stdout.splitlines()] == [name for name, _ in cp.STAGES]
+
+
 def test_own_columns_of_the_results_name_give_way(spark):
     d = docs(spark).withColumns({"toxicity": F.lit(1), "lang_id": F.lit(1), "mix": F.lit(1)})
     m = toxicity.Field(-6.0, 0.0, ((0.0, -2.0), (-1.0, -1.0)), {"=fox": 14.0})
